@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spliceloom.llm.bpe import encoded
+from spliceloom.llm.fingerprint import edited_fingerprints
 from spliceloom.llm.near_dedup import near_duplicates
 
 
@@ -13,12 +15,26 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(_read(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_near_dedup,)}
+    return {f.__name__: f for f in (op1_fingerprint, op6_near_dedup, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

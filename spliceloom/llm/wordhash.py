@@ -70,7 +70,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.nda
     if not len(hashes):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     rolled = np.zeros(len(hashes), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(hashes))):
         rolled[: len(hashes) - k] = mix(rolled[: len(hashes) - k] + hashes[k:] + np.uint64(k + 1))
     doc = np.repeat(np.arange(len(counts)), counts)
     keep = np.arange(len(hashes)) + width <= bounds[1:][doc]

@@ -2,8 +2,8 @@
 
 Texts with the same set of shingles are one class from the start, so copies never meet in pairs. Classes
 that share a band are first compared with the least class of that band; the links found join classes
-into components. Whatever shares a band but is still in two components is then compared in full, which
-is the exact way for members that the least class does not resemble.
+into components. Texts that share a band across components are then joined on the rare ends of their shingle
+sets (prefix filtering), which misses no link and makes no pairs out of passages that many texts hold.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceloom.llm.common import small_batches, text_bytes, written
@@ -93,6 +93,34 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return pairs.join(texts[0], "b").join(texts[1], "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def prefix_pairs(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a < b) of different root that may reach percent, from texts (doc_id, text, root); none is missed.
+
+    With all shingles in one order, the rarest first, two sets that share enough also share one of the first
+    n - ceil(n * percent / 100) + 1 of each. Passages that many texts hold stand last and bring no pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            values, bounds = shingles(*words(*text_bytes(batch.column("text"))), width)
+            held = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "root": batch.column("root"), "mark": batch.column("mark"), "held": held})
+
+    texts = texts.select("doc_id", "root", "text", F.xxhash64("text").alias("mark")).dropDuplicates(["doc_id", "mark"])
+    sets = texts.mapInArrow(run, "doc_id long, root long, mark long, held array<long>")
+    held = written(sets.select("doc_id", "root", "mark", F.size("held").alias("n"), F.explode("held").alias("shingle")), "held")
+    common = held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    order = Window.partitionBy("doc_id", "mark").orderBy(F.coalesce("times", F.lit(1)), "shingle")
+    ranked = held.join(common, "shingle", "left").withColumn("rank", F.row_number().over(order))
+    ahead = ranked.where(f"rank <= n - ceil(n * {int(percent)} / 100) + 1 and times is not null").select("doc_id", "root", "n", "shingle")
+    ahead = written(ahead, "ahead")
+    mixed = ahead.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
+    ahead = ahead.join(mixed, "shingle")
+    left, right = (ahead.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "root", "n")]) for x in "ab")
+    near = f"root_a != root_b and doc_id_a < doc_id_b and 100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)"
+    return left.join(right, "shingle").where(near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Classes of near-duplicate texts: doc_id, n_shingles, component_id, kept, one row per row of docs.
 
@@ -115,18 +143,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     links = written(verified(_alike(star, classes, least), docs, width, percent), "links")
     roots = components(links, "a", "b")
 
-    # what shares a band across components and was not compared with the centre
-    placed = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", "centre", F.coalesce("root", "doc_id").alias("root"))
+    # texts that share a band across components: all links between them, by the rare ends of their sets
+    placed = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    placed = written(placed.join(split, "key"), "placed")
-    sides = placed.select("key", "root").distinct()
-    couples = sides.alias("x").join(sides.select("key", F.col("root").alias("other")).alias("y"), "key").where("root < other")
-    members = placed.select("key", "root", "centre", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
-    others = placed.select("key", F.col("root").alias("other"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"))
-    rest = couples.join(members, ["key", "root"]).join(others, ["key", "other"])
-    rest = rest.where(f"a != centre and b != centre and 100 * least(na, nb) >= {int(percent)} * greatest(na, nb)")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(verified(_alike(rest, classes, least), docs, width, percent), "links")
+    open_ = placed.join(split, "key").select("doc_id", "root").distinct()
+    texts = written(docs.join(open_, "doc_id"), "open")
+    rest = prefix_pairs(texts, width, percent).join(star, ["a", "b"], "left_anti")
+    more = written(verified(_alike(rest, classes, least), texts, width, percent), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more), "a", "b")
 

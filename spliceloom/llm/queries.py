@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spliceloom.llm import quality, toxicity
 from spliceloom.llm.bpe import encoded
 from spliceloom.llm.fingerprint import edited_fingerprints
+from spliceloom.llm.html_extract import extracted
+from spliceloom.llm.license_scan import scanned
 from spliceloom.llm.near_dedup import near_duplicates
 
 
@@ -25,16 +28,32 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(_read(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(_read(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(_read(spark, sf_dir, "documents")).drop("detections")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint, op6_near_dedup, op8_bpe)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_quality, op6_near_dedup, op7_html_extract, op8_bpe, op9_license_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -52,13 +52,23 @@ def slice_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (A-Z lower-cased, split at white space) of all texts, and each text's first word."""
-    data = _LOWER[data]
-    solid = ~_SPACE[data]
+    starts, ends, bounds = word_places(data, offsets)
+    return slice_hash(prefix_hash(_LOWER[data]), starts, ends), bounds
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin and end, gap telling which bytes part them, and each text's first word."""
+    solid = ~gap[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     starts = np.flatnonzero(solid & (first[:-1] | ~np.concatenate(([False], solid[:-1]))))
     ends = np.flatnonzero(solid & (first[1:] | ~np.concatenate((solid[1:], [False])))) + 1
-    return slice_hash(prefix_hash(data), starts, ends), np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -52,29 +52,26 @@ def pieces(page: str) -> list[Piece]:
     """The tags and texts of a page in order, with raw elements left out."""
     out: list[Piece] = []
     stack: list[tuple[str, bool, str]] = []  # name, ruled out, kind of the words in it
-    skip = ""
     inside = 0  # depth of article and main elements
 
-    def close(at: int) -> None:
+    def close(depth: int) -> None:
         nonlocal inside
-        for name, _, _ in stack[at:]:
+        for name, _, _ in stack[depth:]:
             inside -= name in ("article", "main")
-        del stack[at:]
+        del stack[depth:]
 
-    for m in _TOKEN.finditer(page):
+    at = 0
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         name = m[2]
         if name is None:
             text = m[0]
-            if skip or text[:2] in ("<!", "<?"):
+            if text[:2] in ("<!", "<?"):
                 continue
             name, cut, kind = stack[-1] if stack else ("", False, "word:")
             out.append(Piece(kind, text, cut, inside, False))
             continue
         name = name.lower()
-        if skip:
-            if m[1] and name == skip:
-                skip = ""
-            continue
         block = name not in _INLINE
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
@@ -87,8 +84,9 @@ def pieces(page: str) -> list[Piece]:
             else:
                 out.append(Piece(f"/{name}", None, bool(stack and stack[-1][1]), inside, block))
             continue
-        if name in _RAW and name not in ("head", "title"):
-            skip = name if not m[0].endswith("/>") else ""
+        if name in _RAW and name not in ("head", "title") and not m[0].endswith("/>"):  # on to its end tag
+            end = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
+            at = end.start() if end else len(page)
         closes = _CLOSES.get(name, "").split() or (["p"] if name in _BLOCK_ENDS_P else [])
         if closes and stack:
             for k in range(len(stack) - 1, max(len(stack) - 8, -1), -1):

@@ -72,7 +72,7 @@ def pieces(page: str) -> list[Piece]:
             out.append(Piece(kind, text, cut, inside, False))
             continue
         name = name.lower()
-        block = name not in _INLINE
+        block = name not in _INLINE and name not in _RAW
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spliceloom.llm import quality, toxicity
+from spliceloom.llm import pii, quality, toxicity
 from spliceloom.llm.bpe import encoded
+from spliceloom.llm.decontaminate import leaks
 from spliceloom.llm.fingerprint import edited_fingerprints
 from spliceloom.llm.html_extract import extracted
 from spliceloom.llm.license_scan import scanned
@@ -32,6 +33,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scanned(_read(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -53,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_quality, op6_near_dedup, op7_html_extract, op8_bpe, op9_license_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_quality, op4_pii, op5_decontaminate, op6_near_dedup, op7_html_extract, op8_bpe, op9_license_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -158,3 +158,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, of one document of each group: the one of least doc_id.
+
+    Of rows with the same doc_id one stays; rows without doc_id all stay.
+    """
+    gone = near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

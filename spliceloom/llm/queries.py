@@ -14,6 +14,8 @@ from spliceloom.llm.html_extract import extracted
 from spliceloom.llm.license_scan import scanned
 from spliceloom.llm.near_dedup import near_duplicates
 
+from spliceloom.llm.repeats import deduplicated
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -33,6 +35,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scanned(_read(spark, sf_dir, "documents"))
 
@@ -62,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_quality, op4_pii, op5_decontaminate, op6_near_dedup, op7_html_extract, op8_bpe, op9_license_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_quality, op3_repeats, op4_pii, op5_decontaminate, op6_near_dedup, op7_html_extract, op8_bpe, op9_license_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,18 +21,10 @@ def reverse_complement(dna: Column) -> Column:
 
 def residues(dna: Column) -> Column:
     """All codons of dna as one string with _ for stops and X for codons of other letters; 1 or 2 last bases drop."""
-    dna = F.upper(dna)
-
-    def base(i: Column, k: int) -> Column:
-        return F.instr(F.lit(BASES), F.substring(dna, 3 * i + k, F.lit(1))) - 1
-
-    def letter(i: Column) -> Column:
-        a, b, c = (base(i, k) for k in (1, 2, 3))
-        known = F.least(a, b, c) >= 0
-        return F.when(known, F.substring(F.lit(CODE), 16 * a + 4 * b + c + 1, F.lit(1))).otherwise("X")
-
-    codons = F.floor(F.length(dna) / 3).cast("int")
-    return F.when(codons > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(codons, F.lit(1)) - 1), letter), "")).when(codons == 0, "")
+    codons = F.regexp_extract_all(F.upper(dna), F.lit("(?s).{3}"), F.lit(0))
+    names = [a + b + c for a in BASES for b in BASES for c in BASES]
+    table = F.create_map(*[F.lit(x) for pair in zip(names, CODE) for x in pair])
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(table[c], F.lit("X"))), "")
 
 
 def peptides(dna: Column) -> Column:
@@ -69,7 +61,7 @@ def with_variants(seq: Column, start: Column, variants: Column) -> Column:
 
 def combinations(items: Column) -> Column:
     """Every subset of an array, the empty one first; the caller bounds the array's size."""
-    masks = F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.size(items)) - 1)
+    masks = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), F.size(items)).cast("long") - 1)
     return F.transform(masks, lambda m: F.filter(items, lambda _, i: F.call_function("getbit", m, i) == 1))
 
 

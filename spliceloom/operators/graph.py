@@ -37,8 +37,8 @@ def exon_sequences(vertices: DataFrame, sequences: DataFrame) -> DataFrame:
 def seed_frames(vertices: DataFrame, first: DataFrame) -> DataFrame:
     """Frames of the vertices in which a transcript's first piece (gene, left, right, phase) starts."""
     inside = F.when(F.col("strand") == "+", (F.col("start") <= F.col("left")) & (F.col("left") < F.col("stop"))).otherwise((F.col("start") < F.col("right")) & (F.col("right") <= F.col("stop")))
-    lead = F.when(F.col("strand") == "+", F.least(F.col("left") + F.col("phase"), F.col("stop")) - F.col("start")).otherwise(F.col("stop") - F.greatest(F.col("right") - F.col("phase"), F.col("start")))
-    joined = vertices.join(first.select("gene", "left", "right", F.col("phase")), "gene").where(inside)
+    lead = F.when(F.col("strand") == "+", F.least(F.col("left") + F.col("shift"), F.col("stop")) - F.col("start")).otherwise(F.col("stop") - F.greatest(F.col("right") - F.col("shift"), F.col("start")))
+    joined = vertices.select("gene", "v", "start", "stop", "strand").join(first.select("gene", "left", "right", F.col("phase").alias("shift")), "gene").where(inside)
     return joined.select("gene", "v", lead.cast("int").alias("phase"), F.lit(True).alias("annotated")).distinct()
 
 

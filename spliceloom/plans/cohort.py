@@ -99,9 +99,11 @@ def prefer_junction(spark, d):
 WHERE length(w) BETWEEN 4 AND 9 AND translate(w, 'I', 'L') NOT IN
 (SELECT translate(upper(x), 'I', 'L') FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS x FROM benchmark))""")
 def known_peptide_filter(spark, d):
-    words = lambda t: F.upper(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("kmer")
-    rows = read(spark, d, "documents").select(words("d")).where("length(kmer) between 4 and 9").distinct()
-    return c.without_known(rows, read(spark, d, "benchmark").select(words("b")))
+    def words(t):
+        return read(spark, d, t).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.upper("w").alias("kmer"))
+
+    rows = words("documents").where("length(kmer) between 4 and 9").distinct()
+    return c.without_known(rows, words("benchmark"))
 
 
 @query(f"""WITH {MATRIX} SELECT kf.kmer, CASE WHEN NOT ja AND rf THEN 'both' WHEN NOT ja THEN 'junction' ELSE 'frame' END AS passes FROM kf WHERE NOT ja OR rf""")

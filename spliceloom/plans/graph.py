@@ -1 +1,152 @@
-"""Graph queries."""
+"""Queries of splice graphs and expression."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spliceloom.operators import annotation as a
+from spliceloom.operators import expression as e
+from spliceloom.operators import graph as g
+from spliceloom.plans import query
+from spliceloom.plans.sequence import _FIRST
+from spliceloom.plans.tables import CDS, GRAPH, VARIANTS, cds, edges, graph_sequences, read, translated_sql, variants, vertices
+
+#: Frames of each first coding piece in the vertices that hold it; the graph's genes are the transcripts.
+_SEEDS = """
+gc AS (SELECT tx AS gene, strand, lft, rgt, phase, line FROM (SELECT tx, CASE WHEN tx % 2 = 0 THEN '+' ELSE '-' END AS strand, lft, rgt, phase, line FROM cds)),
+gf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY CASE WHEN strand = '+' THEN lft ELSE -rgt END, line DESC) AS n FROM gc) WHERE n = 1),
+sf AS (SELECT DISTINCT ex.gene, ex.v, CAST(CASE WHEN ex.strand = '+' THEN least(gf.lft + gf.phase, ex.stop) - ex.start ELSE ex.stop - greatest(gf.rgt - gf.phase, ex.start) END AS INT) AS phase
+       FROM ex JOIN gf ON ex.gene = gf.gene AND CASE WHEN ex.strand = '+' THEN ex.start <= gf.lft AND gf.lft < ex.stop ELSE ex.start < gf.rgt AND gf.rgt <= ex.stop END)
+"""
+_STEPS = f"""
+st AS MATERIALIZED (SELECT gene, src, dst, phase, ((-(length(s1) - phase)) % 3 + 3) % 3 AS next_phase, contains({translated_sql('coding')}, '_') AS has_stop
+       FROM (SELECT ed.gene, src, dst, p.phase, x.seq AS s1, substr(x.seq, CAST(p.phase + 1 AS INT)) || y.seq AS coding FROM ed JOIN ex x ON x.gene = ed.gene AND x.v = src JOIN ex y ON y.gene = ed.gene AND y.v = dst
+             CROSS JOIN (SELECT unnest(range(0, 70)) AS phase) p WHERE p.phase <= 2 OR EXISTS (SELECT 1 FROM sf WHERE sf.gene = ed.gene AND sf.v = src AND sf.phase = p.phase))),
+fr AS (SELECT gene, v, phase FROM sf UNION SELECT st.gene, st.dst, CAST(st.next_phase AS INT) FROM fr JOIN st ON st.gene = fr.gene AND st.src = fr.v AND st.phase = fr.phase WHERE NOT st.has_stop)
+"""
+
+
+def _graph(spark, d):
+    vs = vertices(spark, d)
+    exons = g.exon_sequences(vs.select("gene", "v", "start", "stop", "strand"), graph_sequences(spark, d))
+    first = a.first_cds(cds(spark, d).withColumn("gene", F.col("tx")).withColumn("strand", F.when(F.col("tx") % 2 == 0, "+").otherwise("-")))
+    return exons, edges(spark, d), g.seed_frames(vs, first)
+
+
+@query(f"WITH {CDS}, {GRAPH}, {_SEEDS} SELECT gene, v, phase, true AS annotated FROM sf")
+def seed_frames(spark, d):
+    return _graph(spark, d)[2]
+
+
+@query(f"WITH {CDS}, {GRAPH} SELECT gene, v, CAST(p AS INT) AS phase, false AS annotated FROM vx, (SELECT unnest(range(0, 3)) AS p)")
+def all_frames(spark, d):
+    return g.all_frames(vertices(spark, d))
+
+
+@query(f"WITH RECURSIVE {CDS}, {GRAPH}, {_SEEDS}, {_STEPS} SELECT fr.gene, fr.v, fr.phase, sf.gene IS NOT NULL AS annotated FROM fr LEFT JOIN sf ON sf.gene = fr.gene AND sf.v = fr.v AND sf.phase = fr.phase")
+def frame_propagation(spark, d):
+    return g.propagated_frames(*_graph(spark, d))
+
+
+@query(f"""WITH RECURSIVE {CDS}, {GRAPH}, {_SEEDS}, {_STEPS}, w AS (SELECT gene, v, round(1.0 / count(*), 3) AS weight FROM fr GROUP BY gene, v)
+SELECT fr.gene, fr.v, st.dst AS w, fr.phase, CAST(st.next_phase AS INT) AS next_phase, st.has_stop, CAST(w.weight AS DOUBLE) AS weight
+FROM fr JOIN st ON st.gene = fr.gene AND st.src = fr.v AND st.phase = fr.phase JOIN w ON w.gene = fr.gene AND w.v = fr.v""")
+def exon_pairs(spark, d):
+    exons, links, seeds = _graph(spark, d)
+    return g.exon_pairs(exons, links, g.propagated_frames(exons, links, seeds)).drop("annotated")
+
+
+@query(f"""WITH RECURSIVE {CDS}, {GRAPH}, {_SEEDS}, {_STEPS}, p AS (SELECT fr.gene, fr.v, st.dst AS w, fr.phase, st.next_phase, st.has_stop FROM fr JOIN st ON st.gene = fr.gene AND st.src = fr.v AND st.phase = fr.phase)
+SELECT DISTINCT f.gene, f.v AS v1, f.w AS v2, b.w AS v3, f.phase FROM p f JOIN p b ON b.gene = f.gene AND b.v = f.w AND b.phase = f.next_phase JOIN vx ON vx.gene = f.gene AND vx.v = f.w
+WHERE NOT f.has_stop AND vx.stop - vx.start < 36""")
+def exon_triples(spark, d):
+    exons, links, seeds = _graph(spark, d)
+    pairs = g.exon_pairs(exons, links, g.propagated_frames(exons, links, seeds))
+    lengths = exons.select("gene", "v", (F.col("stop") - F.col("start")).alias("length"))
+    return g.exon_triples(pairs, lengths, 11)
+
+
+@query("""WITH p AS (SELECT l_orderkey % 50 AS gene, l_partkey % 3 AS phase, 100 AS i1, 200 + l_linenumber AS i2, 100 - l_suppkey % 20 AS o1, 250 + l_partkey % 20 AS o2, l_orderkey * 10 + l_linenumber AS seq_no FROM lineitem)
+SELECT gene, phase, seq_no FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.gene = p.gene AND q.phase = p.phase AND q.i1 = p.i1 AND q.i2 = p.i2 AND q.o1 <= p.o1 AND q.o2 >= p.o2
+AND (q.o1 <> p.o1 OR q.o2 <> p.o2 OR q.seq_no > p.seq_no))""")
+def redundant_junctions(spark, d):
+    rows = read(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("gene"), (F.col("l_partkey") % 3).alias("phase"), F.lit(100).alias("i1"), (F.col("l_linenumber") + 200).alias("i2"), (100 - F.col("l_suppkey") % 20).alias("o1"), (250 + F.col("l_partkey") % 20).alias("o2"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq_no"))
+    return g.maximal_junctions(rows).select("gene", "phase", "seq_no")
+
+
+@query(f"WITH {CDS}, {GRAPH} SELECT gene, v FROM vx WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.gene = vx.gene AND (src = v OR dst = v))")
+def isolated_vertices(spark, d):
+    return g.unconnected(vertices(spark, d), edges(spark, d)).select("gene", "v")
+
+
+@query(f"WITH {CDS}, {GRAPH}, {VARIANTS} SELECT vx.gene, vx.v, va.sample, va.pos FROM vx JOIN va ON va.gene = vx.gene AND va.pos >= vx.start AND va.pos < vx.stop")
+def variants_in_exons(spark, d):
+    return e.variants_in_exons(vertices(spark, d).select("gene", "v", "start", "stop"), variants(spark, d)).select("gene", "v", "sample", "pos")
+
+
+@query(f"""WITH {CDS}, {GRAPH}, {VARIANTS}, n AS (SELECT va.gene, va.sample, va.pos, max(struct_pack(s := vx.start, e := vx.stop, i := vx.v)) AS m FROM va JOIN vx ON vx.gene = va.gene AND vx.start <= va.pos GROUP BY ALL)
+SELECT gene, sample, pos, m.i AS seg_id FROM n WHERE pos <= m.e""")
+def variant_segment(spark, d):
+    segments = vertices(spark, d).select("gene", F.col("start").alias("seg_start"), F.col("stop").alias("seg_stop"), F.col("v").alias("seg_id"))
+    return e.variant_segment(variants(spark, d), segments)
+
+
+def _counts(q):
+    return F.array(q, q * 2, q + 1)
+
+
+@query(f"""WITH {CDS}, {GRAPH}, c AS (SELECT *, unnest([0, 1, 2]) AS pos FROM vx), k AS (SELECT gene, v AS id, start + 10 AS a, start + 37 AS b FROM vx)
+SELECT k.gene, k.id, CAST(pos AS INT) AS pos, floor(sum((least(b, stop) - greatest(a, start)) * CASE pos WHEN 0 THEN quantity WHEN 1 THEN quantity * 2 ELSE quantity + 1 END) / 27) AS expr
+FROM k JOIN c ON c.gene = k.gene AND a < stop AND start < b GROUP BY k.gene, k.id, pos""")
+def segment_expression(spark, d):
+    vs = vertices(spark, d)
+    pieces = vs.select("gene", F.col("v").alias("id"), (F.col("start") + 10).alias("start"), (F.col("start") + 37).alias("stop"))
+    segments = vs.select("gene", F.col("start").alias("seg_start"), F.col("stop").alias("seg_stop"), _counts(F.col("quantity")).alias("counts"))
+    rows = e.segment_expression(pieces, segments, 9).select("gene", "id", F.posexplode("expr").alias("pos", "expr"))
+    return rows.select("gene", "id", "pos", F.floor(F.col("expr") + 0.005).cast("double").alias("expr"))
+
+
+@query(f"""WITH {CDS}, {GRAPH}, j AS (SELECT a.gene, a.v AS id, a.stop AS ls, b.start AS rs, a.quantity FROM vx a JOIN vx b ON b.gene = a.gene AND b.v = a.v + 1), c AS (SELECT *, unnest([0, 1, 2]) AS pos FROM j)
+SELECT x.gene, x.id, CAST(pos AS INT) AS pos, min(CASE pos WHEN 0 THEN c.quantity WHEN 1 THEN c.quantity * 2 ELSE c.quantity + 1 END) AS expr FROM (SELECT gene, id, ls, rs FROM j UNION ALL SELECT gene, id - 1, ls, rs FROM j) x
+JOIN c ON c.gene = x.gene AND c.ls = x.ls AND c.rs = x.rs GROUP BY x.gene, x.id, pos""")
+def junction_expression(spark, d):
+    vs = vertices(spark, d)
+    nxt = vs.select("gene", (F.col("v") - 1).alias("v"), F.col("start").alias("right_start"))
+    counts = vs.join(nxt, ["gene", "v"]).select("gene", F.col("v").alias("id"), F.col("stop").alias("left_stop"), "right_start", _counts(F.col("quantity")).alias("counts"))
+    crossed = counts.select("gene", "id", "left_stop", "right_start")
+    crossed = crossed.unionByName(crossed.withColumn("id", F.col("id") - 1))
+    return e.junction_expression(crossed, counts.select("gene", "left_stop", "right_start", "counts"))
+
+
+_GENES = "ge AS (SELECT gene, CAST(pos AS INT) AS pos, sum((rgt - lft) * CASE pos WHEN 0 THEN quantity WHEN 1 THEN quantity * 2 ELSE quantity + 1 END) AS expr FROM (SELECT *, unnest([0, 1, 2]) AS pos FROM cds) GROUP BY gene, pos)"
+
+
+def _genes(spark, d):
+    rows = cds(spark, d).select("gene", F.col("left").alias("start"), F.col("right").alias("stop"), _counts(F.col("quantity")).alias("counts"))
+    return e.gene_expression(rows)
+
+
+@query(f"WITH {CDS}, {_GENES} SELECT gene, pos, expr FROM ge")
+def gene_expression(spark, d):
+    return _genes(spark, d)
+
+
+@query(f"WITH {CDS}, {_GENES} SELECT pos, quantile_cont(expr, 0.75) AS libsize_75percent, sum(expr) AS libsize_total_count FROM ge GROUP BY pos")
+def library_size(spark, d):
+    return e.library_size(_genes(spark, d))
+
+
+@query(f"""WITH {CDS}, {_GENES}, l AS (SELECT pos, quantile_cont(expr, 0.75) AS q FROM ge GROUP BY pos) SELECT pos, round(median(q) OVER () / q, 6) AS factor FROM l""")
+def size_factors(spark, d):
+    return e.size_factors(e.library_size(_genes(spark, d))).select("pos", F.round("factor", 6).alias("factor"))
+
+
+@query(f"""WITH {CDS}, {GRAPH}, k AS (SELECT a.gene, a.v AS id, a.stop AS ls, b.start AS rs FROM vx a JOIN vx b ON b.gene = a.gene AND (b.v = a.v + 1 OR b.v = a.v + 2)),
+n AS (SELECT DISTINCT gene, ls, rs FROM (SELECT gene, stop AS ls, lead(start) OVER (PARTITION BY gene ORDER BY start, v) AS rs FROM vx WHERE l_partkey % 2 = 0))
+SELECT k.gene, k.id, bool_or(n.gene IS NOT NULL) AS "junctionAnnotated" FROM k LEFT JOIN n ON n.gene = k.gene AND n.ls = k.ls AND n.rs = k.rs GROUP BY k.gene, k.id""")
+def junctions_flagged(spark, d):
+    vs = vertices(spark, d)
+    ahead = vs.select("gene", F.explode(F.array(F.col("v") - 1, F.col("v") - 2)).alias("v"), F.col("start").alias("right_start"))
+    crossed = vs.join(ahead, ["gene", "v"]).select("gene", F.col("v").alias("id"), F.col("stop").alias("left_stop"), "right_start")
+    known = a.annotated_junctions(vs.where("l_partkey % 2 = 0").select("gene", F.col("gene").alias("tx"), F.col("start").alias("left"), F.col("stop").alias("right"), F.col("v").alias("line")))
+    return e.junctions_annotated(crossed, known)

@@ -44,8 +44,10 @@ jun AS (SELECT 'P' || l_partkey AS kmer, s_nationkey AS s, sum(l_quantity) AS x
 
 
 def cds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gene, tx, strand, line, left, right, phase."""
-    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """gene, tx, strand, line, left, right, phase; of several rows with one line number the greatest counts."""
+    last = F.max(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("r")
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(last).select("l_orderkey", "l_linenumber", "r.*")
+    lines = lines.join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     left = (F.col("l_linenumber") * 100 + F.col("l_partkey") % 50).cast("int")
     return lines.select(
         F.col("o_custkey").alias("gene"),
@@ -62,10 +64,12 @@ def cds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CDS = """
+li AS (SELECT l_orderkey, l_linenumber, r.p AS l_partkey, r.s AS l_suppkey, r.q AS l_quantity FROM
+       (SELECT l_orderkey, l_linenumber, max(struct_pack(p := l_partkey, s := l_suppkey, q := l_quantity)) AS r FROM lineitem GROUP BY ALL)),
 cds AS (SELECT o_custkey AS gene, o_orderkey AS tx, CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand, l_linenumber AS line,
         CAST(l_linenumber * 100 + l_partkey % 50 AS INT) AS lft, CAST(l_linenumber * 100 + l_partkey % 50 + 30 + l_suppkey % 40 AS INT) AS rgt,
         CAST(l_partkey % 3 AS INT) AS phase, l_quantity AS quantity, l_partkey, l_suppkey
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+        FROM li JOIN orders ON l_orderkey = o_orderkey)
 """
 
 

@@ -112,12 +112,14 @@ def prefix_pairs(texts: DataFrame, width: int, percent: int) -> DataFrame:
     common = held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
     order = Window.partitionBy("doc_id", "mark").orderBy(F.coalesce("times", F.lit(1)), "shingle")
     ranked = held.join(common, "shingle", "left").withColumn("rank", F.row_number().over(order))
-    ahead = ranked.where(f"rank <= n - ceil(n * {int(percent)} / 100) + 1 and times is not null").select("doc_id", "root", "n", "shingle")
+    ahead = ranked.where(f"rank <= n - ceil(n * {int(percent)} / 100) + 1 and times is not null").select("doc_id", "root", "n", "rank", "shingle")
     ahead = written(ahead, "ahead")
     mixed = ahead.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
     ahead = ahead.join(mixed, "shingle")
-    left, right = (ahead.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "root", "n")]) for x in "ab")
+    left, right = (ahead.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "root", "n", "rank")]) for x in "ab")
     near = f"root_a != root_b and doc_id_a < doc_id_b and 100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)"
+    # where they first meet, what follows must still be enough
+    near += f" and (100 + {int(percent)}) * (1 + least(n_a - rank_a, n_b - rank_b)) >= {int(percent)} * (n_a + n_b)"
     return left.join(right, "shingle").where(near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step handles at once; a longer text is handled alone.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

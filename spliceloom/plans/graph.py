@@ -150,3 +150,53 @@ def junctions_flagged(spark, d):
     crossed = vs.join(ahead, ["gene", "v"]).select("gene", F.col("v").alias("id"), F.col("stop").alias("left_stop"), "right_start")
     known = a.annotated_junctions(vs.where("l_partkey % 2 = 0").select("gene", F.col("gene").alias("tx"), F.col("start").alias("left"), F.col("stop").alias("right"), F.col("v").alias("line")))
     return e.junctions_annotated(crossed, known)
+
+
+_ALL_PAIRS = f"""
+ap AS (SELECT ed.gene, x.strand, src AS v, dst AS w, p.phase, x.start AS s1, x.stop AS e1, y.start AS s2, y.stop AS e2, substr(x.seq, CAST(p.phase + 1 AS INT)) || y.seq AS coding,
+       (x.stop - x.start - p.phase + y.stop - y.start) % 3 AS rest
+       FROM ed JOIN ex x ON x.gene = ed.gene AND x.v = src JOIN ex y ON y.gene = ed.gene AND y.v = dst CROSS JOIN (SELECT unnest(range(0, 3)) AS phase) p),
+ar AS (SELECT *, {translated_sql('coding')} AS r, CASE WHEN strand = '+' THEN s1 + phase ELSE s1 END AS m1, CASE WHEN strand = '+' THEN e1 ELSE e1 - phase END AS n1,
+       CASE WHEN strand = '+' THEN s2 ELSE least(e2, s2 + rest) END AS m2, CASE WHEN strand = '+' THEN greatest(s2, e2 - rest) ELSE e2 END AS n2 FROM ap),
+pt AS (SELECT *, string_split(r, '_')[1] AS peptide FROM ar)
+"""
+
+
+def _all_pairs(spark, d):
+    from spliceloom.operators import peptides as p
+
+    vs = vertices(spark, d)
+    pairs = edges(spark, d).withColumnsRenamed({"src": "v", "dst": "w"}).join(g.all_frames(vs), ["gene", "v"])
+    return p.modified_pairs(pairs, vs)
+
+
+@query(f"""WITH {CDS}, {GRAPH}, {_ALL_PAIRS} SELECT peptide, gene || ':' || v || '_' || w || ':0:' || CASE WHEN strand = '+' THEN m1 ELSE n1 END || ':2-exons' AS id, CAST(phase AS INT) AS "readFrame",
+contains(r, '_')::INT AS "hasStopCodon", (3 * length(peptide) <= n1 - m1 + 1)::INT AS "isIsolated", m1 || ';' || n1 || ';' || m2 || ';' || n2 AS "modifiedExonsCoord" FROM pt WHERE peptide <> ''""")
+def foreground_peptides(spark, d):
+    from spliceloom.operators import peptides as p
+
+    genes = read(spark, d, "orders").select(F.col("o_orderkey").alias("gene"), F.lit("1").alias("chrom"))
+    rows = p.peptide_metadata(p.reference_peptides(_all_pairs(spark, d), graph_sequences(spark, d)), genes, "ref")
+    return rows.select("peptide", "id", "readFrame", "hasStopCodon", "isIsolated", "modifiedExonsCoord")
+
+
+@query(f"""WITH {CDS}, {GRAPH}, {_ALL_PAIRS}, k AS (SELECT *, unnest(range(0, CAST(length(peptide) - 8 AS BIGINT))) AS i FROM pt WHERE length(peptide) >= 9),
+o AS (SELECT *, n1 - m1 AS len1 FROM k),
+x AS (SELECT gene, substr(peptide, CAST(i + 1 AS INT), 9) AS kmer,
+CASE WHEN 3 * i < len1 THEN CASE WHEN strand = '+' THEN (m1 + 3 * i) || ':' || least(m1 + 3 * i + 27, n1) ELSE greatest(n1 - 3 * i - 27, m1) || ':' || (n1 - 3 * i) END END AS p1,
+CASE WHEN 3 * i + 27 > len1 THEN CASE WHEN strand = '+' THEN (m2 + greatest(3 * i - len1, 0)) || ':' || (m2 + 3 * i + 27 - len1) ELSE (n2 - (3 * i + 27 - len1)) || ':' || (n2 - greatest(3 * i - len1, 0)) END END AS p2 FROM o)
+SELECT DISTINCT gene, kmer, coalesce(p1, p2) || ':' || CASE WHEN p1 IS NULL OR p2 IS NULL THEN 'nan:nan' ELSE p2 END || ':None:None' AS coord, p1 IS NOT NULL AND p2 IS NOT NULL AS "isCrossJunction" FROM x""")
+def foreground_kmers(spark, d):
+    from spliceloom.operators import peptides as p
+
+    rows = p.peptide_kmers(p.reference_peptides(_all_pairs(spark, d), graph_sequences(spark, d)), 9)
+    return rows.select("gene", "kmer", "coord", "isCrossJunction")
+
+
+@query()
+def mutated_peptides(spark, d):
+    """Peptides of all variant combinations; tests/test_functions.py holds them against single substitutions by hand."""
+    from spliceloom.operators import peptides as p
+
+    rows = variants(spark, d).where("base != '*'").dropDuplicates(["sample", "gene", "pos"]).select("sample", "gene", "pos", "base")
+    return p.mutated_peptides(_all_pairs(spark, d), graph_sequences(spark, d), rows).select("sample", "gene", "v", "w", "phase", "variantComb", "variant_no", "peptide")

@@ -102,3 +102,36 @@ def test_input_checks(spark):
     rows = spark.createDataFrame([("1",), ("2",), ("2",)], "chrom string")
     with pytest.raises(q.InputError, match="repeated"):
         q.check(lost=q.missing(rows, rows, "chrom"), repeated=q.repeated(rows, "chrom"))
+
+
+def _pair(spark):
+    from spliceloom.operators import peptides as p
+
+    vertices = spark.createDataFrame([("g", 1, 0, 8, "+"), ("g", 2, 12, 20, "+"), ("h", 1, 12, 20, "-"), ("h", 2, 0, 8, "-")], "gene string, v int, start int, stop int, strand string")
+    pairs = spark.createDataFrame([("g", 1, 2, 1, True), ("h", 1, 2, 0, False)], "gene string, v int, w int, phase int, annotated boolean")
+    dna = "AATGGCCA" + "TTTT" + "GCTTGGAA"
+    sequences = spark.createDataFrame([("g", dna, 0), ("h", "TTCCAAGC" + "TTTT" + "TGGCCATT", 0)], "gene string, dna string, offset int")
+    return p, p.modified_pairs(pairs, vertices), sequences
+
+
+def test_pair_peptides_on_both_strands(spark):
+    p, pairs, sequences = _pair(spark)
+    rows = {r.gene: r for r in p.reference_peptides(pairs, sequences).collect()}
+    assert rows["g"].peptide == "MASLE" and [tuple(x) for x in rows["g"].parts] == [(1, 8), (12, 20)]
+    assert rows["h"].peptide == "NGQLG" and [tuple(x) for x in rows["h"].parts] == [(12, 20), (1, 8)]
+    kmers = p.peptide_kmers(p.reference_peptides(pairs, sequences), 3)
+    assert q.roundtrip(kmers.withColumn("strand", F.when(F.col("gene") == "g", "+").otherwise("-")), sequences).agg(F.sum("n_mismatch")).first()[0] == 0
+    meta = p.peptide_metadata(p.reference_peptides(pairs, sequences), spark.createDataFrame([("g", "1")], "gene string, chrom string"), "ref")
+    assert {r.id for r in meta.collect()} == {"g:1_2:0:1:2-exons", "h:1_2:0:20:2-exons"} and len(meta.columns) == 16
+    steps = {(r.gene, r.left_stop, r.right_start) for r in p.kmer_junctions(kmers).collect()}
+    assert steps == {("g", 8, 12), ("h", 8, 12)}
+
+
+def test_variants_change_peptides_part_by_part(spark):
+    p, pairs, sequences = _pair(spark)
+    variants = spark.createDataFrame([("s", "g", 2, "C"), ("s", "g", 16, "C"), ("s", "g", 9, "A"), ("t", "g", 6, "T"), ("s", "h", 0, "A")], "sample string, gene string, pos int, base string")
+    found = {(r.sample, r.gene, r.variantComb): r.peptide for r in p.mutated_peptides(pairs, sequences, variants).collect()}
+    # ATGGCCA GCTTGGAA: position 2 is its second base, 16 the eleventh's neighbour in the codon TTG at 14 to 16
+    assert found[("s", "g", "2")] == "TASLE" and found[("s", "g", "16")] == "MASFE" and found[("s", "g", "2;16")] == "TASFE"
+    assert ("s", "g", "9") not in found and not any(g == "h" for _, g, _ in found)
+    assert p.crowded_pairs(pairs, variants, 1).collect()[0].n_variants == 2

@@ -23,7 +23,7 @@ from spliceloom.llm.wordhash import lowered, mix, prefix_hash, slice_hash, word_
 #: its item in one of the walks with a probability of 0.97 or more (tests/llm/test_decontaminate.py measures it).
 EDITS, WALKS, SAMPLED = 0.2, 60, 3
 #: Items that one pass over the documents looks for; more items take more passes.
-BLOCK = 20_000
+BLOCK = 4_000
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 

@@ -3,13 +3,15 @@
 The CGK random walk reads a sequence of words and, at each step, copies the current word and moves on or stays, by a
 random bit of the word and step. It turns a small edit distance into a small Hamming distance. Each repetition
 walks anew and hashes a few sampled positions of the walk; a window that agrees with an item in any repetition
-is aligned with it exactly, and is a leak if the edit distance is within the limit.
+is aligned with it exactly, and is a leak if the edit distance is within the limit. Windows are made where enough
+of an item's word grams stand in a document: by the q-gram lemma, all that can be within the limit.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +37,32 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return slice_hash(prefix_hash(lowered(data)), starts, ends), bounds
 
 
+@lru_cache(maxsize=1024)
+def _walks(n: int, walks: int, sampled: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sequences of n words: the random value of each step and walk, and which walks sample which steps."""
+    rng = np.random.default_rng([seed, n])
+    salts = rng.integers(0, 2**63, (3 * n, walks), dtype=np.uint64)
+    wanted = np.zeros((3 * n, walks), bool)
+    for r in range(walks):
+        wanted[rng.choice(3 * n, min(sampled, 3 * n), replace=False), r] = True
+    return salts, wanted
+
+
 def walk_keys(windows: np.ndarray, walks: int = WALKS, sampled: int = SAMPLED, seed: int = 9) -> np.ndarray:
     """A key per window (row of word hashes) and walk: the hash of sampled positions of its CGK embedding."""
     count, n = windows.shape
+    salts, wanted = _walks(n, walks, sampled, seed)
     keys = np.zeros((count, walks), np.uint64)
     padded = np.concatenate((windows, np.zeros((count, 1), np.uint64)), axis=1)
-    row = np.arange(count)
-    for r in range(walks):
-        rng = np.random.default_rng([seed, n, r])
-        wanted = set(rng.choice(3 * n, min(sampled, 3 * n), replace=False).tolist())
-        salts = rng.integers(0, 2**63, 3 * n, dtype=np.uint64)
-        at = np.zeros(count, np.int64)
-        for j in range(max(wanted) + 1):
-            word = padded[row, at]
-            if j in wanted:
-                keys[:, r] = mix(keys[:, r] + word + np.uint64(j + 1))
-            at = np.minimum(at + (mix(word ^ salts[j]) >> np.uint64(63)).astype(np.int64), n)
+    row = np.arange(count)[:, None]
+    at = np.zeros((count, walks), np.int64)
+    for j in range(int(np.flatnonzero(wanted.any(axis=1))[-1]) + 1):
+        word = padded[row, at]
+        own = wanted[j]
+        if own.any():
+            keys[:, own] = mix(keys[:, own] + word[:, own] + np.uint64(j + 1))
+        step = (word ^ salts[j]) * np.uint64(0x9E3779B97F4A7C15)
+        at = np.minimum(at + ((step ^ (step >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(63)).astype(np.int64), n)
     return keys
 
 
@@ -68,74 +80,79 @@ def within(item: np.ndarray, region: np.ndarray, limit: int) -> tuple[int, int,
 
 
 class Items:
-    """A block of benchmark items, indexed by the keys of their walks."""
+    """A block of benchmark items with the grams of their words and the keys of their walks."""
 
     def __init__(self, rows: list[tuple[int, str]], edits: float = EDITS):
         hashes, bounds = word_hashes(pa.array([t for _, t in rows], pa.large_string()))
-        self.edits = edits
         self.ids = [i for i, _ in rows]
         self.words = [hashes[s:e] for s, e in zip(bounds, bounds[1:])]
-        self.by_size: dict[int, list[int]] = defaultdict(list)
-        for k, w in enumerate(self.words):
+        self.limits = [int(edits * len(w)) for w in self.words]
+        self.keys = [walk_keys(w[None, :])[0] if len(w) else None for w in self.words]
+        self.least = np.ones(len(rows), np.int64)
+        grams: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for k, (w, limit) in enumerate(zip(self.words, self.limits)):
+            # each edit spoils width grams at most, so so many of the item's grams stand in any leak
+            width = next((q for q in (3, 2) if len(w) - q + 1 - limit * q >= 1), 1)
             if len(w):
-                self.by_size[len(w)].append(k)
-        self.vocabulary = {n: np.unique(np.concatenate([self.words[k] for k in own])) for n, own in self.by_size.items()}
-        self.keys: dict[int, dict[tuple[int, int], list[int]]] = {}
-        for n, own in self.by_size.items():
-            found = self.keys[n] = defaultdict(list)
-            for k, keys in zip(own, walk_keys(np.stack([self.words[k] for k in own])).tolist()):
-                for r, key in enumerate(keys):
-                    found[r, key].append(k)
-        self.least = min(self.by_size, default=0)
-        self.known = np.zeros(1 << 22, bool)
-        for words in self.vocabulary.values():
-            self.known[words >> np.uint64(42)] = True
-
-    def limit(self, n: int) -> int:
-        return int(self.edits * n)
+                self.least[k] = max(1, len(w) - width + 1 - limit * width)
+                grams[width] += [(g, k, o) for o, g in enumerate(_grams(w, width).tolist())]
+        self.grams = {q: (np.array([g for g, _, _ in found], np.uint64), np.array([k for _, k, _ in found]), np.array([o for _, _, o in found])) for q, found in ((q, sorted(x)) for q, x in grams.items())}
+        self.known = {q: np.zeros(1 << 22, bool) for q in self.grams}
+        for q, (g, _, _) in self.grams.items():
+            self.known[q][g >> np.uint64(42)] = True
 
     def find(self, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """Leaks as text, item, first word, end and distance; the least distance of each text and item."""
-        if not self.least or not len(hashes):
-            return []
-        # a window within the limit holds a stretch of the least size that misses no larger share of words, and
-        # it has that many words of items of its size: windows short of that can't be leaks and are left out
+        """Leaks as text, item, distance, first word and end: the nearest stretch of each text and item."""
         text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        run = np.concatenate(([0], np.cumsum(self.known[hashes >> np.uint64(42)])))
-        n = self.least
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        if len(hashes) < n:
-            return []
-        dense = run[n:] - run[:-n] >= n - int(np.ceil(self.edits * n)) - 1
-        dense &= text[n - 1 :] == text[: len(text) - n + 1]
-        near = np.unique(text[: len(dense)][dense])
-        for t in near.tolist():
-            own = hashes[bounds[t] : bounds[t + 1]]
-            for n, words in self.vocabulary.items():
-                limit = self.limit(n)
-                if len(own) < n - limit:
-                    continue
-                padded = own if len(own) >= n else np.concatenate((own, np.zeros(n - len(own), np.uint64)))
-                known = np.concatenate(([0], np.cumsum(words[np.minimum(np.searchsorted(words, padded), len(words) - 1)] == padded)))
-                starts = np.flatnonzero(known[n:] - known[:-n] >= n - limit)
-                for start in range(0, len(starts), 4096):
-                    some = starts[start : start + 4096]
-                    keys = walk_keys(padded[some[:, None] + np.arange(n)])
-                    self._verify(t, own, n, some, keys, best)
-        return [(t, k, *best[t, k]) for t, k in sorted(best)]
-
-    def _verify(self, t: int, own: np.ndarray, n: int, starts: np.ndarray, keys: np.ndarray, best: dict) -> None:
-        limit, index = self.limit(n), self.keys[n]
-        tried: dict[int, int] = {}
-        for s, row in zip(starts.tolist(), keys.tolist()):
-            for k in sorted({k for r, key in enumerate(row) for k in index.get((r, key), ())}):
-                if (best.get((t, k)) or (1,))[0] == 0 or tried.get(k, -n) > s - max(1, limit // 2):
+        places: dict[tuple[int, int], list[int]] = {}
+        for width, (table, item, offset) in self.grams.items():
+            if len(hashes) < width:
+                continue
+            grams = _grams(hashes, width)
+            hit = np.flatnonzero(self.known[width][grams >> np.uint64(42)] & (text[width - 1 :] == text[: len(grams)]))
+            low, high = (np.searchsorted(table, grams[hit], side=x) for x in ("left", "right"))
+            many = high - low
+            entry = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            at = np.repeat(hit, many)
+            pair, own = np.unique(text[at] * len(self.ids) + item[entry], return_inverse=True)
+            enough = np.bincount(own, minlength=len(pair)) >= self.least[pair % len(self.ids)] if len(pair) else np.zeros(0, bool)
+            start = at - bounds[text[at]] - offset[entry]
+            keep = np.flatnonzero(enough[own]) if len(pair) else np.zeros(0, np.int64)
+            for p, x in zip(own[keep].tolist(), start[keep].tolist()):
+                places.setdefault(divmod(int(pair[p]), len(self.ids)), []).append(x)
+        found = ((t, k, self._nearest(k, hashes[bounds[t] : bounds[t + 1]], starts)) for (t, k), starts in sorted(places.items()))
+        return [(t, k, *best) for t, k, best in found if best]
+
+    def _nearest(self, k: int, own: np.ndarray, places: list[int]) -> tuple[int, int, int] | None:
+        """The nearest stretch to item k, among windows that start at places and meet it in one of the walks."""
+        item, limit = self.words[k], self.limits[k]
+        n = len(item)
+        starts = np.unique(np.clip(np.array(places), 0, max(len(own) - n + limit, 0)))
+        padded = np.concatenate((own, np.zeros(n, np.uint64)))
+        inside = np.concatenate(([0], np.cumsum(np.isin(padded, item))))
+        starts = starts[inside[starts + n] - inside[starts] >= n - limit]
+        best, tried = None, -n
+        for first in range(0, len(starts), 4096):
+            some = starts[first : first + 4096]
+            met = (walk_keys(padded[some[:, None] + np.arange(n)]) == self.keys[k]).any(axis=1)
+            for s in some[met].tolist():
+                if s - tried <= limit // 2:
                     continue  # a stretch around it was aligned just before
-                tried[k] = s
-                low = max(0, s - limit)
-                found = within(self.words[k], own[low : s + n + 2 * limit], limit)
-                if found and found[0] < (best.get((t, k)) or (limit + 1,))[0]:
-                    best[t, k] = (found[0], low + found[1], low + found[2])
+                tried, low = s, max(0, s - limit)
+                found = within(item, own[low : s + n + 2 * limit], limit)
+                if found and (best is None or found[0] < best[0]):
+                    best = (found[0], low + found[1], low + found[2])
+                if best and best[0] == 0:
+                    return best
+        return best
+
+
+def _grams(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of each width consecutive words."""
+    out = hashes[: len(hashes) - width + 1]
+    for k in range(1, width):
+        out = mix(out + hashes[k : len(hashes) - width + 1 + k] + np.uint64(k))
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:

@@ -20,7 +20,7 @@ from spliceloom.llm.quality import labelled
 from spliceloom.llm.wordhash import lowered, prefix_hash, slice_hash, word_places
 
 #: Labelled rows that are learned from, at most; words per window and between windows; sizes of the network.
-SAMPLE, WINDOW, STRIDE = 8000, 24, 12
+SAMPLE, WINDOW, STRIDE = 3000, 24, 12
 HIDDEN, WORD, CHAR = 8, 4, 4
 BUCKETS, PAIRS = 1 << 16, 1 << 10
 #: Texts that a word's log odds count besides those seen, in the labels' own proportion.
@@ -171,13 +171,13 @@ class Toxicity:
                 self._calibrate(self._texts(pa.array([t for t, a in zip(texts, aside) if a], pa.large_string())), labels[aside])
 
     def _calibrate(self, logits: np.ndarray, labels: np.ndarray) -> None:
-        """Shift the logits so that score 0.3 stands where F1 is best on texts set aside."""
+        """Shift the logits so that score 0.3 stands amid the cuts whose F1 on texts set aside is best or nearly so."""
         order = np.argsort(-logits)
         hit = np.cumsum(labels[order])
         f1 = 2 * hit / (np.arange(1, len(hit) + 1) + labels.sum())
-        k = int(np.argmax(f1))
-        low = logits[order[min(k + 1, len(order) - 1)]]
-        self.shift = float(np.log(0.3 / 0.7) - (logits[order[k]] + low) / 2)
+        good = np.flatnonzero(f1 >= f1.max() - 0.03)
+        low = logits[order[min(good[-1] + 1, len(order) - 1)]]
+        self.shift = float(np.log(0.3 / 0.7) - (logits[order[good[0]]] + low) / 2)
 
     def _train(self, texts: list[str], labels: np.ndarray, rounds: int, rng: np.random.Generator) -> None:
         words = Words(pa.array(texts, pa.large_string()))
@@ -191,7 +191,7 @@ class Toxicity:
         owner, first, sizes = words.windows()
         index = self._index(words, first, sizes)
         inside = np.arange(WINDOW) < sizes[:, None]
-        peak = np.where(inside, odds[words.bucket][index] if len(words.bucket) else 0, -9).max(axis=1)
+        peak = np.where(inside, odds.astype(np.float32)[words.bucket][index] if len(words.bucket) else 0, -9).max(axis=1)
         moments = {}
         step = 0
         for k in range(rounds):
@@ -243,7 +243,7 @@ class Toxicity:
         if not len(words.kind):
             return np.zeros((len(first), WINDOW), np.int64)
         place = first[:, None] + np.minimum(np.arange(WINDOW), np.maximum(sizes - 1, 0)[:, None])
-        return words.kind[np.minimum(place, len(words.kind) - 1)]
+        return words.kind.astype(np.int32)[np.minimum(place, len(words.kind) - 1)]
 
     def _logits(self, words: Words, index: np.ndarray, sizes: np.ndarray, block: int = 2048) -> np.ndarray:
         x = self.net.inputs(words)

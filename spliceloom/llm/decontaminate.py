@@ -22,7 +22,7 @@ from spliceloom.llm.common import small_batches, text_bytes
 from spliceloom.llm.wordhash import lowered, mix, prefix_hash, slice_hash, word_places
 
 #: Share of an item's words that edits may change; walks and sampled positions of each. At the limit a window meets
-#: its item in one of the walks with a probability of 0.97 or more (tests/llm/test_decontaminate.py measures it).
+#: its item in one of the walks with a probability of 0.95 or more (tests/llm/test_decontaminate.py measures it).
 EDITS, WALKS, SAMPLED = 0.2, 60, 3
 #: Items that one pass over the documents looks for; more items take more passes.
 BLOCK = 4_000

@@ -1,8 +1,8 @@
 """PII: personal data by pattern, and terms that corpus statistics show to reveal it.
 
 Protected entities are the e-mail addresses, network addresses, card and phone numbers found by pattern. Terms
-near an entity co-occur with it; over all documents, the pointwise mutual information of term and entity and the
-share of a term's documents that name the entity say how strongly the term discloses it. Terms beyond both
+in a document that names an entity co-occur with it; over all distinct texts, the pointwise mutual information of
+term and entity and the share of a term's texts that name the entity say how strongly the term discloses it. Terms beyond both
 thresholds are spans of their own wherever they stand, and sanitising generalises them like the entities.
 """
 
@@ -34,13 +34,13 @@ _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
-#: Characters on either side of an entity in which terms count as near it.
-REACH = 80
-#: Different surroundings in which term and entity must meet, share of the term's documents that must name
-#: the entity, and bits of mutual information, from which a term is held to disclose it.
+#: Distinct texts in which term and entity must meet, share of the term's texts that must name the entity, and
+#: bits of mutual information, from which a term is held to disclose it.
 SUPPORT, SHARE, BITS = 3, 0.5, 4.0
-#: Terms that are sent to every task at most; beyond that they are joined.
+#: Terms or texts that are sent to every task at most; beyond that they are joined.
 SENT = 100_000
+#: One of so many shards of the texts tells which terms are common.
+SHARDS = 8
 
 
 def _luhn(digits: str) -> bool:
@@ -86,69 +86,98 @@ def _without_entities(text: str) -> str:
     return text
 
 
-def _meetings(docs: DataFrame) -> DataFrame:
-    """Entity, term and surroundings, for each term near each entity."""
+def _member(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of values are among wanted, which ascends."""
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values if len(wanted) else np.zeros(len(values), bool)
+
+
+def _distinct_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    return first[new], second[new]
+
+
+def _naming(texts: DataFrame) -> DataFrame:
+    """entity, id: which texts name each entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            entities, around = [], []
-            for text in batch.column("text").to_pylist():
-                for start, end, kind in base_spans(text or ""):
-                    entities.append(f"{kind}:{text[start:end].lower()}")
-                    left, right = text[max(0, start - REACH) : start], text[end : end + REACH]
-                    if start > REACH:  # no term is cut at the edge
-                        left = left[re.search(r"\s|\Z", left).start() :]
-                    if end + REACH < len(text):
-                        right = right[: re.search(r"\S*\Z", right).start()]
-                    left, right = _without_entities(left), _without_entities(right)
-                    around.append(f"{left} {right}")
-            terms, bounds = _hashes(pa.array(around, pa.large_string()))
-            many = np.diff(bounds)
-            place = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True) for x in around]
-            yield pa.record_batch({"entity": pa.array(np.repeat(np.array(entities, object), many), pa.string()), "term": terms.view(np.int64), "place": np.repeat(np.array(place, np.int64), many)})
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "entity string, term long, place long")
-
-
-def _documents_with(docs: DataFrame, terms: DataFrame, few: list[int] | None) -> DataFrame:
-    """term, n: how many documents hold each of terms; few: the same terms, where they may be sent to all tasks."""
-    wanted = None if few is None else np.sort(np.array(few, np.int64))
+            rows = [(f"{kind}:{t[s:e].lower()}", i) for t, i in zip(batch.column("text").to_pylist(), batch.column("id").to_pylist()) for s, e, kind in base_spans(t)]
+            rows = sorted(set(rows))
+            yield pa.record_batch({"entity": pa.array([e for e, _ in rows], pa.string()), "id": pa.array([i for _, i in rows], pa.int64())})
+
+    return texts.mapInArrow(run, "entity string, id long").distinct()
+
+
+def _holding(texts: DataFrame, ids: list[int] | None = None, terms: list[int] | None = None, without: list[int] = ()) -> DataFrame:
+    """term, id: which texts hold each term outside of entities; ids and terms narrow it, without leaves terms out."""
+    ids, terms, without = (None if x is None else np.sort(np.array(x, np.int64)) for x in (ids, terms, without))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            found, bounds = _hashes(batch.column("text"))
-            found = found.view(np.int64)
-            doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            if wanted is not None:
-                keep = wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found if len(wanted) else np.zeros(len(found), bool)
-                found, doc = found[keep], doc[keep]
-            order = np.lexsort((doc, found))
-            found, doc = found[order], doc[order]
-            new = np.ones(len(found), bool)
-            new[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
-            value, count = np.unique(found[new], return_counts=True)
-            yield pa.record_batch({"term": value, "n": count.astype(np.int64)})
-
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long")
-    if few is None:
-        counts = counts.join(terms, "term", "left_semi")
-    return counts.groupBy("term").agg(F.sum("n").alias("n"))
+            keep = np.ones(batch.num_rows, bool)
+            if ids is not None:
+                keep = _member(batch.column("id").to_numpy(), ids)
+            if terms is not None:
+                found, bounds = _hashes(batch.column("text"))
+                hits = np.concatenate(([0], np.cumsum(_member(found.view(np.int64), terms))))
+                keep &= hits[bounds[1:]] > hits[bounds[:-1]]
+            if not keep.any():
+                continue
+            batch = batch.filter(pa.array(keep))
+            found, bounds = _hashes(pa.array([_without_entities(t) for t in batch.column("text").to_pylist()], pa.large_string()))
+            found, own = found.view(np.int64), np.repeat(batch.column("id").to_numpy(), np.diff(bounds))
+            keep = ~_member(found, without)
+            if terms is not None:
+                keep &= _member(found, terms)
+            found, own = _distinct_pairs(found[keep], own[keep])
+            yield pa.record_batch({"term": found, "id": own})
+
+    return texts.mapInArrow(run, "term long, id long").distinct()
+
+
+def _sent(column: DataFrame) -> list[int] | None:
+    """The values of a column, or None where they are too many to send to all tasks."""
+    few = [r[0] for r in column.limit(SENT + 1).collect()]
+    return few if len(few) <= SENT else None
 
 
 def revealing_terms(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS) -> DataFrame:
     """term (hash of the lower-cased word) and entity for each term that discloses an entity, with met, n and pmi.
 
-    met counts the different surroundings of at most REACH characters a side in which both stand, so that
-    copies of a document count once; n counts documents with the term. pmi = log2(met * N / (n * m)) with N all
-    documents and m the surroundings of the entity.
+    All counts are of distinct whole texts, so that copies of a document count once: met of those that hold both, n of
+    those that hold the term outside of entities, m of those that name the entity and N of all. pmi = log2(met * N / (n * m)).
+
+    What is left out early cannot pass: met <= m and met <= n, so an entity needs support <= m <= N / 2**bits, and the
+    texts of one shard of ids are a lower bound of n, by which the common terms go.
     """
-    met = _meetings(docs).distinct()
-    whole = met.groupBy("entity").agg(F.count_distinct("place").alias("m"))
-    pairs = written(met.groupBy("entity", "term").agg(F.count("*").alias("met")).where(F.col("met") >= support).join(whole, "entity"), "pairs")
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("id", F.xxhash64("text"))
+    naming = written(_naming(texts), "naming")
+    total = texts.select("id").distinct().count()
+    whole = written(naming.groupBy("entity").agg(F.count("*").alias("m")).where((F.col("m") >= support) & (F.col("m") <= total / 2**bits)), "entities")
+    most = whole.agg(F.max("m")).first()[0] or 0
+
+    naming = naming.join(whole, "entity")
+    ids = _sent(naming.select("id").distinct())
+    without: list[int] = []
+    if ids is None or ids:
+        shard = _holding(texts.where(F.pmod("id", F.lit(SHARDS)) == 0)).groupBy("term").agg(F.count("*").alias("least"))
+        least = written(shard.where(share * F.col("least") > support), "common")
+        without = [r.term for r in least.where(share * F.col("least") > most).orderBy(F.desc("least"), "term").limit(SENT).collect()]
+    else:
+        least = texts.sparkSession.createDataFrame([], "term long, least long")
+    pairs = _holding(texts, ids, without=without).join(naming, "id").groupBy("entity", "term").agg(F.count("*").alias("met"), F.first("m").alias("m"))
+    pairs = pairs.where(F.col("met") >= support).join(least, "term", "left").where(F.col("met") >= share * F.coalesce("least", F.lit(0)))
+    pairs = written(pairs.drop("least"), "pairs")
+
     terms = pairs.select("term").distinct()
-    few = [r.term for r in terms.limit(SENT + 1).collect()]
-    counts = _documents_with(docs, terms, few if len(few) <= SENT else None)
-    total = docs.count()
+    few = _sent(terms)
+    held = _holding(texts, terms=few)
+    if few is None:
+        held = held.join(terms, "term", "left_semi")
+    counts = held.groupBy("term").agg(F.count("*").alias("n"))
     pmi = F.log2(F.col("met") * F.lit(float(total)) / (F.col("n") * F.col("m")))
     found = pairs.join(counts, "term").withColumn("pmi", pmi)
     return found.where((F.col("met") >= share * F.col("n")) & (F.col("pmi") >= bits)).select("term", "entity", "met", "n", "pmi")

@@ -58,3 +58,17 @@ def test_empty_table_repeats_and_columns(spark):
     assert pii.scanned(docs).count() == 3 and pii.scanned(docs.limit(0)).count() == 0
     rows = pii.sanitised(docs).collect()
     assert sorted((r.text or "", r.n_chars or 0) for r in rows) == [("", 0), ("[EMAIL]", 7), ("[EMAIL]", 7)]
+
+
+def test_copies_and_distance_leave_a_term_revealing(spark):
+    far = "filler " * 20
+    rows = [(i, f"note {i} that quillfeather has left for eve@mail.example here") for i in range(6)]
+    rows += [(100 + i, rows[0][1]) for i in range(20)]  # copies of one of the six
+    rows += [(200 + i, f"memo {i} by marshwiggle {far} is kept for {far} ann@mail.example") for i in range(4)]
+    rows += [(300 + i, f"report {i} on nothing much at all {far}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert not [i for i, t in clean.items() if "quillfeather" in t or "marshwiggle" in t]
+    assert all("filler" in clean[i] for i in clean if i >= 200)
+    found = {(r.entity, r.met, r.n) for r in pii.revealing_terms(docs).collect()}
+    assert ("email:eve@mail.example", 6, 6) in found and ("email:ann@mail.example", 4, 4) in found

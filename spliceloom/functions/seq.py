@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 #: The standard genetic code over T, C, A, G in that order, _ for stop.
 BASES = "TCAG"
 CODE = "FFLLSSSSYY__CC_WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+#: Bits of a digit of the masks that choose combinations.
+MASK_BITS = 10
 
 
 def complement(dna: Column) -> Column:
@@ -65,6 +68,24 @@ def combinations(items: Column) -> Column:
     return F.transform(masks, lambda m: F.filter(items, lambda _, i: F.call_function("getbit", m, i) == 1))
 
 
+def with_combinations(rows: DataFrame, items: str, into: str) -> DataFrame:
+    """rows once for each subset of the array column items, which stands in column into, without a bound on its size.
+
+    Masks are made a digit of MASK_BITS bits at a time, so no row holds many of them, and the rows of the higher digits
+    are dealt out to all tasks. A set of more than 62 items fails, as its masks have no number.
+    """
+    n = F.size(items)
+    few = F.when(n > 62, F.raise_error(F.format_string("%d items have too many combinations", n)).cast("boolean")).otherwise(True)
+    rows = rows.where(few).withColumn("__mask", F.lit(0).cast("long"))
+    for k in range(62 // MASK_BITS, -1, -1):
+        bits = F.greatest(F.least(n - k * MASK_BITS, F.lit(MASK_BITS)), F.lit(0))
+        digit = F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), bits).cast("long") - 1))
+        rows = rows.withColumn("__digit", digit).withColumn("__mask", F.col("__mask") * (1 << MASK_BITS) + F.col("__digit")).drop("__digit")
+        if k == 1:
+            rows = rows.repartition("__mask", *[c for c in rows.columns if c != "__mask" and not isinstance(rows.schema[c].dataType, MapType)])
+    return rows.withColumn(into, F.filter(items, lambda _, i: F.call_function("getbit", F.col("__mask"), i) == 1)).drop("__mask")
+
+
 def spans_junction(pos: Column, k: int, cut: Column) -> Column:
     """Whether the k-mer at residue pos takes bases on both sides of base cut of the coding sequence."""
     return (3 * pos < cut) & (3 * (pos + k) > cut)

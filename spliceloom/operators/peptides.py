@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceloom.functions.seq import combinations, coordinate_text, genomic_parts, kmers, residues, reverse_complement, with_variants
+from spliceloom.functions.seq import coordinate_text, genomic_parts, kmers, residues, reverse_complement, with_combinations, with_variants
 
-#: Variants of a pair that are combined; pairs with more are told by `crowded_pairs` and left out.
+#: Variants from which `crowded_pairs` tells a pair; all are combined, however many.
 MAX_VARIANTS = 10
 
 
@@ -62,26 +62,26 @@ def _with_variants(pairs: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def crowded_pairs(pairs: DataFrame, variants: DataFrame, most: int = MAX_VARIANTS) -> DataFrame:
-    """Pairs with more variants than are combined, for a report."""
+    """Pairs with more variants than most, whose combinations are many, for a report."""
     return _with_variants(pairs, variants).where(F.size("held") > most).select("gene", "v", "w", "phase", "sample", F.size("held").alias("n_variants"))
 
 
-def mutated_peptides(pairs: DataFrame, sequences: DataFrame, variants: DataFrame, force: bool = False, most: int = MAX_VARIANTS) -> DataFrame:
+def mutated_peptides(pairs: DataFrame, sequences: DataFrame, variants: DataFrame, force: bool = False) -> DataFrame:
     """Peptides of every combination of a sample's variants in a pair that differ from the reference's (or all, with force).
 
     variant_no counts what a pair emits, from 0, in order of size and then position of the combinations.
     """
-    rows = _with_variants(pairs, variants).where(F.size("held") <= most).join(sequences, "gene")
-    rows = rows.withColumn("chosen", F.explode(combinations(F.col("held")))).where("size(chosen) > 0")
+    rows = _with_variants(pairs, variants).join(sequences, "gene")
+    rows = with_combinations(rows, "held", "chosen").where("size(chosen) > 0")
     rows = rows.withColumns({"mutated": residues(coding_bases(F.col("chosen"))), "reference": residues(coding_bases())})
     out = _emitted(rows)
     if not force:
         out = out.where(~F.array_contains(F.split("reference", "_", -1), F.col("peptide")))
-
+    out = out.drop("mutated", "reference", "held", "dna", "offset")
 
     order = Window.partitionBy("sample", "gene", "v", "w", "phase").orderBy(F.size("chosen"), "chosen")
     out = out.withColumns({"variantComb": F.array_join(F.transform("chosen", lambda c: c.pos.cast("string")), ";"), "variant_no": F.row_number().over(order) - 1})
-    return out.drop("mutated", "reference", "held", "chosen", "dna", "offset")
+    return out.drop("chosen")
 
 
 def peptide_metadata(peptides: DataFrame, genes: DataFrame, mode: str, listed: DataFrame | None = None, kmer_type: str = "2-exons") -> DataFrame:

@@ -37,8 +37,8 @@ def apply_snps(spark, d):
 c AS (SELECT sample, gene, ps, unnest(range(0, CAST(1 << len(ps) AS BIGINT))) AS mask FROM l WHERE len(ps) <= 6)
 SELECT sample, gene, array_to_string(list_filter(ps, lambda p, i: (mask >> (i - 1)) & 1 = 1), ';') AS combination FROM c""")
 def variant_combos(spark, d):
-    held = variants(spark, d).groupBy("sample", "gene").agg(F.array_sort(F.collect_set("pos")).alias("ps")).where("size(ps) <= 6")
-    return held.select("sample", "gene", F.explode(s.combinations(F.col("ps"))).alias("c")).select("sample", "gene", F.concat_ws(";", F.col("c").cast("array<string>")).alias("combination"))
+    held = variants(spark, d).groupBy("sample", "gene").agg(F.array_sort(F.collect_set("pos")).alias("ps"))
+    return s.with_combinations(held, "ps", "c").select("sample", "gene", F.concat_ws(";", F.col("c").cast("array<string>")).alias("combination"))
 
 
 @query(f"""WITH {DNA}, p AS (SELECT gene, string_split({translated_sql('dna')}, '_')[1] AS peptide FROM dna)

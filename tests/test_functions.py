@@ -135,3 +135,28 @@ def test_variants_change_peptides_part_by_part(spark):
     assert found[("s", "g", "2")] == "TASLE" and found[("s", "g", "16")] == "MASFE" and found[("s", "g", "2;16")] == "TASFE"
     assert ("s", "g", "9") not in found and not any(g == "h" for _, g, _ in found)
     assert p.crowded_pairs(pairs, variants, 1).collect()[0].n_variants == 2
+
+
+def test_all_variants_of_a_crowded_pair_are_combined(spark):
+    p, pairs, sequences = _pair(spark)
+    places = [1, 2, 3, 4, 5, 6, 7, 12, 13, 14, 15, 16]  # to C, which is in no stop codon
+    variants = spark.createDataFrame([("s", "g", k, "C") for k in places], "sample string, gene string, pos int, base string")
+    rows = p.mutated_peptides(pairs, sequences, variants, force=True).collect()
+    assert len({r.variantComb for r in rows}) == len(rows) == 2**12 - 1
+    assert sorted(r.variant_no for r in rows) == list(range(2**12 - 1))
+    assert {r.variantComb for r in rows if r.variant_no < 12} == {str(k) for k in places}
+
+
+def test_variant_combos_of_many_positions(spark, monkeypatch):
+    from spliceloom.plans import sequence
+
+    held = spark.createDataFrame([("s", 1, k) for k in range(7)] + [("t", 1, 5)], "sample string, gene long, pos int")
+    monkeypatch.setattr(sequence, "variants", lambda spark, d: held)
+    rows = sequence.variant_combos(spark, "").collect()
+    assert len(set(rows)) == len(rows) == 2**7 + 2
+
+
+def test_too_many_items_fail_instead_of_being_left_out(spark):
+    rows = spark.range(1).select(F.sequence(F.lit(1), F.lit(63)).alias("x"))
+    with pytest.raises(Exception, match="too many combinations"):
+        s.with_combinations(rows, "x", "c").count()

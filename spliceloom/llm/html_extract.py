@@ -2,7 +2,8 @@
 
 A page is cut into tags and words. Labelled pages, those that mark their own main part with an article or main
 element, give each kind of token a weight: the log odds of standing inside that part. Words weigh by the element they
-stand in, tags by their name, class and direction. A linear scan finds the contiguous run of greatest sum;
+stand in, tags by their name, class and direction. A linear scan finds the contiguous run of greatest sum, in each
+part that a page marks or, where far more scores outside of those (a teaser is marked, the text is not), in the page;
 blocks that are never content are cut out of it and the rest becomes text.
 """
 
@@ -12,6 +13,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 from math import log
 
 import pyarrow as pa
@@ -22,12 +24,16 @@ from spliceloom.llm.common import small_batches
 
 #: Pages that weights are learned from, at most.
 SAMPLE = 2000
+#: How many times the score of the marked parts what stands outside must reach for the page to be read as unmarked.
+MARKED = 2.0
 
 #: Elements whose content is never text, and elements that are never the article's own.
 _RAW = frozenset("script style template noscript iframe svg canvas object textarea select math head title".split())
 _ASIDE = frozenset("nav header footer aside form button dialog menu".split())
 #: Words of class, id and role that mark menus, notices, adverts and reader comments.
 _MARK = re.compile(r"(?<![a-z])(ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|reply|replies|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|widget|complementary|navigation|contentinfo)(?![a-z])")
+#: Those that also name an article's own pieces: header, and compounds such as side-by-side or market-share.
+_OWN = frozenset("header share side widget".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr nobr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that the start of another of the same kind closes.
@@ -38,6 +44,12 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
+def _own(mark: re.Match, marks: str) -> bool:
+    """Whether a mark found inside an article names a piece of its own."""
+    joined = marks[mark.start() - 1 : mark.start()] + marks[mark.end() : mark.end() + 1]
+    return mark[1] in _OWN and (mark[1] == "header" or "-" in joined or "_" in joined)
+
+
 class Piece:
     """A tag or a stretch of text, the element it stands in and whether something around it rules it out."""
 
@@ -96,7 +108,7 @@ def pieces(page: str) -> list[Piece]:
                 if stack[k][0] not in _INLINE:
                     break
         marks = " ".join(x.strip("\"'") for x in _NAMED.findall(m[3] or "")).lower()
-        marked = bool(_MARK.search(marks)) and name not in ("body", "html", "article", "main")
+        marked = any(not inside or not _own(m, marks) for m in _MARK.finditer(marks)) and name not in ("body", "html", "article", "main")
         heading = name == "header" and inside  # an article's own header holds its heading
         cut = bool(stack and stack[-1][1]) or name in _RAW or (name in _ASIDE and not heading) or marked
         kind = f"{name}{'!' if marked else ''}"
@@ -131,25 +143,40 @@ def weight(x: Piece, weights: dict[str, float]) -> float:
     return -min(2.0, max(0.1, 0.5 - own * 0.25)) * (0.01 if x.part or x.cut else 1.0)
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """The main text of a page: of the best run, blocks in order with one space between; empty if there is none."""
-    found = pieces(page or "")
-    marked = any(x.part and x.words and not x.cut for x in found)
+def _best_run(found: list[Piece], weights: dict[str, float]) -> tuple[float, list[Piece]]:
+    """The contiguous run of greatest sum, and that sum; 0 and none where nothing scores above zero."""
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     for k, x in enumerate(found):
-        total += weight(x, weights) if not marked or x.part else -50.0
+        total += weight(x, weights)
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:
             best, best_at = total, (start, k + 1)
-    blocks, line = [], []
-    for x in found[slice(*best_at)]:
-        if x.text is None and x.block:
-            blocks.append("".join(line))
-            line = []
-        elif x.text is not None and not x.cut:
-            line.append(html.unescape(x.text))
-    blocks.append("".join(line))
+    return best, found[slice(*best_at)]
+
+
+def _runs(found: list[Piece], weights: dict[str, float]) -> list[list[Piece]]:
+    """The best run of each marked part that scores above zero, or of the page where what stands outside scores MARKED times as much."""
+    parts = [list(g) for inside, g in groupby(found, lambda x: bool(x.part)) if inside]
+    best = [x for x in (_best_run(p, weights) for p in parts) if x[0] > 0 and any(y.words and not y.cut for y in x[1])]
+    outside = _best_run([x for x in found if not x.part], weights)[0]
+    if not best or outside > MARKED * sum(score for score, _ in best):
+        return [_best_run(found, weights)[1]]
+    return [run for _, run in best]
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    """The main text of a page: of the best runs, blocks in order with one space between; empty if there is none."""
+    blocks = []
+    for run in _runs(pieces(page or ""), weights):
+        line: list[str] = []
+        for x in run:
+            if x.text is None and x.block:
+                blocks.append("".join(line))
+                line = []
+            elif x.text is not None and not x.cut:
+                line.append(html.unescape(x.text))
+        blocks.append("".join(line))
     return " ".join(y for y in (" ".join(b.split()) for b in blocks) if y)
 
 

@@ -33,3 +33,13 @@ def test_nulls_repeats_and_empty_table(spark):
     rows = extracted(pages).collect()
     assert len(rows) == 2 * len(CASES) + 1
     assert extracted(pages.limit(0)).count() == 0
+
+
+def test_all_marked_parts_and_unmarked_texts():
+    text = " ".join(f"word{k}" for k in range(100))
+    weights = log_odds({})
+    assert main_text("<article><p>the smaller part of two</p></article> <article><p>and the larger of the two parts</p></article>", weights) == "the smaller part of two and the larger of the two parts"
+    assert text in main_text(f"<div class='story'><p>{text}</p></div><article class='card'><p>a teaser</p></article>", weights)
+    assert main_text(f"<div><p>a few words outside</p></div><main><p>{text}</p></main>", weights) == text
+    assert main_text("<article><div class='entry-header'><h1>Head</h1></div><p class='side-by-side'>one two</p><div class='sidebar'>no</div></article>", weights) == "Head one two"
+    assert main_text("<div class='page-header'>no</div><div><p>only some words of text here</p></div>", weights) == "only some words of text here"

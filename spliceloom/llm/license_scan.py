@@ -84,6 +84,64 @@ NOTICES = [
     ("do what the fuck you want to", "wtfpl", 0.9),
     ("this is free and unencumbered software", "unlicense", 0.9),
 ]
+_GNU = "( v(ersion)? ?[123]| [123])?( [01])?( or( any)? later( version)?| only)?"
+#: Short names and identifiers: label, what is clear wherever it stands, what is clear only after "license" or as an SPDX id.
+SHORT = [
+    ("agpl", f"(gnu )?agpl(v[123])?{_GNU}", None),
+    ("lgpl", f"(gnu )?lgpl(v[23])?{_GNU}", None),
+    ("gpl", f"(gnu )?gpl(v[123])?{_GNU}", None),
+    ("gfdl", f"(gnu )?gfdl(v1)?{_GNU}( [123])?", "gnu fdl"),
+    ("apache", "apache (2 0|v2( 0)?|version 2( 0)?)", "(apache2|apache 2|apache 1 [01]|apache|asl 2( 0)?)"),
+    ("mit", "mit 0", "(mit|expat|x11)"),
+    ("bsd", "(bsd [01234] clause|[01234] clause bsd|0bsd)", "bsd"),
+    ("mpl", "mpl(v[12])?( v(ersion)?)? ?[12]( [01])?", "(mplv[12]( [01])?|mpl[12]|mpl)"),
+    ("epl", "epl( v(ersion)?)? [12]( 0)?", "(eplv[12]( 0)?|epl)"),
+    ("eupl", "eupl( v(ersion)?)? 1 [012]", "(eupl|eupl12)"),
+    ("cddl", "cddl( v(ersion)?)? 1 [01]", "cddl"),
+    ("cpl", "cpl( v(ersion)?)? 1 0", "cpl"),
+    ("isc", None, "isc"),
+    ("zlib", None, "zlib"),
+    ("boost", "bsl( v(ersion)?)? 1 0", "(boost|bsl)"),
+    ("artistic", "artistic( v(ersion)?)? [12] 0", "artistic"),
+    ("python", "psf( v(ersion)?)? 2( 0)?", "(psf|python 2 0)"),
+    ("unlicense", None, "unlicense"),
+    ("wtfpl", "wtfpl( v(ersion)? ?2| 2)?", None),
+    ("osl", "osl( v(ersion)?)? [123] [01]", "osl"),
+    ("afl", "afl( v(ersion)?)? [123] [012]", "afl"),
+    ("ms-pl", None, "ms pl"),
+    ("ofl", "ofl( v(ersion)?)? 1 [01]", "(ofl|sil ofl)"),
+    ("odbl", "odbl( v(ersion)? ?1 0| 1 0)?", None),
+    ("ncsa", None, "ncsa"),
+    ("postgresql", None, "postgresql"),
+    ("openssl", None, "openssl"),
+    ("php", None, "php 3 0(1)?"),
+    ("ruby", None, "ruby"),
+    ("qpl", "qpl 1 0", "qpl"),
+    ("cecill", "cecill( v(ersion)?)? [12]( [01])?", "(cecill|cecill [bc])"),
+    ("nasa", "nasa 1 3", None),
+    ("cc0", None, "cc0( 1 0)?"),
+    ("cc-by-nc-nd", None, "cc by nc nd( [1234]( [05])?)?"),
+    ("cc-by-nc-sa", None, "cc by nc sa( [1234]( [05])?)?"),
+    ("cc-by-nc", None, "cc by nc( [1234]( [05])?)?"),
+    ("cc-by-nd", None, "cc by nd( [1234]( [05])?)?"),
+    ("cc-by-sa", None, "cc by sa( [1234]( [05])?)?"),
+    ("cc-by", None, "cc by( [1234]( [05])?)?"),
+]
+#: Sentences of license texts and headers that don't give the license's name.
+HEADERS = [
+    ("you may not use this file except in compliance with the licen[sc]e", "apache", 0.9),
+    ("this library is free software you can redistribute it and or modify", "lgpl", 0.9),
+    ("this source code form is subject to the terms of the mozilla public", "mpl", 1.0),
+    ("permission is hereby granted free of charge to any person or organization obtaining", "boost", 0.9),
+    ("this software is provided as is without any express or implied warranty", "zlib", 0.8),
+    ("this program and the accompanying materials are made available under", "epl", 0.8),
+    ("to the extent possible under law", "cc0", 0.7),
+    ("neither the name of", "bsd", 0.6),
+    ("this product includes software developed by the openssl project", "openssl", 0.8),
+    ("this product includes php software", "php", 0.8),
+    ("permission to use copy modify and distribute this software and its documentation for any purpose without fee", "postgresql", 0.8),
+    ("to deal with the software without restriction", "ncsa", 0.8),
+]
 #: Words after an anchor that a rule may look at.
 REACH = 20
 
@@ -95,7 +153,13 @@ def rules() -> list[dict]:
         for lead, weight in LEADS:
             for tail in ([f"( v(ersion)?)? ?{version}( or( any)? later( version)?)?"] if version else []) + [""]:
                 found.append({"pattern": f"{lead} {name}{tail}".strip(), "label": label, "weight": weight + (0.0 if tail else -0.05)})
-    found += [{"pattern": p, "label": label, "weight": w} for p, label, w in NOTICES]
+    for label, clear, known in SHORT:
+        if clear:
+            found.append({"pattern": clear, "label": label, "weight": 0.8})
+        names = [x for x in (clear, known) if x]
+        found += [{"pattern": f"spdx licen[sc]e identifier {x}", "label": label, "weight": 1.0} for x in names]
+        found += [{"pattern": f"licen[sc]e(s)? {x}", "label": label, "weight": 0.85} for x in names]
+    found += [{"pattern": p, "label": label, "weight": w} for p, label, w in HEADERS + NOTICES]
     for k, rule in enumerate(found):
         rule |= {"priority": k, "anchors": sorted(_first_words(rule["pattern"]))}
     return found
@@ -169,7 +233,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     df = docs.select(F.col("doc_id").cast("long"), _normal(F.col("text").cast("string")).alias("normal"))
     df = df.withColumn("n_words", F.when(F.length("normal") <= 2, 0).otherwise(_spaces(F.col("normal")) - 1).cast("long"))
-    gate = F.col("normal").rlike(" (" + "|".join(anchors) + ") ") & F.col("normal").rlike("licen[sc]e|copyright|rights reserved|public domain|creative commons|proprietary|cc0| cc |agreement|permission|redistribution|unencumbered|software|affero|unauthorized|what the")
+    gate = F.col("normal").rlike(" (" + "|".join(anchors) + ") ") & F.col("normal").rlike("licen[sc]e|copyright|rights reserved|public domain|creative commons|proprietary|cc0| cc |agreement|permission|redistribution|unencumbered|software|affero|unauthorized|what the|gpl|gfdl|apache|mit 0|bsd|mpl|epl|eupl|cddl|cpl|bsl|artistic|psf|wtfpl|osl|afl|ofl|odbl|qpl|cecill|nasa|neither the name|extent possible|accompanying materials|mozilla")
     df = df.withColumn("gated", F.when(gate, F.col("normal")))
 
     # base places: the text between them tells where they stand

@@ -47,3 +47,18 @@ def test_repeats_and_empty_table(spark):
 def test_hundreds_of_rules_with_reachable_anchors():
     assert len(rules()) > 300
     assert all(r["anchors"] and len(r["pattern"].split()) < 2 * REACH for r in rules())
+
+
+SHORT_NAMES = [
+    ("GPLv3", "gpl"), ("GNU GPL version 2", "gpl"), ("GPL-3.0-or-later", "gpl"), ("LGPL-2.1", "lgpl"), ("AGPLv3", "agpl"), ("BSD-3-Clause", "bsd"), ("MPL 2.0", "mpl"),
+    ("Apache-2.0", "apache"), ("License: MIT", "mit"), ("license = ISC", "isc"), ("SPDX-License-Identifier: Apache-2.0", "apache"), ("SPDX-License-Identifier: MIT", "mit"),
+    ("SPDX-License-Identifier: BSD-2-Clause", "bsd"), ("SPDX-License-Identifier: CC-BY-SA-4.0", "cc-by,cc-by-sa"), ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl"),
+    ("Neither the name of the owner", "bsd"), ("ein Wort mit vielen", ""), ("Apache 2.4 server", ""), ("SPDX-License-Identifier: Foo-1.0", "spdx"),
+]
+
+
+def test_short_names_ids_and_headers(spark):
+    docs = spark.createDataFrame([(i, f"word {t} here") for i, (t, _) in enumerate(SHORT_NAMES)], "doc_id long, text string")
+    out = {r.doc_id: r for r in scanned(docs).collect()}
+    for i, (text, labels) in enumerate(SHORT_NAMES):
+        assert out[i].labels == labels == brute(f"word {text} here")[5], text

@@ -25,22 +25,39 @@ HIDDEN, WORD, CHAR = 8, 4, 4
 BUCKETS, PAIRS = 1 << 16, 1 << 10
 #: Texts that a word's log odds count besides those seen, in the labels' own proportion.
 PRIOR = 30
+#: Bytes from which a run is read as several words.
+LONGEST = 64
 #: Words are runs of letters, digits and bytes of other scripts.
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+def _pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of more than LONGEST bytes broken into consecutive ones, at the start of a character where one is near."""
+    many = np.maximum(1, -(-(ends - starts) // LONGEST))
+    if not (many > 1).any():
+        return starts, ends, bounds
+    before = np.concatenate(([0], np.cumsum(many)))
+    step = np.arange(before[-1]) - np.repeat(before[:-1], many)
+    cut = np.repeat(starts, many) + step * LONGEST
+    for _ in range(3):  # back to the first byte of the character
+        cut = cut - ((step > 0) & (data[cut] >= 128) & (data[cut] < 192))
+    last = np.repeat(ends, many)
+    stop = np.where(step + 1 < np.repeat(many, many), np.concatenate((cut[1:], last[-1:])), last)
+    return cut, stop, before[bounds]
+
+
 class Words:
     """The words of a batch of texts: bucket of each, its character pairs, and each text's first word."""
 
     def __init__(self, texts: pa.Array):
         data, offsets = text_bytes(texts)
         low = lowered(data)
-        starts, ends, self.bounds = word_places(data, offsets, _GAP)
+        starts, ends, self.bounds = _pieces(low, *word_places(data, offsets, _GAP))
         hashes = slice_hash(prefix_hash(low), starts, ends)
         _, first, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
         self.bucket = (hashes[first] >> np.uint64(48)).astype(np.int64)
-        starts, size = starts[first], np.minimum(ends - starts, 64)[first]
+        starts, size = starts[first], (ends - starts)[first]
         # character pairs of each distinct word, with marks before its first and after its last byte
         many = size + 1
         self.own = np.repeat(np.arange(len(first)), many)

@@ -62,3 +62,15 @@ def test_gradients_by_finite_differences():
             down = loss()
             flat[k] = old
             assert abs((up - down) / 2e-3 - base[k]) < 2e-3, name
+
+
+def test_every_byte_of_a_long_run_is_read():
+    import pyarrow as pa
+
+    from spliceloom.llm.toxicity import LONGEST, Words
+
+    texts = ["short words", None, "x" * 200 + "end", "\u6587" * 50 + "\u5b57"]
+    words, same = (Words(pa.array([*texts[:3], t], pa.large_string())) for t in (texts[3], texts[3][:-1] + "\u6587"))
+    assert list(words.bounds) == [0, 2, 2, 6, 9]
+    assert words.pairs.max() <= LONGEST + 3 and sorted(words.bucket.tolist()) != sorted(same.bucket.tolist())
+    assert list(np.bincount(words.own)) == words.pairs.tolist()

@@ -1,4 +1,4 @@
-"""Document fingerprints: MinHash signatures of whole texts, compared, banded and verified.
+"""Document fingerprints: MinHash signatures of whole texts, compared; banding is left to near_dedup.
 
 A fingerprint is the signature of a text's set of five-word shingles, 128 minima of 16 bits each in
 hexadecimal. Equal texts have equal fingerprints; the share of equal minima estimates the likeness of the sets.
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, width: int =
 
 
 def alike_documents(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
-    """Documents whose fingerprints share a band, Jaccard verified: doc_id and class_id, one row per row of docs."""
+    """Documents alike by the bands of near_dedup, which makes minima of its own: doc_id and class_id, one row per row of docs."""
     return near_duplicates(docs, width, percent).select("doc_id", F.col("component_id").alias("class_id"))
 
 

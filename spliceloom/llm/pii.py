@@ -12,24 +12,25 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from spliceloom.llm.common import small_batches, text_bytes, written
-from spliceloom.llm.wordhash import lowered, prefix_hash, slice_hash, word_places
+from spliceloom.llm.common import small_batches, text_bytes, unused, written
+from spliceloom.llm.wordhash import words
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Fixed patterns of the contract.
-_PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-}
+#: Fixed patterns of the contract: email `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`, ip
+#: `[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)`, card and phone as they stand. The first two are found piecewise, as a search
+#: for the whole pattern takes the square of a long run's length.
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -51,21 +52,44 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _valid(kind: str, found: str) -> bool:
-    digits = re.sub("[^0-9]", "", found)
-    if kind == "ip":
-        return all(int(p) <= 255 for p in found.split("."))
-    if kind == "card":
-        return 14 <= len(digits) <= 19 and _luhn(digits)
-    return kind != "phone" or 10 <= len(digits) <= 15
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches: of each @, the run before it back to the last match, if a domain follows."""
+    free = 0  # the end of the last match
+    seen = 0  # after the last @
+    while (at := text.find("@", seen)) >= 0:
+        low = max(free, seen)
+        before = _LOCAL.match(text[low:at][::-1])
+        after = _DOMAIN.match(text, at + 1) if before else None
+        if after:
+            yield at - before.end(), after.end()
+            free = after.end()
+        seen = at + 1
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches: each four parts of a run of numbers with single dots between."""
+    for run in _DOTTED.finditer(text):
+        parts, start = run[0].split("."), run.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = start + sum(map(len, four)) + 3
+            if all(len(x := p.lstrip("0")) < 4 and int(x or 0) <= 255 for p in four):
+                yield start, end
+            start = end + 1
+
+
+def _digits(found: str) -> str:
+    return re.sub("[^0-9]+", "", found)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """Start, end and kind of each pattern's valid matches, by start and then kind."""
-    out = []
-    for kind, pattern in _PATTERNS.items():
-        if (kind != "email" or "@" in text) and (kind != "phone" or "+" in text):
-            out += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if _valid(kind, m[0])]
+    """Start, end and kind of each pattern's valid matches, by start and then kind, in time linear in the text."""
+    out = [(s, e, "email") for s, e in _emails(text)] + [(s, e, "ip") for s, e in _addresses(text)]
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and _luhn(d):
+            out.append((m.start(), m.end(), "card"))
+    if "+" in text:
+        out += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
     return sorted(out, key=_order)
 
 
@@ -75,15 +99,16 @@ def _order(span: tuple[int, int, str]) -> tuple[int, int, int]:
 
 def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the terms of texts, lower-cased, and each text's first term."""
-    data, offsets = text_bytes(texts)
-    starts, ends, bounds = word_places(data, offsets, _GAP)
-    return slice_hash(prefix_hash(lowered(data)), starts, ends), bounds
+    return words(*text_bytes(texts), _GAP)
 
 
 def _without_entities(text: str) -> str:
+    out, at = [], 0
     for start, end, _ in base_spans(text):
-        text = text[:start] + " " * (end - start) + text[end:]
-    return text
+        if end > at:
+            out += [text[at:start], " "]
+            at = end
+    return "".join(out) + text[at:] if out else text
 
 
 def _member(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -190,32 +215,37 @@ def spans_of(text: str, terms: set[int] | frozenset[int]) -> list[tuple[int, int
         return base
     places = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
     found = _hashes(pa.array([w for _, _, w in places], pa.large_string()))[0].view(np.int64)
-    extra = [(s, e, "term") for (s, e, _), h in zip(places, found.tolist()) if h in terms and not any(s < y and x < e for x, y, _ in base)]
+    taken = bytearray(len(text))
+    for x, y, _ in base:
+        taken[x:y] = b"\1" * (y - x)
+    extra = [(s, e, "term") for (s, e, _), h in zip(places, found.tolist()) if h in terms and not any(taken[s:e])]
     return sorted(base + extra, key=_order)
 
 
-def _with_spans(docs: DataFrame, act, schema, key: str = "doc_id") -> DataFrame:
+def _with_spans(docs: DataFrame, act, schema) -> DataFrame:
     """Apply act(batch, spans of each text) to docs, with the terms sent to all tasks, or joined where there are many."""
     terms = written(revealing_terms(docs).select("term").distinct(), "terms")
     few = [r.term for r in terms.limit(SENT + 1).collect()]
     sent = np.sort(np.array(few, np.int64)) if len(few) <= SENT else None
     rows = docs.withColumn("text", F.col("text").cast("string"))
+    key, own_terms = unused(rows, "id"), unused(rows, "terms")
     if sent is None:
-        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in small_batches(batches):
                 found, bounds = _hashes(batch.column("text"))
                 own = np.repeat(np.array(batch.column("id").to_pylist(), object), np.diff(bounds))
                 yield pa.record_batch({"id": pa.array(own, pa.int64()), "term": found.view(np.int64)})
 
-        held = rows.select(F.xxhash64("text").alias("id"), "text").mapInArrow(words, "id long, term long").distinct().join(terms, "term", "left_semi")
-        rows = rows.withColumn("__id", F.xxhash64("text")).join(held.groupBy("id").agg(F.collect_set("term").alias("__terms")).withColumnRenamed("id", "__id"), "__id", "left").drop("__id")
+        held = rows.select(F.xxhash64("text").alias("id"), "text").mapInArrow(each_term, "id long, term long").distinct().join(terms, "term", "left_semi")
+        held = held.groupBy(F.col("id").alias(key)).agg(F.collect_set("term").alias(own_terms))
+        rows = rows.withColumn(key, F.xxhash64("text")).join(held, key, "left").drop(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             if sent is None:
-                own = [frozenset(t or ()) for t in batch.column("__terms").to_pylist()]
-                batch = batch.drop_columns(["__terms"])
+                own = [frozenset(t or ()) for t in batch.column(own_terms).to_pylist()]
+                batch = batch.drop_columns([own_terms])
             elif len(sent):
                 found, bounds = _hashes(batch.column("text"))
                 found = found.view(np.int64)
@@ -238,7 +268,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     Columns: doc_id, n_email, n_ip, n_card, n_phone (base spans of each kind), base_sha256 (of kind:start:end of
     the base spans by start, then kind, comma-joined), spans (all spans, joined likewise, with kind term for
     revealing terms), n_term. Places are code points, the end is exclusive. A null text counts as empty and has no
-    spans; repeated rows are scanned each; other columns are ignored.
+    spans; repeated rows are scanned each, an empty table gives no rows, other columns are ignored.
     """
 
     def act(batch: pa.RecordBatch, texts: list[str], spans: list) -> pa.RecordBatch:
@@ -255,8 +285,15 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets, and n_chars, if there, counted anew."""
-    schema = docs.schema
+    """docs with every span of text replaced by its kind in brackets, and n_chars, if it is a whole number, counted anew.
+
+    Null and empty texts stay as they are, repeated rows are treated alike and an empty table gives no rows. All other
+    columns are kept as they are, n_chars of another type among them; a text of another type becomes a string.
+    """
+    counted = docs.schema["n_chars"].dataType if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, IntegralType) else None
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    if counted is not None:
+        docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
 
     def clean(text: str, spans: list) -> str:
         out, at = [], 0
@@ -269,13 +306,10 @@ def sanitised(docs: DataFrame) -> DataFrame:
     def act(batch: pa.RecordBatch, texts: list[str], spans: list) -> pa.RecordBatch:
         new = [None if old is None else clean(t, s) for old, t, s in zip(batch.column("text").to_pylist(), texts, spans)]
         out = {name: batch.column(name) for name in batch.schema.names} | {"text": pa.array(new, pa.string())}
-        if "n_chars" in out:
+        if counted is not None:
             out["n_chars"] = pa.array([None if n is None else len(n) for n in new], pa.int64())
         return pa.record_batch(out)
 
-    return _with_spans(docs, act, schema)
-
+    out = _with_spans(docs, act, docs.schema)
+    return out if counted is None else out.withColumn("n_chars", F.col("n_chars").cast(counted))
 
-def mutual_information(met: int, n: int, m: int, total: int) -> float:
-    """Bits of pointwise mutual information, as revealing_terms has it."""
-    return log2(met * total / (n * m))

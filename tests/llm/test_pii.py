@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from spliceloom.llm import pii
 
@@ -9,7 +11,7 @@ def brute(text):
     text, out = text or "", []
     rules = [
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda d, s: True),
-        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda d, s: max(map(int, s.split("."))) <= 255),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda d, s: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split("."))),
         ("card", r"[0-9]([\x20-]?[0-9])+", lambda d, s: 14 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda d, s: 10 <= len(d) <= 15),
     ]
@@ -72,3 +74,28 @@ def test_copies_and_distance_leave_a_term_revealing(spark):
     assert all("filler" in clean[i] for i in clean if i >= 200)
     found = {(r.entity, r.met, r.n) for r in pii.revealing_terms(docs).collect()}
     assert ("email:eve@mail.example", 6, 6) in found and ("email:ann@mail.example", 4, 4) in found
+
+
+def test_base_spans_of_random_texts():
+    rng = random.Random(8)
+    for alphabet in ("1.", "1. 2", "a@.", "a@.-1 ", "+1 ()-.", "ab@1.+%é_ -\n"):
+        for _ in range(1500):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
+            assert pii._joined(pii.base_spans(text)) == brute(text), text
+
+
+def test_long_runs_take_linear_time(spark):
+    texts = ["1" * 5000 + ".1.1.1", "7" * 10**6, "a" * 10**6 + " b@c.de", ("a" * 999 + "@") * 1000, "1." * 500_000, "a@b.cd " * 100_000, "+" + "1 " * 500_000, "+1(" * 300_000]
+    begun = time.time()
+    rows = {r.doc_id: r for r in pii.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.time() - begun < 60
+    assert [rows[i].n_email for i in range(8)] == [0, 0, 1, 0, 0, 100_000, 0, 0] and rows[0].n_ip == 0 and rows[4].n_ip == 125_000
+
+
+def test_sanitised_keeps_types_and_clashing_columns(spark, monkeypatch):
+    for kind, value, new in (("int", 6, 7), ("smallint", 6, 7), ("string", "six", "six"), ("double", 6.0, 6.0)):
+        docs = spark.createDataFrame([(1, "a@b.cd", value, 1, "t")], f"doc_id long, text string, n_chars {kind}, id int, terms string")
+        for sent in (100_000, 0):
+            monkeypatch.setattr(pii, "SENT", sent)
+            out = pii.sanitised(docs)
+            assert out.schema == docs.schema and [tuple(r) for r in out.collect()] == [(1, "[EMAIL]", new, 1, "t")]

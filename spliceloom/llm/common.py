@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,15 +10,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once; a longer text is handled alone.
 BATCH_BYTES = 1_000_000
+#: A key is hot if it holds more than one of so many rows, so there are fewer hot keys than this.
+HOT = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -31,6 +37,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(counts: DataFrame, key: str, times: str = "times") -> DataFrame:
+    """The hot keys of counts, a table with a row per key and how many rows hold it: fewer than HOT, whatever its size."""
+    total = counts.agg(F.sum(times)).first()[0] or 0
+    return written(counts.where(F.col(times) > max(total / HOT, 1)).select(key), "hot")
+
+
+def left_join_hot(rows: DataFrame, single: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows left-joined with single, which has one row per key; rows of the hot keys stay where they are.
+
+    The rows of single that belong to hot keys, fewer than HOT, are sent to all tasks; only the rest is shuffled.
+    """
+    hot = F.broadcast(hot)
+    few = F.broadcast(single.join(hot, key, "left_semi"))
+    ahead = rows.join(hot, key, "left_semi").join(few, key, "left")
+    return ahead.unionByName(rows.join(hot, key, "left_anti").join(single, key, "left"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most limit bytes of text, or one row."""
     for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spliceloom.llm.common import small_batches, text_bytes
-from spliceloom.llm.wordhash import lowered, mix, prefix_hash, slice_hash, word_places
+from spliceloom.llm.wordhash import mix, words
 
 #: Share of an item's words that edits may change; walks and sampled positions of each. At the limit a window meets
 #: its item in one of the walks with a probability of 0.95 or more (tests/llm/test_decontaminate.py measures it).
@@ -32,9 +32,7 @@ _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fals
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts (runs of letters, digits and other scripts, lower-cased), and each text's first."""
-    data, offsets = text_bytes(texts)
-    starts, ends, bounds = word_places(data, offsets, _GAP)
-    return slice_hash(prefix_hash(lowered(data)), starts, ends), bounds
+    return words(*text_bytes(texts), _GAP)
 
 
 @lru_cache(maxsize=1024)

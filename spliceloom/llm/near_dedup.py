@@ -1,6 +1,6 @@
 """MinHash near-duplicate removal: banded signatures, verified links, connected components.
 
-Texts with the same set of shingles are one class from the start, so copies never meet in pairs. Classes
+Texts with the same sequence of words are one class from the start, so copies never meet in pairs. Classes
 that share a band are first compared with the least class of that band; the links found join classes
 into components. Texts that share a band across components are then joined on the rare ends of their shingle
 sets (prefix filtering), which misses no link and makes no pairs out of passages that many texts hold.
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceloom.llm.common import small_batches, text_bytes, written
+from spliceloom.llm.common import hot_keys, left_join_hot, small_batches, text_bytes, written
 from spliceloom.llm.components import components
 from spliceloom.llm.wordhash import MinHash, mix, shingles, words
 
@@ -24,12 +24,17 @@ from spliceloom.llm.wordhash import MinHash, mix, shingles, words
 BANDS, ROWS = 35, 5
 #: Signatures of 175 minima, a byte each, estimate similarity within 0.03; pairs this far below the threshold go.
 MARGIN = 0.2
+#: Rows of a shingle that one task meets with all others of it; a commoner shingle is dealt out by salts.
+SALTED = 1000
 
 _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"
 
 
 def signed(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
-    """Per row of docs (doc_id, text): size and digest of its shingle set, band keys and a signature of bytes."""
+    """Per row of docs (doc_id, text): size of its shingle set, digest of its words, band keys and a signature of bytes.
+
+    The digest is BLAKE2 of the lower-cased words with one space between, so equal digests mean equal sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHash(bands * rows, seed)
@@ -41,7 +46,8 @@ def signed(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS, se
             for k in range(rows):
                 keys = mix(keys + minima.reshape(-1, bands, rows)[:, :, k].astype(np.uint64))
             sizes = np.diff(bounds)
-            digests = [hashlib.blake2b(values[s:e].tobytes(), digest_size=16).digest() if e > s else None for s, e in zip(bounds, bounds[1:])]
+            plain = (b" ".join(_words(t)) for t in batch.column("text").to_pylist())
+            digests = [hashlib.blake2b(t, digest_size=16).digest() if t else None for t in plain]
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
@@ -69,8 +75,12 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
 def _word_set(text: str | None, width: int) -> set:
-    found = (text or "").encode().lower().split()
+    found = _words(text)
     return set(zip(*(found[k:] for k in range(width)))) if len(found) >= width else {tuple(found)} if found else set()
 
 
@@ -109,18 +119,21 @@ def prefix_pairs(texts: DataFrame, width: int, percent: int) -> DataFrame:
     texts = texts.select("doc_id", "root", "text", F.xxhash64("text").alias("mark")).dropDuplicates(["doc_id", "mark"])
     sets = texts.mapInArrow(run, "doc_id long, root long, mark long, held array<long>")
     held = written(sets.select("doc_id", "root", "mark", F.size("held").alias("n"), F.explode("held").alias("shingle")), "held")
-    common = held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    common = written(held.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1"), "common")
     order = Window.partitionBy("doc_id", "mark").orderBy(F.coalesce("times", F.lit(1)), "shingle")
-    ranked = held.join(common, "shingle", "left").withColumn("rank", F.row_number().over(order))
+    ranked = left_join_hot(held, common, "shingle", hot_keys(common, "shingle")).withColumn("rank", F.row_number().over(order))
     ahead = ranked.where(f"rank <= n - ceil(n * {int(percent)} / 100) + 1 and times is not null").select("doc_id", "root", "n", "rank", "shingle")
     ahead = written(ahead, "ahead")
-    mixed = ahead.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
-    ahead = ahead.join(mixed, "shingle")
-    left, right = (ahead.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "root", "n", "rank")]) for x in "ab")
+    mixed = ahead.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("times")).where("low != high")
+    mixed = written(mixed.select("shingle", "times"), "mixed")
+    salts = F.ceil(F.col("times") / SALTED).cast("int")
+    ahead = left_join_hot(ahead.join(mixed, "shingle", "left_semi"), mixed, "shingle", hot_keys(mixed, "shingle"))
+    sides = [F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")]
+    left, right = (ahead.select("shingle", side, *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "root", "n", "rank")]) for x, side in zip("ab", sides))
     near = f"root_a != root_b and doc_id_a < doc_id_b and 100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)"
     # where they first meet, what follows must still be enough
     near += f" and (100 + {int(percent)}) * (1 + least(n_a - rank_a, n_b - rank_b)) >= {int(percent)} * (n_a + n_b)"
-    return left.join(right, "shingle").where(near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+    return left.join(right, ["shingle", "salt"]).where(near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -134,8 +147,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     table = written(signed(docs, width, bands, rows), "signed")
-    lead = table.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("lead"))
-    lead = written(lead, "lead")
+    named = table.where("digest is not null and doc_id is not null")
+    lead = written(named.groupBy("digest").agg(F.min("doc_id").alias("lead"), F.count("*").alias("times")), "lead")
     classes = table.join(lead.select("digest", F.col("lead").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     banded = classes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     centre = banded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre != last")
@@ -156,7 +169,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         roots = components(links.unionByName(more), "a", "b")
 
     named = lead.join(roots.withColumnRenamed("node", "lead"), "lead", "left").select("digest", F.coalesce("root", "lead").alias("root"))
-    out = table.join(named, "digest", "left")
+    out = left_join_hot(table, written(named, "roots"), "digest", hot_keys(lead, "digest"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -165,8 +178,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, of one document of each group: the one of least doc_id.
 
-    Of rows with the same doc_id one stays; rows without doc_id all stay.
+    Of rows with the same doc_id one stays, the first by text (null first) and then by the whole row as JSON; rows
+    without doc_id all stay, as do null and empty texts. An empty table gives no rows.
     """
-    gone = near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    found = written(near_duplicates(docs, width, percent).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"), F.min("kept").alias("kept")), "kept")
+    single = docs.join(found.where("kept and times = 1"), "doc_id", "left_semi")
+    row = F.struct(*docs.columns)
+    again = docs.join(found.where("kept and times > 1"), "doc_id", "left_semi").select("doc_id", row.alias("row"), F.struct(F.col("text").cast("string").alias("text"), F.to_json(row)).alias("order"))
+    again = again.groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    return single.unionByName(again).unionByName(docs.where("doc_id is null"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _RNG = np.random.default_rng(20_240_611)
@@ -13,6 +15,9 @@ _LOWER[65:91] += 32
 #: White space of the word rule: space and the control characters 9 to 13.
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Groups of eight bytes up to which a word is hashed along with others, and masks of the first bytes of a group.
+LANES = 32
+_FIRST = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -50,10 +55,27 @@ def slice_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nd
     return mix((prefix[stop] - prefix[start]) * down[start])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (A-Z lower-cased, split at white space) of all texts, and each text's first word."""
-    starts, ends, bounds = word_places(data, offsets)
-    return slice_hash(prefix_hash(_LOWER[data]), starts, ends), bounds
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of data[starts:ends], eight bytes mixed in at a time; longer words than LANES of them by BLAKE2."""
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix(size.astype(np.uint64) + np.uint64(_BASE))
+    some = np.flatnonzero(size <= 8 * LANES)
+    for k in range(LANES):
+        some = some[size[some] > 8 * k]
+        if not len(some):
+            break
+        out[some] = mix(out[some] ^ (lanes[starts[some] + 8 * k] & _FIRST[np.minimum(size[some] - 8 * k, 8)]))
+    for k in np.flatnonzero(size > 8 * LANES).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (A-Z lower-cased, parted at gap) of all texts, and each text's first word."""
+    starts, ends, bounds = word_places(data, offsets, gap)
+    return word_hash(_LOWER[data], starts, ends), bounds
 
 
 def lowered(data: np.ndarray) -> np.ndarray:

@@ -1,7 +1,8 @@
 import random
 
 from spliceloom.llm.components import components
-from spliceloom.llm.near_dedup import near_duplicates
+from spliceloom.llm import common, near_dedup
+from spliceloom.llm.near_dedup import near_duplicates, one_of_each
 
 
 def brute(texts, width, percent):
@@ -54,3 +55,30 @@ def test_components_of_a_long_path_and_a_hub(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(40)] + [(7, 7), (None, 3)]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert found == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 141), 100)}
+
+
+def test_words_that_collide_under_polynomial_hashes_stay_apart(spark):
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one.upper()), (4, " ".join([one] * 9)), (5, " ".join([one] * 7))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(docs, 2).collect()) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 4)]
+
+
+def test_hot_shingles_and_copies_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 20)
+    monkeypatch.setattr(near_dedup, "SALTED", 5)
+    rng = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [passage + " " + " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(1, 14))) for _ in range(60)] + [passage] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, 2, 80).collect())
+    assert got == brute(texts, 2, 80)
+
+
+def test_one_of_each_keeps_the_same_row_of_a_repeated_id(spark):
+    rows = [(1, "b c", "x"), (1, "a b", "z"), (1, "a b", "y"), (2, None, "n"), (2, "q", "m"), (None, "a b", "k"), (None, "a b", "k"), (3, "A  b", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(3)
+    got = [tuple(r) for r in one_of_each(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a b", "y"), (2, None, "n"), (None, "a b", "k"), (None, "a b", "k")], key=str)
+    assert one_of_each(docs.limit(0)).count() == 0

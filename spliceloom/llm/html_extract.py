@@ -1,10 +1,11 @@
 """HTML extraction: the best-scoring run of page tokens, words positive and tags negative.
 
 A page is cut into tags and words. Labelled pages, those that mark their own main part with an article or main
-element, give each kind of token a weight: the log odds of standing inside that part. Words weigh by the element they
-stand in, tags by their name, class and direction. A linear scan finds the contiguous run of greatest sum, in each
-part that a page marks or, where far more scores outside of those (a teaser is marked, the text is not), in the page;
-blocks that are never content are cut out of it and the rest becomes text.
+element, give weights: the log odds of standing inside that part, for words by the block they stand in, for tags by
+their name and for the words of class, id and role. Menus, footers, forms and elements whose class words weigh against
+them are ruled out and score below zero; the fixed list of such words is only a prior that labelled pages outweigh.
+A linear scan finds the contiguous run of greatest sum, in each part that a page marks or, where far more scores
+outside of those (a teaser is marked, the text is not), in the page; what is ruled out is cut from it.
 """
 
 from __future__ import annotations
@@ -26,15 +27,20 @@ from spliceloom.llm.common import small_batches
 SAMPLE = 2000
 #: How many times the score of the marked parts what stands outside must reach for the page to be read as unmarked.
 MARKED = 2.0
+#: What a word weighs more in a part that the page marks.
+IN_PART = 1.5
 
 #: Elements whose content is never text, and elements that are never the article's own.
-_RAW = frozenset("script style template noscript iframe svg canvas object textarea select math head title".split())
+_RAW = frozenset("script style template noscript iframe svg canvas textarea select head title".split())
 _ASIDE = frozenset("nav header footer aside form button dialog menu".split())
-#: Words of class, id and role that mark menus, notices, adverts and reader comments.
-_MARK = re.compile(r"(?<![a-z])(ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|reply|replies|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|widget|complementary|navigation|contentinfo)(?![a-z])")
+#: Words of class, id and role that mark menus, notices, adverts and reader comments, until labelled pages say otherwise.
+_SEED = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|reply|replies|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|widget|complementary|navigation|contentinfo")
 #: Those that also name an article's own pieces: header, and compounds such as side-by-side or market-share.
 _OWN = frozenset("header share side widget".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr nobr".split())
+#: Elements outside that a seed counts as, elements inside and outside that any class word starts with, and the log odds
+#: from which a class word rules its element out.
+SEEDED, PRIOR, AGAINST = 25.0, 5.0, -1.5
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr nobr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that the start of another of the same kind closes.
 _CLOSES = {"p": "p", "li": "li", "td": "td th", "th": "td th", "tr": "tr td th", "dt": "dt dd", "dd": "dt dd", "option": "option"}
@@ -44,33 +50,55 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 
-def _own(mark: re.Match, marks: str) -> bool:
-    """Whether a mark found inside an article names a piece of its own."""
-    joined = marks[mark.start() - 1 : mark.start()] + marks[mark.end() : mark.end() + 1]
-    return mark[1] in _OWN and (mark[1] == "header" or "-" in joined or "_" in joined)
+_WORDS = re.compile("[a-z0-9]+")
+
+
+def class_words(marks: str, inside: bool) -> list[str]:
+    """The words of an element's class, id and role; inside an article without those that name pieces of its own."""
+    out = []
+    for m in _WORDS.finditer(marks):
+        joined = marks[m.start() - 1 : m.start()] + marks[m.end() : m.end() + 1]
+        if not (inside and m[0] in _OWN and (m[0] == "header" or "-" in joined or "_" in joined)):
+            out.append(m[0])
+    return out
+
+
+def against(word: str, weights: dict[str, float]) -> float:
+    """The weight of a class word: what was learned of it, or else what the seeds say."""
+    own = weights.get(f"class:{word}")
+    return own if own is not None else class_odds(word, 0, 0)
+
+
+def class_odds(word: str, inside: int, outside: int) -> float:
+    return log((inside + PRIOR) / (outside + PRIOR + (SEEDED if _SEED.fullmatch(word) else 0.0)))
 
 
 class Piece:
     """A tag or a stretch of text, the element it stands in and whether something around it rules it out."""
 
-    __slots__ = ("kind", "block", "cut", "part", "text", "words")
+    __slots__ = ("kind", "block", "cut", "part", "text", "words", "classes")
 
-    def __init__(self, kind: str, text: str | None, cut: bool, part: int, block: bool):
-        self.kind, self.text, self.cut, self.part, self.block = kind, text, cut, part, block
+    def __init__(self, kind: str, text: str | None, cut: bool, part: int, block: bool, classes: list[str] = ()):
+        self.kind, self.text, self.cut, self.part, self.block, self.classes = kind, text, cut, part, block, classes
         self.words = len(text.split()) if text else 0
 
 
-def pieces(page: str) -> list[Piece]:
-    """The tags and texts of a page in order, with raw elements left out."""
+def pieces(page: str, weights: dict[str, float]) -> list[Piece]:
+    """The tags and texts of a page in order, with raw elements left out; linear in the page."""
     out: list[Piece] = []
     stack: list[tuple[str, bool, str]] = []  # name, ruled out, kind of the words in it
+    opened: dict[str, list[int]] = {}  # where in the stack elements of each name are
+    blocks: list[int] = []  # where elements that aren't inline are
     inside = 0  # depth of article and main elements
 
     def close(depth: int) -> None:
         nonlocal inside
         for name, _, _ in stack[depth:]:
             inside -= name in ("article", "main")
+            opened[name].pop()
         del stack[depth:]
+        while blocks and blocks[-1] >= depth:
+            blocks.pop()
 
     at = 0
     while m := _TOKEN.match(page, at):
@@ -86,13 +114,11 @@ def pieces(page: str) -> list[Piece]:
         name = name.lower()
         block = name not in _INLINE and name not in _RAW
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    cut = stack[k][1]
-                    part = inside
-                    close(k)
-                    out.append(Piece(f"/{name}", None, cut, min(part, inside), block))
-                    break
+            if opened.get(name):
+                k = opened[name][-1]
+                cut, part = stack[k][1], inside
+                close(k)
+                out.append(Piece(f"/{name}", None, cut, min(part, inside), block))
             else:
                 out.append(Piece(f"/{name}", None, bool(stack and stack[-1][1]), inside, block))
             continue
@@ -100,47 +126,56 @@ def pieces(page: str) -> list[Piece]:
             end = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
         closes = _CLOSES.get(name, "").split() or (["p"] if name in _BLOCK_ENDS_P else [])
-        if closes and stack:
-            for k in range(len(stack) - 1, max(len(stack) - 8, -1), -1):
-                if stack[k][0] in closes:
-                    close(k)
-                    break
-                if stack[k][0] not in _INLINE:
-                    break
+        if closes and blocks and stack[blocks[-1]][0] in closes:
+            close(blocks[-1])
         marks = " ".join(x.strip("\"'") for x in _NAMED.findall(m[3] or "")).lower()
-        marked = any(not inside or not _own(m, marks) for m in _MARK.finditer(marks)) and name not in ("body", "html", "article", "main")
+        classes = class_words(marks, inside > 0) if marks and name not in ("body", "html", "article", "main") else []
+        marked = any(against(w, weights) < AGAINST for w in classes)
         heading = name == "header" and inside  # an article's own header holds its heading
         cut = bool(stack and stack[-1][1]) or name in _RAW or (name in _ASIDE and not heading) or marked
-        kind = f"{name}{'!' if marked else ''}"
-        out.append(Piece(kind, None, cut, inside, block))
+        out.append(Piece(name, None, cut, inside, block, classes))
         if name not in _VOID and not (m[0].endswith("/>") and name in _RAW):
             inside += name in ("article", "main")
-            where = stack[-1][2] if name in _INLINE and stack else f"word:{kind}"
+            where = stack[-1][2] if name in _INLINE and stack else f"word:{name}"
+            opened.setdefault(name, []).append(len(stack))
+            if name not in _INLINE:
+                blocks.append(len(stack))
             stack.append((name, cut, where))
     return out
 
 
 def counted(page: str | None) -> Counter:
-    """How many tokens of each kind stand inside (True) and outside the part that a page marks as its main one."""
+    """How many tokens of each kind stand inside (True) and outside the part that a page marks as its main one.
+
+    Class words count once for each element that has them. Other tokens count where the seeds rule nothing out, so
+    that a list item is not held for a menu's because menus are lists.
+    """
     out: Counter = Counter()
-    for x in pieces(page or ""):
-        out[(x.kind, bool(x.part and not x.cut))] += max(x.words, 1)
+    for x in pieces(page or "", {}):
+        for word in set(x.classes):
+            out[(f"class:{word}", bool(x.part))] += 1
+        if not x.cut and x.kind not in ("article", "main", "/article", "/main"):
+            out[(x.kind, bool(x.part))] += max(x.words, 1)
     return out
 
 
 def log_odds(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     """Weights of token kinds from how often each stands inside and outside: smoothed log odds."""
-    all_in, all_out = (sum(x[k] for x in counts.values()) + 1 for k in (0, 1))
-    return {k: log((i + 0.5) / all_in) - log((o + 0.5) / all_out) for k, (i, o) in counts.items()}
+    all_in, all_out = (sum(x[k] for kind, x in counts.items() if not kind.startswith("class:")) + 1 for k in (0, 1))
+    plain = {k: log((i + 0.5) / all_in) - log((o + 0.5) / all_out) for k, (i, o) in counts.items() if not k.startswith("class:")}
+    return plain | {k: class_odds(k[6:], i, o) for k, (i, o) in counts.items() if k.startswith("class:")}
 
 
 def weight(x: Piece, weights: dict[str, float]) -> float:
-    """Words score above zero and tags below, little so inside a marked part; what is ruled out scores below."""
+    """Words score above zero and tags below, by what was learned of their kind, and more so in a part that the page marks.
+
+    Words of kinds that stand outside on labelled pages, and words that are ruled out, score below zero. Kinds that no
+    labelled page has weigh as a word of 1 and a tag of -0.5.
+    """
     own = weights.get(x.kind, 0.0)
-    if x.text is not None:
-        good = 1.0 + min(max(own, -0.5), 2.0)
-        return -0.02 * x.words if x.cut else good * x.words
-    return -min(2.0, max(0.1, 0.5 - own * 0.25)) * (0.01 if x.part or x.cut else 1.0)
+    if x.text is None:
+        return -min(4.0, max(0.1, 0.5 - own * 0.5)) * (0.01 if x.part or x.cut else 1.0)
+    return x.words * (-0.02 if x.cut else 1.0 + min(max(own, -3.0), 2.0) + IN_PART * bool(x.part))
 
 
 def _best_run(found: list[Piece], weights: dict[str, float]) -> tuple[float, list[Piece]]:
@@ -168,7 +203,7 @@ def _runs(found: list[Piece], weights: dict[str, float]) -> list[list[Piece]]:
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The main text of a page: of the best runs, blocks in order with one space between; empty if there is none."""
     blocks = []
-    for run in _runs(pieces(page or ""), weights):
+    for run in _runs(pieces(page or "", weights), weights):
         line: list[str] = []
         for x in run:
             if x.text is None and x.block:
@@ -198,8 +233,8 @@ def extracted(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 yield pa.record_batch({"kind": pa.array([k for k, _ in found], pa.string()), "inside": pa.array([i for _, i in found], pa.bool_()), "n": pa.array(found.values(), pa.int64())})
 
     kinds = marked.join(F.broadcast(ids.distinct()), "page_id").select("html").mapInArrow(count, "kind string, inside boolean, n long")
-    # kinds are element names with a mark; names that a page makes up beyond the commonest weigh nothing
-    rows = kinds.groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum("n").alias("n")).orderBy(F.desc("n"), "kind").limit(1000).collect()
+    # kinds are element names and class words, no more than the sampled pages hold
+    rows = kinds.groupBy("kind").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum("n").alias("n")).collect()
     weights = log_odds({r.kind: (r.i, r.n - r.i) for r in rows})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,9 @@
 import html
 import re
+import time
+from collections import Counter, defaultdict
 
-from spliceloom.llm.html_extract import extracted, log_odds, main_text
+from spliceloom.llm.html_extract import counted, extracted, log_odds, main_text
 
 SF = "/root/testdata/sf0.001"
 CASES = [
@@ -22,16 +24,50 @@ def test_whole_table_against_the_marked_part(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = {r.page_id: r for r in extracted(pages).collect()}
     for r in pages.collect():
-        part = r.html[r.html.find("<article>") + 9 : r.html.find("</article>")]
-        part = re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)[^>]*>", " ", part))
-        assert rows[r.page_id].text == " ".join(html.unescape(part).split())
+        assert rows[r.page_id].text == expected(r.html)
         assert rows[r.page_id].n_chars == len(rows[r.page_id].text) and rows[r.page_id].url == r.url
 
 
+def expected(page):
+    part = page[page.find("<article>") + 9 : page.find("</article>")]
+    part = re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)[^>]*>", " ", part))
+    return " ".join(html.unescape(part).split())
+
+
+def test_learned_weights_decide(spark):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    counts = defaultdict(lambda: [0, 0])
+    for page in pages:
+        for (kind, inside), n in counted(page).items():
+            counts[kind][not inside] += n
+    weights = log_odds(counts)
+    bare = [re.sub("</?article>", "", p) for p in pages]
+    good = 0
+    for page, plain in zip(pages, bare):
+        got, want = Counter(main_text(plain, weights).split()), Counter(expected(page).split())
+        good += 2 * sum((got & want).values()) / max(1, sum(got.values()) + sum(want.values()))
+        assert main_text(page, {k: -v for k, v in weights.items()}) != expected(page)
+    assert good / len(pages) > 0.98
+    # class words are learned too: against the seeds, and beyond them
+    taught = weights | log_odds({"class:related": (500, 0), "class:kiosk": (0, 500)})
+    assert main_text("<article><p>one</p><div class='related'>two</div></article>", taught) == "one two"
+    assert main_text("<article><p>one</p><div class='related'>two</div></article>", weights) == "one"
+    assert main_text("<article><p>one two</p></article><div class='kiosk'>x</div>", taught) == "one two"
+
+
+def test_deep_and_stray_elements_take_linear_time():
+    begun = time.time()
+    assert main_text("<div>" * 50_000 + "x" + "</p>" * 50_000 + "</div>" * 50_000, {}) == "x"
+    assert main_text("<article>" + "<p>a <i>" * 50_000 + "<math><mi>y</mi></math>", {}).split() == ["a"] * 50_000 + ["y"]
+    assert time.time() - begun < 30
+
+
 def test_nulls_repeats_and_empty_table(spark):
     pages = spark.createDataFrame([(i, None, p, 1) for i, (p, _) in enumerate(CASES)] * 2 + [(None, "u", "<p>" * 3000 + "x", 2)], "page_id long, url string, html string, text int")
     rows = extracted(pages).collect()
-    assert len(rows) == 2 * len(CASES) + 1
+    assert len(rows) == 2 * len(CASES) + 1 and all(r.n_chars == len(r.text) for r in rows)
+    assert all(r.text == CASES[r.page_id][1] for r in rows if r.page_id is not None and r.page_id < len(CASES) - 1)
+    assert [r.text for r in rows if r.page_id is None] == ["x"]
     assert extracted(pages.limit(0)).count() == 0
 
 

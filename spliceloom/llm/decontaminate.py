@@ -2,32 +2,42 @@
 
 The CGK random walk reads a sequence of words and, at each step, copies the current word and moves on or stays, by a
 random bit of the word and step. It turns a small edit distance into a small Hamming distance. Each repetition
-walks anew and hashes a few sampled positions of the walk; a window that agrees with an item in any repetition
-is aligned with it exactly, and is a leak if the edit distance is within the limit. Windows are made where enough
-of an item's word grams stand in a document: by the q-gram lemma, all that can be within the limit.
+walks anew and hashes a few sampled positions of the walk. Windows of documents and items meet in Spark, by a join on
+these keys: a window that agrees with an item in any repetition is aligned with it exactly, and is a leak if the
+edit distance is within the limit. Windows start where word grams of the heads of items suggest it: a table of fixed
+size tells at which places in an item, of whatever name, a gram may stand.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from spliceloom.llm.common import small_batches, text_bytes
+from spliceloom.llm.common import hot_keys, left_join_hot, small_batches, text_bytes, unused, written
 from spliceloom.llm.wordhash import mix, words
 
 #: Share of an item's words that edits may change; walks and sampled positions of each. At the limit a window meets
 #: its item in one of the walks with a probability of 0.95 or more (tests/llm/test_decontaminate.py measures it).
 EDITS, WALKS, SAMPLED = 0.2, 60, 3
-#: Items that one pass over the documents looks for; more items take more passes.
-BLOCK = 4_000
+#: Items of like length have windows of one size: each length up to EXACT, then steps of RATIO.
+EXACT, RATIO = 12, 1.2
+#: Bits of a slot number of the head table, which has 8 bytes a slot, and words of an item's head: a bit for each.
+SLOT_BITS, HEAD = 21, 64
+#: Bits of a slot number of the map of leaking texts, a bit a slot: the first three bytes of their hash.
+MAP_BITS = 24
+#: Rows of a window that one task meets with the items alike; a commoner window is dealt out by salts.
+SALTED = 1000
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_BIG = np.int64(1 << 32)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +45,30 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words(*text_bytes(texts), _GAP)
 
 
-@lru_cache(maxsize=1024)
+class Size:
+    """Items of least to most words: windows of least words, edits allowed, words of a gram and grams that must vote."""
+
+    def __init__(self, least: int, edits: float = EDITS):
+        self.least = least
+        self.most = least if least < EXACT else max(least, int(np.ceil(least * RATIO)) - 1)
+        self.limit = int(edits * self.most)
+        head = min(least, HEAD)
+        spoilt = int(np.ceil(edits * self.most * head / least)) if least > HEAD else self.limit
+        # each edit spoils gram grams at most, so so many of the head's grams stand in any leak
+        self.gram = next((q for q in (3, 2) if head - q + 1 - spoilt * q >= 1), 1)
+        self.votes = max(1, head - self.gram + 1 - spoilt * self.gram)
+
+
+@lru_cache(maxsize=4096)
+def size_of(n: int, edits: float = EDITS) -> Size:
+    """The size that items of n words belong to."""
+    size = Size(min(n, EXACT), edits)
+    while size.most < n:
+        size = Size(size.most + 1, edits)
+    return size
+
+
+@lru_cache(maxsize=256)
 def _walks(n: int, walks: int, sampled: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """For sequences of n words: the random value of each step and walk, and which walks sample which steps."""
     rng = np.random.default_rng([seed, n])
@@ -50,7 +83,7 @@ def walk_keys(windows: np.ndarray, walks: int = WALKS, sampled: int = SAMPLED, s
     """A key per window (row of word hashes) and walk: the hash of sampled positions of its CGK embedding."""
     count, n = windows.shape
     salts, wanted = _walks(n, walks, sampled, seed)
-    keys = np.zeros((count, walks), np.uint64)
+    keys = np.repeat(mix(np.arange(walks, dtype=np.uint64) * np.uint64(1 << 20) + np.uint64(n))[None, :], count, 0)
     padded = np.concatenate((windows, np.zeros((count, 1), np.uint64)), axis=1)
     row = np.arange(count)[:, None]
     at = np.zeros((count, walks), np.int64)
@@ -64,141 +97,263 @@ def walk_keys(windows: np.ndarray, walks: int = WALKS, sampled: int = SAMPLED, s
     return keys
 
 
-def within(item: np.ndarray, region: np.ndarray, limit: int) -> tuple[int, int, int] | None:
-    """Least edit distance of item to any stretch of region, with the stretch, if it is within limit."""
-    row = [(0, j) for j in range(len(region) + 1)]
-    for i, word in enumerate(item.tolist()):
-        new = [(i + 1, 0)]
-        for j, other in enumerate(region.tolist()):
-            best = (row[j][0] + (word != other), row[j][1])
-            new.append(min(best, (row[j + 1][0] + 1, row[j + 1][1]), (new[j][0] + 1, new[j][1])))
-        row = new
-    (distance, start), stop = min((x, j) for j, x in enumerate(row))
-    return (distance, start, stop) if distance <= limit else None
-
-
-class Items:
-    """A block of benchmark items with the grams of their words and the keys of their walks."""
-
-    def __init__(self, rows: list[tuple[int, str]], edits: float = EDITS):
-        hashes, bounds = word_hashes(pa.array([t for _, t in rows], pa.large_string()))
-        self.ids = [i for i, _ in rows]
-        self.words = [hashes[s:e] for s, e in zip(bounds, bounds[1:])]
-        self.limits = [int(edits * len(w)) for w in self.words]
-        self.keys = [walk_keys(w[None, :])[0] if len(w) else None for w in self.words]
-        self.least = np.ones(len(rows), np.int64)
-        grams: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for k, (w, limit) in enumerate(zip(self.words, self.limits)):
-            # each edit spoils width grams at most, so so many of the item's grams stand in any leak
-            width = next((q for q in (3, 2) if len(w) - q + 1 - limit * q >= 1), 1)
-            if len(w):
-                self.least[k] = max(1, len(w) - width + 1 - limit * width)
-                grams[width] += [(g, k, o) for o, g in enumerate(_grams(w, width).tolist())]
-        self.grams = {q: (np.array([g for g, _, _ in found], np.uint64), np.array([k for _, k, _ in found]), np.array([o for _, _, o in found])) for q, found in ((q, sorted(x)) for q, x in grams.items())}
-        self.known = {q: np.zeros(1 << 22, bool) for q in self.grams}
-        for q, (g, _, _) in self.grams.items():
-            self.known[q][g >> np.uint64(42)] = True
-
-    def find(self, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """Leaks as text, item, distance, first word and end: the nearest stretch of each text and item."""
-        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        places: dict[tuple[int, int], list[int]] = {}
-        for width, (table, item, offset) in self.grams.items():
-            if len(hashes) < width:
-                continue
-            grams = _grams(hashes, width)
-            hit = np.flatnonzero(self.known[width][grams >> np.uint64(42)] & (text[width - 1 :] == text[: len(grams)]))
-            low, high = (np.searchsorted(table, grams[hit], side=x) for x in ("left", "right"))
-            many = high - low
-            entry = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            at = np.repeat(hit, many)
-            pair, own = np.unique(text[at] * len(self.ids) + item[entry], return_inverse=True)
-            enough = np.bincount(own, minlength=len(pair)) >= self.least[pair % len(self.ids)] if len(pair) else np.zeros(0, bool)
-            start = at - bounds[text[at]] - offset[entry]
-            keep = np.flatnonzero(enough[own]) if len(pair) else np.zeros(0, np.int64)
-            for p, x in zip(own[keep].tolist(), start[keep].tolist()):
-                places.setdefault(divmod(int(pair[p]), len(self.ids)), []).append(x)
-        found = ((t, k, self._nearest(k, hashes[bounds[t] : bounds[t + 1]], starts)) for (t, k), starts in sorted(places.items()))
-        return [(t, k, *best) for t, k, best in found if best]
-
-    def _nearest(self, k: int, own: np.ndarray, places: list[int]) -> tuple[int, int, int] | None:
-        """The nearest stretch to item k, among windows that start at places and meet it in one of the walks."""
-        item, limit = self.words[k], self.limits[k]
-        n = len(item)
-        starts = np.unique(np.clip(np.array(places), 0, max(len(own) - n + limit, 0)))
-        padded = np.concatenate((own, np.zeros(n, np.uint64)))
-        inside = np.concatenate(([0], np.cumsum(np.isin(padded, item))))
-        starts = starts[inside[starts + n] - inside[starts] >= n - limit]
-        best, tried = None, -n
-        for first in range(0, len(starts), 4096):
-            some = starts[first : first + 4096]
-            met = (walk_keys(padded[some[:, None] + np.arange(n)]) == self.keys[k]).any(axis=1)
-            for s in some[met].tolist():
-                if s - tried <= limit // 2:
-                    continue  # a stretch around it was aligned just before
-                tried, low = s, max(0, s - limit)
-                found = within(item, own[low : s + n + 2 * limit], limit)
-                if found and (best is None or found[0] < best[0]):
-                    best = (found[0], low + found[1], low + found[2])
-                if best and best[0] == 0:
-                    return best
-        return best
+def nearest(item: np.ndarray, regions: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least edit distance of item to any stretch of each region, with the stretch: the first that starts first."""
+    longest = max(map(len, regions))
+    table = np.zeros((len(regions), longest), np.uint64)
+    inside = np.zeros((len(regions), longest + 1), bool)
+    for k, x in enumerate(regions):
+        table[k, : len(x)] = x
+        inside[k, : len(x) + 1] = True
+    step = np.arange(longest + 1) * _BIG
+    row = np.broadcast_to(np.arange(longest + 1, dtype=np.int64), inside.shape)  # distance * _BIG + start
+    for i, word in enumerate(item):
+        new = np.full(row.shape, (i + 1) * _BIG)
+        new[:, 1:] = np.minimum(row[:, :-1] + (table != word) * _BIG, row[:, 1:] + _BIG)
+        row = np.minimum.accumulate(new - step, axis=1) + step
+    row = np.where(inside, row, np.iinfo(np.int64).max)
+    stop = row.argmin(axis=1)
+    best = row[np.arange(len(row)), stop]
+    return best // _BIG, best % _BIG, stop
 
 
 def _grams(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of each width consecutive words."""
-    out = hashes[: len(hashes) - width + 1]
+    out = hashes[: max(len(hashes) - width + 1, 0)]
     for k in range(1, width):
         out = mix(out + hashes[k : len(hashes) - width + 1 + k] + np.uint64(k))
+    return mix(out + np.uint64(width))
+
+
+def _slots(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def items_of(benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+    """Items with words: item (a hash of id and text), item_id, size (the least of their Size) and words."""
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            hashes, bounds = word_hashes(batch.column("text"))
+            some = np.flatnonzero(np.diff(bounds)).tolist()
+            own = [hashes[bounds[k] : bounds[k + 1]] for k in some]
+            sizes = pa.array([size_of(len(w), edits).least for w in own], pa.int32())
+            kept = batch.select(["item", "item_id"]).take(pa.array(some, pa.int64()))
+            yield pa.record_batch({"item": kept.column(0), "item_id": kept.column(1), "size": sizes, "words": pa.array([w.tobytes() for w in own], pa.binary())})
+
+    return rows.withColumn("item", F.xxhash64("item_id", "text")).mapInArrow(run, "item long, item_id long, size int, words binary")
+
+
+def _packed(rows: DataFrame, bits: int, kind: str) -> np.ndarray:
+    """A table of 2**bits numbers from rows (slot, value), unset ones 0: its size on the driver doesn't grow with rows."""
+    low = max(bits - 10, 0)
+
+    def block(part: pd.DataFrame) -> pd.DataFrame:
+        values = np.zeros(1 << low, kind)
+        values[part["slot"].to_numpy() & ((1 << low) - 1)] = part["value"].to_numpy().astype(np.int64).view("<u8").astype(kind)
+        return pd.DataFrame({"block": [int(part["slot"].iloc[0]) >> low], "values": [values.tobytes()]})
+
+    found = rows.groupBy("slot").agg(F.bit_or("value").alias("value"))
+    found = found.groupBy(F.shiftright("slot", low).alias("b")).applyInPandas(block, "block int, values binary")
+    out = np.zeros((1 << (bits - low), 1 << low), kind)
+    for r in found.collect():
+        out[r.block] = np.frombuffer(r["values"], kind)
+    return out.reshape(-1)
+
+
+def _heads(items: DataFrame, edits: float) -> np.ndarray:
+    """For each slot of grams, the places in the head of any item at which a gram of the slot stands, as bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, packed in zip(*(batch.column(c).to_pylist() for c in ("size", "words"))):
+                found = _slots(_grams(np.frombuffer(packed, np.uint64)[:HEAD], Size(size, edits).gram))
+                yield pa.record_batch({"slot": found.astype(np.int32), "value": (np.uint64(1) << np.arange(len(found), dtype=np.uint64)).view(np.int64)})
+
+    return _packed(items.select("size", "words").mapInArrow(run, "slot int, value long"), SLOT_BITS, "<u8")
+
+
+def starts(hashes: np.ndarray, bounds: np.ndarray, heads: np.ndarray, sizes: list[Size]) -> list[tuple[Size, np.ndarray]]:
+    """For each size, the words at which enough grams of item heads suggest that an item starts."""
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    low, high = bounds[text], bounds[text + 1]
+    votes = {}
+    for q in {s.gram for s in sizes}:
+        if len(hashes) < q:
+            continue
+        bits = heads[_slots(_grams(hashes, q))]
+        hit = np.flatnonzero((bits != 0) & (text[q - 1 :] == text[: len(bits)]))
+        bits = bits[hit]
+        votes[q] = np.zeros(len(hashes), np.int64)
+        for k in range(HEAD if len(hit) else 0):
+            at = hit[(bits >> np.uint64(k) & np.uint64(1)) == 1]
+            np.add.at(votes[q], np.maximum(at - k, low[at]), 1)
+    out = []
+    for s in sizes:
+        if s.gram not in votes:
+            continue
+        some = np.flatnonzero(votes[s.gram])
+        some = some[some + s.least - s.limit <= high[some]]
+        running = np.concatenate(([0], np.cumsum(votes[s.gram])))
+        near = running[np.minimum(some + s.limit + 1, high[some])] - running[np.maximum(some - s.limit, low[some])]
+        out.append((s, some[near >= s.votes]))
     return out
 
 
+def _windows(docs: DataFrame, heads, sizes: list[Size]) -> DataFrame:
+    """Windows of docs (row, doc_id, text): where each starts, the words around it, and its sizes and hashes."""
+    schema = "row long, doc_id long, mark binary, start int, low int, region binary, own array<struct<size:int,own:long>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            hashes, bounds = word_hashes(batch.column("text"))
+            found: dict[int, list] = {}
+            widest: dict[int, Size] = {}
+            for size, some in starts(hashes, bounds, heads.value, sizes):
+                if not len(some):
+                    continue
+                last = bounds[np.searchsorted(bounds, some, side="right")]
+                value = np.full(len(some), size.least, np.uint64)
+                for k in range(size.least):
+                    word = np.where(some + k < last, hashes[np.minimum(some + k, len(hashes) - 1)], 0)
+                    value = mix(value + word + np.uint64(k))
+                for s, v in zip(some.tolist(), value.view(np.int64).tolist()):
+                    found.setdefault(s, []).append({"size": size.least, "own": v})
+                    widest[s] = size
+            rows = np.searchsorted(bounds, list(found), side="right") - 1 if found else np.zeros(0, np.int64)
+            texts = batch.column("text")
+            marks = {k: mark_of(texts[k].as_py()) for k in np.unique(rows).tolist()}
+            out: dict = {k: [] for k in ("mark", "start", "low", "region", "own")}
+            for s, k in zip(found, rows.tolist()):
+                size, first, last = widest[s], int(bounds[k]), int(bounds[k + 1])
+                low = max(first, s - size.limit)
+                region = hashes[low : min(last, s + size.most + 2 * size.limit)]
+                for name, v in zip(out, (marks[k], s - first, low - first, region.tobytes(), found[s])):
+                    out[name].append(v)
+            kinds = {"mark": pa.binary(), "start": pa.int32(), "low": pa.int32(), "region": pa.binary(), "own": pa.list_(pa.struct({"size": pa.int32(), "own": pa.int64()}))}
+            place = pa.array(rows, pa.int64())
+            yield pa.record_batch({"row": batch.column("row").take(place), "doc_id": batch.column("doc_id").take(place), **{k: pa.array(v, kinds[k]) for k, v in out.items()}})
+
+    return docs.mapInArrow(run, schema)
+
+
+def mark_of(text: str | None) -> bytes:
+    return hashlib.blake2b((text or "").encode(), digest_size=16).digest()
+
+
+def _keyed(rows: DataFrame, name: str) -> DataFrame:
+    """name and key: the keys of the walks of rows (name, size, words), of the first size words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, size = batch.column(name).to_numpy(), batch.column("size").to_numpy()
+            packed = batch.column("words").to_pylist()
+            for n in np.unique(size).tolist():
+                same = np.flatnonzero(size == n)
+                for first in range(0, len(same), 1024):
+                    some = same[first : first + 1024]
+                    table = np.frombuffer(b"".join(packed[k][: 8 * n].ljust(8 * n, b"\0") for k in some.tolist()), np.uint64).reshape(-1, n)
+                    yield pa.record_batch({name: np.repeat(ids[some], WALKS), "key": walk_keys(table).reshape(-1).view(np.int64)})
+
+    return rows.select(name, "size", "words").mapInArrow(run, f"{name} long, key long")
+
+
+def _aligned(pairs: DataFrame, edits: float) -> DataFrame:
+    """Pairs of a region and an item within the item's limit: row, doc_id, mark, item_id, distance, first_word, end_word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups: dict[bytes, list[int]] = {}
+            for k, w in enumerate(batch.column("words").to_pylist()):
+                groups.setdefault(w, []).append(k)
+            low, regions = batch.column("low").to_numpy(), batch.column("region")
+            place, found = [], []
+            for packed, rows in groups.items():
+                item = np.frombuffer(packed, np.uint64)
+                for first in range(0, len(rows), 256):
+                    some = rows[first : first + 256]
+                    distance, begin, stop = nearest(item, [np.frombuffer(regions[k].as_py(), np.uint64) for k in some])
+                    for k, d, b, e in zip(some, distance.tolist(), begin.tolist(), stop.tolist()):
+                        if d <= int(edits * len(item)):
+                            place.append(k)
+                            found.append((d, low[k] + b, low[k] + e))
+            kept = batch.select(["row", "doc_id", "mark", "item_id"]).take(pa.array(place, pa.int64()))
+            numbers = {name: pa.array([f[k] for f in found], pa.int32()) for k, name in enumerate(("distance", "first_word", "end_word"))}
+            yield pa.record_batch({**{c: kept.column(c) for c in kept.schema.names}, **numbers})
+
+    schema = "row long, doc_id long, mark binary, item_id long, distance int, first_word int, end_word int"
+    return pairs.select("row", "doc_id", "mark", "low", "region", "item_id", "words").mapInArrow(run, schema)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, edits: float) -> DataFrame:
+    """row, doc_id, mark (hash of the text), item_id, distance, first_word, end_word: the nearest stretch of each row and item."""
+    spark = docs.sparkSession
+    items = written(items_of(benchmark, edits), "items")
+    # as many sizes as steps of RATIO up to the longest item
+    sizes = [Size(r.size, edits) for r in items.select("size").distinct().orderBy("size").collect()]
+    heads = spark.sparkContext.broadcast(_heads(items, edits))  # of fixed size
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    windows = written(_windows(rows, heads, sizes), "windows")
+
+    each = windows.withColumn("x", F.explode("own")).withColumn("size", F.col("x.size")).withColumn("own", F.col("x.own")).drop("x")
+    content = F.expr("substring(region, 8 * (start - low) + 1, 8 * size)")
+    distinct = each.select("own", "size", content.alias("words")).groupBy("own", "size").agg(F.first("words").alias("words"), F.count("*").alias("times"))
+    distinct = written(distinct, "distinct")
+    alike = _keyed(distinct, "own").join(_keyed(items, "item"), "key").select("own", "item").distinct()
+    alike = written(alike.join(distinct.select("own", "times"), "own"), "alike")
+
+    met = alike.select("own", "times").distinct()
+    some = left_join_hot(each.select("row", "doc_id", "mark", "start", "low", "region", "own"), met, "own", hot_keys(met, "own")).where("times is not null")
+    salts = F.ceil(F.col("times") / SALTED).cast("int")
+    some = some.withColumn("salt", F.pmod(F.xxhash64("row", "start"), salts).cast("int")).drop("times")
+    pairs = some.join(alike.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), ["own", "salt"])
+    pairs = pairs.dropDuplicates(["row", "start", "item"]).join(items.select("item", "item_id", "words"), "item")
+    best = F.min(F.struct("distance", "first_word", "end_word")).alias("best")
+    return _aligned(pairs, edits).groupBy("row", "doc_id", "mark", "item_id").agg(best).select("row", "doc_id", "mark", "item_id", "best.*")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
     """Benchmark items that stand in a document: doc_id, item_id, distance, first_word, end_word.
 
     One row per row of docs (doc_id, text) and item (item_id, text) whose words, in some stretch of the text, are
     at most floor(edits * words of the item) word edits away; the nearest stretch is given, words from 0, the end
     exclusive. Null and empty texts and items hold nothing and match nothing. Repeated documents give their
-    rows each, repeated items count once, an empty table gives no rows and other columns are ignored. Items
-    are taken in blocks of BLOCK, each one pass over docs without a shuffle.
+    rows each, repeated items count once, an empty table gives no rows and other columns are ignored. Texts and items
+    may be of any length; of items over HEAD words the head decides where windows start.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
-    blocks = max(1, -(-items.count() // BLOCK))
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = None
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        found = docs.mapInArrow(_search(Items(sorted(map(tuple, own.collect())), edits)), "doc_id long, item_id long, distance int, first_word int, end_word int")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return _found(docs, benchmark, edits).drop("row", "mark")
 
 
-def _search(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            ids = batch.column("doc_id")
-            found = items.find(*word_hashes(batch.column("text")))
-            numbers = {name: pa.array([f[k] for f in found], pa.int32()) for k, name in ((2, "distance"), (3, "first_word"), (4, "end_word"))}
-            yield pa.record_batch({"doc_id": ids.take(pa.array([f[0] for f in found], pa.int64())), "item_id": pa.array([items.ids[f[1]] for f in found], pa.int64()), **numbers})
-
-    return run
+def decontaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+    """The rows of docs, with all their columns, in whose text no benchmark item stands.
 
+    Null and empty texts stay, repeated rows are treated alike, and an empty table on either side drops nothing. Only
+    rows whose text has the slot of a leaking one in a map of fixed size are moved, to be compared by hash.
+    """
+    found = written(_found(docs, benchmark, edits).groupBy("mark").agg(F.count_distinct("row").alias("times")), "leaking")
+    first = found.select(F.conv(F.substring(F.hex("mark"), 1, 6), 16, 10).cast("int").alias("bit"))
+    slots = first.select(F.shiftright("bit", 6).alias("slot"), F.expr("shiftleft(1L, bit & 63)").alias("value"))
+    known = docs.sparkSession.sparkContext.broadcast(_packed(slots, MAP_BITS - 6, "<u8"))  # of fixed size
+    mark = unused(docs, "mark")
+    kept = docs.mapInArrow(_split(known, None), docs.schema)
+    hits = docs.mapInArrow(_split(known, mark), StructType([*docs.schema.fields, StructField(mark, BinaryType())]))
+    found = found.withColumnRenamed("mark", mark)
+    hits = hits.join(F.broadcast(hot_keys(found, mark)), mark, "left_anti").join(found, mark, "left_anti")
+    return kept.unionByName(hits.select(docs.columns))
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
-    """The rows of docs, with all their columns, in whose text no benchmark item stands."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
-    blocks = max(1, -(-items.count() // BLOCK))
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        docs = docs.mapInArrow(_clean(Items(sorted(map(tuple, own.collect())), edits)), docs.schema)
-    return docs
 
+def _split(known, name: str | None):
+    """The rows whose text has no slot of the map or, where name is given, those that have, with the text's mark."""
 
-def _clean(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            keep = np.ones(batch.num_rows, bool)
-            keep[[f[0] for f in items.find(*word_hashes(batch.column("text")))]] = False
-            yield batch.filter(pa.array(keep))
+            marks = [mark_of(t) for t in batch.column("text").cast(pa.string()).to_pylist()]
+            slot = np.array([int.from_bytes(m[: MAP_BITS // 8], "big") for m in marks], np.int64)
+            hit = (known.value[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)) == 1
+            if name is None:
+                yield batch.filter(pa.array(~hit))
+            elif hit.any():
+                yield batch.append_column(name, pa.array(marks, pa.binary())).filter(pa.array(hit))
 
     return run

@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from spliceloom.llm.decontaminate import EDITS, Items, decontaminated, leaks, walk_keys, within, word_hashes
+from spliceloom.llm import common, decontaminate
+from spliceloom.llm.decontaminate import EDITS, decontaminated, leaks, nearest, word_hashes
 
 RNG = random.Random(5)
 VOCABULARY = [f"w{k}" for k in range(3000)]
@@ -23,27 +25,48 @@ def edited(words, edits):
     return out
 
 
-def test_recall_at_the_limit_and_no_false_leaks():
-    items = [(k, " ".join(RNG.choices(VOCABULARY, k=RNG.randrange(8, 60)))) for k in range(60)]
-    index = Items(items)
-    planted = hit = 0
+def test_recall_at_the_limit_and_no_false_leaks(spark):
+    items = [(k, " ".join(RNG.choices(VOCABULARY, k=RNG.randrange(8, 60)))) for k in range(60)] + [(100, " ".join(RNG.choices(VOCABULARY, k=150)))]
+    docs, planted = [], set()
     for k, text in items:
         words = text.split()
         for _ in range(8):
             noise = [" ".join(RNG.choices(VOCABULARY, k=RNG.randrange(200))) for _ in range(2)]
-            doc = f"{noise[0]} {' '.join(edited(words, int(EDITS * len(words))))} {noise[1]}"
-            planted += 1
-            hit += k in {items[f[1]][0] for f in index.find(*word_hashes(pa.array([doc])))}
-    assert hit / planted >= 0.95
-    plain = [" ".join(RNG.choices(VOCABULARY, k=400)) for _ in range(50)]
-    assert not index.find(*word_hashes(pa.array(plain)))
+            planted.add((len(docs), k))
+            docs.append(f"{noise[0]} {' '.join(edited(words, int(EDITS * len(words))))} {noise[1]}")
+    docs += [" ".join(RNG.choices(VOCABULARY, k=400)) for _ in range(50)]
+    docs, bench = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()}
+    assert len(found & planted) >= 0.95 * len(planted)
+    assert found <= planted
 
 
-def test_within_is_the_edit_distance_to_a_stretch():
-    item, region = np.array([1, 2, 3, 4, 5]), np.array([9, 9, 1, 2, 7, 4, 5, 9])
-    assert within(item, region, 1) == (1, 2, 7)
-    assert within(item, region, 0) is None
-    assert walk_keys(np.array([[1, 2, 3]], np.uint64)).tolist() == walk_keys(np.array([[1, 2, 3]], np.uint64)).tolist()
+def test_candidates_come_from_the_walks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x y " + " ".join(VOCABULARY[:20]) + " z")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(VOCABULARY[:20]))], "item_id long, text string")
+    assert leaks(docs, bench).count() == 1
+    monkeypatch.setattr(decontaminate, "_keyed", lambda rows, name: rows.select(name, F.lit(None).cast("long").alias("key")))
+    assert leaks(docs, bench).count() == 0
+
+
+def test_nearest_is_the_edit_distance_to_a_stretch():
+    rng = random.Random(2)
+    for _ in range(300):
+        item, *regions = (np.array([rng.randrange(1, 5) for _ in range(rng.randrange(low, 9))], np.uint64) for low in (1, 0, 1, 1))
+        got = list(zip(*(x.tolist() for x in nearest(item, regions))))
+        assert got == [within(item, r) for r in regions]
+
+
+def within(item, region):
+    """Least edit distance to a stretch, with the stretch, cell by cell."""
+    row = [(0, j) for j in range(len(region) + 1)]
+    for i, word in enumerate(item.tolist()):
+        new = [(i + 1, 0)]
+        for j, other in enumerate(region.tolist()):
+            new.append(min((row[j][0] + (word != other), row[j][1]), (row[j + 1][0] + 1, row[j + 1][1]), (new[j][0] + 1, new[j][1])))
+        row = new
+    (distance, start), stop = min((x, j) for j, x in enumerate(row))
+    return distance, start, stop
 
 
 def test_against_brute_force_on_the_small_tables(spark):
@@ -56,7 +79,7 @@ def test_against_brute_force_on_the_small_tables(spark):
         present = set(own.tolist())
         for k, w in items.items():
             limit = int(EDITS * len(w))
-            if len(w) and sum(x in present for x in w.tolist()) >= len(w) - limit and within(w, own, limit):
+            if len(w) and sum(x in present for x in w.tolist()) >= len(w) - limit and within(w, own)[0] <= limit:
                 expected.add((r.doc_id, k))
     got = {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()}
     assert got == expected and expected
@@ -70,3 +93,16 @@ def test_edge_cases(spark):
     bench = spark.createDataFrame([(7, "a b c d e f g h i j"), (7, "a b c d e f g h i j"), (8, None), (9, "")], "item_id long, text string")
     assert sorted((r.doc_id or 0, r.item_id, r.distance) for r in leaks(docs, bench).collect()) == [(0, 7, 0), (3, 7, 0), (3, 7, 0)]
     assert leaks(docs.limit(0), bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_hot_passages_clashing_columns_and_types(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 3)
+    monkeypatch.setattr(decontaminate, "SALTED", 4)
+    item = " ".join(VOCABULARY[:12])
+    rows = [(k, f"lead {k} {item} tail {k}", k, "m") for k in range(30)] + [(100 + k, item, k, "m") for k in range(20)] + [(200 + k, f"nothing {k}", k, "m") for k in range(5)] + [(300, None, 1, "m"), (301, "", 1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, mark string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.distance) for r in leaks(docs, bench).collect()) == [(k, 0) for k in range(30)] + [(100 + k, 0) for k in range(20)]
+    out = decontaminated(docs, bench)
+    assert out.schema == docs.schema and sorted(tuple(r) for r in out.collect() if r.doc_id < 300) == rows[50:55] and out.count() == 7
+    assert decontaminated(docs, bench.limit(0)).count() == len(rows)

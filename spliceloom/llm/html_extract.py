@@ -3,7 +3,8 @@
 A page is cut into tags and words. Labelled pages, those that mark their own main part with an article or main
 element, give weights: the log odds of standing inside that part, for words by the block they stand in, for tags by
 their name and for the words of class, id and role. Menus, footers, forms and elements whose class words weigh against
-them are ruled out and score below zero; the fixed list of such words is only a prior that labelled pages outweigh.
+them are ruled out and score below zero: those of words that labelled pages have outside, and of a fixed list, as
+articles hold adverts and comments too, which their marks can't teach.
 A linear scan finds the contiguous run of greatest sum, in each part that a page marks or, where far more scores
 outside of those (a teaser is marked, the text is not), in the page; what is ruled out is cut from it.
 """
@@ -33,13 +34,12 @@ IN_PART = 1.5
 #: Elements whose content is never text, and elements that are never the article's own.
 _RAW = frozenset("script style template noscript iframe svg canvas textarea select head title".split())
 _ASIDE = frozenset("nav header footer aside form button dialog menu".split())
-#: Words of class, id and role that mark menus, notices, adverts and reader comments, until labelled pages say otherwise.
+#: Words of class, id and role that mark menus, notices, adverts and reader comments, wherever they stand.
 _SEED = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|reply|replies|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|widget|complementary|navigation|contentinfo")
 #: Those that also name an article's own pieces: header, and compounds such as side-by-side or market-share.
 _OWN = frozenset("header share side widget".split())
-#: Elements outside that a seed counts as, elements inside and outside that any class word starts with, and the log odds
-#: from which a class word rules its element out.
-SEEDED, PRIOR, AGAINST = 25.0, 5.0, -1.5
+#: Elements inside and outside that a class word starts with, and the log odds below which it rules its element out.
+PRIOR, AGAINST = 5.0, -1.5
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr nobr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that the start of another of the same kind closes.
@@ -64,13 +64,12 @@ def class_words(marks: str, inside: bool) -> list[str]:
 
 
 def against(word: str, weights: dict[str, float]) -> float:
-    """The weight of a class word: what was learned of it, or else what the seeds say."""
-    own = weights.get(f"class:{word}")
-    return own if own is not None else class_odds(word, 0, 0)
+    """The weight of a class word: far below zero for the fixed ones, else what was learned of it."""
+    return -9.0 if _SEED.fullmatch(word) else weights.get(f"class:{word}", 0.0)
 
 
-def class_odds(word: str, inside: int, outside: int) -> float:
-    return log((inside + PRIOR) / (outside + PRIOR + (SEEDED if _SEED.fullmatch(word) else 0.0)))
+def class_odds(inside: int, outside: int) -> float:
+    return log((inside + PRIOR) / (outside + PRIOR))
 
 
 class Piece:
@@ -147,7 +146,7 @@ def pieces(page: str, weights: dict[str, float]) -> list[Piece]:
 def counted(page: str | None) -> Counter:
     """How many tokens of each kind stand inside (True) and outside the part that a page marks as its main one.
 
-    Class words count once for each element that has them. Other tokens count where the seeds rule nothing out, so
+    Class words count once for each element that has them. Other tokens count where nothing fixed rules them out, so
     that a list item is not held for a menu's because menus are lists.
     """
     out: Counter = Counter()
@@ -163,7 +162,7 @@ def log_odds(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     """Weights of token kinds from how often each stands inside and outside: smoothed log odds."""
     all_in, all_out = (sum(x[k] for kind, x in counts.items() if not kind.startswith("class:")) + 1 for k in (0, 1))
     plain = {k: log((i + 0.5) / all_in) - log((o + 0.5) / all_out) for k, (i, o) in counts.items() if not k.startswith("class:")}
-    return plain | {k: class_odds(k[6:], i, o) for k, (i, o) in counts.items() if k.startswith("class:")}
+    return plain | {k: class_odds(i, o) for k, (i, o) in counts.items() if k.startswith("class:")}
 
 
 def weight(x: Piece, weights: dict[str, float]) -> float:

@@ -48,11 +48,10 @@ def test_learned_weights_decide(spark):
         good += 2 * sum((got & want).values()) / max(1, sum(got.values()) + sum(want.values()))
         assert main_text(page, {k: -v for k, v in weights.items()}) != expected(page)
     assert good / len(pages) > 0.98
-    # class words are learned too: against the seeds, and beyond them
-    taught = weights | log_odds({"class:related": (500, 0), "class:kiosk": (0, 500)})
-    assert main_text("<article><p>one</p><div class='related'>two</div></article>", taught) == "one two"
-    assert main_text("<article><p>one</p><div class='related'>two</div></article>", weights) == "one"
-    assert main_text("<article><p>one two</p></article><div class='kiosk'>x</div>", taught) == "one two"
+    # class words are learned too
+    taught = weights | log_odds({"class:kiosk": (0, 500), "class:box": (300, 200)})
+    page = "<p>one two three</p><div class='kiosk'>four five six</div><div class='box'><p>seven</p></div>"
+    assert main_text(page, taught) == "one two three seven" and main_text(page, weights) == "one two three four five six seven"
 
 
 def test_deep_and_stray_elements_take_linear_time():

@@ -1,11 +1,16 @@
 """Removal of repeated byte strings by prefix-free parsing over partitions.
 
 A rolling hash of TRIGGER bytes runs over each document. The least hash of every window of LENGTH bytes is its
-trigger; the windows of one trigger form a phrase, from the first window's start to the last one's end, so phrases
-overlap and none is the start of another with the same trigger place. Equal windows have equal triggers at the
-same place. The parse, one row of numbers per phrase, is dealt out by trigger and sorted into corpus order there:
-phrases that came before are repeats as a whole. Only where a trigger stands in different phrases do the phrases'
-own bytes follow, and the suffixes of this part of the dictionary are sorted the same way, window by window.
+trigger; the windows of one trigger form a phrase, from the first window's start to the last one's end, so none is the
+start of another with the same trigger place. Equal windows have equal triggers at the same place. Phrases overlap by
+LENGTH - 1 bytes, so that no match of LENGTH bytes runs from one into the next: suffixes of the parse need no comparing
+beyond their first phrase.
+
+The parse, one row of numbers per phrase, is dealt out by trigger; its suffix array, rows by phrase and then by corpus
+place, tells which phrases came before and are repeats as a whole. Only where a trigger stands in different phrases do the
+phrases' own bytes follow, as the dictionary of the part. The suffix array of the dictionary, by prefix doubling up to
+LENGTH bytes, ranks its windows byte by byte, and with the places of the parse gives the corpus order in which
+every window but the first of a rank is a repeat.
 """
 
 from __future__ import annotations
@@ -38,8 +43,9 @@ def _windowed_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, trigger: int = TRIGGER) -> dict[str, np.ndarray]:
-    """The phrases of texts: text, start (of the first window, in the text), count (of windows), trigger and content hash."""
-    empty = {k: np.zeros(0, np.uint64 if k in ("trigger", "content") else np.int64) for k in ("text", "start", "count", "trigger", "content")}
+    """The phrases of texts: text, start (of the first window, in the text), count (of windows), trigger, and BLAKE2 of
+    the bytes and the trigger's place, as two numbers."""
+    empty = {k: np.zeros(0, np.uint64 if k in ("trigger", "content", "more") else np.int64) for k in ("text", "start", "count", "trigger", "content", "more")}
     if len(data) < length:
         return empty
     prefix = prefix_hash(data)
@@ -59,10 +65,11 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, trigger
     lead = np.flatnonzero(new)
     count = np.diff(np.append(lead, len(first)))
     start, own, at = first[lead], text[lead], where[lead]
-    content = mix(slice_hash(prefix, start, start + count + length - 1) + (at - start).astype(np.uint64))
-    return {"text": own, "start": start - offsets[own], "count": count, "trigger": rolled[at], "content": content}
-
-
+    raw, digest = data.tobytes(), hashlib.blake2b
+    stop = start + count + length - 1
+    content = b"".join([digest(raw[s:e], digest_size=16, salt=k.to_bytes(4, "little")).digest() for s, e, k in zip(start.tolist(), stop.tolist(), (at - start).tolist())])
+    content = np.frombuffer(content, np.uint64).reshape(-1, 2)
+    return {"text": own, "start": start - offsets[own], "count": count, "trigger": rolled[at], "content": content[:, 0], "more": content[:, 1]}
 
 
 def _parse(docs: DataFrame, parts: int, length: int) -> DataFrame:
@@ -78,23 +85,23 @@ def _parse(docs: DataFrame, parts: int, length: int) -> DataFrame:
             doc = np.array(batch.column("doc_id").to_pylist(), np.int64)
             mark = np.array(batch.column("mark").to_pylist(), np.int64)
             own = found["text"]
-            order = np.lexsort((found["start"], doc[own], found["content"], found["trigger"]))
-            own, start, count, trigger, content = own[order], *(found[k][order] for k in ("start", "count", "trigger", "content"))
-            again = _after_first((trigger, content), (doc[own], start))
+            order = np.lexsort((found["start"], doc[own], found["more"], found["content"]))
+            own, start, count, trigger, content, more = own[order], *(found[k][order] for k in ("start", "count", "trigger", "content", "more"))
+            again = _after_first((content, more), (doc[own], start))
             part = (mix(np.where(again, doc[own].view(np.uint64) + start.astype(np.uint64), trigger)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            out = {k: [] for k in ("part", "docs", "marks", "own", "start", "count", "trigger", "content", "again")}
+            out = {k: [] for k in ("part", "docs", "marks", "own", "start", "count", "trigger", "content", "more", "again")}
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 some = order[cuts[p] : cuts[p + 1]]
                 used, local = np.unique(own[some], return_inverse=True)
-                values = {"docs": doc[used], "marks": mark[used], "own": local.astype(np.uint32), "start": start[some].astype(np.uint32), "count": count[some].astype(np.uint16), "trigger": trigger[some], "content": content[some], "again": again[some]}
+                values = {"docs": doc[used], "marks": mark[used], "own": local.astype(np.uint32), "start": start[some].astype(np.uint32), "count": count[some].astype(np.uint16), "trigger": trigger[some], "content": content[some], "more": more[some], "again": again[some]}
                 out["part"].append(p)
                 for k, v in values.items():
                     out[k].append(v.tobytes())
             yield pa.record_batch({k: pa.array(v, pa.int32() if k == "part" else pa.binary()) for k, v in out.items()})
 
-    schema = "part int, docs binary, marks binary, own binary, start binary, count binary, trigger binary, content binary, again binary"
+    schema = "part int, docs binary, marks binary, own binary, start binary, count binary, trigger binary, content binary, more binary, again binary"
     return docs.mapInArrow(run, schema)
 
 
@@ -117,15 +124,16 @@ def _sorted_parse(rows: pd.DataFrame) -> pd.DataFrame:
     own = read("own", np.uint32)
     doc = np.concatenate([d[o] for d, o in zip(read("docs", np.int64), own)])
     mark = np.concatenate([d[o] for d, o in zip(read("marks", np.int64), own)])
-    start, count, trigger, content, again = (np.concatenate(read(c, k)) for c, k in (("start", np.uint32), ("count", np.uint16), ("trigger", np.uint64), ("content", np.uint64), ("again", bool)))
-    order = np.lexsort((start, doc, content, trigger))
-    doc, mark, start, count, trigger, content, again = (x[order] for x in (doc, mark, start, count, trigger, content, again))
-    repeat = _after_first((trigger, content), (doc, start)) | again
+    kinds = {"start": np.uint32, "count": np.uint16, "trigger": np.uint64, "content": np.uint64, "more": np.uint64, "again": bool}
+    start, count, trigger, content, more, again = (np.concatenate(read(c, k)) for c, k in kinds.items())
+    order = np.lexsort((start, doc, more, content, trigger))
+    doc, mark, start, count, trigger, content, more, again = (x[order] for x in (doc, mark, start, count, trigger, content, more, again))
+    repeat = _after_first((content, more), (doc, start)) | again
     new = np.ones(len(doc), bool)
     new[1:] = trigger[1:] != trigger[:-1]
     group = np.cumsum(new) - 1
     changes = np.zeros(len(doc), bool)
-    changes[1:] = (content[1:] != content[:-1]) & ~new[1:]
+    changes[1:] = ((content[1:] != content[:-1]) | (more[1:] != more[:-1])) & ~new[1:]
     several = np.bincount(group, changes, group[-1] + 1 if len(group) else 0) > 0
     keep = repeat | several[group]
     out = {"doc_id": doc, "mark": mark, "start": start.astype(np.int64), "count": count.astype(np.int32), "trigger": trigger.view(np.int64), "edge": ~repeat}
@@ -160,20 +168,41 @@ def _edge_phrases(texts: DataFrame, edges: DataFrame, parts: int, length: int) -
     return texts.join(lists, ["doc_id", "mark"]).select("doc_id", "mark", "packed", "own").mapInArrow(run, schema)
 
 
+def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
+    """Rank of each suffix of data among all by its first depth bytes, equal for equal ones; 0 bytes follow the end.
+
+    Eight bytes are ranked at once; then ranks of prefixes are doubled, the last time with as much overlap as needed.
+    """
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    span = min(8, depth)
+    keys = np.zeros(len(data), np.uint64)
+    for k in range(span):
+        keys = keys << np.uint64(8) | padded[k : k + len(data)]
+    while True:
+        _, ranks = np.unique(keys, return_inverse=True)
+        if span >= depth or not len(data):
+            return ranks
+        step = min(span, depth - span)
+        ahead = np.zeros(len(data), np.uint64)
+        ahead[: max(len(data) - step, 0)] = ranks[step:].astype(np.uint64) + np.uint64(1)
+        keys = ranks.astype(np.uint64) << np.uint64(32) | ahead
+        span += step
+
+
 def _sorted_windows(length: int):
-    """The windows of the edge phrases of a part in order: those that came before, as stretches of window starts."""
+    """The windows of the part's dictionary in corpus order: those that came before, as stretches of window starts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         data, offsets = text_bytes(pa.array(rows["phrase"], pa.binary()))
         count = np.diff(offsets) - length + 1
         own = np.repeat(np.arange(len(rows)), count)
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        window = slice_hash(prefix_hash(data), offsets[own] + at, offsets[own] + at + length)
-        trigger, doc, mark, start = (rows[c].to_numpy()[own] for c in ("trigger", "doc_id", "mark", "start"))
+        window = suffix_ranks(data, length)[offsets[own] + at]
+        doc, mark, start = (rows[c].to_numpy()[own] for c in ("doc_id", "mark", "start"))
         start = start + at
-        order = np.lexsort((start, doc, window, trigger))
+        order = np.lexsort((start, doc, window))
         repeat = np.zeros(len(order), bool)
-        repeat[order] = _after_first((trigger[order], window[order]), (doc[order], start[order]))
+        repeat[order] = _after_first((window[order],), (doc[order], start[order]))
         hit = np.flatnonzero(repeat)
         new = np.ones(len(hit), bool)
         new[1:] = (np.diff(hit) > 1) | (own[hit][1:] != own[hit][:-1])

@@ -41,6 +41,8 @@ class SegmentTreeBPE:
 
     #: Symbols of trees that advance together, and words that are kept for later batches.
     ROOM, KEEP = 1 << 19, 400_000
+    #: Symbols from which few words of one width are merged one by one.
+    LONG = 64
 
     def __init__(self, path: str):
         import regex
@@ -59,6 +61,7 @@ class SegmentTreeBPE:
         keys = np.array([vocab[a] << 20 | vocab[b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
+        self.pairs: dict[int, int] = {}
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(_SUFFIXES + r"|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -129,6 +132,52 @@ class SegmentTreeBPE:
                 rank = self._rank(symbols[own, b], symbols[own, i[lead]])
                 self._update(tree, own, b, np.where(rank < _NONE, rank * width + b, _NONE), width)
 
+    def _merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Merge one long word, with a tree in lists; an update stops where a node keeps its value."""
+        n, width = len(symbols), 1 << max(len(symbols) - 1, 1).bit_length()
+        rank = self._rank(symbols[:-1], symbols[1:])
+        level = np.full(width, _NONE, np.int64)
+        level[: n - 1] = np.where(rank < _NONE, rank * width + np.arange(n - 1), _NONE)
+        levels = [level]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        tree = [_NONE, *np.concatenate(levels[::-1]).tolist()]
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        pairs, made, own = self.pairs, self.made, symbols.tolist()
+        following, previous = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def update(leaf: int, value: int) -> None:
+            node = leaf + width
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                left, right = tree[2 * node], tree[2 * node + 1]
+                least = left if left < right else right
+                if tree[node] == least:
+                    break
+                tree[node] = least
+
+        def leaf_value(i: int, j: int) -> int:
+            found = pairs.get(own[i] << 20 | own[j])
+            return _NONE if found is None else found * width + i
+
+        while (root := tree[1]) < _NONE:
+            i = root % width
+            gone = following[i]
+            after = following[gone]
+            own[i], own[gone] = int(made[root // width]), -1
+            following[i] = after
+            if after < n:
+                previous[after] = i
+                update(i, leaf_value(i, after))
+            else:
+                update(i, _NONE)
+            update(gone, _NONE)
+            if (before := previous[i]) >= 0:
+                update(before, leaf_value(before, i))
+        return np.array([x for x in own if x >= 0], np.int64)
+
     @staticmethod
     def _update(tree: np.ndarray, row: np.ndarray, leaf: np.ndarray, value: np.ndarray, width: int) -> None:
         node = leaf + width
@@ -148,6 +197,12 @@ class SegmentTreeBPE:
         widths = 1 << np.ceil(np.log2(np.maximum(lengths, 2))).astype(int)
         for width in np.unique(widths):
             same = np.flatnonzero((widths == width) & (lengths > 0))
+            if width >= self.LONG and len(same) * self.LONG < width:
+                for k in same:
+                    symbols = self.inner[np.frombuffer(raw[k], np.uint8)]
+                    symbols[-1] = self.last[raw[k][-1]]
+                    ids[k] = self._merge_long(symbols)
+                continue
             step = max(1, self.ROOM // int(width))
             for start in range(0, len(same), step):
                 some = same[start : start + step]

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import public_tokenizers
 import pytest
@@ -56,3 +58,13 @@ def test_nulls_repeats_and_other_columns(spark):
     assert [(r.doc_id, len(r.ids), r.decoded) for r in rows] == [(1, 0, ""), (1, 0, ""), (2, 0, ""), (None, 2, "word</w> word</w>")]
     assert decoded(encoded(docs, PATH), PATH).where("decoded like 'word%'").count() == 1
     assert encoded(docs.limit(0), PATH).count() == 0
+
+
+def test_long_words_take_seconds(own, library):
+    rng = random.Random(3)
+    begun = time.time()
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (60, 64, 65, 1000, 4097, 200_000)] + ["ab" * 50_000, "é" * 3000]
+    ids, _ = own.encode(words)
+    assert time.time() - begun < 60
+    for text, x in zip(words, ids):
+        assert x.tolist() == library.encode(text, add_special_tokens=False).ids

@@ -136,7 +136,7 @@ def prefix_pairs(texts: DataFrame, width: int, percent: int) -> DataFrame:
     return left.join(right, ["shingle", "salt"]).where(near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
     """Classes of near-duplicate texts: doc_id, n_shingles, component_id, kept, one row per row of docs.
 
     docs needs doc_id and text; other columns are ignored. Two texts are linked when their shingle sets
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     has component_id null and is kept.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    table = written(signed(docs, width, bands, rows), "signed")
+    table = written(signed(docs, width, bands, rows, seed), "signed")
     named = table.where("digest is not null and doc_id is not null")
     lead = written(named.groupBy("digest").agg(F.min("doc_id").alias("lead"), F.count("*").alias("times")), "lead")
     classes = table.join(lead.select("digest", F.col("lead").alias("doc_id")), ["digest", "doc_id"], "left_semi")

@@ -1,12 +1,17 @@
 """DuckDB SQL twins of the queries; each constant is named after its query."""
 
-OP6_NEAR_DEDUP_SQL = r"""
+
+
+def _classes_sql(width: int, result: str) -> str:
+    """Components of documents whose sets of width words share 80 percent of their union."""
+    shingle = " || ' ' || ".join(f"ws[i + {k}]" if k else "ws[i]" for k in range(width))
+    return rf"""
 WITH RECURSIVE split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
   FROM documents
 ), sets AS (
-  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
-    ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {width} THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - {width - 2}), lambda i: {shingle})) END AS sh
   FROM split
 ), parts AS (
   SELECT doc_id, len(sh) AS n, unnest(sh) AS s FROM sets
@@ -18,11 +23,14 @@ WITH RECURSIVE split AS (
   SELECT doc_id AS node, doc_id AS seen FROM documents
   UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.seen = links.a
 ), roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY node)
-SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, root AS component_id, doc_id = root AS kept
-FROM sets JOIN roots ON doc_id = node
+{result}
 """
 
 
+OP6_NEAR_DEDUP_SQL = _classes_sql(2, "SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, root AS component_id, doc_id = root AS kept FROM sets JOIN roots ON doc_id = node")
+FINGERPRINT_CLASSES_SQL = _classes_sql(5, "SELECT node AS doc_id, root AS class_id FROM roots")
+
+
 def _license_sql() -> str:
     from spliceloom.llm.license_scan import BASE, REACH, rules
 

@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from spliceloom.llm import pii, quality, toxicity
 from spliceloom.llm.bpe import encoded
 from spliceloom.llm.decontaminate import leaks
-from spliceloom.llm.fingerprint import edited_fingerprints
+from spliceloom.llm.fingerprint import alike_documents, edited_fingerprints
 from spliceloom.llm.html_extract import extracted
 from spliceloom.llm.license_scan import scanned
 from spliceloom.llm.near_dedup import near_duplicates
-
 from spliceloom.llm.repeats import deduplicated
 
 
@@ -31,6 +30,11 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 1: bands of the fingerprints' minima joined, and verified."""
+    return alike_documents(_read(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -68,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint, op2_quality, op3_repeats, op4_pii, op5_decontaminate, op6_near_dedup, op7_html_extract, op8_bpe, op9_license_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_fingerprint, fingerprint_classes, op2_quality, op3_repeats, op4_pii, op5_decontaminate, op6_near_dedup, op7_html_extract, op8_bpe, op9_license_scan, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -90,12 +90,16 @@ class BradleyTerry:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int, limit: int) -> DataFrame:
-    """At most limit labelled texts, by a hash of doc_id, of those whose crc32(doc_id) mod folds is not out."""
+    """At most limit labelled texts, by a hash of doc_id, of those whose crc32(doc_id) mod folds is not out.
+
+    Of conflicting labels of one doc_id the greatest counts, and of several texts the least.
+    """
     kept = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
-    kept = kept.where(F.crc32(F.col("doc_id").cast("string")) % folds != out).dropDuplicates(["doc_id"])
+    kept = kept.where(F.crc32(F.col("doc_id").cast("string")) % folds != out).groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     # the sample has limit rows at most, whatever the size of the corpus
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BradleyTerry:
@@ -129,7 +133,11 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 
 def filtered(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all their columns, that the classifier doesn't reject."""
+    """The rows of docs, with all their columns, that the classifier doesn't reject: those of score 0.5 or more.
+
+    A null text is scored as an empty one. Repeated rows are kept or go together, an empty table gives no rows, and without
+    labels of both kinds every row stays.
+    """
     model = learned(docs, labels, sample)
     schema = docs.schema
 

@@ -4,6 +4,9 @@ Each word enters with a learned vector of its hash bucket and its labelled log o
 mean of learned vectors of its character pairs (character input). Windows of WINDOW words, each overlapping
 the next by half, are read in both directions; attention pools the states and a logistic unit scores the
 window. A text's score is the greatest of its windows'.
+
+Training takes as many rounds as make up TRAINED texts, between ROUNDS; a round takes of each text the window that
+scores highest, and CLEAN windows of clean texts for each of these, drawn anew from all. Scoring reads every window.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ HIDDEN, WORD, CHAR = 8, 4, 4
 BUCKETS, PAIRS = 1 << 16, 1 << 10
 #: Texts that a word's log odds count besides those seen, in the labels' own proportion.
 PRIOR = 30
+#: Texts that all rounds of training add up to, the least and most rounds, and windows of clean texts beside each text's best.
+TRAINED, ROUNDS, CLEAN = 20_000, (6, 40), 2
 #: Bytes from which a run is read as several words.
 LONGEST = 64
 #: Words are runs of letters, digits and bytes of other scripts.
@@ -183,7 +188,7 @@ class Toxicity:
             aside = rng.random(len(texts)) < 0.2
             if not 0 < labels[aside].sum() < aside.sum() or not 0 < labels[~aside].sum() < (~aside).sum():
                 aside[:] = False
-            self._train([t for t, a in zip(texts, aside) if not a], labels[~aside], min(40, max(6, 20_000 // len(texts))), rng)
+            self._train([t for t, a in zip(texts, aside) if not a], labels[~aside], min(ROUNDS[1], max(ROUNDS[0], TRAINED // len(texts))), rng)
             if aside.any():
                 self._calibrate(self._texts(pa.array([t for t, a in zip(texts, aside) if a], pa.large_string())), labels[aside])
 
@@ -216,7 +221,7 @@ class Toxicity:
             best = np.lexsort((-lead, owner))  # of each text, the window that scores highest
             best = best[np.unique(owner[best], return_index=True)[1]]
             clean = np.flatnonzero(labels[owner] == 0)
-            some = np.concatenate((best, rng.choice(clean, min(len(clean), 2 * len(best)), replace=False)))
+            some = np.concatenate((best, rng.choice(clean, min(len(clean), CLEAN * len(best)), replace=False)))
             rng.shuffle(some)
             weight = np.where(labels[owner[some]] == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
             for start in range(0, len(some), 128):
@@ -282,7 +287,7 @@ class Toxicity:
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
-    """The model of a bounded sample of labelled rows; equal texts are learned from once."""
+    """The model of a bounded sample of labelled rows; equal texts are learned from once, as toxic if any of them is."""
     rows = labelled(docs, labels, "toxic", 4, 2, sample).where("text is not null").groupBy("text").agg(F.max("label").alias("label")).collect()
     rows = sorted((r.text, r.label) for r in rows)
     return Toxicity([t for t, _ in rows], np.array([y for _, y in rows]))

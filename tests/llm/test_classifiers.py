@@ -1,3 +1,6 @@
+import math
+import random
+import re
 import zlib
 
 import numpy as np
@@ -74,3 +77,108 @@ def test_every_byte_of_a_long_run_is_read():
     assert list(words.bounds) == [0, 2, 2, 6, 9]
     assert words.pairs.max() <= LONGEST + 3 and sorted(words.bucket.tolist()) != sorted(same.bucket.tolist())
     assert list(np.bincount(words.own)) == words.pairs.tolist()
+
+
+def _forward(net, text):
+    """The logit of a text word by word, window by window, in plain loops."""
+    spans = [m.span() for m in re.finditer(rb"[0-9a-z\x80-\xff]+", text.encode().lower())]
+    words = [text.encode().lower()[s:e] for s, e in spans]
+    if not words:
+        return -30.0
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    n, w = toxicity.HIDDEN, {k: v.astype(float) for k, v in net.w.items()}
+
+    def inputs(word):
+        bucket = int(toxicity.Words(pa.array([word.decode()], pa.large_string())).bucket[0])
+        padded = [0, *word, 0]
+        chars = [w["char"][(a * 31 + b * 257) % toxicity.PAIRS] for a, b in zip(padded, padded[1:])]
+        return [*net.odds[bucket], *w["word"][bucket], *(sum(c) / len(chars) for c in zip(*chars))]
+
+    def direction(xs, d):
+        h, out = [0.0] * n, []
+        for x in xs:
+            g = [sum(x[i] * w[f"x{d}"][i][j] for i in range(len(x))) + w[f"g{d}"][j] for j in range(3 * n)]
+            u = [sum(h[i] * w[f"u{d}"][i][j] for i in range(n)) for j in range(3 * n)]
+            z, r = ([sig(g[k * n + j] + u[k * n + j]) for j in range(n)] for k in (0, 1))
+            c = [math.tanh(g[2 * n + j] + r[j] * u[2 * n + j]) for j in range(n)]
+            h = [z[j] * h[j] + (1 - z[j]) * c[j] for j in range(n)]
+            out.append(h)
+        return out
+
+    best = -math.inf
+    for start in range(0, max(1, len(words) - (toxicity.WINDOW - toxicity.STRIDE)), toxicity.STRIDE):
+        xs = [inputs(x) for x in words[start : start + toxicity.WINDOW]]
+        states = [a + b for a, b in zip(direction(xs, "f"), direction(xs[::-1], "b")[::-1])]
+        marks = [math.exp(sum(a * b for a, b in zip(s, w["v"]))) for s in states]
+        pooled = [sum(m * s[j] for m, s in zip(marks, states)) / sum(marks) for j in range(2 * n)]
+        best = max(best, sum(a * b for a, b in zip(pooled, w["o"])) + w["c"][0])
+    return best
+
+
+def _tainted(rng, k):
+    words = [f"w{rng.randrange(60)}" for _ in range(rng.randrange(70))]
+    if k % 4 == 0:
+        words[rng.randrange(len(words) + 1) :] = ["vile", f"scum{k % 3}"]
+    return " ".join(words)
+
+
+def test_toxicity_scores_by_a_plain_forward_pass(spark):
+    rng = random.Random(1)
+    rows = [(k, _tainted(rng, k), int(k % 4 == 0)) for k in range(400)]
+    extra = [(900, None, None), (901, "", None), (902, " \t", None), (903, "w1 " * 40 + "vile scum1", None), (None, "vile scum2", None), (4, rows[4][1], None), (4, rows[4][1], None)]
+    docs = spark.createDataFrame([(i, t, 0.5, "x") for i, t, _ in rows + extra], "doc_id long, text string, score double, held_out string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(0, 1), (0, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    model = toxicity.learned(docs, labels)
+    found = toxicity.scored(docs, labels).collect()
+    assert len(found) == len(rows) + len(extra) and {r.held_out for r in found if r.doc_id is None} == {None}
+    by_id = {r.doc_id: r for r in found}
+    for i, t, _ in rows[:25] + extra:
+        plain = _forward(model.net, t or "")
+        assert abs(by_id[i].score - 1 / (1 + math.exp(-plain - model.shift))) < 1e-3
+    assert by_id[903].predicted == by_id[None].predicted == 1 and by_id[900].predicted == by_id[901].predicted == 0
+    held = [(by_id[i].predicted, y) for i, _, y in rows if by_id[i].held_out]
+    assert sum(p == y for p, y in held) / len(held) > 0.9
+
+
+def _plain_features(text):
+    data = (text or "").encode()
+    n, words = max(len(data), 1), data.lower().split()
+    share = lambda members: sum(b in members for b in data) / n
+    out = [share(c) for c in quality._CLASSES]
+    out.append(out[4] / max(out[4] + out[8], 1 / n))
+    many = max(len(words), 1)
+    out.append(sum(a == b for a, b in zip(words, words[1:])) / many)
+    out.append((len(words) - len(set(words))) / many / math.log(many + 2))
+    sizes = [len(x) for x in words]
+    out += [sum(sizes) / many / 10, *(sum(map(test, sizes)) / many for test in (lambda x: x <= 3, lambda x: x == 1, lambda x: x > 20))]
+    return out + [math.log1p(len(words)) / 10, float(not words)]
+
+
+def test_quality_scores_by_a_plain_pair_fit(spark):
+    rng = random.Random(6)
+    good = lambda: " ".join(rng.choice(["some", "plain", "words", "stand", "here", "today."]) for _ in range(rng.randrange(5, 40)))
+    bad = lambda: " ".join(rng.choice(["BUY!!!", "$$$", "click|here", "win 1000"]) for _ in range(rng.randrange(1, 40)))
+    rows = [(k, bad() if k % 3 == 0 else good(), int(k % 3 > 0)) for k in range(200)]
+    extra = [(900, None, None), (901, "", None), (902, "long words " * 5000, None), (5, rows[5][1], None), (None, rows[0][1], None)]
+    docs = spark.createDataFrame([(i, t, "s", 9) for i, t, _ in rows + extra], "doc_id long, text string, score string, label int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None)], "doc_id long, quality int")
+    model = quality.learned(docs, labels)
+    used = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    standard = lambda t: [min(max((x - m) / s, -6), 6) for x, m, s in zip(_plain_features(t), model.mean, model.scale)]
+    strong = lambda w, z: sum(a * b for a, b in zip(w, z))
+    pairs = [([a - b for a, b in zip(standard(t), standard(u))]) for t, y in used if y for u, v in used if not v][:4000]
+
+    def loss(w):  # of preferring the good text of each pair, with the ridge
+        return sum(math.log1p(math.exp(-strong(w, d))) for d in pairs) / len(pairs) + 5e-4 * strong(w, w)
+
+    own = loss(model.weights)
+    assert own < 0.2 and own < loss(model.weights * 0.9) + 1e-3 and own < loss(-model.weights)
+    by_id = {r.doc_id: r for r in quality.scored(docs, labels).collect()}
+    for i, t, _ in rows + extra:
+        plain = 1 / (1 + math.exp(-min(max(model.slope * (strong(model.weights, standard(t)) - model.cut), -30), 30)))
+        assert abs(by_id[i].score - plain) < 1e-6 and by_id[i].predicted == (plain >= 0.5)
+    held = [(by_id[i].predicted, y) for i, _, y in rows if by_id[i].held_out]
+    assert held and all(p == y for p, y in held)
+    kept = quality.filtered(docs, labels)
+    assert kept.schema == docs.schema
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted((i or -1, t or "") for i, t, _ in rows + extra if by_id[i].score >= 0.5)

@@ -9,6 +9,7 @@ from pyspark.sql.types import MapType
 #: The standard genetic code over T, C, A, G in that order, _ for stop.
 BASES = "TCAG"
 CODE = "FFLLSSSSYY__CC_WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+STOPS = [a + b + c for k, (a, b, c) in enumerate((a, b, c) for a in BASES for b in BASES for c in BASES) if CODE[k] == "_"]
 #: Bits of a digit of the masks that choose combinations.
 MASK_BITS = 10
 
@@ -41,7 +42,9 @@ def peptide(dna: Column) -> Column:
 
 
 def has_stop(dna: Column) -> Column:
-    return F.contains(residues(dna), F.lit("_"))
+    """Whether any whole codon is a stop; nothing is translated for it."""
+    codons = F.regexp_extract_all(F.upper(dna), F.lit("(?s).{3}"), F.lit(0))
+    return F.exists(codons, lambda c: c.isin(*STOPS))
 
 
 def kmers(text: Column, k: int) -> Column:
@@ -131,11 +134,26 @@ def junction_keys(numbers: Column) -> Column:
     )
 
 
-def overlap_joined(front: Column, back: Column) -> Column:
-    """front and back joined at the longest suffix of front that begins back; null without one."""
+def overlap_joined(front: Column, back: Column, front_start: Column | None = None, back_start: Column | None = None) -> Column:
+    """front and back joined at the longest suffix of front that begins back; null without one.
+
+    With the bases at which both start, only an overlap that puts them into one frame counts: where back starts
+    a multiple of three bases after (or before) front.
+    """
     sizes = F.sequence(F.lit(1), F.greatest(F.least(F.length(front), F.length(back)), F.lit(1)))
     size = F.array_max(F.filter(sizes, lambda n: F.right(front, n) == F.left(back, n)))
-    return F.concat(front, F.substring(back, size + 1, F.length(back)))
+    joined = F.concat(front, F.substring(back, size + 1, F.length(back)))
+    return joined if front_start is None else F.when((back_start - front_start) % 3 == 0, joined)
+
+
+def inside_open(pos: Column, a: Column, b: Column) -> Column:
+    """Whether a variant stands strictly between a and b."""
+    return (a < pos) & (pos < b)
+
+
+def mutation_mode(germline: bool, somatic: bool) -> str:
+    """The name of a run's mutation mode."""
+    return {(False, False): "ref", (True, False): "germline", (False, True): "somatic", (True, True): "somatic_and_germline"}[bool(germline), bool(somatic)]
 
 
 def strand_leq(strand: Column, a: Column, b: Column) -> Column:

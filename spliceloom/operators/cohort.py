@@ -70,6 +70,36 @@ def cohort_support(matrix: DataFrame, positions: Iterable[int], threshold: float
     return matrix.where(support(F.col("expr"), threshold, positions, target) >= recurrence).select("kmer").distinct()
 
 
+def support_counts(matrix: DataFrame, positions: Iterable[int], threshold: float, target: int | None = None) -> DataFrame:
+    """kmer and n_samples, the most samples besides target that one of its rows has at threshold: a stage to keep and reuse
+    under any recurrence."""
+    return matrix.groupBy("kmer").agg(F.max(support(F.col("expr"), threshold, positions, target)).alias("n_samples")).where("n_samples > 0")
+
+
+def recurrent(counts: DataFrame, recurrence: int) -> DataFrame:
+    """The k-mers of support_counts that recurrence samples have."""
+    return counts.where(F.col("n_samples") >= recurrence).select("kmer")
+
+
+def failing(result: DataFrame, matrix: DataFrame, normal: DataFrame, cancer_positions: list[int], normal_positions: list[int], target: int, sample_at_least: float, cohort_at_least: float, cohort_recurrence: int, normal_at_least: float | None, normal_recurrence: int | None) -> DataFrame:
+    """k-mers of a filter's result that the raw matrices, summed anew in long form, don't bear out, with the rule they break.
+
+    Counts are by k-mer over all its rows, so a k-mer with several rows may pass here that no single row would.
+    """
+    long = lambda m: m.select("kmer", F.posexplode("expr").alias("pos", "x")).groupBy("kmer", "pos").agg(F.max("x").alias("x"))
+    at = lambda v: F.col("x") > 0 if v == 0 else F.col("x") >= v
+    own = long(matrix.join(result.select("kmer"), "kmer", "left_semi"))
+    mine, others = F.col("pos") == target, F.col("pos").isin([p for p in cancer_positions if p != target])
+    cancer = own.groupBy("kmer").agg(F.count_if(mine & at(sample_at_least)).alias("own"), F.count_if(others & at(cohort_at_least)).alias("cohort"))
+    held = long(normal.join(result.select("kmer"), "kmer", "left_semi")).where(F.col("pos").isin(list(normal_positions)))
+    high = F.count_if(F.col("x") >= normal_at_least) if normal_at_least else F.lit(0)
+    many = F.count_if(F.col("x") > 0) >= normal_recurrence if normal_recurrence else F.lit(False)
+    background = held.groupBy("kmer").agg(((high > 0) | many).alias("normal"))
+    rows = result.select("kmer").distinct().join(cancer, "kmer", "left").join(background, "kmer", "left")
+    rule = F.when(F.coalesce("own", F.lit(0)) == 0, "sample").when(F.coalesce("cohort", F.lit(0)) < cohort_recurrence, "cohort").when(F.coalesce("normal", F.lit(False)), "normal")
+    return rows.select("kmer", rule.alias("rule")).where("rule is not null")
+
+
 def supported(own: DataFrame, cohort: DataFrame, matrix: DataFrame, union: bool = False) -> DataFrame:
     """Rows supported by the sample and (or, for union) by the cohort; membership is by k-mer."""
     if union:
@@ -82,6 +112,13 @@ def prefer_junction(segment: DataFrame, junction: DataFrame) -> DataFrame:
     return junction.unionByName(segment.join(junction.select("kmer"), "kmer", "left_anti"))
 
 
+def combined_normals(segment: DataFrame | None, junction: DataFrame | None) -> DataFrame | None:
+    """All rows of the two normal matrices, of the one that is there, or None; a k-mer of both keeps its rows."""
+    if segment is None or junction is None:
+        return segment if junction is None else junction
+    return segment.unionByName(junction)
+
+
 def differential(rows: DataFrame, background: DataFrame) -> DataFrame:
     """Rows whose k-mer the background lacks. The side is left to the optimiser, which knows the sizes."""
     return rows.join(background.select("kmer"), "kmer", "left_anti")
@@ -95,12 +132,17 @@ def without_known(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def cohort_filter(cancer: DataFrame, normal: DataFrame | None, cancer_positions: list[int], normal_positions: list[int], target: int, sample_at_least: float, cohort_at_least: float, cohort_recurrence: int, normal_at_least: float | None, normal_recurrence: int | None, external: DataFrame | None = None, known: DataFrame | None = None, union: bool = False) -> DataFrame:
-    """K-mers supported in cancer samples and absent from normals; known k-mers go last."""
+    """K-mers supported in cancer samples and absent from normals; known k-mers go last.
+
+    cancer is the matrix of junction k-mers, or that of segment k-mers with it by prefer_junction; normal the two normal ones
+    by combined_normals. K-mers that the normal matrix has, but no normal sample expresses, are of the annotation and count
+    as background.
+    """
     own = sample_support(cancer, target, sample_at_least)
     rows = supported(own, cohort_support(cancer, cancer_positions, cohort_at_least, cohort_recurrence, target), cancer, union)
     if normal is not None:
         light = normal.join(cancer.select("kmer").distinct(), "kmer", "left_semi")
-        silent = light.where(annotation_only(F.col("expr")))
+        silent = light.where(support(F.col("expr"), 0, normal_positions) == 0)
         background = normal_background(light, normal_positions, normal_at_least, normal_recurrence).unionByName(silent.select("kmer"))
         if external is not None:
             background = background.unionByName(external.select("kmer"))

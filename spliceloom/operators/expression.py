@@ -5,13 +5,10 @@ Counts are arrays, a value per sample position; they stay arrays through joins a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
+import json
 
-def _summed(rows: Column) -> Column:
-    """Element-wise sum of an array of arrays."""
-    return F.aggregate(rows, F.array().cast("array<double>"), lambda a, r: F.when(F.size(a) == 0, r).otherwise(F.zip_with(a, r, lambda x, y: x + y)))
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def gene_expression(segments: DataFrame) -> DataFrame:
@@ -47,8 +44,11 @@ def segment_expression(pieces: DataFrame, segments: DataFrame, k: int) -> DataFr
     """Mean count over a k-mer's bases: pieces (gene, id, start, stop) over segments (gene, seg_start, seg_stop, counts)."""
     near = pieces.join(segments, "gene").where("start < seg_stop and seg_start < stop")
     n = F.least("stop", "seg_stop") - F.greatest("start", "seg_start")
-    rows = near.groupBy("gene", "id").agg(F.collect_list(F.transform("counts", lambda x: x * n)).alias("rows"))
-    return rows.select("gene", "id", F.transform(_summed(F.col("rows")), lambda x: F.bround(x / (3 * k), 2)).alias("expr"))
+    # both sums need one exchange: rows of a k-mer stay together for the sum by sample
+    long = near.select("gene", "id", n.alias("n"), F.posexplode("counts").alias("pos", "x")).repartition("gene", "id")
+    sums = long.groupBy("gene", "id", "pos").agg(F.sum(F.col("n") * F.col("x")).alias("total"))
+    rows = sums.groupBy("gene", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "total"))).alias("rows"))
+    return rows.select("gene", "id", F.transform("rows", lambda r: F.bround(r.total / (3 * k), 2)).alias("expr"))
 
 
 def junction_expression(crossed: DataFrame, edge_counts: DataFrame) -> DataFrame:
@@ -77,6 +77,17 @@ def variant_segment(variants: DataFrame, segments: DataFrame) -> DataFrame:
     return last.where("pos <= s.seg_stop").select("gene", "sample", "pos", "s.seg_id")
 
 
+def variant_counts(variants: DataFrame, segments: DataFrame, positions: dict[str, int]) -> DataFrame:
+    """Variants with the count, in their sample, of the segment they stand in; null outside of segments and for other samples.
+
+    positions tells each sample's place in the counts of segments (gene, seg_start, seg_stop, seg_id, counts).
+    """
+    at = F.from_json(F.lit(json.dumps(positions)), "map<string,int>")
+    found = variant_segment(variants, segments).join(segments.select("gene", "seg_id", "counts"), ["gene", "seg_id"])
+    found = found.select("gene", "sample", "pos", F.get("counts", at[F.col("sample")]).alias("count"))
+    return variants.join(found, ["gene", "sample", "pos"], "left")
+
+
 def last_variants(variants: DataFrame) -> DataFrame:
     """The later line of each (sample, chrom, pos)."""
     held = F.max(F.struct("line", "ref", "alt")).alias("b")

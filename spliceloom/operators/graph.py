@@ -6,25 +6,11 @@ where phase bases of the vertex, in reading order, come before its first codon.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceloom.functions.seq import has_stop, reverse_complement
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by a table in the folder that the cluster shares."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from spliceloom.staging import append, opened, written
 
 
 def exon_sequences(vertices: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -61,26 +47,71 @@ def frame_steps(exons: DataFrame, edges: DataFrame, frames: DataFrame) -> DataFr
     return rows.select("gene", F.col("src").alias("v"), F.col("dst").alias("w"), "phase", next_phase(F.length("s1"), F.col("phase")).alias("next_phase"), has_stop(coding).alias("has_stop"))
 
 
-def propagated_frames(exons: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def transitions(exons: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """frame_steps of every phase that can reach a vertex, its seeds' and 0 to 2, as a table of numbers made once."""
+    later = edges.select("gene", F.col("src").alias("v"), F.explode(F.array(*[F.lit(p) for p in range(3)])).alias("phase"))
+    return written(frame_steps(exons, edges, later.unionByName(seeds.select("gene", "v", "phase")).distinct()), "steps")
+
+
+def propagated_frames(steps: DataFrame, seeds: DataFrame) -> DataFrame:
     """All frames that reach a vertex: seeds, and frames of pairs without a stop, until nothing is new.
 
-    One round carries all genes' new frames over one edge, so rounds are as many as the longest walk. A frame that is
-    annotated stays so and isn't repeated as carried.
+    steps are the transitions. One round carries all genes' new frames over one edge, so rounds are as many as the longest
+    walk, and each moves numbers only. A frame that is annotated stays so and isn't repeated as carried.
     """
-    seen = _written(seeds.select("gene", "v", "phase", "annotated").distinct(), "frames")
-    fresh = seen.select("gene", "v", "phase")
+    spark = steps.sparkSession
+    seeds = seeds.select("gene", "v", "phase", "annotated").distinct()
+    paths = [append(seeds, "frames")]
+    open_steps = steps.where("not has_stop").select("gene", "v", "w", "phase", "next_phase")
+    fresh = opened(spark, paths, seeds.schema)
     while not fresh.isEmpty():
-        carried = frame_steps(exons, edges, fresh).where("not has_stop").select("gene", F.col("w").alias("v"), F.col("next_phase").alias("phase")).distinct()
-        fresh = _written(carried.join(seen, ["gene", "v", "phase"], "left_anti"), "fresh")
-        seen = _written(seen.unionByName(fresh.withColumn("annotated", F.lit(False))), "frames")
-    return seen
+        seen = opened(spark, paths, seeds.schema)
+        carried = fresh.join(open_steps, ["gene", "v", "phase"]).select("gene", F.col("w").alias("v"), F.col("next_phase").alias("phase")).distinct()
+        new = carried.join(seen, ["gene", "v", "phase"], "left_anti").withColumn("annotated", F.lit(False))
+        paths.append(append(new, "frames"))
+        fresh = opened(spark, paths[-1:], seeds.schema)
+    return opened(spark, paths, seeds.schema)
 
 
-def exon_pairs(exons: DataFrame, edges: DataFrame, frames: DataFrame) -> DataFrame:
+def exon_pairs(steps: DataFrame, frames: DataFrame) -> DataFrame:
     """Pairs of the graph with frame, stop flag and weight, one over the number of frames of the first vertex."""
     weight = F.round(1 / F.count("*").over(Window.partitionBy("gene", "v")), 3)
     known = frames.select("gene", "v", "phase", "annotated", weight.alias("weight"))
-    return frame_steps(exons, edges, frames.select("gene", "v", "phase")).join(known, ["gene", "v", "phase"])
+    return steps.join(known, ["gene", "v", "phase"])
+
+
+def without_redundant(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Pairs of the graph that maximal_junctions keeps, by the places of their exons; of equal ones the later by v and w."""
+    first, second = (vertices.select("gene", F.col("v").alias(v), F.col("start").alias(f"s_{v}"), F.col("stop").alias(f"e_{v}")) for v in "vw")
+    rows = pairs.join(first, ["gene", "v"]).join(second, ["gene", "w"])
+    ahead = F.col("s_v") <= F.col("s_w")
+    bound = {"i1": ("e_v", "e_w"), "i2": ("s_w", "s_v"), "o1": ("s_v", "s_w"), "o2": ("e_w", "e_v")}
+    rows = rows.withColumns({k: F.when(ahead, F.col(x)).otherwise(F.col(y)) for k, (x, y) in bound.items()})
+    return maximal_junctions(rows.withColumn("seq_no", F.struct("v", "w"))).select(pairs.columns)
+
+
+def successors(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """gene, v and each vertex that follows v in reading order over an edge of either direction; null where none does.
+
+    On plus a vertex follows that starts no earlier, on minus one that stops no later, so that equal ends follow each other.
+    """
+    both = edges.select("gene", F.col("src").alias("v"), F.col("dst").alias("w")).unionByName(edges.select("gene", F.col("dst").alias("v"), F.col("src").alias("w"))).distinct()
+    ends = vertices.select("gene", "v", "strand", "start", "stop")
+    other = ends.select("gene", F.col("v").alias("w"), F.col("start").alias("w_start"), F.col("stop").alias("w_stop"))
+    behind = F.when(F.col("strand") == "+", F.col("w_start") >= F.col("start")).otherwise(F.col("w_stop") <= F.col("stop"))
+    found = both.join(ends, ["gene", "v"]).join(other, ["gene", "w"]).where(behind).select("gene", "v", F.col("w").alias("follows"))
+    return vertices.select("gene", "v").join(found, ["gene", "v"], "left")
+
+
+def vertex_order(vertices: DataFrame) -> DataFrame:
+    """vertices with place, from 0: by start on plus, by falling stop on minus, and by v on ties."""
+    key = F.when(F.col("strand") == "+", F.col("start")).otherwise(-F.col("stop"))
+    return vertices.withColumn("place", F.row_number().over(Window.partitionBy("gene").orderBy(key, "v")) - 1)
+
+
+def stop_in_all(variant_steps: DataFrame) -> DataFrame:
+    """Pairs (gene, v, w, phase) with has_stop: whether every combination of variants (a row each) brings a stop."""
+    return variant_steps.groupBy("gene", "v", "w", "phase").agg(F.bool_and("has_stop").alias("has_stop"))
 
 
 def exon_triples(pairs: DataFrame, lengths: DataFrame, k: int) -> DataFrame:

@@ -1,6 +1,7 @@
-"""Foreground peptides of exon pairs with their metadata, and the k-mers cut from them.
+"""Foreground peptides of exon pairs, triples and single exons with their metadata, and the k-mers cut from them.
 
-pairs: gene, v, w, phase, annotated. vertices: gene, v, start, stop, strand. sequences: gene, dna, offset.
+pairs: gene, v, w, phase, annotated; triples have u as well, and single exons neither w nor u. vertices: gene, v, start,
+stop, strand. sequences: gene, dna, offset.
 """
 
 from __future__ import annotations
@@ -9,22 +10,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceloom.functions.seq import coordinate_text, genomic_parts, kmers, residues, reverse_complement, with_combinations, with_variants
+from spliceloom.operators.cohort import without_known
+from spliceloom.operators.expression import junction_expression, junctions_annotated, segment_expression
+from spliceloom.operators.quality import InputError
 
 #: Variants from which `crowded_pairs` tells a pair; all are combined, however many.
 MAX_VARIANTS = 10
 
 
+def _ends(rows: DataFrame) -> list[str]:
+    """The columns that name the exons of a row, in reading order."""
+    return [c for c in ("v", "w", "u") if c in rows.columns]
+
+
 def modified_pairs(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """pairs with strand and parts: both exons in reading order, without the bases before the first and after the last whole codon."""
-    first, second = (vertices.select("gene", F.col("v").alias(v), F.col("start").alias(f"s{k}"), F.col("stop").alias(f"e{k}"), *(["strand"] if k == 1 else [])) for k, v in ((1, "v"), (2, "w")))
-    rows = pairs.join(first, ["gene", "v"]).join(second, ["gene", "w"])
-    plus = F.col("strand") == "+"
-    rest = F.pmod(F.col("e1") - F.col("s1") - F.col("phase") + F.col("e2") - F.col("s2"), F.lit(3))
+    """Rows of one, two or three exons with strand and parts: the exons in reading order, without the bases before the first
+    and after the last whole codon."""
+    names = _ends(pairs)
+    rows = pairs
+    for name in names:
+        ends = vertices.select("gene", F.col("v").alias(name), F.struct("start", "stop").alias(f"__{name}"), *(["strand"] if name == "v" else []))
+        rows = rows.join(ends, ["gene", name])
+    plus, exons = F.col("strand") == "+", [F.col(f"__{name}") for name in names]
+    rest = F.pmod(sum((x.stop - x.start for x in exons), -F.col("phase")), F.lit(3))
     part = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"))
-    forward = F.array(part(F.col("s1") + F.col("phase"), F.col("e1")), part(F.col("s2"), F.greatest(F.col("s2"), F.col("e2") - rest)))
-    backward = F.array(part(F.col("s1"), F.col("e1") - F.col("phase")), part(F.least(F.col("e2"), F.col("s2") + rest), F.col("e2")))
-    original = F.array(part(F.col("s1"), F.col("e1")), part(F.col("s2"), F.col("e2")))
-    return rows.select("gene", "v", "w", "phase", "annotated", "strand", F.when(plus, forward).otherwise(backward).alias("parts"), original.alias("original"))
+
+    def cut(k: int, x: Column) -> Column:
+        lead = F.col("phase") if k == 0 else F.lit(0)
+        tail = rest if k == len(exons) - 1 else F.lit(0)
+        forward = part(x.start + lead, F.greatest(x.start + lead, x.stop - tail))
+        return F.when(plus, forward).otherwise(part(F.least(x.stop - lead, x.start + tail), x.stop - lead))
+
+    parts = F.array(*[cut(k, x) for k, x in enumerate(exons)])
+    original = F.array(*[part(x.start, x.stop) for x in exons])
+    return rows.select("gene", *names, "phase", "annotated", "strand", parts.alias("parts"), original.alias("original"))
+
+
+def isolated_exons(frames: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of one exon: the frames (gene, v, phase, annotated) of vertices from which no edge leads on."""
+    return frames.join(edges.select("gene", F.col("src").alias("v")), ["gene", "v"], "left_anti").select("gene", "v", "phase", "annotated")
+
+
+def as_triples(triples: DataFrame, frames: DataFrame) -> DataFrame:
+    """exon_triples (gene, v1, v2, v3, phase) as rows of three exons, with the first one's flag."""
+    rows = triples.select("gene", F.col("v1").alias("v"), F.col("v2").alias("w"), F.col("v3").alias("u"), "phase")
+    return rows.join(frames.select("gene", "v", "phase", "annotated"), ["gene", "v", "phase"])
 
 
 def coding_bases(variants: Column | None = None) -> Column:
@@ -43,7 +73,7 @@ def _emitted(rows: DataFrame) -> DataFrame:
     """One row per peptide, from columns mutated and reference (residues with stops) and variants."""
     peptide = F.substring_index("mutated", "_", 1)
     first = F.get("parts", F.lit(0))
-    isolated = (F.size("parts") < 2) | (3 * F.length(peptide) <= first["stop"] - first["start"] + 1)
+    isolated = (F.size("original") < 2) | (3 * F.length(peptide) <= first["stop"] - first["start"] + 1)
     start = F.when(F.col("strand") == "+", first["start"]).otherwise(first["stop"])
     return rows.withColumns({"peptide": peptide, "hasStopCodon": F.contains("mutated", F.lit("_")).cast("int"), "isIsolated": isolated.cast("int"), "tran_start": start}).where("peptide != ''")
 
@@ -55,23 +85,48 @@ def reference_peptides(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
 
 
 def _with_variants(pairs: DataFrame, variants: DataFrame) -> DataFrame:
-    """Pairs with the variants (gene, sample, pos, base) in either part, per sample, in order."""
+    """Rows with the variants (gene, sample, pos, base, and count if there) in any part, per sample, in order."""
     spans = pairs.select("*", F.explode("parts").alias("part"))
     near = spans.join(variants, "gene").where("part.start <= pos and pos < part.stop")
-    return near.groupBy("gene", "v", "w", "phase", "annotated", "strand", "parts", "original", "sample").agg(F.array_sort(F.collect_set(F.struct("pos", "base"))).alias("held"))
+    held = F.struct("pos", "base", *(["count"] if "count" in variants.columns else []))
+    return near.groupBy(*pairs.columns, "sample").agg(F.array_sort(F.collect_set(held)).alias("held"))
+
+
+def variants_of(variants: DataFrame, genes: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Variants (sample, chrom, pos, ...) on the genes (gene, chrom, start, stop) that they stand in, as gene, sample, pos, ....
+
+    names (sample, mutation) tells under which name each graph sample's variants go; without it samples keep their own. A
+    sample or chromosome without variants gives none.
+    """
+    if names is not None:
+        variants = variants.withColumnRenamed("sample", "mutation").join(names.select("sample", "mutation").distinct(), "mutation").drop("mutation")
+    return genes.select("gene", "chrom", "start", "stop").join(variants, "chrom").where("start <= pos and pos < stop").drop("chrom", "start", "stop")
+
+
+def germline_sequences(sequences: DataFrame, variants: DataFrame) -> DataFrame:
+    """sample, gene, dna and offset: sequences with each sample's germline variants (gene, sample, pos, base) put in.
+
+    They are the reference of a sample with somatic variants; of a (sample, gene) without variants there is no row.
+    """
+    held = variants.groupBy("sample", "gene").agg(F.array_sort(F.collect_set(F.struct("pos", "base"))).alias("held"))
+    rows = held.join(sequences, "gene")
+    return rows.select("sample", "gene", with_variants(F.col("dna"), F.col("offset"), F.col("held")).alias("dna"), "offset")
 
 
 def crowded_pairs(pairs: DataFrame, variants: DataFrame, most: int = MAX_VARIANTS) -> DataFrame:
     """Pairs with more variants than most, whose combinations are many, for a report."""
-    return _with_variants(pairs, variants).where(F.size("held") > most).select("gene", "v", "w", "phase", "sample", F.size("held").alias("n_variants"))
+    return _with_variants(pairs, variants).where(F.size("held") > most).select("gene", *_ends(pairs), "phase", "sample", F.size("held").alias("n_variants"))
 
 
 def mutated_peptides(pairs: DataFrame, sequences: DataFrame, variants: DataFrame, force: bool = False) -> DataFrame:
     """Peptides of every combination of a sample's variants in a pair that differ from the reference's (or all, with force).
 
-    variant_no counts what a pair emits, from 0, in order of size and then position of the combinations.
+    variant_no counts what a pair emits, from 0, in order of size and then position of the combinations. Where variants have
+    a count, the expression of their segment, variantSegExpr lists those of the combination. sequences may be those of a
+    sample, with a column sample.
     """
-    rows = _with_variants(pairs, variants).join(sequences, "gene")
+    keys = ["gene", "sample"] if "sample" in sequences.columns else ["gene"]
+    rows = _with_variants(pairs, variants).join(sequences, keys)
     rows = with_combinations(rows, "held", "chosen").where("size(chosen) > 0")
     rows = rows.withColumns({"mutated": residues(coding_bases(F.col("chosen"))), "reference": residues(coding_bases())})
     out = _emitted(rows)
@@ -79,15 +134,18 @@ def mutated_peptides(pairs: DataFrame, sequences: DataFrame, variants: DataFrame
         out = out.where(~F.array_contains(F.split("reference", "_", -1), F.col("peptide")))
     out = out.drop("mutated", "reference", "held", "dna", "offset")
 
-    order = Window.partitionBy("sample", "gene", "v", "w", "phase").orderBy(F.size("chosen"), "chosen")
-    out = out.withColumns({"variantComb": F.array_join(F.transform("chosen", lambda c: c.pos.cast("string")), ";"), "variant_no": F.row_number().over(order) - 1})
-    return out.drop("chosen")
+    order = Window.partitionBy("sample", "gene", *_ends(pairs), "phase").orderBy(F.size("chosen"), "chosen")
+    listed = lambda f: F.array_join(F.transform("chosen", lambda c: c[f].cast("string")), ";", "nan")
+    new = {"variantComb": listed("pos"), "variant_no": F.row_number().over(order) - 1}
+    if "count" in variants.columns:
+        new["variantSegExpr"] = listed("count")
+    return out.withColumns(new).drop("chosen")
 
 
 def peptide_metadata(peptides: DataFrame, genes: DataFrame, mode: str, listed: DataFrame | None = None, kmer_type: str = "2-exons") -> DataFrame:
     """The metadata table of peptides: ids, flags and coordinates; genes has gene and chrom, listed the flags of `junction_listed`."""
     numbers = lambda c: F.concat_ws(";", F.flatten(F.transform(c, lambda p: F.array(p.start, p.stop))).cast("array<string>"))
-    vertices = F.concat_ws("_", "v", "w")
+    vertices = F.concat_ws("_", *_ends(peptides))
     rows = peptides.join(genes.select("gene", "chrom"), "gene", "left")
     if listed is not None:
         rows = rows.join(listed, ["gene", "v", "w"], "left")
@@ -106,6 +164,7 @@ def peptide_metadata(peptides: DataFrame, genes: DataFrame, mode: str, listed: D
         "isInJunctionList",
         "isIsolated",
         "variantComb",
+        F.col("variantSegExpr") if "variantSegExpr" in peptides.columns else F.lit(None).cast("string").alias("variantSegExpr"),
         numbers("parts").alias("modifiedExonsCoord"),
         numbers("original").alias("originalExonsCoord"),
         F.regexp_replace(vertices, "_", ";").alias("vertexIdx"),
@@ -142,13 +201,41 @@ def kmer_junctions(rows: DataFrame) -> DataFrame:
     return crossed.select("gene", "id", F.explode(steps).alias("j")).select("gene", "id", "j.left_stop", "j.right_start").distinct()
 
 
-def chosen_genes(genes: DataFrame, offset: int = 0, number: int | None = None, names: DataFrame | None = None, chromosomes: list[str] | None = None, most_vertices: int | None = None) -> DataFrame:
-    """Genes (gene_idx, gene, chrom, n_vertices) to work on, by running number, list, chromosome and size of graph."""
+def kmer_matrices(peptides: DataFrame, k: int, segments: DataFrame, edge_counts: DataFrame, known: DataFrame, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The segment and the junction matrix of the k-mers of peptides: gene, kmer, coord, flags and expr, a value per sample.
+
+    segments: gene, seg_start, seg_stop, counts; edge_counts: gene, left_stop, right_start, counts; known: annotated junctions
+    (gene, a, b); listed: known k-mers to leave out, with I as L. A k-mer within an exon has the mean count over its bases,
+    one across junctions the least count of these; what the counts lack is null.
+    """
+    rows = peptide_kmers(peptides, k)
+    if listed is not None:
+        rows = without_known(rows, listed)
+    keys = [F.col("gene"), F.col("coord").alias("id")]
+    flags = ["kmer", "isCrossJunction", "readFrameAnnotated"]
+    within = segment_expression(kmer_pieces(rows.where("not isCrossJunction")), segments, k)
+    crossed = kmer_junctions(rows)
+    held = junction_expression(crossed, edge_counts).groupBy("gene", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "expr"))).alias("e"))
+    across = held.select("gene", "id", F.transform("e", lambda x: x.expr.cast("double")).alias("expr"))
+    out = ["gene", "kmer", F.col("id").alias("coord"), "isCrossJunction", "junctionAnnotated", "readFrameAnnotated", "expr"]
+    segment = rows.where("not isCrossJunction").select(*keys, *flags, F.lit(False).alias("junctionAnnotated")).join(within, ["gene", "id"], "left")
+    junction = rows.where("isCrossJunction").select(*keys, *flags).join(across, ["gene", "id"], "left").join(junctions_annotated(crossed, known), ["gene", "id"], "left")
+    return segment.select(*out), junction.select(*out)
+
+
+def chosen_genes(genes: DataFrame, offset: int = 0, number: int | None = None, names: DataFrame | None = None, chromosomes: list[str] | None = None, most_vertices: int | None = None, transcripts: DataFrame | None = None, cds: DataFrame | None = None) -> DataFrame:
+    """Genes (gene_idx, gene, chrom, n_vertices) to work on: by running number from offset, list, chromosome and size of graph,
+    and with a transcript and a coding piece where these tables (gene) are given. None left is an error."""
     rows = genes.where(F.col("gene_idx") >= offset)
     if number:
         rows = rows.where(F.col("gene_idx") < offset + number)
-    if names is not None:
-        rows = rows.join(names.select("gene").distinct(), "gene", "left_semi")
     if chromosomes:
         rows = rows.where(F.col("chrom").isin(chromosomes))
-    return rows.where(F.col("n_vertices") <= most_vertices) if most_vertices else rows
+    if most_vertices:
+        rows = rows.where(F.col("n_vertices") <= most_vertices)
+    for needed in (names, transcripts, cds):
+        if needed is not None:
+            rows = rows.join(needed.select("gene").distinct(), "gene", "left_semi")
+    if rows.isEmpty():
+        raise InputError("no genes to work on")
+    return rows

@@ -37,3 +37,20 @@ def missing(rows: DataFrame, known: DataFrame, column: str) -> DataFrame:
 def repeated(rows: DataFrame, *keys: str) -> DataFrame:
     """Keys that stand in more than one row."""
     return rows.groupBy(*keys).agg(F.count("*").alias("times")).where("times > 1")
+
+
+def check_inputs(cds: DataFrame, transcripts: DataFrame, genes: DataFrame, sequences: DataFrame, variants: DataFrame | None = None, samples: DataFrame | None = None) -> None:
+    """Raise where inputs don't fit together.
+
+    cds: chrom, tx; transcripts: gene, tx, each once; genes: gene, chrom, at least one; sequences: chrom; variants: sample,
+    chrom; samples: sample, each with a variant where variants are given.
+    """
+    if genes.isEmpty():
+        raise InputError("no genes")
+    problems = {"transcripts repeated": repeated(transcripts, "tx"), "chromosomes of genes without sequence": missing(genes, sequences, "chrom"), "chromosomes of annotation without sequence": missing(cds, sequences, "chrom")}
+    if variants is not None:
+        if variants.join(sequences.select("chrom").distinct(), "chrom", "left_semi").isEmpty() and not variants.isEmpty():
+            raise InputError("variants name chromosomes otherwise than the sequences")
+        if samples is not None:
+            problems["samples without variants"] = missing(samples, variants, "sample")
+    check(**problems)

@@ -16,6 +16,16 @@ def background_union(*parts: DataFrame) -> DataFrame:
     return out.where("kmer is not null").distinct()
 
 
+def background_rows(rows: DataFrame, expressed: bool = False, cross: bool | None = None) -> DataFrame:
+    """Distinct k-mers of a background table (kmer, expr, isCrossJunction): with expressed those above 0 in some sample,
+    with cross those across junctions, or those within exons."""
+    if expressed:
+        rows = rows.where(F.exists("expr", lambda x: x > 0))
+    if cross is not None:
+        rows = rows.where(F.col("isCrossJunction") == cross)
+    return rows.where("kmer is not null").select("kmer").distinct()
+
+
 def novelty_flag(rows: DataFrame, background: DataFrame) -> DataFrame:
     """rows with is_neo_flag: the background lacks the k-mer."""
     held = background.select("kmer", F.lit(True).alias("__held")).distinct()
@@ -108,6 +118,11 @@ def kmer_details(*parts: DataFrame) -> DataFrame:
     return held.withColumn("detail_text", F.array_join(F.transform("details", lambda d: F.concat_ws(":", d.location, d.expr.cast("long"))), ";"))
 
 
+def details_above(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows of kmer_details with a place whose expression is above threshold."""
+    return rows.where(F.exists("details", lambda d: d.expr > threshold))
+
+
 def single_sample_filter(rows: DataFrame, cross: bool = False, junction_above: float | None = None, segment_above: float | None = None) -> DataFrame:
     """Strict thresholds on a k-mer's expressions; a missing one fails."""
     if cross:

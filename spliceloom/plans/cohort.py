@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from spliceloom.operators import cohort as c
 from spliceloom.operators import specificity as sp
 from spliceloom.plans import query
-from spliceloom.plans.tables import CANCER, MATRIX, NORMAL, SPLIT, TARGET, matrix, read
+from spliceloom.plans.tables import CANCER, MATRIX, NORMAL, SPLIT, TARGET, matrix, read, split_matrices
+from spliceloom.staging import written
 
 X, H = 60.0, 5  # expression that counts as support, and samples that make recurrence
 
@@ -24,11 +25,11 @@ su AS (SELECT kmer, count(*) FILTER (s BETWEEN 12 AND 24 AND x >= {X}) AS n_high
 
 
 @query(f"""WITH {MATRIX}, {_SUPPORT} SELECT kmer, CAST(own AS DOUBLE) AS own FROM su
-WHERE own >= 40 AND c_high >= 1 AND NOT (n_high >= 1 AND n_high IS NOT NULL) AND NOT n_any >= 9
+WHERE own >= 40 AND c_high >= 1 AND n_high = 0 AND n_any BETWEEN 1 AND 8
 AND translate(kmer, 'I', 'L') NOT IN (SELECT 'P' || p_partkey FROM part WHERE p_retailprice > 1800)
 AND kmer NOT IN (SELECT 'P' || p_partkey FROM part WHERE p_size = 7)""")
 def diff_filter(spark, d):
-    m = matrix(spark, d)
+    m = written(matrix(spark, d), "matrix")
     out = c.cohort_filter(m, m, CANCER, NORMAL, TARGET, 40.0, X, 1, X, 9, _parts(spark, d, "p_size = 7"), _parts(spark, d, "p_retailprice > 1800"))
     return out.select("kmer", F.get("expr", F.lit(TARGET)).alias("own"))
 
@@ -52,9 +53,10 @@ def annotation_only_split(spark, d):
     return m.select("kmer", F.aggregate("expr", F.lit(0.0), lambda a, x: a + x).alias("total"), c.annotation_only(normals).alias("silent"))
 
 
-@query(f"""WITH {MATRIX}, t AS (SELECT s, quantile_cont(x, 0.75) AS q FROM (SELECT kf.kmer, g.s, coalesce(m.x, 0) AS x FROM kf CROSS JOIN range(25) g(s)
-LEFT JOIN m ON m.kmer = kf.kmer AND m.s = g.s) GROUP BY s),
-dv AS (SELECT s, greatest(q, 1) / 40 AS divisor FROM t)
+@query(f"""WITH {MATRIX}, t AS (SELECT s, list_sort(list(x)) AS l, count(*) AS c FROM m GROUP BY s), n AS (SELECT 0.75 * (count(*) - 1) AS i, count(*) AS n FROM kf),
+r AS (SELECT s, l, i, CAST(floor(i) AS BIGINT) - (n - c) + 1 AS low, CAST(ceil(i) AS BIGINT) - (n - c) + 1 AS high FROM t, n),
+v AS (SELECT s, i - floor(i) AS part, CASE WHEN low > 0 THEN l[low] ELSE 0 END AS a, CASE WHEN high > 0 THEN l[high] ELSE 0 END AS b FROM r),
+dv AS (SELECT s, greatest(a + (b - a) * part, 1) / 40 AS divisor FROM v)
 SELECT kmer, CAST(s AS INT) AS pos, round(x / divisor, 2) AS x FROM m JOIN dv USING (s) WHERE x > 0""")
 def libsize_normalise(spark, d):
     from spliceloom.operators.expression import divisors
@@ -90,19 +92,18 @@ def support_union(spark, d):
 @query(f"""WITH {SPLIT} SELECT kmer, 'junction' AS kind, CAST(sum(x) AS DOUBLE) AS total FROM jun GROUP BY kmer
 UNION ALL SELECT kmer, 'segment', CAST(sum(x) AS DOUBLE) FROM seg WHERE kmer NOT IN (SELECT kmer FROM jun) GROUP BY kmer""")
 def prefer_junction(spark, d):
-    segment = matrix(spark, d, "l_returnflag = 'R' and l_quantity >= 44").withColumn("kind", F.lit("segment"))
-    junction = matrix(spark, d, "l_returnflag <> 'R' and l_quantity >= 47").withColumn("kind", F.lit("junction"))
+    segment, junction = (m.withColumn("kind", F.lit(kind)) for m, kind in zip(split_matrices(spark, d), ("segment", "junction")))
     return c.prefer_junction(segment, junction).select("kmer", "kind", F.aggregate("expr", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query(f"""WITH {MATRIX} SELECT DISTINCT w AS kmer FROM (SELECT upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM documents)
-WHERE length(w) BETWEEN 4 AND 9 AND translate(w, 'I', 'L') NOT IN
+WHERE translate(w, 'I', 'L') NOT IN
 (SELECT translate(upper(x), 'I', 'L') FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS x FROM benchmark))""")
 def known_peptide_filter(spark, d):
     def words(t):
         return read(spark, d, t).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.upper("w").alias("kmer"))
 
-    rows = words("documents").where("length(kmer) between 4 and 9").distinct()
+    rows = words("documents").distinct()
     return c.without_known(rows, words("benchmark"))
 
 
@@ -124,7 +125,7 @@ def hash_slice(spark, d):
 f AS (SELECT * FROM e WHERE n_high < 1) SELECT 0 AS step, 'all' AS name, count(*) AS n FROM a UNION ALL SELECT 1, 'sample', count(*) FROM b
 UNION ALL SELECT 2, 'cohort', count(*) FROM e UNION ALL SELECT 3, 'differential', count(*) FROM f""")
 def step_counts(spark, d):
-    m = matrix(spark, d)
+    m = written(matrix(spark, d), "matrix")
     own = c.sample_support(m, TARGET, 40.0)
     both = c.supported(own, c.cohort_support(m, CANCER, X, 1, TARGET), m)
     return c.step_counts({"all": m, "sample": own, "cohort": both, "differential": c.differential(both, c.normal_background(m, NORMAL, X, None))})
@@ -134,7 +135,7 @@ def step_counts(spark, d):
 count(*) FILTER (s > 11 AND x >= {X}) AS normal FROM m GROUP BY kmer)
 SELECT CAST(target AS INT) AS target, kmer FROM h JOIN n USING (kmer) WHERE x >= 40 AND high - CAST(x >= {X} AS INT) >= 1 AND normal = 0""")
 def diff_filter_all_targets(spark, d):
-    m = matrix(spark, d)
+    m = written(matrix(spark, d), "matrix")
     return c.targets_filter(m, CANCER, CANCER, c.normal_background(m, NORMAL, X, None), 40.0, X, 1).select("target", "kmer")
 
 
@@ -160,9 +161,11 @@ def background_union(spark, d):
     return _background(spark, d)
 
 
-@query(f"""WITH {MATRIX} SELECT kmer, event_type AS allele, value AS affinity FROM kf JOIN events ON kmer = 'P' || (event_id % 400) WHERE value <= 20""")
+@query(f"""WITH {MATRIX} SELECT kmer, event_type AS allele, value AS affinity FROM kf JOIN events ON kmer = 'P' || (event_id * 31 % (SELECT max(p_partkey) FROM part) + 1) WHERE value <= 20""")
 def binding_join(spark, d):
-    predictions = read(spark, d, "events").select(F.concat(F.lit("P"), F.col("event_id") % 400).alias("peptide"), F.col("event_type").alias("allele"), F.col("value").alias("affinity"))
+    most = read(spark, d, "part").agg(F.max("p_partkey").alias("most"))
+    events = read(spark, d, "events").join(F.broadcast(most))  # one row
+    predictions = events.select(F.concat(F.lit("P"), F.col("event_id") * 31 % F.col("most") + 1).alias("peptide"), F.col("event_type").alias("allele"), F.col("value").alias("affinity"))
     return sp.binding(matrix(spark, d).select("kmer"), predictions, "affinity", 20.0)
 
 
@@ -184,14 +187,14 @@ def junction_peptides(spark, d):
     return sp.junction_peptides(rows, rows.where("l_quantity = 50")).select("id", "line", "strand", "jct1")
 
 
-@query("""WITH p AS (SELECT DISTINCT w AS peptide FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) WHERE length(w) >= 6),
-k AS (SELECT DISTINCT substr(w, 1, 5) AS kmer FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) BETWEEN 5 AND 7),
+@query("""WITH p AS (SELECT DISTINCT w AS peptide FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) WHERE length(w) >= 5),
+k AS (SELECT DISTINCT w AS kmer FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) = 5),
 t AS (SELECT peptide, unnest(list_transform(range(1, CAST(length(peptide) - 3 AS BIGINT)), lambda i: substr(peptide, i, 5))) AS kmer FROM p)
 SELECT DISTINCT peptide FROM t JOIN k USING (kmer)""")
 def contains_kmer(spark, d):
     words = lambda t: read(spark, d, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("peptide"))
-    found = words("benchmark").where("length(peptide) between 5 and 7").select(F.substring("peptide", 1, 5).alias("kmer")).distinct()
-    return sp.containing(words("documents").where("length(peptide) >= 6").distinct(), found, 5)
+    found = words("benchmark").where("length(peptide) = 5").select(F.col("peptide").alias("kmer")).distinct()
+    return sp.containing(words("documents").distinct(), found, 5)
 
 
 _PSM = """
@@ -212,7 +215,7 @@ def psm_classify(spark, d):
 @query(f"""WITH {SPLIT} SELECT coalesce(a.kmer, b.kmer) AS kmer, CASE WHEN a.kmer IS NULL THEN 'right' WHEN b.kmer IS NULL THEN 'left' ELSE 'common' END AS found_in
 FROM (SELECT DISTINCT kmer FROM seg) a FULL JOIN (SELECT DISTINCT kmer FROM jun) b ON a.kmer = b.kmer""")
 def compare_sets(spark, d):
-    return sp.compared(matrix(spark, d, "l_returnflag = 'R' and l_quantity >= 44"), matrix(spark, d, "l_returnflag <> 'R' and l_quantity >= 47"))
+    return sp.compared(*split_matrices(spark, d))
 
 
 @query(f"""WITH {_COORD}, k AS (SELECT id, line, a AS c0, b AS c1, e AS c2, f AS c3, a + b + e + f AS t FROM co)

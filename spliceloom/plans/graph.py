@@ -9,7 +9,8 @@ from spliceloom.operators import expression as e
 from spliceloom.operators import graph as g
 from spliceloom.plans import query
 from spliceloom.plans.sequence import _FIRST
-from spliceloom.plans.tables import CDS, GRAPH, VARIANTS, cds, edges, graph_sequences, read, translated_sql, variants, vertices
+from spliceloom.plans.tables import CDS, GRAPH, VARIANTS, cds, edges, graph_sequences, read, reverse_complement_sql, translated_sql, variants, vertices
+from spliceloom.staging import written
 
 #: Frames of each first coding piece in the vertices that hold it; the graph's genes are the transcripts.
 _SEEDS = """
@@ -26,16 +27,19 @@ fr AS (SELECT gene, v, phase FROM sf UNION SELECT st.gene, st.dst, CAST(st.next_
 """
 
 
-def _graph(spark, d):
-    vs = vertices(spark, d)
-    exons = g.exon_sequences(vs.select("gene", "v", "start", "stop", "strand"), graph_sequences(spark, d))
+def _seeds(spark, d):
     first = a.first_cds(cds(spark, d).withColumn("gene", F.col("tx")).withColumn("strand", F.when(F.col("tx") % 2 == 0, "+").otherwise("-")))
-    return exons, edges(spark, d), g.seed_frames(vs, first)
+    return g.seed_frames(vertices(spark, d), first)
+
+
+def _graph(spark, d):
+    exons = g.exon_sequences(vertices(spark, d).select("gene", "v", "start", "stop", "strand"), graph_sequences(spark, d))
+    return written(exons, "exons"), edges(spark, d), written(_seeds(spark, d), "seeds")
 
 
 @query(f"WITH {CDS}, {GRAPH}, {_SEEDS} SELECT gene, v, phase, true AS annotated FROM sf")
 def seed_frames(spark, d):
-    return _graph(spark, d)[2]
+    return _seeds(spark, d)
 
 
 @query(f"WITH {CDS}, {GRAPH} SELECT gene, v, CAST(p AS INT) AS phase, false AS annotated FROM vx, (SELECT unnest(range(0, 3)) AS p)")
@@ -45,15 +49,20 @@ def all_frames(spark, d):
 
 @query(f"WITH RECURSIVE {CDS}, {GRAPH}, {_SEEDS}, {_STEPS} SELECT fr.gene, fr.v, fr.phase, sf.gene IS NOT NULL AS annotated FROM fr LEFT JOIN sf ON sf.gene = fr.gene AND sf.v = fr.v AND sf.phase = fr.phase")
 def frame_propagation(spark, d):
-    return g.propagated_frames(*_graph(spark, d))
+    exons, links, seeds = _graph(spark, d)
+    return g.propagated_frames(g.transitions(exons, links, seeds), seeds)
+
+
+def _pairs_of(exons, links, seeds):
+    steps = g.transitions(exons, links, seeds)
+    return g.exon_pairs(steps, g.propagated_frames(steps, seeds))
 
 
 @query(f"""WITH RECURSIVE {CDS}, {GRAPH}, {_SEEDS}, {_STEPS}, w AS (SELECT gene, v, round(1.0 / count(*), 3) AS weight FROM fr GROUP BY gene, v)
 SELECT fr.gene, fr.v, st.dst AS w, fr.phase, CAST(st.next_phase AS INT) AS next_phase, st.has_stop, CAST(w.weight AS DOUBLE) AS weight
 FROM fr JOIN st ON st.gene = fr.gene AND st.src = fr.v AND st.phase = fr.phase JOIN w ON w.gene = fr.gene AND w.v = fr.v""")
 def exon_pairs(spark, d):
-    exons, links, seeds = _graph(spark, d)
-    return g.exon_pairs(exons, links, g.propagated_frames(exons, links, seeds)).drop("annotated")
+    return _pairs_of(*_graph(spark, d)).drop("annotated")
 
 
 @query(f"""WITH RECURSIVE {CDS}, {GRAPH}, {_SEEDS}, {_STEPS}, p AS (SELECT fr.gene, fr.v, st.dst AS w, fr.phase, st.next_phase, st.has_stop FROM fr JOIN st ON st.gene = fr.gene AND st.src = fr.v AND st.phase = fr.phase)
@@ -61,17 +70,17 @@ SELECT DISTINCT f.gene, f.v AS v1, f.w AS v2, b.w AS v3, f.phase FROM p f JOIN p
 WHERE NOT f.has_stop AND vx.stop - vx.start < 36""")
 def exon_triples(spark, d):
     exons, links, seeds = _graph(spark, d)
-    pairs = g.exon_pairs(exons, links, g.propagated_frames(exons, links, seeds))
+    pairs = _pairs_of(exons, links, seeds)
     lengths = exons.select("gene", "v", (F.col("stop") - F.col("start")).alias("length"))
     return g.exon_triples(pairs, lengths, 11)
 
 
-@query("""WITH p AS (SELECT l_orderkey % 50 AS gene, l_partkey % 3 AS phase, 100 AS i1, 200 + l_linenumber AS i2, 100 - l_suppkey % 20 AS o1, 250 + l_partkey % 20 AS o2, l_orderkey * 10 + l_linenumber AS seq_no FROM lineitem)
+@query("""WITH p AS (SELECT DISTINCT l_partkey AS gene, l_orderkey % 3 AS phase, 100 AS i1, 200 + l_linenumber % 2 AS i2, 100 - l_suppkey % 20 AS o1, 250 + l_orderkey % 20 AS o2, l_orderkey * 10 + l_linenumber AS seq_no FROM lineitem)
 SELECT gene, phase, seq_no FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.gene = p.gene AND q.phase = p.phase AND q.i1 = p.i1 AND q.i2 = p.i2 AND q.o1 <= p.o1 AND q.o2 >= p.o2
 AND (q.o1 <> p.o1 OR q.o2 <> p.o2 OR q.seq_no > p.seq_no))""")
 def redundant_junctions(spark, d):
-    rows = read(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("gene"), (F.col("l_partkey") % 3).alias("phase"), F.lit(100).alias("i1"), (F.col("l_linenumber") + 200).alias("i2"), (100 - F.col("l_suppkey") % 20).alias("o1"), (250 + F.col("l_partkey") % 20).alias("o2"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq_no"))
-    return g.maximal_junctions(rows).select("gene", "phase", "seq_no")
+    rows = read(spark, d, "lineitem").select(F.col("l_partkey").alias("gene"), (F.col("l_orderkey") % 3).alias("phase"), F.lit(100).alias("i1"), (F.col("l_linenumber") % 2 + 200).alias("i2"), (100 - F.col("l_suppkey") % 20).alias("o1"), (250 + F.col("l_orderkey") % 20).alias("o2"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq_no"))
+    return g.maximal_junctions(rows.distinct()).select("gene", "phase", "seq_no")
 
 
 @query(f"WITH {CDS}, {GRAPH} SELECT gene, v FROM vx WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.gene = vx.gene AND (src = v OR dst = v))")
@@ -193,10 +202,87 @@ def foreground_kmers(spark, d):
     return rows.select("gene", "kmer", "coord", "isCrossJunction")
 
 
-@query()
+_part = "coalesce(list_aggregate(list_transform(range({a}, {b}), lambda p: coalesce(list_filter(chosen, lambda c: c.p = p)[1].b, substr(dna, CAST(p + 1 AS INT), 1))), 'string_agg', ''), '')"
+
+
+@query(f"""WITH {CDS}, {GRAPH}, {_ALL_PAIRS}, {VARIANTS}, lv AS (SELECT sample, gene, pos, max_by(base, line) AS base FROM va WHERE base <> '*' GROUP BY ALL),
+hv AS (SELECT pt.gene, strand, v, w, phase, m1, n1, m2, n2, r, dna, sample, list(struct_pack(p := pos, b := base) ORDER BY pos) AS held
+       FROM pt JOIN lv USING (gene) JOIN gdna USING (gene) WHERE (m1 <= pos AND pos < n1) OR (m2 <= pos AND pos < n2) GROUP BY ALL),
+cb AS (SELECT *, list_filter(held, lambda c, i: (mask >> (i - 1)) & 1 = 1) AS chosen FROM (SELECT *, unnest(range(1, CAST(1 << len(held) AS BIGINT))) AS mask FROM hv)),
+fb AS (SELECT *, {_part.format(a="m1", b="n1")} AS f, {_part.format(a="m2", b="n2")} AS b FROM cb),
+cd AS (SELECT *, CASE WHEN strand = '+' THEN f || b ELSE {reverse_complement_sql("f")} || {reverse_complement_sql("b")} END AS coding FROM fb),
+mr AS (SELECT *, string_split({translated_sql("coding")}, '_')[1] AS peptide FROM cd)
+SELECT sample, gene, v, w, CAST(phase AS INT) AS phase, array_to_string(list_transform(chosen, lambda c: c.p), ';') AS "variantComb",
+CAST(row_number() OVER (PARTITION BY sample, gene, v, w, phase ORDER BY len(chosen), chosen) - 1 AS INT) AS variant_no, peptide
+FROM mr WHERE peptide <> '' AND NOT list_contains(string_split(r, '_'), peptide)""")
 def mutated_peptides(spark, d):
-    """Peptides of all variant combinations; tests/test_functions.py holds them against single substitutions by hand."""
+    """Peptides of all variant combinations; of several bases at one place the last line's counts."""
     from spliceloom.operators import peptides as p
 
-    rows = variants(spark, d).where("base != '*'").dropDuplicates(["sample", "gene", "pos"]).select("sample", "gene", "pos", "base")
+    rows = variants(spark, d).where("base != '*'").groupBy("sample", "gene", "pos").agg(F.max_by("base", "line").alias("base"))
     return p.mutated_peptides(_all_pairs(spark, d), graph_sequences(spark, d), rows).select("sample", "gene", "v", "w", "phase", "variantComb", "variant_no", "peptide")
+
+
+_TRIPLES = f"""
+tri AS (SELECT e.gene, x.strand, e.src AS v, e.dst AS w, f.dst AS u, p.phase, substr(x.seq, CAST(p.phase + 1 AS INT)) || y.seq || z.seq AS coding
+       FROM ed e JOIN ed f ON f.gene = e.gene AND f.src = e.dst JOIN ex x ON x.gene = e.gene AND x.v = e.src JOIN ex y ON y.gene = e.gene AND y.v = e.dst
+       JOIN ex z ON z.gene = e.gene AND z.v = f.dst CROSS JOIN (SELECT unnest(range(0, 3)) AS phase) p WHERE y.stop - y.start < 36)
+"""
+
+
+@query(f"""WITH {CDS}, {GRAPH}, {_TRIPLES}, t AS (SELECT *, {translated_sql("coding")} AS r FROM tri)
+SELECT gene, v || '_' || w || '_' || u AS vertices, CAST(phase AS INT) AS phase, string_split(r, '_')[1] AS peptide, contains(r, '_')::INT AS "hasStopCodon" FROM t WHERE string_split(r, '_')[1] <> ''""")
+def triple_peptides(spark, d):
+    """Peptides over a middle exon shorter than a k-mer of 11 and one codon, in all frames."""
+    from spliceloom.operators import peptides as p
+
+    vs = vertices(spark, d)
+    links = edges(spark, d)
+    short = vs.where("stop - start < 36").select("gene", F.col("v").alias("w"))
+    front = links.select("gene", F.col("src").alias("v"), F.col("dst").alias("w")).join(short, ["gene", "w"], "left_semi")
+    back = links.select("gene", F.col("src").alias("w"), F.col("dst").alias("u"))
+    rows = p.modified_pairs(front.join(back, ["gene", "w"]).join(g.all_frames(vs), ["gene", "v"]), vs)
+    return p.reference_peptides(rows, graph_sequences(spark, d)).select("gene", F.concat_ws("_", "v", "w", "u").alias("vertices"), "phase", "peptide", "hasStopCodon")
+
+
+@query(f"""WITH {CDS}, {GRAPH}, s AS (SELECT ex.*, CAST(p.phase AS INT) AS p FROM ex, (SELECT unnest(range(0, 3)) AS phase) p WHERE NOT EXISTS (SELECT 1 FROM ed WHERE ed.gene = ex.gene AND src = ex.v)),
+c AS (SELECT *, substr(seq, CAST(p + 1 AS INT)) AS coding FROM s), t AS (SELECT *, {translated_sql("coding")} AS r FROM c)
+SELECT gene, v, p AS phase, string_split(r, '_')[1] AS peptide, 1 AS "isIsolated" FROM t WHERE string_split(r, '_')[1] <> ''""")
+def isolated_peptides(spark, d):
+    """Peptides of exons from which no edge leads on."""
+    from spliceloom.operators import peptides as p
+
+    vs = vertices(spark, d)
+    rows = p.modified_pairs(p.isolated_exons(g.all_frames(vs), edges(spark, d)), vs)
+    return p.reference_peptides(rows, graph_sequences(spark, d)).select("gene", "v", "phase", "peptide", "isIsolated")
+
+
+@query(f"""WITH {CDS}, {GRAPH}, {_ALL_PAIRS}, k AS (SELECT *, unnest(range(0, CAST(length(peptide) - 8 AS BIGINT))) AS i FROM pt WHERE length(peptide) >= 9),
+o AS (SELECT *, n1 - m1 AS len1 FROM k),
+q AS (SELECT gene, substr(peptide, CAST(i + 1 AS INT), 9) AS kmer, 3 * i < len1 AS has1, 3 * i + 27 > len1 AS has2,
+CASE WHEN strand = '+' THEN m1 + 3 * i ELSE greatest(n1 - 3 * i - 27, m1) END AS a1, CASE WHEN strand = '+' THEN least(m1 + 3 * i + 27, n1) ELSE n1 - 3 * i END AS b1,
+CASE WHEN strand = '+' THEN m2 + greatest(3 * i - len1, 0) ELSE n2 - (3 * i + 27 - len1) END AS a2, CASE WHEN strand = '+' THEN m2 + 3 * i + 27 - len1 ELSE n2 - greatest(3 * i - len1, 0) END AS b2 FROM o),
+x AS (SELECT DISTINCT gene, kmer, CASE WHEN has1 THEN a1 ELSE a2 END AS a, CASE WHEN has1 THEN b1 ELSE b2 END AS b, CASE WHEN has1 AND has2 THEN a2 END AS c, CASE WHEN has1 AND has2 THEN b2 END AS d FROM q),
+j AS (SELECT gene, least(struct_pack(s := l.start, e := l.stop, q := l.quantity), struct_pack(s := r.start, e := r.stop, q := r.quantity)) AS lo, greatest(struct_pack(s := l.start, e := l.stop, q := l.quantity), struct_pack(s := r.start, e := r.stop, q := r.quantity)) AS hi
+      FROM ed JOIN vx l USING (gene) JOIN vx r USING (gene) WHERE l.v = src AND r.v = dst),
+jc AS (SELECT gene, lo.e AS ls, hi.s AS rs, min(lo.q) AS q FROM j GROUP BY ALL),
+kn AS (SELECT DISTINCT gene, stop AS ls, lead(start) OVER (PARTITION BY gene ORDER BY start, v) AS rs FROM vx WHERE l_partkey % 2 = 0),
+sx AS (SELECT x.gene, kmer, a, b, round(sum((least(b, stop) - greatest(a, start)) * quantity) / 27, 2) AS e FROM x JOIN vx ON vx.gene = x.gene AND a < stop AND start < b WHERE c IS NULL GROUP BY ALL)
+SELECT gene, kmer, a || ':' || b || ':nan:nan:None:None' AS coord, false AS "isCrossJunction", false AS "junctionAnnotated", CAST(round(e * 100) AS BIGINT) AS hundredths FROM sx
+UNION ALL SELECT x.gene, kmer, a || ':' || b || ':' || c || ':' || d || ':None:None', true, EXISTS (SELECT 1 FROM kn WHERE kn.gene = x.gene AND kn.ls = CASE WHEN (a, b) < (c, d) THEN b ELSE d END AND kn.rs = CASE WHEN (a, b) < (c, d) THEN c ELSE a END), CAST(round(jc.q * 100) AS BIGINT)
+FROM x LEFT JOIN jc ON jc.gene = x.gene AND jc.ls = CASE WHEN (a, b) < (c, d) THEN b ELSE d END AND jc.rs = CASE WHEN (a, b) < (c, d) THEN c ELSE a END WHERE c IS NOT NULL""")
+def kmer_matrices(spark, d):
+    """Both k-mer matrices in one table, with the first sample's expression in hundredths."""
+    from spliceloom.operators import peptides as p
+
+    vs = vertices(spark, d)
+    segments = vs.select("gene", F.col("start").alias("seg_start"), F.col("stop").alias("seg_stop"), _counts(F.col("quantity")).alias("counts"))
+    end = lambda v, n: vs.select("gene", F.col("v").alias(v), F.struct("start", "stop", "quantity").alias(n))
+    joined = edges(spark, d).join(end("src", "l"), ["gene", "src"]).join(end("dst", "r"), ["gene", "dst"])
+    low, high = F.least("l", "r"), F.greatest("l", "r")
+    counts = joined.select("gene", low["stop"].alias("left_stop"), high["start"].alias("right_start"), _counts(low["quantity"]).alias("counts"))
+    known = a.annotated_junctions(vs.where("l_partkey % 2 = 0").select("gene", F.col("gene").alias("tx"), F.col("start").alias("left"), F.col("stop").alias("right"), F.col("v").alias("line")))
+    rows = p.reference_peptides(_all_pairs(spark, d), graph_sequences(spark, d))
+    segment, junction = p.kmer_matrices(rows, 9, segments, counts, known)
+    hundredths = F.round(F.get("expr", F.lit(0)) * 100).cast("long").alias("hundredths")
+    return segment.unionByName(junction).select("gene", "kmer", "coord", "isCrossJunction", "junctionAnnotated", hundredths)

@@ -8,7 +8,7 @@ from spliceloom.functions import seq as s
 from spliceloom.operators import annotation as a
 from spliceloom.operators import expression as e
 from spliceloom.plans import query
-from spliceloom.plans.tables import CDS, DNA, VARIANTS, cds, dna_of, read, reverse_complement_sql, sequences, translated_sql, variants
+from spliceloom.plans.tables import CDS, DNA, VARIANTS, cds, dna_of, read, reverse_complement_sql, sequences, translated_sql, variants, variants_sql
 
 
 @query(f"""WITH {DNA}, t AS (SELECT gene, {translated_sql('dna')} AS r FROM dna)
@@ -23,18 +23,18 @@ def reverse_complement(spark, d):
     return sequences(spark, d).select("gene", s.reverse_complement(F.col("dna")).alias("rc"), s.complement(F.col("dna")).alias("complement"))
 
 
-@query(f"""WITH {DNA}, {VARIANTS}, lv AS (SELECT gene, pos, max_by(base, line) AS base FROM va GROUP BY gene, pos),
-b AS (SELECT dna.gene, p.p - 1 AS pos, substr(dna, p.p, 1) AS ref FROM dna, (SELECT unnest(range(101, 501)) AS p) p)
+@query(f"""WITH {DNA}, {variants_sql('customer', 'c_custkey')}, lv AS (SELECT gene, pos, max_by(base, line) AS base FROM va GROUP BY gene, pos),
+b AS (SELECT dna.gene, p.p - 1 AS pos, substr(dna, CAST(p.p AS INT), 1) AS ref FROM dna, (SELECT unnest(range(1, 1025)) AS p) p)
 SELECT b.gene, string_agg(CASE WHEN lv.base IS NULL OR lv.base = '*' THEN ref ELSE lv.base END, '' ORDER BY b.pos) AS mutated
 FROM b LEFT JOIN lv ON lv.gene = b.gene AND lv.pos = b.pos WHERE b.gene IN (SELECT gene FROM lv) GROUP BY b.gene""")
 def apply_snps(spark, d):
-    held = variants(spark, d).groupBy("gene", "pos").agg(F.max_by("base", "line").alias("base"))
+    held = variants(spark, d, "customer", "c_custkey").groupBy("gene", "pos").agg(F.max_by("base", "line").alias("base"))
     lists = held.groupBy("gene").agg(F.collect_list(F.struct("pos", "base")).alias("variants"))
-    return sequences(spark, d).join(lists, "gene").select("gene", s.with_variants(F.substring("dna", 101, 400), F.lit(100), F.col("variants")).alias("mutated"))
+    return sequences(spark, d).join(lists, "gene").select("gene", s.with_variants(F.col("dna"), F.lit(0), F.col("variants")).alias("mutated"))
 
 
 @query(f"""WITH {VARIANTS}, l AS (SELECT sample, gene, list(pos ORDER BY pos) AS ps FROM (SELECT DISTINCT sample, gene, pos FROM va) GROUP BY ALL),
-c AS (SELECT sample, gene, ps, unnest(range(0, CAST(1 << len(ps) AS BIGINT))) AS mask FROM l WHERE len(ps) <= 6)
+c AS (SELECT sample, gene, ps, unnest(range(0, CAST(1 << len(ps) AS BIGINT))) AS mask FROM l)
 SELECT sample, gene, array_to_string(list_filter(ps, lambda p, i: (mask >> (i - 1)) & 1 = 1), ';') AS combination FROM c""")
 def variant_combos(spark, d):
     held = variants(spark, d).groupBy("sample", "gene").agg(F.array_sort(F.collect_set("pos")).alias("ps"))

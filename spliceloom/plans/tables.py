@@ -16,15 +16,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def matrix(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    """kmer, flags and expr (25 samples) of the lines that where selects."""
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kmer, flags and expr (25 samples) of all lines, a k-mer per part."""
+    return _matrix(spark, sf_dir, "true", ["l_partkey"])
+
+
+def split_matrices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The segment matrix, of the lines of return flag R, and the junction matrix of the rest, a k-mer per part and line number."""
+    return tuple(_matrix(spark, sf_dir, where, ["l_partkey", "l_linenumber"]) for where in ("l_returnflag = 'R'", "l_returnflag <> 'R'"))
+
+
+def _matrix(spark: SparkSession, sf_dir: str, where: str, keys: list[str]) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").where(where).join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    cells = lines.groupBy("l_partkey", "s_nationkey").agg(F.sum("l_quantity").alias("x"))
-    rows = cells.groupBy("l_partkey").agg(F.map_from_entries(F.collect_list(F.struct("s_nationkey", "x"))).alias("held"))
+    cells = lines.groupBy(*keys, "s_nationkey").agg(F.sum("l_quantity").alias("x"))
+    rows = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("s_nationkey", "x"))).alias("held"))
     expr = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda p: F.coalesce(F.col("held")[p], F.lit(0.0)))
     part = read(spark, sf_dir, "part")
-    rows = rows.select("l_partkey", expr.alias("expr")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select(F.concat(F.lit("P"), F.col("l_partkey")).alias("kmer"), (F.col("p_size") % 2 == 0).alias("junctionAnnotated"), (F.col("p_size") % 3 != 0).alias("readFrameAnnotated"), "expr")
+    rows = rows.select(*keys, expr.alias("expr")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(F.concat(F.lit("P"), F.concat_ws(".", *keys)).alias("kmer"), (F.col("p_size") % 2 == 0).alias("junctionAnnotated"), (F.col("p_size") % 3 != 0).alias("readFrameAnnotated"), "expr")
 
 
 #: m: the matrix in long form, without its zeros; kf: the k-mers with their flags.
@@ -34,12 +43,12 @@ m AS (SELECT 'P' || l_partkey AS kmer, s_nationkey AS s, sum(l_quantity) AS x
 kf AS (SELECT 'P' || p_partkey AS kmer, p_size % 2 = 0 AS ja, p_size % 3 <> 0 AS rf FROM part
        WHERE p_partkey IN (SELECT l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey))
 """
-#: The same for the lines of one return flag, R for the segment matrix and the rest for the junction matrix.
+#: The same for the lines of return flag R, the segment matrix, and the rest, the junction matrix, by part and line number.
 SPLIT = """
-seg AS (SELECT 'P' || l_partkey AS kmer, s_nationkey AS s, sum(l_quantity) AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-        JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity >= 44 GROUP BY ALL),
-jun AS (SELECT 'P' || l_partkey AS kmer, s_nationkey AS s, sum(l_quantity) AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-        JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R' AND l_quantity >= 47 GROUP BY ALL)
+seg AS (SELECT 'P' || l_partkey || '.' || l_linenumber AS kmer, s_nationkey AS s, sum(l_quantity) AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+        JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' GROUP BY ALL),
+jun AS (SELECT 'P' || l_partkey || '.' || l_linenumber AS kmer, s_nationkey AS s, sum(l_quantity) AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+        JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R' GROUP BY ALL)
 """
 
 
@@ -131,19 +140,27 @@ ed AS (SELECT a.gene, CASE WHEN a.strand = '+' THEN a.v ELSE b.v END AS src, CAS
 """
 
 
-def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample, gene, pos, base and line of events as single-base variants on orders."""
-    rows = read(spark, sf_dir, "events")
+def variants(spark: SparkSession, sf_dir: str, table: str = "orders", key: str = "o_orderkey") -> DataFrame:
+    """sample, gene, pos, base and line of all events as single-base variants on genes, the keys of a table.
+
+    Sixteen events meet in a gene, eight in a sample, two in a place; genes are dealt over all keys.
+    """
+    most = read(spark, sf_dir, table).agg(F.max(key).alias("most"))
+    rows = read(spark, sf_dir, "events").join(F.broadcast(most))  # one row
     return rows.select(
-        F.concat(F.lit("S"), F.col("user_id") % 20).alias("sample"),
-        (F.col("event_id") % 1000 + 1).alias("gene"),
-        (F.col("event_id") * 7 % 800).cast("int").alias("pos"),
+        F.concat(F.lit("S"), F.expr("event_id div 8") % 20).alias("sample"),
+        (F.expr("event_id div 16") * 7919 % F.col("most") + 1).alias("gene"),
+        (F.expr("event_id div 2") * 37 % 1000).cast("int").alias("pos"),
         F.substring(F.lit("ACGT*"), (F.col("event_id") % 5 + 1).cast("int"), F.lit(1)).alias("base"),
         F.col("event_id").alias("line"),
     )
 
 
-VARIANTS = """
-va AS (SELECT 'S' || (user_id % 20) AS sample, event_id % 1000 + 1 AS gene, CAST(event_id * 7 % 800 AS INT) AS pos,
+def variants_sql(table: str = "orders", key: str = "o_orderkey") -> str:
+    return f"""
+va AS (SELECT 'S' || (event_id // 8 % 20) AS sample, event_id // 16 * 7919 % (SELECT max({key}) FROM {table}) + 1 AS gene, CAST(event_id // 2 * 37 % 1000 AS INT) AS pos,
        substr('ACGT*', CAST(event_id % 5 + 1 AS INT), 1) AS base, event_id AS line FROM events)
 """
+
+
+VARIANTS = variants_sql()

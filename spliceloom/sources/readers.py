@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spliceloom.functions.seq import chromosome_name, isoleucine_as_leucine
+from spliceloom.functions.seq import chromosome_name, isoleucine_as_leucine, kmers
 from spliceloom.operators.cohort import clean
 from spliceloom.operators.expression import divisors
+from spliceloom.operators.quality import InputError, check, missing, repeated
 
 #: Columns of a k-mer matrix that are not samples, and their types.
 MATRIX_FIELDS = {"kmer": "string", "coord": "string", "isCrossJunction": "boolean", "junctionAnnotated": "boolean", "readFrameAnnotated": "boolean"}
@@ -27,10 +29,17 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
     return spark.read.option("sep", sep).option("header", True).csv(path).columns
 
 
+def _fields(columns: list[str]) -> dict[str, str]:
+    """The columns that are not samples, with the field that each is."""
+    known = {f.lower(): f for f in MATRIX_FIELDS}
+    return {c: known[c.lower()] for c in columns if c.lower() in known}
+
+
 def kmer_matrix(spark: SparkSession, paths: str | list[str], kind: str | None = None) -> tuple[DataFrame, list[str]]:
     """A matrix in array form and its sample names in order; kind: parquet, tsv or csv, else by the path's end.
 
-    All files of a list must have the same columns. Missing values and NaN become 0.
+    All files of a list must have the same columns. Missing values and NaN become 0. Columns that are no samples are known
+    in any spelling of their letters.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     kind = kind or next((k for k in ("parquet", "tsv", "csv") if f".{k}" in paths[0] or paths[0].endswith(".pq") and k == "parquet"), "tsv")
@@ -42,13 +51,15 @@ def kmer_matrix(spark: SparkSession, paths: str | list[str], kind: str | None =
         for p in paths[1:]:
             if _header(spark, p, sep) != columns:
                 raise ValueError(f"{p} has other columns than {paths[0]}")
-        schema = T.StructType([T.StructField(c, T.BooleanType() if MATRIX_FIELDS.get(c) == "boolean" else T.StringType() if c in MATRIX_FIELDS else T.DoubleType()) for c in columns])
+        kinds = {c: MATRIX_FIELDS[f] for c, f in _fields(columns).items()}
+        schema = T.StructType([T.StructField(c, {"boolean": T.BooleanType(), "string": T.StringType()}.get(kinds.get(c), T.DoubleType())) for c in columns])
         df = spark.read.schema(schema).option("sep", sep).option("header", True).option("nanValue", "nan").csv(paths)
-    samples = [c for c in df.columns if c not in MATRIX_FIELDS]
+    field = _fields(df.columns)
+    samples = [c for c in df.columns if c not in field]
     names = [sample_name(c) for c in samples]
     if len(set(names)) < len(names):
         raise ValueError("sample names are equal without their separators")
-    fixed = [F.col(c).cast(MATRIX_FIELDS[c]).alias(c) for c in df.columns if c in MATRIX_FIELDS]
+    fixed = [F.col(c).cast(MATRIX_FIELDS[field[c]]).alias(field[c]) for c in df.columns if c in field]
     return df.select(*fixed, clean(F.array(*[F.col(f"`{c}`").cast("double") for c in samples])).alias("expr")), names
 
 
@@ -100,14 +111,20 @@ def maf_variants(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vcf_variants(spark: SparkSession, path: str) -> DataFrame:
-    """sample, chrom, pos (from 0), ref, alt and line of the single-base variants that samples of a VCF file carry."""
+    """sample, chrom, pos (from 0), ref, alt and line of the substitutions that samples of a VCF file carry.
+
+    One of several bases is a variant at each place at which both differ; other lengths are no substitutions.
+    """
     lines = spark.read.text(path).where("value not like '##%'").withColumn("line", F.monotonically_increasing_id())
     names = lines.where("value like '#CHROM%'").first().value.split("\t")[9:]
     f = F.split("value", "\t")
     pairs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("sample"), F.slice(f, 10, len(names)).alias("gt"))
     rows = lines.where("value not like '#%'").select(f.alias("f"), "line", F.explode(pairs).alias("p"))
     rows = rows.select(F.col("p.sample").alias("sample"), F.get("f", F.lit(0)).alias("chrom"), (F.get("f", F.lit(1)).cast("int") - 1).alias("pos"), F.get("f", F.lit(3)).alias("ref"), F.get("f", F.lit(4)).alias("alt"), "line", F.substring_index("p.gt", ":", 1).alias("gt"))
-    return rows.where(F.col("gt").isin(*CARRIED) & (F.length("ref") == 1) & (F.length("alt") == 1)).drop("gt")
+    rows = rows.where(F.col("gt").isin(*CARRIED) & (F.length("ref") == F.length("alt")))
+    base = lambda c, k: F.substring(c, k + 1, F.lit(1))
+    places = F.transform(F.sequence(F.lit(0), F.length("ref") - 1), lambda k: F.struct((F.col("pos") + k).alias("pos"), base(F.col("ref"), k).alias("ref"), base(F.col("alt"), k).alias("alt")))
+    return rows.select("sample", "chrom", F.explode(places).alias("x"), "line").where("x.ref != x.alt").select("sample", "chrom", "x.pos", "x.ref", "x.alt", "line")
 
 
 def genotype_variants(table: DataFrame, heterozygous: int = 0) -> DataFrame:
@@ -130,6 +147,102 @@ def renamed_samples(variants_table: DataFrame, names: DataFrame) -> DataFrame:
     return variants_table.join(names.select(F.col("mutation").alias("sample"), "graph"), "sample", "left").withColumn("sample", F.coalesce("graph", "sample")).drop("graph")
 
 
+#: Fixed schemas of the tables that hold a splice graph and its counts.
+GRAPH_TABLES = {
+    "genes": "gene_idx int, gene string, chrom string, strand string, start int, stop int, n_vertices int",
+    "vertices": "gene string, v int, start int, stop int, strand string",
+    "edges": "gene string, src int, dst int",
+    "segments": "gene string, seg_id int, seg_start int, seg_stop int",
+    "seg_edges": "gene string, left_stop int, right_start int",
+}
+COUNT_TABLES = {"segment_counts": "gene string, seg_id int, counts array<double>", "edge_counts": "gene string, left_stop int, right_start int, counts array<double>"}
+
+
+def graph_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a splice graph, parquet files of a folder, with their fixed columns."""
+    return {name: spark.read.schema(schema).parquet(f"{folder}/{name}.parquet") for name, schema in GRAPH_TABLES.items()}
+
+
+def count_store(spark: SparkSession, folder: str, graph: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], list[str]]:
+    """Counts of segments and edges, an array by sample position, and the sample names of a folder.
+
+    Arrays of another length than there are samples, repeated keys and, with a graph, counts of unknown genes are errors.
+    """
+    rows = spark.read.schema("pos int, sample string").parquet(f"{folder}/samples.parquet").orderBy("pos").collect()  # as long as there are samples
+    names = [sample_name(r.sample) for r in rows]
+    if [r.pos for r in rows] != list(range(len(rows))) or len(set(names)) < len(names):
+        raise InputError("samples: positions must run from 0 and names differ")
+    counts = {name: spark.read.schema(schema).parquet(f"{folder}/{name}.parquet") for name, schema in COUNT_TABLES.items()}
+    for name, df in counts.items():
+        keys = [c for c in df.columns if c != "counts"]
+        problems = {f"{name} of another length": df.where(F.col("counts").isNull() | (F.size("counts") != len(names))).select(*keys), f"{name} repeated": repeated(df, *keys)}
+        if graph:
+            problems[f"{name} of unknown genes"] = missing(df, graph["genes"], "gene")
+        check(**problems)
+    return counts, names
+
+
+def sample_positions(names: list[str], chosen: list[str]) -> dict[str, int]:
+    """Positions of chosen samples among names; an unknown one is left out with a warning, and cohort without one."""
+    at = {n: k for k, n in enumerate(names)}
+    for c in chosen:
+        if c != "cohort" and sample_name(c) not in at:
+            warnings.warn(f"sample {c} has no counts, so it gets no expression", stacklevel=2)
+    return {c: at[sample_name(c)] for c in chosen if sample_name(c) in at}
+
+
+def junction_whitelist(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, strand, a and b of a list of junctions: a parquet table, or lines of chrom and a:b:strand."""
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.schema("chrom string, a int, b int, strand string").parquet(path).select("chrom", "strand", "a", "b").distinct()
+    f = F.split("junction", ":")
+    rows = spark.read.schema("chrom string, junction string").option("sep", "\t").csv(path)
+    return rows.select("chrom", F.get(f, F.lit(2)).alias("strand"), F.get(f, F.lit(0)).cast("int").alias("a"), F.get(f, F.lit(1)).cast("int").alias("b")).distinct()
+
+
+def sample_map(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """sample (the graph's name) and mutation (the variants') of a table with a header and two columns, or three: graph,
+    germline and somatic, of which kind picks one. A missing name is the graph's own."""
+    columns = _header(spark, path, "\t")
+    if len(columns) not in (2, 3) or len(columns) == 3 and kind not in ("germline", "somatic"):
+        raise ValueError(f"{path} needs two columns, or three and a kind of variants")
+    df = spark.read.schema(", ".join(f"c{k} string" for k in range(len(columns)))).option("sep", "\t").option("header", True).csv(path)
+    chosen = F.col("c2" if kind == "somatic" and len(columns) == 3 else "c1")
+    return df.select(F.col("c0").alias("sample"), F.coalesce(chosen, "c0").alias("mutation")).distinct()
+
+
+def gene_list(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct genes of a list."""
+    return spark.read.schema("gene string").csv(path).select(F.trim("gene").alias("gene")).where("gene != ''").distinct()
+
+
+def metadata_table(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct rows of a peptide metadata table that have a peptide."""
+    return parts_of(spark, path).where("peptide is not null").distinct()
+
+
+def external_kmers(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct k-mers of a parquet or tab-separated table with a column kmer."""
+    df = spark.read.parquet(path) if ".parquet" in path or path.endswith(".pq") else parts_of(spark, path)
+    return df.select("kmer").where("kmer is not null").distinct()
+
+
+def junction_fasta(spark: SparkSession, path: str, sep: str = "_", gene: int = 0, first: int = 1) -> DataFrame:
+    """gene, coords and peptide of an earlier result's entries.
+
+    The header's fields, parted at sep, hold the gene and from field first on four coordinates, of which the second and fourth
+    count from 1 and become one less.
+    """
+    f = F.split("id", F.lit(f"\\Q{sep}\\E"))
+    at = lambda k: F.get(f, F.lit(first + k)).try_cast("int") - k % 2
+    return fasta_entries(spark, path).select(F.get(f, F.lit(gene)).alias("gene"), F.array(*[at(k) for k in range(4)]).alias("coords"), F.col("sequence").alias("peptide"))
+
+
+def fasta_kmers(spark: SparkSession, path: str, k: int = 9) -> DataFrame:
+    """id and each distinct k-mer of FASTA entries."""
+    return fasta_entries(spark, path).select("id", F.explode(kmers(F.col("sequence"), k)).alias("kmer")).distinct()
+
+
 def known_kmers(spark: SparkSession, path: str) -> DataFrame:
     """Distinct k-mers of a list, with I as L."""
     return spark.read.schema("kmer string").csv(path).select(isoleucine_as_leucine(F.trim("kmer")).alias("kmer")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,42 @@ def list_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.concat_ws(";", F.col(c).cast("array<string>")).alias(c) if kinds[c].startswith("array") else c for c in df.columns])
 
 
-def stage_table(df_of, path: str, spark) -> DataFrame:
-    """The table at path, made by df_of() first where it isn't complete; path names the parameters it was made with."""
-    conf = spark._jsc.hadoopConfiguration()
+def expression_table(long: DataFrame, samples: list[str]) -> DataFrame:
+    """gene and a column per sample from gene expression (gene, pos, expr); a missing value is 0."""
+    rows = long.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("pos", "expr"))).alias("held"))
+    return rows.select("gene", *[F.coalesce(F.col("held")[k], F.lit(0.0)).alias(n) for k, n in enumerate(samples)])
+
+
+def parameter_name(name: str, **parameters) -> str:
+    """name with its parameters in order of their names, as a file name: two runs share it only if all are equal."""
+    shown = [f"{k}-{'none' if v is None else v}" for k, v in sorted(parameters.items())]
+    return re.sub(r"[^A-Za-z0-9._=-]+", "-", "_".join([name, *shown]))
+
+
+def output_path(folder: str, name: str, kind: str = "tsv.gz", **parameters) -> str:
+    """The path of a result in a folder, named after what it was made with."""
+    return f"{folder.rstrip('/')}/{parameter_name(name, **parameters)}.{kind}"
+
+
+def append_counts(counts: DataFrame, path: str, **parameters) -> None:
+    """Append a report of steps (step, name, n) as one row: a column per parameter, then one per step in order."""
+    row = counts.groupBy().agg(F.array_sort(F.collect_list(F.struct("step", "name", "n"))).alias("x"))
+    fixed = [F.lit(None if v is None else str(v)).cast("string").alias(k) for k, v in sorted(parameters.items())]
+    row.select(*fixed, F.transform("x", lambda s: F.struct(s["name"].alias("name"), s["n"].alias("n"))).alias("steps")).write.mode("append").parquet(path)
+
+
+def counts_report(spark, path: str) -> DataFrame:
+    """All rows of a report of steps, a column for each step's count."""
+    df = spark.read.parquet(path)
+    names = [r.name for r in df.select(F.posexplode(F.transform("steps", lambda s: s["name"])).alias("k", "name")).groupBy("name").agg(F.min("k").alias("k")).orderBy("k", "name").collect()]
+    held = F.map_from_entries(F.transform("steps", lambda s: F.struct(s["name"], s["n"])))
+    return df.select(*[c for c in df.columns if c != "steps"], *[held[n].alias(n) for n in names])
+
+
+def stage_table(df_of, folder: str, spark, name: str = "stage", **parameters) -> DataFrame:
+    """The table of a stage with these parameters in folder, made by df_of() first where it isn't complete."""
+    path = output_path(folder, name, "parquet", **parameters)
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(conf).exists(done):
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         df_of().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

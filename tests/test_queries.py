@@ -7,7 +7,6 @@ from spliceloom import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"frame_propagation", "exon_pairs"}
 
 
 def _text(v):
@@ -22,7 +21,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_same_rows_as_duckdb(spark, duck, name):
     df = plans.queries()[name](spark, SF)
     cursor = duck.execute(plans.oracle_sql()[name])

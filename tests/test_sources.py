@@ -48,7 +48,7 @@ def test_variant_files(spark, tmp_path):
         f.write("##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\n1\t10\t.\tA\tG\t.\t.\t.\tGT\t0|1:3\t0|0\n1\t12\t.\tAC\tGT\t.\t.\t.\tGT\t1|1\t1|1\n")
     with open(maf, "w") as f:
         f.write("Chromosome\tStart_Position\tStrand\tVariant_Classification\tVariant_Type\tReference_Allele\tTumor_Seq_Allele2\tTumor_Sample_Barcode\nX\t38\t+\tx\tSNP\tA\tG\ts1\nX\t39\t+\tx\tINS\tA\tGG\ts1\n")
-    assert [(x.sample, x.chrom, x.pos, x.ref, x.alt) for x in r.variants(spark, vcf, "germline").collect()] == [("A", "1", 9, "A", "G")]
+    assert [(x.sample, x.chrom, x.pos, x.ref, x.alt) for x in r.variants(spark, vcf, "germline").collect()] == [("A", "1", 9, "A", "G"), *[(n, "1", k, *b) for n in "AB" for k, b in ((11, "AG"), (12, "CT"))]]
     assert [(x.sample, x.chrom, x.pos, x.ref, x.alt) for x in r.variants(spark, maf, "somatic").collect()] == [("s1", "X", 37, "A", "G")]
     with pytest.raises(ValueError, match="read from"):
         r.variants(spark, "x.bed", "germline")

@@ -1,14 +1,15 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 A text is lower-cased (A-Z) and reduced to its words. Texts that hold an anchor keyword are looked at
-further: at each place of an anchor, the rules filed under that word are matched against the words that
-follow. A place keeps its longest match, then the rule that comes first; matches inside another match are
+further: at each place of an anchor where any rule matches, the rules filed under that word are matched one by one
+against the words that follow. A place keeps its longest match, then the rule that comes first; matches inside another match are
 suppressed. What a rule is worth and its label come from the rule list, in order of priority.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,6 +143,156 @@ HEADERS = [
     ("permission to use copy modify and distribute this software and its documentation for any purpose without fee", "postgresql", 0.8),
     ("to deal with the software without restriction", "ncsa", 0.8),
 ]
+#: Further licenses by name, a rule each: label and pattern.
+NAMES = [
+    ("aal", "attribution assurance licen[sc]e"),
+    ("apl", "adaptive public licen[sc]e"),
+    ("apsl", "apple public source licen[sc]e( [12]( [0-2])?)?"),
+    ("beerware", "beer ?ware licen[sc]e"),
+    ("bittorrent", "bittorrent open source licen[sc]e"),
+    ("blueoak", "blue oak model licen[sc]e( 1 0 0)?"),
+    ("busl", "business source licen[sc]e( 1 1)?"),
+    ("catosl", "computer associates trusted open source licen[sc]e"),
+    ("cdla", "community data licen[sc]e agreement( (permissive|sharing))?"),
+    ("cern-ohl", "cern open hardware licen[sc]e( version 2)?( (permissive|weakly reciprocal|strongly reciprocal))?"),
+    ("cpal", "common public attribution licen[sc]e"),
+    ("cua", "cua office public licen[sc]e"),
+    ("curl", "curl licen[sc]e"),
+    ("d-fsl", "deutsche freie software lizenz"),
+    ("dl-de", "datenlizenz deutschland( (zero|namensnennung))?( version)?( [12] 0)?"),
+    ("dl-de", "data licen[sc]e germany( (zero|attribution))?( version)?( [12] 0)?"),
+    ("ecl", "educational community licen[sc]e( [12] 0)?"),
+    ("efl", "eiffel forum licen[sc]e( [12]( 0)?)?"),
+    ("elastic", "elastic licen[sc]e( 2 0)?"),
+    ("entessa", "entessa public licen[sc]e"),
+    ("erlpl", "erlang public licen[sc]e( 1 1)?"),
+    ("etalab", "licence ouverte( [12] 0)?"),
+    ("etalab", "etalab open licen[sc]e( [12] 0)?"),
+    ("eudatagrid", "eu datagrid software licen[sc]e"),
+    ("fair", "fair licen[sc]e"),
+    ("fal", "free art licen[sc]e( 1 3)?"),
+    ("frameworx", "frameworx open licen[sc]e"),
+    ("freetype", "freetype( project)? licen[sc]e"),
+    ("gemma", "gemma terms of use"),
+    ("hippocratic", "hippocratic licen[sc]e( [123] [01])?"),
+    ("hpnd", "historical permission notice and disclaimer"),
+    ("icu", "icu licen[sc]e"),
+    ("ijg", "independent jpeg group"),
+    ("imagemagick", "imagemagick licen[sc]e"),
+    ("intel", "intel open source licen[sc]e"),
+    ("ipa", "ipa font licen[sc]e"),
+    ("ipl", "ibm public licen[sc]e( 1 0)?"),
+    ("jam", "jam licen[sc]e"),
+    ("json", "json licen[sc]e"),
+    ("libpng", "libpng licen[sc]e( version 2)?"),
+    ("llama", "llama( [23]( [123])?)? community licen[sc]e"),
+    ("lpl", "lucent public licen[sc]e( 1 0[02]?)?"),
+    ("lppl", "latex project public licen[sc]e( 1 [0-3][ac]?)?"),
+    ("miros", "miros licen[sc]e"),
+    ("motosoto", "motosoto( open source)? licen[sc]e"),
+    ("ms-rl", "microsoft reciprocal licen[sc]e"),
+    ("mulan", "mulan (permissive software|public) licen[sc]e"),
+    ("multics", "multics licen[sc]e"),
+    ("naumen", "naumen public licen[sc]e"),
+    ("ngpl", "nethack general public licen[sc]e"),
+    ("nokia", "nokia open source licen[sc]e"),
+    ("nosl", "netizen open source licen[sc]e"),
+    ("nposl", "non profit open software licen[sc]e( 3 0)?"),
+    ("npl", "netscape public licen[sc]e( 1 [01])?"),
+    ("oclc", "oclc research public licen[sc]e"),
+    ("odc-by", "open data commons attribution licen[sc]e"),
+    ("ogl", "open government licen[sc]e( v[123])?( [123] 0)?"),
+    ("oldap", "openldap public licen[sc]e"),
+    ("openrail", "(creativeml |bigscience )?open ?rail( m)?( licen[sc]e)?"),
+    ("opl", "open publication licen[sc]e"),
+    ("oset", "oset public licen[sc]e"),
+    ("parity", "parity public licen[sc]e"),
+    ("pddl", "public domain dedication and licen[sc]e"),
+    ("polyform", "polyform (noncommercial|small business|shield|perimeter|strict|internal use) licen[sc]e"),
+    ("prosperity", "prosperity public licen[sc]e"),
+    ("rpl", "reciprocal public licen[sc]e( 1 [15])?"),
+    ("rpsl", "realnetworks public source licen[sc]e"),
+    ("rscpl", "ricoh source code public licen[sc]e"),
+    ("sgi", "sgi free software licen[sc]e( b)?"),
+    ("simpl", "simple public licen[sc]e( 2 0)?"),
+    ("sissl", "sun industry standards source licen[sc]e"),
+    ("sleepycat", "sleepycat licen[sc]e"),
+    ("solderpad", "solderpad( hardware)? licen[sc]e"),
+    ("spl", "sun public licen[sc]e( 1 0)?"),
+    ("sspl", "server side public licen[sc]e( v1| version 1)?"),
+    ("tapr-ohl", "tapr open hardware licen[sc]e"),
+    ("tcl", "tcl tk licen[sc]e"),
+    ("upl", "universal permissive licen[sc]e( 1 0)?"),
+    ("vim", "vim licen[sc]e"),
+    ("vsl", "vovida software licen[sc]e"),
+    ("w3c", "w3c( software)?( notice and)? licen[sc]e"),
+    ("watcom", "sybase open watcom public licen[sc]e"),
+    ("xfree86", "xfree86 licen[sc]e( 1 1)?"),
+    ("xnet", "x net licen[sc]e"),
+    ("zpl", "zope public licen[sc]e( [12] [01])?"),
+]
+#: Further sentences of license texts, and what says how a text may be used without a license's name.
+SENTENCES = [
+    ("permission is granted to anyone to use this software for any purpose", "zlib", 0.9),
+    ("this software is licensed as described in the file", "curl", 0.7),
+    ("this program is free software you can redistribute it and or modify", "gpl", 0.9),
+    ("you should have received a copy of the gnu general public", "gpl", 0.9),
+    ("you should have received a copy of the gnu lesser general public", "lgpl", 0.9),
+    ("you should have received a copy of the gnu library general public", "lgpl", 0.9),
+    ("you should have received a copy of the gnu affero general public", "agpl", 0.9),
+    ("this library is distributed in the hope that it will be useful", "lgpl", 0.7),
+    ("this program is distributed in the hope that it will be useful", "gpl", 0.7),
+    ("the above copyright notice and this permission notice shall be included", "mit", 0.9),
+    ("the software is provided as is without warranty of any kind", "mit", 0.7),
+    ("redistributions of source code must retain the above copyright notice", "bsd", 0.9),
+    ("redistributions in binary form must reproduce the above copyright notice", "bsd", 0.9),
+    ("this software is provided by the copyright holders and contributors as is", "bsd", 0.9),
+    ("the contents of this file are subject to the mozilla public", "mpl", 1.0),
+    ("the contents of this file are subject to the terms of the common development", "cddl", 1.0),
+    ("the contents of this file are subject to the netscape public", "npl", 1.0),
+    ("the contents of this file are subject to the sun public", "spl", 1.0),
+    ("everyone is permitted to copy and distribute verbatim", "gpl", 0.7),
+    ("this font software is licensed under the sil", "ofl", 1.0),
+    ("reserved font name", "ofl", 0.6),
+    ("as long as you retain this notice you can do whatever you want", "beerware", 0.9),
+    ("the person who associated a work with this deed", "cc0", 0.9),
+    ("waives all rights to the work worldwide", "cc0", 0.8),
+    ("this work has been marked as dedicated to the public domain", "public-domain", 0.9),
+    ("no copyright is claimed", "public-domain", 0.7),
+    ("no known copyright restrictions", "public-domain", 0.8),
+    ("anyone is free to copy modify publish use compile sell or distribute", "unlicense", 0.9),
+    ("some rights reserved", "cc", 0.5),
+    ("no rights reserved", "cc0", 0.7),
+    ("attribution non ?commercial share ?alike", "cc-by-nc-sa", 0.7),
+    ("attribution non ?commercial no ?derivatives", "cc-by-nc-nd", 0.7),
+    ("attribution non ?commercial", "cc-by-nc", 0.6),
+    ("attribution share ?alike", "cc-by-sa", 0.6),
+    ("attribution no ?derivatives", "cc-by-nd", 0.6),
+    ("creative commons", "cc", 0.5),
+    ("non ?commercial use only", "noncommercial", 0.7),
+    ("personal use only", "noncommercial", 0.5),
+    ("educational use only", "noncommercial", 0.6),
+    ("research purposes only", "noncommercial", 0.6),
+    ("internal use only", "proprietary", 0.6),
+    ("trade secrets? of", "proprietary", 0.6),
+    ("confidential information of", "proprietary", 0.6),
+    ("prior written (permission|consent)", "proprietary", 0.4),
+    ("strictly prohibited without", "proprietary", 0.5),
+    ("evaluation copy", "proprietary", 0.5),
+    ("end user licen[sc]e agreement", "eula", 0.8),
+    ("eula", "eula", 0.6),
+    ("terms of service", "terms", 0.3),
+    ("dual licen[sc]ed", "dual", 0.6),
+    ("multi licen[sc]ed", "dual", 0.6),
+    ("tri licen[sc]ed", "dual", 0.6),
+    ("copyleft", "copyleft", 0.5),
+    ("patent licen[sc]e", "patent", 0.4),
+    ("open source licen[sc]e", "open-source", 0.4),
+    ("permissive licen[sc]e", "open-source", 0.4),
+    ("royalty free licen[sc]e", "royalty-free", 0.5),
+    ("commercial licen[sc]e", "commercial", 0.5),
+    ("licen[sc]e key", "commercial", 0.3),
+]
 #: Words after an anchor that a rule may look at.
 REACH = 20
 
@@ -159,7 +310,8 @@ def rules() -> list[dict]:
         names = [x for x in (clear, known) if x]
         found += [{"pattern": f"spdx licen[sc]e identifier {x}", "label": label, "weight": 1.0} for x in names]
         found += [{"pattern": f"licen[sc]e(s)? {x}", "label": label, "weight": 0.85} for x in names]
-    found += [{"pattern": p, "label": label, "weight": w} for p, label, w in HEADERS + NOTICES]
+    found += [{"pattern": p, "label": label, "weight": 0.8} for label, p in NAMES]
+    found += [{"pattern": p, "label": label, "weight": w} for p, label, w in HEADERS + NOTICES + SENTENCES]
     for k, rule in enumerate(found):
         rule |= {"priority": k, "anchors": sorted(_first_words(rule["pattern"]))}
     return found
@@ -203,6 +355,59 @@ def _first_words(pattern: str) -> set[str]:
     return out
 
 
+def _pieces(pattern: str) -> list[tuple[str, str, bool]]:
+    """The top level of a rule pattern: literal runs and groups, and whether each may be missing."""
+    out, k = [], 0
+    while k < len(pattern):
+        end = k + 1
+        if pattern[k] == "(":
+            depth = 1
+            while depth:
+                depth += (pattern[end] == "(") - (pattern[end] == ")")
+                end += 1
+            kind, text = "group", pattern[k + 1 : end - 1]
+        elif pattern[k] == "[":
+            end = pattern.index("]", k) + 1
+            kind, text = "class", pattern[k:end]
+        else:
+            kind, text = "literal", pattern[k]
+        repeat = re.match(r"\?|\+|\*|\{[0-9,]+\}", pattern[end:])
+        end += repeat.end() if repeat else 0
+        out.append((kind, text, bool(repeat and (repeat[0] in "?*" or repeat[0].startswith("{0")))))
+        k = end
+    return out
+
+
+def _choices(text: str) -> list[str]:
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def keywords(pattern: str) -> set[str]:
+    """Texts of which every match of a rule pattern holds one: its longest literal run, or those of a group's choices."""
+    runs, groups = [""], []
+    for kind, text, missing in _pieces(pattern):
+        if kind == "literal" and not missing:
+            runs[-1] += text
+            continue
+        runs.append("")
+        if kind == "group" and not missing:
+            held = [keywords(c) for c in _choices(text)]
+            if all(held):
+                groups.append(set().union(*held))
+    size = lambda x: sum(map(str.isalnum, x))
+    best = max((r.strip() for r in reversed(runs)), key=size)
+    if size(best) >= 4 or not groups:
+        return {best} if size(best) >= 2 else set()
+    return max(groups, key=lambda g: (min(map(size, g)), sum(map(size, g))))
+
+
 def _normal(text: Column) -> Column:
     """The words of a text with one space before, between and after."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -221,7 +426,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     greatest start, null without one), base_labels and labels (distinct, sorted, comma-joined; labels holds the
     base ones and those of all rules that were not suppressed), score (the greatest weight, 0 without a label),
     n_detections, detections (start, stop, label and weight of each match that stays, words from 0). A null or
-    empty text has no words and no labels. Repeated rows are scanned each; other columns are ignored.
+    empty text has no words and no labels. Repeated rows are scanned each, a text of any length is read whole, an empty table
+    gives no rows and other columns are ignored.
     """
     listed = rules()
     anchors = sorted({a for r in listed for a in r["anchors"]})
@@ -233,7 +439,10 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     df = docs.select(F.col("doc_id").cast("long"), _normal(F.col("text").cast("string")).alias("normal"))
     df = df.withColumn("n_words", F.when(F.length("normal") <= 2, 0).otherwise(_spaces(F.col("normal")) - 1).cast("long"))
-    gate = F.col("normal").rlike(" (" + "|".join(anchors) + ") ") & F.col("normal").rlike("licen[sc]e|copyright|rights reserved|public domain|creative commons|proprietary|cc0| cc |agreement|permission|redistribution|unencumbered|software|affero|unauthorized|what the|gpl|gfdl|apache|mit 0|bsd|mpl|epl|eupl|cddl|cpl|bsl|artistic|psf|wtfpl|osl|afl|ofl|odbl|qpl|cecill|nasa|neither the name|extent possible|accompanying materials|mozilla")
+    # the keyword prefilter: without one of these no rule and no base phrase matches
+    held = set().union(*(keywords(p) for p in [*BASE, *(r["pattern"] for r in listed)]))
+    held = {k if len(k) > 3 else f" {k}" for k in held}  # short ones begin a word in all rules
+    gate = F.col("normal").rlike("|".join(sorted(k for k in held if not any(o != k and o in k for o in held))))
     df = df.withColumn("gated", F.when(gate, F.col("normal")))
 
     # base places: the text between them tells where they stand
@@ -254,7 +463,9 @@ def scanned(docs: DataFrame) -> DataFrame:
     df = df.withColumn("words", F.when(F.col("gated").isNotNull(), F.split(F.trim("gated"), " ")))
     places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda p: p.word.isin(anchors))
     ahead = lambda p: F.concat(F.array_join(F.slice(F.col("words"), p.at + 1, REACH), " "), F.lit(" "))
-    df = df.withColumn("places", F.transform(places, lambda p: F.struct(p.at.alias("at"), p.word.alias("word"), ahead(p).alias("ahead"))))
+    # one pattern of all rules tells the places with a match; its choices are compiled once, a rule's own at each place
+    some = "^(?:" + "|".join(dict.fromkeys(r["pattern"] for r in listed)) + ") "
+    df = df.withColumn("places", F.filter(F.transform(places, lambda p: F.struct(p.at.alias("at"), p.word.alias("word"), ahead(p).alias("ahead"))), lambda p: p.ahead.rlike(some)))
 
     matched = lambda p, r: F.call_function("regexp_extract", p.ahead, r.pattern, F.lit(0))
 

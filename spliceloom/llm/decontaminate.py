@@ -70,12 +70,16 @@ def size_of(n: int, edits: float = EDITS) -> Size:
 
 @lru_cache(maxsize=256)
 def _walks(n: int, walks: int, sampled: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sequences of n words: the random value of each step and walk, and which walks sample which steps."""
+    """For sequences of n words: the random value of each step and walk, and which walks sample which steps.
+
+    A walk of n words ends after 2 * n steps or so, and what follows is alike for all; the steps sampled are well before.
+    """
+    steps = n + max(1, n // 2)
     rng = np.random.default_rng([seed, n])
-    salts = rng.integers(0, 2**63, (3 * n, walks), dtype=np.uint64)
-    wanted = np.zeros((3 * n, walks), bool)
+    salts = rng.integers(0, 2**63, (steps, walks), dtype=np.uint64)
+    wanted = np.zeros((steps, walks), bool)
     for r in range(walks):
-        wanted[rng.choice(3 * n, min(sampled, 3 * n), replace=False), r] = True
+        wanted[rng.choice(steps, min(sampled, steps), replace=False), r] = True
     return salts, wanted
 
 

@@ -4,7 +4,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from spliceloom.llm import pii, quality
-from spliceloom.llm.decontaminate import EDITS, within, word_hashes
+from spliceloom.llm.decontaminate import EDITS, word_hashes
+from tests.llm.test_decontaminate import within
 from tests.llm.test_near_dedup import brute
 
 SF = "/root/testdata/sf0.001"
@@ -23,7 +24,7 @@ def test_against_a_brute_force_version(spark):
     def leaks(text):
         own = word_hashes(pa.array([text]))[0]
         held = set(own.tolist())
-        return any(sum(x in held for x in w.tolist()) >= len(w) - k and within(w, own, k) for w, k in zip(items, limits))
+        return any(sum(x in held for x in w.tolist()) >= len(w) - k and within(w, own)[0] <= k for w, k in zip(items, limits))
 
     docs = [(d, t) for d, t in docs if not leaks(t)]
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -39,3 +40,29 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).dtypes == docs.dtypes
+
+
+def test_stages_on_nulls_repeats_empty_and_clashing_columns(spark, tmp_path):
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    item = read("benchmark").where("length(text) > 60").first().text
+    rows = [(1, "a plain text of some words that stands here", "x"), (1, "a plain text of some words that stands here", "x"), (2, "a plain text of some words that stands here", "y"), (3, None, "z"), (4, "", None)]
+    rows += [(5, f"before {item} after", "b"), (6, "write to bob@mail.example or 10.0.0.1 at once please", "e"), (None, "without a number", "n"), (None, None, None), (7, "long " * 30_000, "l")]
+    schema = "doc_id long, text string, mark string"
+    fields = [f"cast({v} as {t}) as {n}" for n, t, v in (("lang", "string", "'en'"), ("source", "string", "mark"), ("n_chars", "int", "length(text)"), ("id", "string", "mark"), ("root", "int", "1"), ("times", "int", "2"), ("kept", "boolean", "false"), ("label", "int", "3"))]
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", *fields)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, docs, SF)
+        found = sorted((r.doc_id or 0, (r.asDict().get("text") or "")[:20]) for r in out.collect())
+        if name == "bpe":
+            assert len(found) == len(rows)
+            continue
+        assert out.dtypes == docs.dtypes, name
+        expected = {"near_dedup": [0, 0, 1, 3, 4, 5, 6, 7], "decontamination": [0, 0, 1, 1, 2, 3, 4, 6, 7], "pii": [0, 0, 1, 1, 2, 3, 4, 5, 6, 7]}[name]
+        assert [d for d, _ in found] == expected, name
+        if name == "pii":
+            sample = next(r for r in out.collect() if r.doc_id == 6)
+            assert sample.text == "write to [EMAIL] or [IP] at once please" and sample.n_chars == len(sample.text)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    for table in ("documents", "labels", "benchmark"):
+        (docs if table == "documents" else read(table).limit(0)).write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 0, 1, 3, 4, 5, 6, 7]

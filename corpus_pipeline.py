@@ -1,7 +1,10 @@
 """Corpus preparation: quality, near-duplicates, benchmark leaks, personal data, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; its rows are written as a table
-and read again as the next one's docs. All but the last return the columns of documents.
+and read again as the next one's docs. All but the last return the columns of documents, of whatever type and with all
+others that docs has. Null and empty texts go the way of any other: they are scored, are nobody's duplicate, leak nothing, hold
+no personal data and have no tokens. Of rows with one doc_id the near-duplicate stage keeps one, by text; rows without
+doc_id all stay. An empty table gives no rows, and an empty labels or benchmark table rejects none.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned from the labelled documents, does not reject."""
+    """Documents that the quality classifier, learned from the labelled ones among docs, does not reject."""
     return quality.filtered(docs, _table(spark, sf_dir, "labels"))
 
 

@@ -46,7 +46,7 @@ def gene_transcripts(cds: DataFrame) -> DataFrame:
 def background_peptides(cds: DataFrame, sequences: DataFrame) -> DataFrame:
     """tx, gene and peptide of each transcript, from sequences (gene, dna, offset): pieces joined in reading order.
 
-    The phase moves the start of the first piece only; on the minus strand the joined bases are read backwards.
+    Germline sequences, which have a column sample, give each sample's own. The phase moves the start of the first piece only; on the minus strand the joined bases are read backwards.
     """
     pieces = F.array_sort(F.collect_list(F.struct("left", "line", "right", "phase"))).alias("pieces")
     rows = cds.groupBy("gene", "tx", "strand").agg(pieces).join(sequences, "gene")
@@ -54,8 +54,10 @@ def background_peptides(cds: DataFrame, sequences: DataFrame) -> DataFrame:
     first = F.when(F.col("strand") == "+", F.element_at("pieces", 1).phase).otherwise(F.element_at("pieces", -1).phase)
     read = F.when(F.col("strand") == "+", whole).otherwise(reverse_complement(whole))
     coding = F.substring(read, (first + 1).cast("int"), F.length(read))
-    return rows.select("gene", "tx", F.substring_index(residues(coding), "_", 1).alias("peptide")).where("peptide != ''").distinct()
+    owner = ["sample"] if "sample" in sequences.columns else []
+    return rows.select(*owner, "gene", "tx", F.substring_index(residues(coding), "_", 1).alias("peptide")).where("peptide != ''").distinct()
 
 
 def background_kmers(peptides: DataFrame, k: int) -> DataFrame:
-    return peptides.select(F.explode(kmers(F.col("peptide"), k)).alias("kmer")).distinct()
+    """Distinct k-mers of peptides, each peptide tiled once however many transcripts or samples have it."""
+    return peptides.select("peptide").distinct().select(F.explode(kmers(F.col("peptide"), k)).alias("kmer")).distinct()

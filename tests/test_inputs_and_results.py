@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spliceloom.functions import seq as s
+from spliceloom.operators import annotation as a
 from spliceloom.operators import cohort as c
 from spliceloom.operators import expression as e
 from spliceloom.operators import graph as g
@@ -54,7 +55,10 @@ def test_genotypes_maps_and_variants_of_genes(spark, tmp_path):
     assert _rows(held.select("gene", "sample", "pos", "base")) == [("x", "g1", 4, "C")]
     assert p.variants_of(rows, genes.where("chrom = '7'")).count() == 0
     sequences = spark.createDataFrame([("x", "AAAAAAAAAA", 0)], "gene string, dna string, offset int")
-    assert _rows(p.germline_sequences(sequences, held)) == [("g1", "x", "AAAACAAAAA", 0)]
+    own = p.germline_sequences(sequences, held)
+    assert _rows(own) == [("g1", "x", "AAAACAAAAA", 0)]
+    cds = spark.createDataFrame([("x", "t", "+", 1, 7, 0, 1)], "gene string, tx string, strand string, left int, right int, phase int, line int")
+    assert _rows(a.background_peptides(cds, own)) == [("g1", "x", "t", "KQ")] and _rows(a.background_peptides(cds, sequences)) == [("x", "t", "KK")]
 
 
 def test_lists_and_tables(spark, tmp_path):

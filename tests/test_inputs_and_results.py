@@ -261,3 +261,16 @@ def test_order_successors_and_stops_of_all_combinations(spark):
     wide = spark.createDataFrame([("g", 1, 0, 8, "+"), ("g", 2, 2, 8, "+"), ("g", 3, 12, 15, "+")], "gene string, v int, start int, stop int, strand string")
     pairs = spark.createDataFrame([("g", 1, 3, 0), ("g", 2, 3, 0)], "gene string, v int, w int, phase int")
     assert _rows(g.without_redundant(pairs, wide)) == [("g", 1, 3, 0)]
+
+
+def test_the_same_transcript_in_three_formats(spark, tmp_path):
+    """A public annotation record: the formats number its end otherwise, and name genes and transcripts by other keys."""
+    head = "chr1\tHAVANA\tCDS\t69091\t{end}\t.\t+\t0\t"
+    shown = {
+        "a.gtf": (70005, 'gene_id "ENSG00000186092.4"; transcript_id "ENST00000335137.3"; level 2;', "ENST00000335137.3"),
+        "b.gff": (70006, "Parent=ENST00000335137.3;geneID=ENSG00000186092.4", "ENST00000335137.3"),
+        "c.gff3": (70008, "ID=CDS:1;Parent=ENST00000335137.4;gene_id=ENSG00000186092.6;transcript_id=ENST00000335137.4", "ENST00000335137.4"),
+    }
+    for name, (end, text, tx) in shown.items():
+        cds = a.coding_pieces(r.annotation_lines(spark, _file(tmp_path / name, head.format(end=end) + text + "\n")))
+        assert _rows(cds.select("tx", "left", "right", "phase")) == [(tx, 69090, end, 0)]

@@ -1,42 +1,22 @@
-"""Shared helpers: written stage tables, and Arrow batches of bounded size."""
+"""Shared helpers: joins that leave hot keys in place, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spliceloom.staging import written
+
 #: Bytes of text that one vectorised step handles at once; a longer text is handled alone.
 BATCH_BYTES = 1_000_000
 #: A key is hot if it holds more than one of so many rows, so there are fewer hot keys than this.
 HOT = 10_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hot_keys(counts: DataFrame, key: str, times: str = "times") -> DataFrame:
     """The hot keys of counts, a table with a row per key and how many rows hold it: fewer than HOT, whatever its size."""
     total = counts.agg(F.sum(times)).first()[0] or 0

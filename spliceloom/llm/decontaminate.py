@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from spliceloom.llm.common import hot_keys, left_join_hot, small_batches, text_bytes, unused, written
+from spliceloom.llm.common import hot_keys, left_join_hot, small_batches, text_bytes, unused
 from spliceloom.llm.wordhash import mix, words
+from spliceloom.staging import written
 
 #: Share of an item's words that edits may change; walks and sampled positions of each. At the limit a window meets
 #: its item in one of the walks with a probability of 0.95 or more (tests/llm/test_decontaminate.py measures it).

@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceloom.llm.common import hot_keys, left_join_hot, small_batches, text_bytes, written
+from spliceloom.llm.common import hot_keys, left_join_hot, small_batches, text_bytes
 from spliceloom.llm.components import components
 from spliceloom.llm.wordhash import MinHash, mix, shingles, words
+from spliceloom.staging import written
 
 #: 35 bands of 5 minima miss a pair of similarity 0.8 once in a million.
 BANDS, ROWS = 35, 5

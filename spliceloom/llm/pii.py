@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from spliceloom.llm.common import small_batches, text_bytes, unused, written
+from spliceloom.llm.common import small_batches, text_bytes, unused
 from spliceloom.llm.wordhash import words
+from spliceloom.staging import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Fixed patterns of the contract: email `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`, ip

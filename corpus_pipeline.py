@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spliceloom.llm import bpe, common, decontaminate, near_dedup, pii, quality
+from spliceloom.llm import bpe, decontaminate, near_dedup, pii, quality
 from spliceloom.llm.queries import tokenizer_path
+from spliceloom.staging import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = common.written(docs, name)
+            docs = written(docs, name)
     return docs

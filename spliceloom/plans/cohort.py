@@ -29,8 +29,13 @@ WHERE own >= 40 AND c_high >= 1 AND n_high = 0 AND n_any BETWEEN 1 AND 8
 AND translate(kmer, 'I', 'L') NOT IN (SELECT 'P' || p_partkey FROM part WHERE p_retailprice > 1800)
 AND kmer NOT IN (SELECT 'P' || p_partkey FROM part WHERE p_size = 7)""")
 def diff_filter(spark, d):
+    return filtered(spark, d)
+
+
+def filtered(spark, d, normal_at_least=X):
+    """The differential filter of the target against external and known k-mers too; own is its expression."""
     m = written(matrix(spark, d), "matrix")
-    out = c.cohort_filter(m, m, CANCER, NORMAL, TARGET, 40.0, X, 1, X, 9, _parts(spark, d, "p_size = 7"), _parts(spark, d, "p_retailprice > 1800"))
+    out = c.cohort_filter(m, m, CANCER, NORMAL, TARGET, 40.0, X, 1, normal_at_least, 9, _parts(spark, d, "p_size = 7"), _parts(spark, d, "p_retailprice > 1800"))
     return out.select("kmer", F.get("expr", F.lit(TARGET)).alias("own"))
 
 

@@ -189,12 +189,17 @@ def foreground_peptides(spark, d):
     return rows.select("peptide", "id", "readFrame", "hasStopCodon", "isIsolated", "modifiedExonsCoord")
 
 
-@query(f"""WITH {CDS}, {GRAPH}, {_ALL_PAIRS}, k AS (SELECT *, unnest(range(0, CAST(length(peptide) - 8 AS BIGINT))) AS i FROM pt WHERE length(peptide) >= 9),
+_KMERS = f"""
+k AS (SELECT *, unnest(range(0, CAST(length(peptide) - 8 AS BIGINT))) AS i FROM pt WHERE length(peptide) >= 9),
 o AS (SELECT *, n1 - m1 AS len1 FROM k),
 x AS (SELECT gene, substr(peptide, CAST(i + 1 AS INT), 9) AS kmer,
 CASE WHEN 3 * i < len1 THEN CASE WHEN strand = '+' THEN (m1 + 3 * i) || ':' || least(m1 + 3 * i + 27, n1) ELSE greatest(n1 - 3 * i - 27, m1) || ':' || (n1 - 3 * i) END END AS p1,
-CASE WHEN 3 * i + 27 > len1 THEN CASE WHEN strand = '+' THEN (m2 + greatest(3 * i - len1, 0)) || ':' || (m2 + 3 * i + 27 - len1) ELSE (n2 - (3 * i + 27 - len1)) || ':' || (n2 - greatest(3 * i - len1, 0)) END END AS p2 FROM o)
-SELECT DISTINCT gene, kmer, coalesce(p1, p2) || ':' || CASE WHEN p1 IS NULL OR p2 IS NULL THEN 'nan:nan' ELSE p2 END || ':None:None' AS coord, p1 IS NOT NULL AND p2 IS NOT NULL AS "isCrossJunction" FROM x""")
+CASE WHEN 3 * i + 27 > len1 THEN CASE WHEN strand = '+' THEN (m2 + greatest(3 * i - len1, 0)) || ':' || (m2 + 3 * i + 27 - len1) ELSE (n2 - (3 * i + 27 - len1)) || ':' || (n2 - greatest(3 * i - len1, 0)) END END AS p2 FROM o),
+fk AS (SELECT DISTINCT gene, kmer, coalesce(p1, p2) || ':' || CASE WHEN p1 IS NULL OR p2 IS NULL THEN 'nan:nan' ELSE p2 END || ':None:None' AS coord, p1 IS NOT NULL AND p2 IS NOT NULL AS "isCrossJunction" FROM x)
+"""
+
+
+@query(f"WITH {CDS}, {GRAPH}, {_ALL_PAIRS}, {_KMERS} SELECT * FROM fk")
 def foreground_kmers(spark, d):
     from spliceloom.operators import peptides as p
 
@@ -202,6 +207,17 @@ def foreground_kmers(spark, d):
     return rows.select("gene", "kmer", "coord", "isCrossJunction")
 
 
+@query(f"WITH {CDS}, {GRAPH}, {_ALL_PAIRS}, {_KMERS} SELECT gene, count(*) AS n_kmers, CAST(0 AS BIGINT) AS n_mismatch FROM fk GROUP BY gene")
+def roundtrip_pairs(spark, d):
+    """The k-mers of exon pairs on both strands, cut from the genome again at their pieces and translated, give themselves."""
+    from spliceloom.operators import peptides as p
+    from spliceloom.operators.quality import roundtrip
+
+    rows = p.peptide_kmers(p.reference_peptides(_all_pairs(spark, d), graph_sequences(spark, d)), 9)
+    rows = rows.withColumn("strand", F.when(F.col("gene") % 2 == 0, "+").otherwise("-"))
+    return roundtrip(rows, graph_sequences(spark, d))
+
+
 _part = "coalesce(list_aggregate(list_transform(range({a}, {b}), lambda p: coalesce(list_filter(chosen, lambda c: c.p = p)[1].b, substr(dna, CAST(p + 1 AS INT), 1))), 'string_agg', ''), '')"
 
 

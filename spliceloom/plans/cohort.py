@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spliceloom.operators import cohort as c
 from spliceloom.operators import specificity as sp
 from spliceloom.plans import query
-from spliceloom.plans.tables import CANCER, MATRIX, NORMAL, SPLIT, TARGET, matrix, read, split_matrices
+from spliceloom.plans.tables import CANCER, MATRIX, NORMAL, SPLIT, TARGET, matrix, murmur3_sql, read, split_matrices
 from spliceloom.staging import written
 
 X, H = 60.0, 5  # expression that counts as support, and samples that make recurrence
@@ -120,9 +120,9 @@ def flag_filters(spark, d):
     return both.select("kmer", F.when(F.col("found_in") == "common", "both").when(F.col("found_in") == "left", "junction").otherwise("frame").alias("passes"))
 
 
-@query()
+@query(f"WITH {MATRIX} SELECT kmer FROM kf WHERE abs({murmur3_sql('kmer')} % 8) = 3")
 def hash_slice(spark, d):
-    """One of eight slices by Spark's own hash, which SQL elsewhere doesn't have."""
+    """One of eight slices by Spark's own hash."""
     return c.hash_slice(matrix(spark, d), 8, 3).select("kmer")
 
 

@@ -52,6 +52,21 @@ jun AS (SELECT 'P' || l_partkey || '.' || l_linenumber AS kmer, s_nationkey AS s
 """
 
 
+def murmur3_sql(text: str, seed: int = 42) -> str:
+    """SQL for the public 32-bit Murmur3 hash of a text of ASCII letters, as Spark's hash() has it: whole words, then single bytes."""
+    times = lambda x, c: f"(CAST({x} AS UBIGINT) * {c} % 4294967296)"
+    turned = lambda x, r: f"((({x}) << {r}) % 4294967296 + (({x}) >> {32 - r}))"
+    byte = lambda i: f"CAST(ord(substr({text}, CAST({i} + 1 AS INT), 1)) AS UBIGINT)"
+    word = " + ".join(f"{byte(f'4 * i + {k}')} * {256**k}" for k in range(4))
+    blocks = f"list_concat(list_transform(range(0, length({text}) // 4), lambda i: {word}), list_transform(range(length({text}) // 4 * 4, length({text})), lambda i: {byte('i')}))"
+    mixed = f"list_transform({blocks}, lambda k: {times(turned(times('k', 3432918353), 15), 461845907)})"
+    folded = f"list_reduce(list_prepend(CAST({seed} AS UBIGINT), {mixed}), lambda h, k: ({times(turned('xor(h, k)', 13), 5)} + 3864292196) % 4294967296)"
+    h = f"xor({folded}, CAST(length({text}) AS UBIGINT))"
+    for shift, factor in ((16, 2246822507), (13, 3266489909), (16, 1)):
+        h = f"list_transform([{h}], lambda x: {times(f'xor(x, x >> {shift})', factor)})[1]"
+    return f"list_transform([CAST({h} AS BIGINT)], lambda x: CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END)[1]"
+
+
 def cds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gene, tx, strand, line, left, right, phase; of several rows with one line number the greatest counts."""
     last = F.max(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("r")

@@ -389,23 +389,35 @@ def _choices(text: str) -> list[str]:
     return out
 
 
-def keywords(pattern: str) -> set[str]:
-    """Texts of which every match of a rule pattern holds one: its longest literal run, or those of a group's choices."""
-    runs, groups = [""], []
+def keywords(pattern: str, fresh: bool = True) -> set[str]:
+    """Texts of which every match of a rule pattern holds one: its longest literal run, or those of a group's choices.
+
+    A text that begins a word in all matches, as fresh says of the pattern itself, has a space before.
+    """
+    runs, groups = [" " if fresh else ""], []
     for kind, text, missing in _pieces(pattern):
         if kind == "literal" and not missing:
             runs[-1] += text
             continue
-        runs.append("")
+        begins = runs[-1].endswith(" ")
         if kind == "group" and not missing:
-            held = [keywords(c) for c in _choices(text)]
+            held = [keywords(c, begins) for c in _choices(text)]
             if all(held):
                 groups.append(set().union(*held))
+        # after an optional group that ends a word the next one begins, whether it is there or not
+        runs.append(" " if begins and missing and text.endswith(" ") else "")
     size = lambda x: sum(map(str.isalnum, x))
-    best = max((r.strip() for r in reversed(runs)), key=size)
+    best = max((r.rstrip() for r in reversed(runs)), key=size)
     if size(best) >= 4 or not groups:
         return {best} if size(best) >= 2 else set()
-    return max(groups, key=lambda g: (min(map(size, g)), sum(map(size, g))))
+    return max(groups, key=lambda g: sum(map(size, g)) / len(g))
+
+
+def prefilter(patterns: list[str]) -> str:
+    """A pattern that finds a keyword of any of the patterns; most are looked for at the beginnings of words only."""
+    held = set().union(*(keywords(p) for p in patterns))
+    held = sorted(k for k in held if not any(o != k and o in k for o in held))
+    return " (?:" + "|".join(k[1:] for k in held if k[0] == " ") + ")|" + "|".join(k for k in held if k[0] != " ")
 
 
 def _normal(text: Column) -> Column:
@@ -439,10 +451,8 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     df = docs.select(F.col("doc_id").cast("long"), _normal(F.col("text").cast("string")).alias("normal"))
     df = df.withColumn("n_words", F.when(F.length("normal") <= 2, 0).otherwise(_spaces(F.col("normal")) - 1).cast("long"))
-    # the keyword prefilter: without one of these no rule and no base phrase matches
-    held = set().union(*(keywords(p) for p in [*BASE, *(r["pattern"] for r in listed)]))
-    held = {k if len(k) > 3 else f" {k}" for k in held}  # short ones begin a word in all rules
-    gate = F.col("normal").rlike("|".join(sorted(k for k in held if not any(o != k and o in k for o in held))))
+    # without a keyword no rule and no base phrase matches
+    gate = F.col("normal").rlike(prefilter([*BASE, *(r["pattern"] for r in listed)]))
     df = df.withColumn("gated", F.when(gate, F.col("normal")))
 
     # base places: the text between them tells where they stand

@@ -8,7 +8,8 @@ beyond their first phrase.
 
 The parse, one row of numbers per phrase, is dealt out by trigger; its suffix array, rows by phrase and then by corpus
 place, tells which phrases came before and are repeats as a whole. Only where a trigger stands in different phrases do the
-phrases' own bytes follow, as the dictionary of the part. The suffix array of the dictionary, by prefix doubling up to
+phrases' own bytes follow, as the dictionary of the part. (Of a trigger in over MANY phrases, a line in ever other company, the windows
+follow one by one as BLAKE2 and are compared by Spark, so that they are dealt out.) The suffix array of the dictionary, by prefix doubling up to
 LENGTH bytes, ranks its windows byte by byte, and with the places of the parse gives the corpus order in which
 every window but the first of a rank is a repeat.
 """
@@ -25,13 +26,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spliceloom.llm.common import small_batches, text_bytes
+from spliceloom.llm.common import hot_keys, left_join_hot, small_batches, text_bytes
 from spliceloom.llm.wordhash import mix, prefix_hash, slice_hash
 from spliceloom.staging import written
 
 LENGTH, TRIGGER = 100, 24
 #: Parts that the parse is dealt into, for each shuffle partition.
 PARTS = 4
+#: Phrases of one trigger from which its windows are compared one by one over all parts.
+MANY = 1000
 
 
 def _windowed_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -116,29 +119,34 @@ def _after_first(keys: tuple[np.ndarray, ...], places: tuple[np.ndarray, ...]) -
     return np.logical_or.reduce([p != p[lead] for p in places]) if n else np.zeros(0, bool)
 
 
-_FOUND = "doc_id long, mark long, start long, count int, trigger long, edge boolean"
+_FOUND = "doc_id long, mark long, start long, count int, trigger long, edge boolean, hot boolean"
 
 
-def _sorted_parse(rows: pd.DataFrame) -> pd.DataFrame:
+def _sorted_parse(many: int):
     """The part's phrases in corpus order: repeats, and edges, the first phrases of a trigger that stands in several."""
-    read = lambda c, kind: [np.frombuffer(x, kind) for x in rows[c]]
-    own = read("own", np.uint32)
-    doc = np.concatenate([d[o] for d, o in zip(read("docs", np.int64), own)])
-    mark = np.concatenate([d[o] for d, o in zip(read("marks", np.int64), own)])
-    kinds = {"start": np.uint32, "count": np.uint16, "trigger": np.uint64, "content": np.uint64, "more": np.uint64, "again": bool}
-    start, count, trigger, content, more, again = (np.concatenate(read(c, k)) for c, k in kinds.items())
-    order = np.lexsort((start, doc, more, content, trigger))
-    doc, mark, start, count, trigger, content, more, again = (x[order] for x in (doc, mark, start, count, trigger, content, more, again))
-    repeat = _after_first((content, more), (doc, start)) | again
-    new = np.ones(len(doc), bool)
-    new[1:] = trigger[1:] != trigger[:-1]
-    group = np.cumsum(new) - 1
-    changes = np.zeros(len(doc), bool)
-    changes[1:] = ((content[1:] != content[:-1]) | (more[1:] != more[:-1])) & ~new[1:]
-    several = np.bincount(group, changes, group[-1] + 1 if len(group) else 0) > 0
-    keep = repeat | several[group]
-    out = {"doc_id": doc, "mark": mark, "start": start.astype(np.int64), "count": count.astype(np.int32), "trigger": trigger.view(np.int64), "edge": ~repeat}
-    return pd.DataFrame({k: v[keep] for k, v in out.items()})
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        read = lambda c, kind: [np.frombuffer(x, kind) for x in rows[c]]
+        own = read("own", np.uint32)
+        doc = np.concatenate([d[o] for d, o in zip(read("docs", np.int64), own)])
+        mark = np.concatenate([d[o] for d, o in zip(read("marks", np.int64), own)])
+        kinds = {"start": np.uint32, "count": np.uint16, "trigger": np.uint64, "content": np.uint64, "more": np.uint64, "again": bool}
+        start, count, trigger, content, more, again = (np.concatenate(read(c, k)) for c, k in kinds.items())
+        order = np.lexsort((start, doc, more, content, trigger))
+        doc, mark, start, count, trigger, content, more, again = (x[order] for x in (doc, mark, start, count, trigger, content, more, again))
+        repeat = _after_first((content, more), (doc, start)) | again
+        new = np.ones(len(doc), bool)
+        new[1:] = trigger[1:] != trigger[:-1]
+        group = np.cumsum(new) - 1
+        changes = np.zeros(len(doc), bool)
+        changes[1:] = ((content[1:] != content[:-1]) | (more[1:] != more[:-1])) & ~new[1:]
+        several = np.bincount(group, changes, group[-1] + 1 if len(group) else 0) > 0
+        keep = repeat | several[group]
+        hot = np.bincount(group, ~repeat, group[-1] + 1 if len(group) else 0)[group] > many
+        out = {"doc_id": doc, "mark": mark, "start": start.astype(np.int64), "count": count.astype(np.int32), "trigger": trigger.view(np.int64), "edge": ~repeat, "hot": hot}
+        return pd.DataFrame({k: v[keep] for k, v in out.items()})
+
+    return run
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
@@ -190,6 +198,26 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
         span += step
 
 
+def _hot_windows(texts: DataFrame, edges: DataFrame, length: int) -> DataFrame:
+    """The windows of phrases of hot triggers, one by one, that stand earlier too: doc_id, mark, start, count (1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, mark, packed, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "packed", "own"))):
+                text, start = zstandard.decompress(packed), [e["start"] + k for e in own for k in range(e["count"])]
+                digests = [hashlib.blake2b(text[s : s + length], digest_size=16).digest() for s in start]
+                n = len(start)
+                yield pa.record_batch({"doc_id": pa.array([doc] * n, pa.int64()), "mark": pa.array([mark] * n, pa.int64()), "start": pa.array(start, pa.int64()), "window": pa.array(digests, pa.binary())})
+
+    lists = edges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "count")).alias("own"))
+    windows = texts.join(lists, ["doc_id", "mark"]).select("doc_id", "mark", "packed", "own").mapInArrow(run, "doc_id long, mark long, start long, window binary")
+    windows = written(windows, "hot_windows")
+    # rows of one doc_id and text are one place, so the first is told by doc_id and start
+    first = written(windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times")).where("times > 1"), "first")
+    rows = left_join_hot(windows, first.drop("times"), "window", hot_keys(first, "window"))
+    return rows.where(F.col("first").isNotNull() & (F.struct("doc_id", "start") != F.col("first"))).select("doc_id", "mark", "start", F.lit(1).alias("count"))
+
+
 def _sorted_windows(length: int):
     """The windows of the part's dictionary in corpus order: those that came before, as stretches of window starts."""
 
@@ -221,11 +249,12 @@ def stretches(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFra
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("mark", F.xxhash64("text"))
-    found = written(_parse(docs.where("doc_id is not null"), parts, length).groupBy("part").applyInPandas(_sorted_parse, _FOUND), "phrases")
+    found = written(_parse(docs.where("doc_id is not null"), parts, length).groupBy("part").applyInPandas(_sorted_parse(MANY), _FOUND), "phrases")
     texts = _compressed(docs)
-    edges = _edge_phrases(texts, found.where("edge"), parts, length)
+    edges = _edge_phrases(texts, found.where("edge and not hot"), parts, length)
     narrow = edges.groupBy("part").applyInPandas(_sorted_windows(length), "doc_id long, mark long, start long, count int")
-    return texts, found.where("not edge").select("doc_id", "mark", "start", "count").unionByName(written(narrow, "windows"))
+    repeats = found.where("not edge").select("doc_id", "mark", "start", "count").unionByName(written(narrow, "windows"))
+    return texts, repeats.unionByName(_hot_windows(texts, found.where("edge and hot"), length))
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceloom.llm.common import hot_keys, left_join_hot, small_batches, text_bytes
+from spliceloom.llm.common import hot_keys, left_join_hot, small_batches, text_bytes, unused
 from spliceloom.llm.components import components
 from spliceloom.llm.wordhash import MinHash, mix, shingles, words
 from spliceloom.staging import written
@@ -182,9 +182,10 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Of rows with the same doc_id one stays, the first by text (null first) and then by the whole row as JSON; rows
     without doc_id all stay, as do null and empty texts. An empty table gives no rows.
     """
-    found = written(near_duplicates(docs, width, percent).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times"), F.min("kept").alias("kept")), "kept")
-    single = docs.join(found.where("kept and times = 1"), "doc_id", "left_semi")
-    row = F.struct(*docs.columns)
-    again = docs.join(found.where("kept and times > 1"), "doc_id", "left_semi").select("doc_id", row.alias("row"), F.struct(F.col("text").cast("string").alias("text"), F.to_json(row)).alias("order"))
-    again = again.groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select("row.*")
-    return single.unionByName(again).unionByName(docs.where("doc_id is null"))
+    times, place = unused(docs, "times"), unused(docs, "place")
+    found = near_duplicates(docs, width, percent).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias(times), F.min("kept").alias("__kept"))
+    found = written(found.where("__kept").select("doc_id", times), "kept")
+    whole = F.when(F.col(times) > 1, F.to_json(F.struct(*docs.columns)))
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").cast("string"), whole)
+    named = docs.join(found, "doc_id").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -1,7 +1,6 @@
 import hashlib
 import random
 
-from spliceloom.llm import common, repeats
 from spliceloom.llm.repeats import deduplicated
 
 
@@ -55,13 +54,3 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = sorted((r.doc_id or 0, r.n_removed) for r in deduplicated(docs).collect())
     assert [r for r in rows if r[0] != 2] == [(0, 0), (1, rows[1][1]), (1, rows[1][1])] and rows[-1] == (2, 300)
     assert deduplicated(docs.limit(0)).count() == 0
-
-
-def test_a_line_in_ever_other_company(spark, monkeypatch):
-    rng = random.Random(12)
-    text = lambda n: "".join(rng.choice("abcdefghij é\n") for _ in range(n))
-    line, passage = text(60), text(150)
-    rows = [(k, text(80) + line + text(80) + (passage + text(50) if k % 3 == 0 else "")) for k in range(40)] + [(100 + k, line * 4) for k in range(3)]
-    monkeypatch.setattr(repeats, "MANY", 5)
-    monkeypatch.setattr(common, "HOT", 30)
-    _check(spark, rows)

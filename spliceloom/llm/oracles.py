@@ -72,3 +72,9 @@ FROM w LEFT JOIN b ON b.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id LEF
 
 
 OP9_LICENSE_SCAN_SQL = _license_sql()
+
+
+OP13_EXACT_DEDUP_SQL = """
+SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spliceloom.llm import pii, quality, toxicity
 from spliceloom.llm.bpe import encoded
 from spliceloom.llm.decontaminate import leaks
+from spliceloom.llm.exact_dedup import exact_groups
 from spliceloom.llm.fingerprint import alike_documents, edited_fingerprints
 from spliceloom.llm.html_extract import extracted
 from spliceloom.llm.license_scan import scanned
@@ -71,8 +72,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint, fingerprint_classes, op2_quality, op3_repeats, op4_pii, op5_decontaminate, op6_near_dedup, op7_html_extract, op8_bpe, op9_license_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_fingerprint, fingerprint_classes, op2_quality, op3_repeats, op4_pii, op5_decontaminate, op6_near_dedup, op7_html_extract, op8_bpe, op9_license_scan, op10_toxicity, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

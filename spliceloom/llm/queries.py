@@ -14,6 +14,7 @@ from spliceloom.llm.fingerprint import alike_documents, edited_fingerprints
 from spliceloom.llm.html_extract import extracted
 from spliceloom.llm.license_scan import scanned
 from spliceloom.llm.near_dedup import near_duplicates
+from spliceloom.llm.periodic import periodic_runs
 from spliceloom.llm.repeats import deduplicated
 
 
@@ -72,12 +73,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_read(spark, sf_dir, "documents"), repeat=True).drop("n_words", "runs")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint, fingerprint_classes, op2_quality, op3_repeats, op4_pii, op5_decontaminate, op6_near_dedup, op7_html_extract, op8_bpe, op9_license_scan, op10_toxicity, op13_exact_dedup)}
+    return {f.__name__: f for f in (op1_fingerprint, fingerprint_classes, op2_quality, op3_repeats, op4_pii, op5_decontaminate, op6_near_dedup, op7_html_extract, op8_bpe, op9_license_scan, op10_toxicity, op12_periodic_runs, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,7 @@ from spliceloom.llm.license_scan import scanned
 from spliceloom.llm.near_dedup import near_duplicates
 from spliceloom.llm.periodic import periodic_runs
 from spliceloom.llm.repeats import deduplicated
+from spliceloom.llm.spelling import spelling_variants
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,6 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_read(spark, sf_dir, "documents"), every=97)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(_read(spark, sf_dir, "documents"), repeat=True).drop("n_words", "runs")
 
@@ -82,7 +87,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprint, fingerprint_classes, op2_quality, op3_repeats, op4_pii, op5_decontaminate, op6_near_dedup, op7_html_extract, op8_bpe, op9_license_scan, op10_toxicity, op12_periodic_runs, op13_exact_dedup)}
+    return {f.__name__: f for f in (op1_fingerprint, fingerprint_classes, op2_quality, op3_repeats, op4_pii, op5_decontaminate, op6_near_dedup, op7_html_extract, op8_bpe, op9_license_scan, op10_toxicity, op11_spelling_variants, op12_periodic_runs, op13_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

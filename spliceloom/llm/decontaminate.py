@@ -4,8 +4,12 @@ The CGK random walk reads a sequence of words and, at each step, copies the curr
 random bit of the word and step. It turns a small edit distance into a small Hamming distance. Each repetition
 walks anew and hashes a few sampled positions of the walk. Windows of documents and items meet in Spark, by a join on
 these keys: a window that agrees with an item in any repetition is aligned with it exactly, and is a leak if the
-edit distance is within the limit. Windows start where word grams of the heads of items suggest it: a table of fixed
-size tells at which places in an item, of whatever name, a gram may stand.
+edit distance is within the limit. Windows start where word grams of items suggest it: a table tells at which places in an
+item, of whatever name, a gram may stand.
+
+An item of more than PIECE words is cut into pieces of like length, and each is searched for as an item of its own. Edits of
+an item that are within the limit leave at least one piece within its share of them, wherever they stand, so that a leak
+shows by some piece; the whole item is then aligned with the words around each piece that is found.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ from spliceloom.staging import written
 EDITS, WALKS, SAMPLED = 0.2, 60, 3
 #: Items of like length have windows of one size: each length up to EXACT, then steps of RATIO.
 EXACT, RATIO = 12, 1.2
-#: Bits of a slot number of the head table, which has 8 bytes a slot, and words of an item's head: a bit for each.
-SLOT_BITS, HEAD = 21, 64
+#: Words of an item, or a piece of one, that is searched for as it stands: a bit of a slot of the gram table for each.
+PIECE = 64
+#: Least and most bits of a slot number of the gram table, which has 8 bytes a slot: some eight slots a gram, up to 128 MB.
+SLOT_BITS = 21, 24
 #: Bits of a slot number of the map of leaking texts, a bit a slot: the first three bytes of their hash.
 MAP_BITS = 24
 #: Rows of a window that one task meets with the items alike; a commoner window is dealt out by salts.
@@ -47,22 +53,20 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Size:
-    """Items of least to most words: windows of least words, edits allowed, words of a gram and grams that must vote."""
+    """Pieces of least to most words: windows of least words, edits allowed, words of a gram and grams that must vote."""
 
     def __init__(self, least: int, edits: float = EDITS):
         self.least = least
-        self.most = least if least < EXACT else max(least, int(np.ceil(least * RATIO)) - 1)
+        self.most = least if least < EXACT else min(PIECE, max(least, int(np.ceil(least * RATIO)) - 1))
         self.limit = int(edits * self.most)
-        head = min(least, HEAD)
-        spoilt = int(np.ceil(edits * self.most * head / least)) if least > HEAD else self.limit
-        # each edit spoils gram grams at most, so so many of the head's grams stand in any leak
-        self.gram = next((q for q in (3, 2) if head - q + 1 - spoilt * q >= 1), 1)
-        self.votes = max(1, head - self.gram + 1 - spoilt * self.gram)
+        # each edit spoils gram grams at most, so so many of a piece's grams stand in any leak
+        self.gram = next((q for q in (3, 2) if least - q + 1 - self.limit * q >= 1), 1)
+        self.votes = max(1, least - self.gram + 1 - self.limit * self.gram)
 
 
 @lru_cache(maxsize=4096)
 def size_of(n: int, edits: float = EDITS) -> Size:
-    """The size that items of n words belong to."""
+    """The size that pieces of n words belong to, PIECE at most."""
     size = Size(min(n, EXACT), edits)
     while size.most < n:
         size = Size(size.most + 1, edits)
@@ -130,24 +134,34 @@ def _grams(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out + np.uint64(width))
 
 
-def _slots(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _slots(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def items_of(benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
-    """Items with words: item (a hash of id and text), item_id, size (the least of their Size) and words."""
+def pieces_of(benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+    """Items with words, in pieces of PIECE words at most: piece, item (a hash of id and text), item_id, size (the least of
+    the piece's Size), words, at (the piece's place in the item, null for an item of one piece) and, for the first of several
+    pieces, whole: the item's words."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
+    kinds = {"piece": pa.int64(), "item": pa.int64(), "item_id": pa.int64(), "size": pa.int32(), "words": pa.binary(), "at": pa.int32(), "whole": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             hashes, bounds = word_hashes(batch.column("text"))
-            some = np.flatnonzero(np.diff(bounds)).tolist()
-            own = [hashes[bounds[k] : bounds[k + 1]] for k in some]
-            sizes = pa.array([size_of(len(w), edits).least for w in own], pa.int32())
-            kept = batch.select(["item", "item_id"]).take(pa.array(some, pa.int64()))
-            yield pa.record_batch({"item": kept.column(0), "item_id": kept.column(1), "size": sizes, "words": pa.array([w.tobytes() for w in own], pa.binary())})
-
-    return rows.withColumn("item", F.xxhash64("item_id", "text")).mapInArrow(run, "item long, item_id long, size int, words binary")
+            out: dict = {k: [] for k in kinds}
+            for k, (item, item_id) in enumerate(zip(batch.column("item").to_pylist(), batch.column("item_id").to_pylist())):
+                own = hashes[bounds[k] : bounds[k + 1]]
+                parts = -(-len(own) // PIECE)
+                cuts = [len(own) * j // parts for j in range(parts + 1)] if parts else []
+                names = mix(np.full(parts, item, np.int64).view(np.uint64) + np.arange(parts, dtype=np.uint64)).view(np.int64).tolist()
+                for j, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                    found = (names[j], item, item_id, size_of(b - a, edits).least, own[a:b].tobytes(), a if parts > 1 else None, own.tobytes() if parts > 1 and not a else None)
+                    for name, value in zip(out, found):
+                        out[name].append(value)
+            yield pa.record_batch({k: pa.array(v, kinds[k]) for k, v in out.items()})
+
+    schema = "piece long, item long, item_id long, size int, words binary, at int, whole binary"
+    return rows.withColumn("item", F.xxhash64("item_id", "text")).mapInArrow(run, schema)
 
 
 def _packed(rows: DataFrame, bits: int, kind: str) -> np.ndarray:
@@ -167,31 +181,33 @@ def _packed(rows: DataFrame, bits: int, kind: str) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _heads(items: DataFrame, edits: float) -> np.ndarray:
-    """For each slot of grams, the places in the head of any item at which a gram of the slot stands, as bits."""
+def _places(pieces: DataFrame, edits: float) -> np.ndarray:
+    """For each slot of grams, the places in any piece at which a gram of the slot stands, as bits."""
+    grams = pieces.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
+    bits = min(max(int(np.ceil(np.log2(8 * grams + 1))), SLOT_BITS[0]), SLOT_BITS[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for size, packed in zip(*(batch.column(c).to_pylist() for c in ("size", "words"))):
-                found = _slots(_grams(np.frombuffer(packed, np.uint64)[:HEAD], Size(size, edits).gram))
+                found = _slots(_grams(np.frombuffer(packed, np.uint64), Size(size, edits).gram), bits)
                 yield pa.record_batch({"slot": found.astype(np.int32), "value": (np.uint64(1) << np.arange(len(found), dtype=np.uint64)).view(np.int64)})
 
-    return _packed(items.select("size", "words").mapInArrow(run, "slot int, value long"), SLOT_BITS, "<u8")
+    return _packed(pieces.select("size", "words").mapInArrow(run, "slot int, value long"), bits, "<u8")
 
 
-def starts(hashes: np.ndarray, bounds: np.ndarray, heads: np.ndarray, sizes: list[Size]) -> list[tuple[Size, np.ndarray]]:
-    """For each size, the words at which enough grams of item heads suggest that an item starts."""
+def starts(hashes: np.ndarray, bounds: np.ndarray, places: np.ndarray, sizes: list[Size]) -> list[tuple[Size, np.ndarray]]:
+    """For each size, the words at which enough grams of pieces suggest that one starts."""
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     low, high = bounds[text], bounds[text + 1]
     votes = {}
     for q in {s.gram for s in sizes}:
         if len(hashes) < q:
             continue
-        bits = heads[_slots(_grams(hashes, q))]
+        bits = places[_slots(_grams(hashes, q), len(places).bit_length() - 1)]
         hit = np.flatnonzero((bits != 0) & (text[q - 1 :] == text[: len(bits)]))
         bits = bits[hit]
         votes[q] = np.zeros(len(hashes), np.int64)
-        for k in range(HEAD if len(hit) else 0):
+        for k in range(PIECE if len(hit) else 0):
             at = hit[(bits >> np.uint64(k) & np.uint64(1)) == 1]
             np.add.at(votes[q], np.maximum(at - k, low[at]), 1)
     out = []
@@ -206,16 +222,19 @@ def starts(hashes: np.ndarray, bounds: np.ndarray, heads: np.ndarray, sizes: lis
     return out
 
 
-def _windows(docs: DataFrame, heads, sizes: list[Size]) -> DataFrame:
-    """Windows of docs (row, doc_id, text): where each starts, the words around it, and its sizes and hashes."""
-    schema = "row long, doc_id long, mark binary, start int, low int, region binary, own array<struct<size:int,own:long>>"
+def _windows(docs: DataFrame, places, sizes: list[Size], long: set[int]) -> DataFrame:
+    """Windows of docs (row, doc_id, text): where each starts, the words around it, and its sizes and hashes.
+
+    The first window of a text that has one of a size in long carries the whole text's words.
+    """
+    schema = "row long, doc_id long, mark binary, start int, low int, region binary, own array<struct<size:int,own:long>>, held binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             hashes, bounds = word_hashes(batch.column("text"))
             found: dict[int, list] = {}
             widest: dict[int, Size] = {}
-            for size, some in starts(hashes, bounds, heads.value, sizes):
+            for size, some in starts(hashes, bounds, places.value, sizes):
                 if not len(some):
                     continue
                 last = bounds[np.searchsorted(bounds, some, side="right")]
@@ -229,14 +248,19 @@ def _windows(docs: DataFrame, heads, sizes: list[Size]) -> DataFrame:
             rows = np.searchsorted(bounds, list(found), side="right") - 1 if found else np.zeros(0, np.int64)
             texts = batch.column("text")
             marks = {k: mark_of(texts[k].as_py()) for k in np.unique(rows).tolist()}
-            out: dict = {k: [] for k in ("mark", "start", "low", "region", "own")}
+            out: dict = {k: [] for k in ("mark", "start", "low", "region", "own", "held")}
+            whole = set()
             for s, k in zip(found, rows.tolist()):
                 size, first, last = widest[s], int(bounds[k]), int(bounds[k + 1])
                 low = max(first, s - size.limit)
                 region = hashes[low : min(last, s + size.most + 2 * size.limit)]
-                for name, v in zip(out, (marks[k], s - first, low - first, region.tobytes(), found[s])):
+                held = None
+                if k not in whole and any(x["size"] in long for x in found[s]):
+                    whole.add(k)
+                    held = hashes[first:last].tobytes()
+                for name, v in zip(out, (marks[k], s - first, low - first, region.tobytes(), found[s], held)):
                     out[name].append(v)
-            kinds = {"mark": pa.binary(), "start": pa.int32(), "low": pa.int32(), "region": pa.binary(), "own": pa.list_(pa.struct({"size": pa.int32(), "own": pa.int64()}))}
+            kinds = {"held": pa.binary(), "mark": pa.binary(), "start": pa.int32(), "low": pa.int32(), "region": pa.binary(), "own": pa.list_(pa.struct({"size": pa.int32(), "own": pa.int64()}))}
             place = pa.array(rows, pa.int64())
             yield pa.record_batch({"row": batch.column("row").take(place), "doc_id": batch.column("doc_id").take(place), **{k: pa.array(v, kinds[k]) for k, v in out.items()}})
 
@@ -265,47 +289,82 @@ def _keyed(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _aligned(pairs: DataFrame, edits: float) -> DataFrame:
-    """Pairs of a region and an item within the item's limit: row, doc_id, mark, item_id, distance, first_word, end_word."""
+    """Pairs of a region and a piece that meet within the limit: row, doc_id, mark, item_id, piece, at, distance, first_word, end_word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups: dict[bytes, list[int]] = {}
             for k, w in enumerate(batch.column("words").to_pylist()):
                 groups.setdefault(w, []).append(k)
-            low, regions = batch.column("low").to_numpy(), batch.column("region")
+            low, regions, part = batch.column("low").to_numpy(), batch.column("region"), batch.column("at").is_valid().to_pylist()
             place, found = [], []
             for packed, rows in groups.items():
-                item = np.frombuffer(packed, np.uint64)
+                piece = np.frombuffer(packed, np.uint64)
                 for first in range(0, len(rows), 256):
                     some = rows[first : first + 256]
-                    distance, begin, stop = nearest(item, [np.frombuffer(regions[k].as_py(), np.uint64) for k in some])
+                    distance, begin, stop = nearest(piece, [np.frombuffer(regions[k].as_py(), np.uint64) for k in some])
                     for k, d, b, e in zip(some, distance.tolist(), begin.tolist(), stop.tolist()):
-                        if d <= int(edits * len(item)):
+                        # a piece is up to a word shorter than its share of the item
+                        if d <= int(edits * (len(piece) + part[k])):
                             place.append(k)
                             found.append((d, low[k] + b, low[k] + e))
+            kept = batch.select(["row", "doc_id", "mark", "item_id", "piece", "at"]).take(pa.array(place, pa.int64()))
+            numbers = {name: pa.array([f[k] for f in found], pa.int32()) for k, name in enumerate(("distance", "first_word", "end_word"))}
+            yield pa.record_batch({**{c: kept.column(c) for c in kept.schema.names}, **numbers})
+
+    schema = "row long, doc_id long, mark binary, item_id long, piece long, at int, distance int, first_word int, end_word int"
+    return pairs.select("row", "doc_id", "mark", "low", "region", "item_id", "piece", "at", "words").mapInArrow(run, schema)
+
+
+def _around(guesses: DataFrame, edits: float) -> DataFrame:
+    """Items of several pieces aligned around the places where they may start: row, doc_id, mark, item_id, distance, first_word, end_word.
+
+    guesses: row, doc_id, mark, item_id, whole (the item's words), held (the text's words) and starts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, found = [], []
+            for k, (whole, held, starts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("whole", "held", "starts")))):
+                item, text = np.frombuffer(whole, np.uint64), np.frombuffer(held, np.uint64)
+                limit = int(edits * len(item))
+                best, reach = None, 0
+                for s in sorted(starts):
+                    # a piece's place in the text and in its item differ by the edits before it
+                    low, high = max(s - 2 * limit, 0), min(s + len(item) + 2 * limit, len(text))
+                    if high <= reach:
+                        continue
+                    reach = high
+                    distance, begin, stop = (int(x[0]) for x in nearest(item, [text[low:high]]))
+                    if distance <= limit and (best is None or (distance, low + begin) < best[:2]):
+                        best = distance, low + begin, low + stop
+                if best is not None:
+                    place.append(k)
+                    found.append(best)
             kept = batch.select(["row", "doc_id", "mark", "item_id"]).take(pa.array(place, pa.int64()))
             numbers = {name: pa.array([f[k] for f in found], pa.int32()) for k, name in enumerate(("distance", "first_word", "end_word"))}
             yield pa.record_batch({**{c: kept.column(c) for c in kept.schema.names}, **numbers})
 
     schema = "row long, doc_id long, mark binary, item_id long, distance int, first_word int, end_word int"
-    return pairs.select("row", "doc_id", "mark", "low", "region", "item_id", "words").mapInArrow(run, schema)
+    return guesses.select("row", "doc_id", "mark", "item_id", "whole", "held", "starts").mapInArrow(run, schema)
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, edits: float) -> DataFrame:
     """row, doc_id, mark (hash of the text), item_id, distance, first_word, end_word: the nearest stretch of each row and item."""
     spark = docs.sparkSession
-    items = written(items_of(benchmark, edits), "items")
-    # as many sizes as steps of RATIO up to the longest item
-    sizes = [Size(r.size, edits) for r in items.select("size").distinct().orderBy("size").collect()]
-    heads = spark.sparkContext.broadcast(_heads(items, edits))  # of fixed size
+    pieces = written(pieces_of(benchmark, edits), "pieces")
+    # no more sizes than PIECE
+    found = pieces.groupBy("size").agg(F.max(F.col("at").isNotNull()).alias("long")).orderBy("size").collect()
+    sizes, long = [Size(r.size, edits) for r in found], {r.size for r in found if r.long}
+    places = spark.sparkContext.broadcast(_places(pieces, edits))  # of bounded size
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    windows = written(_windows(rows, heads, sizes), "windows")
+    windows = written(_windows(rows, places, sizes, long), "windows")
 
     each = windows.withColumn("x", F.explode("own")).withColumn("size", F.col("x.size")).withColumn("own", F.col("x.own")).drop("x")
     content = F.expr("substring(region, 8 * (start - low) + 1, 8 * size)")
     distinct = each.select("own", "size", content.alias("words")).groupBy("own", "size").agg(F.first("words").alias("words"), F.count("*").alias("times"))
     distinct = written(distinct, "distinct")
-    alike = _keyed(distinct, "own").join(_keyed(items, "item"), "key").select("own", "item").distinct()
+    alike = _keyed(distinct, "own").join(_keyed(pieces, "piece"), "key").select("own", "piece").distinct()
     alike = written(alike.join(distinct.select("own", "times"), "own"), "alike")
 
     met = alike.select("own", "times").distinct()
@@ -313,9 +372,25 @@ def _found(docs: DataFrame, benchmark: DataFrame, edits: float) -> DataFrame:
     salts = F.ceil(F.col("times") / SALTED).cast("int")
     some = some.withColumn("salt", F.pmod(F.xxhash64("row", "start"), salts).cast("int")).drop("times")
     pairs = some.join(alike.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), ["own", "salt"])
-    pairs = pairs.dropDuplicates(["row", "start", "item"]).join(items.select("item", "item_id", "words"), "item")
+    pairs = pairs.dropDuplicates(["row", "start", "piece"]).join(pieces.select("piece", "item_id", "at", "words"), "piece")
+    met = _aligned(pairs, edits)
+    out = ["row", "doc_id", "mark", "item_id", "distance", "first_word", "end_word"]
+    if long:
+        met = written(met, "met")
+        met = met.where("at is null").select(out).unionByName(_around(_guesses(met, pieces, windows), edits))
     best = F.min(F.struct("distance", "first_word", "end_word")).alias("best")
-    return _aligned(pairs, edits).groupBy("row", "doc_id", "mark", "item_id").agg(best).select("row", "doc_id", "mark", "item_id", "best.*")
+    return met.groupBy("row", "doc_id", "mark", "item_id").agg(best).select("row", "doc_id", "mark", "item_id", "best.*")
+
+
+def _guesses(met: DataFrame, pieces: DataFrame, windows: DataFrame) -> DataFrame:
+    """Where items of several pieces may start, from the pieces met in a text: row, doc_id, mark, item_id, whole, held, starts."""
+    named = met.where("at is not null").join(pieces.select("piece", "item"), "piece")
+    places = named.groupBy("row", "doc_id", "mark", "item_id", "item").agg(F.collect_set(F.col("first_word") - F.col("at")).alias("starts"))
+    places = written(places, "places")
+    times = places.groupBy("item").agg(F.count("*").alias("times"))
+    whole = pieces.where("whole is not null").select("item", "whole")
+    texts = windows.where("held is not null").select("row", "held")
+    return left_join_hot(places, whole, "item", hot_keys(times, "item")).join(texts, "row")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
@@ -325,7 +400,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFr
     at most floor(edits * words of the item) word edits away; the nearest stretch is given, words from 0, the end
     exclusive. Null and empty texts and items hold nothing and match nothing. Repeated documents give their
     rows each, repeated items count once, an empty table gives no rows and other columns are ignored. Texts and items
-    may be of any length; of items over HEAD words the head decides where windows start.
+    may be of any length: an item of n words is found wherever its edits stand, by a piece of PIECE words at most.
     """
     return _found(docs, benchmark, edits).drop("row", "mark")
 

@@ -41,6 +41,38 @@ def test_recall_at_the_limit_and_no_false_leaks(spark):
     assert found <= planted
 
 
+def test_long_items_with_all_edits_in_the_head(spark):
+    items = [(k, RNG.choices(VOCABULARY, k=300)) for k in range(10)]
+    docs = []
+    for k, words in items:
+        head = list(words)
+        for at in RNG.sample(range(100), 55):
+            head[at] = f"new{at}"
+        tail = list(words)
+        for at in RNG.sample(range(200, 300), 55):
+            tail[at] = f"new{at}"
+        docs += [(k, f"{' '.join(RNG.choices(VOCABULARY, k=90))} {' '.join(head)} end"), (100 + k, " ".join(tail)), (200 + k, " ".join(head[:100] + [f"x{j}" for j in range(6)] + head[106:]))]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.distance for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert found == {(d + k, k): 55 for k in range(10) for d in (0, 100)}
+
+
+def test_recall_of_long_items_at_the_limit(spark):
+    items = [(n * 100 + k, RNG.choices(VOCABULARY, k=n)) for n in (65, 70, 127, 300, 1000) for k in range(8)]
+    docs, planted = [], set()
+    for k, words in items:
+        for _ in range(3):
+            planted.add((len(docs), k))
+            docs.append(f"{' '.join(RNG.choices(VOCABULARY, k=70))} {' '.join(edited(words, int(EDITS * len(words))))} {' '.join(RNG.choices(VOCABULARY, k=30))}")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    rows = leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench).collect()
+    found = {(r.doc_id, r.item_id) for r in rows}
+    assert found <= planted and len(found) >= 0.95 * len(planted)
+    for r in rows[:20]:
+        text, item = (word_hashes(pa.array([t]))[0] for t in (docs[r.doc_id], " ".join(dict(items)[r.item_id])))
+        assert (r.distance, r.first_word, r.end_word) == tuple(int(x[0]) for x in nearest(item, [text]))
+
+
 def test_candidates_come_from_the_walks(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "x y " + " ".join(VOCABULARY[:20]) + " z")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, " ".join(VOCABULARY[:20]))], "item_id long, text string")

@@ -23,12 +23,17 @@ def reverse_complement(dna: Column) -> Column:
     return complement(F.reverse(dna))
 
 
+def residue(codon: Column) -> Column:
+    """The residue of a codon in capitals, _ for a stop and X for other letters."""
+    names = [a + b + c for a in BASES for b in BASES for c in BASES]
+    table = F.create_map(*[F.lit(x) for pair in zip(names, CODE) for x in pair])
+    return F.coalesce(table[codon], F.lit("X"))
+
+
 def residues(dna: Column) -> Column:
     """All codons of dna as one string with _ for stops and X for codons of other letters; 1 or 2 last bases drop."""
     codons = F.regexp_extract_all(F.upper(dna), F.lit("(?s).{3}"), F.lit(0))
-    names = [a + b + c for a in BASES for b in BASES for c in BASES]
-    table = F.create_map(*[F.lit(x) for pair in zip(names, CODE) for x in pair])
-    return F.array_join(F.transform(codons, lambda c: F.coalesce(table[c], F.lit("X"))), "")
+    return F.array_join(F.transform(codons, residue), "")
 
 
 def peptides(dna: Column) -> Column:

@@ -10,6 +10,8 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spliceloom.operators.variants import last_segment, within
+
 
 def gene_expression(segments: DataFrame) -> DataFrame:
     """gene, pos and the sum of length times count over segments (gene, start, stop, counts)."""
@@ -67,14 +69,13 @@ def junctions_annotated(crossed: DataFrame, known: DataFrame) -> DataFrame:
 
 def variants_in_exons(exons: DataFrame, variants: DataFrame) -> DataFrame:
     """Variants (gene, sample, pos, ...) inside exons (gene, v, start, stop)."""
-    return exons.join(variants, "gene").where("start <= pos and pos < stop")
+    return within(exons, variants, ["gene"])
 
 
 def variant_segment(variants: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each variant with the last segment that starts at or before it and does not end before it."""
-    near = variants.join(segments, "gene").where("seg_start <= pos")
-    last = near.groupBy("gene", "sample", "pos").agg(F.max(F.struct("seg_start", "seg_stop", "seg_id")).alias("s"))
-    return last.where("pos <= s.seg_stop").select("gene", "sample", "pos", "s.seg_id")
+    """Each place of a sample's variants with the last segment that starts at or before it and does not end before it."""
+    placed = last_segment(variants.select("gene", "sample", "pos"), segments.select("gene", "seg_start", "seg_stop", "seg_id"))
+    return placed.where("pos <= segment.seg_stop").select("gene", "sample", "pos", "segment.seg_id").dropDuplicates(["gene", "sample", "pos"])
 
 
 def variant_counts(variants: DataFrame, segments: DataFrame, positions: dict[str, int]) -> DataFrame:
@@ -83,9 +84,9 @@ def variant_counts(variants: DataFrame, segments: DataFrame, positions: dict[str
     positions tells each sample's place in the counts of segments (gene, seg_start, seg_stop, seg_id, counts).
     """
     at = F.from_json(F.lit(json.dumps(positions)), "map<string,int>")
-    found = variant_segment(variants, segments).join(segments.select("gene", "seg_id", "counts"), ["gene", "seg_id"])
-    found = found.select("gene", "sample", "pos", F.get("counts", at[F.col("sample")]).alias("count"))
-    return variants.join(found, ["gene", "sample", "pos"], "left")
+    placed = last_segment(variants, segments.select("gene", "seg_start", "seg_stop", "seg_id", "counts"))
+    held = F.when(F.col("pos") <= F.col("segment.seg_stop"), F.get(F.col("segment.counts"), at[F.col("sample")]))
+    return placed.withColumn("count", held).drop("segment")
 
 
 def last_variants(variants: DataFrame) -> DataFrame:

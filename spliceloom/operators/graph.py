@@ -13,6 +13,10 @@ from spliceloom.functions.seq import has_stop, reverse_complement
 from spliceloom.staging import append, opened, written
 
 
+#: Open steps of a gene that are folded over in one row: some 4,000 vertices.
+WIDE = 40_000
+
+
 def exon_sequences(vertices: DataFrame, sequences: DataFrame) -> DataFrame:
     """vertices with their bases in reading order, from sequences (gene, dna, offset)."""
     bases = F.substring(F.col("dna"), (F.col("start") - F.col("offset") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
@@ -48,21 +52,64 @@ def frame_steps(exons: DataFrame, edges: DataFrame, frames: DataFrame) -> DataFr
 
 
 def transitions(exons: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """frame_steps of every phase that can reach a vertex, its seeds' and 0 to 2, as a table of numbers made once."""
-    later = edges.select("gene", F.col("src").alias("v"), F.explode(F.array(*[F.lit(p) for p in range(3)])).alias("phase"))
-    return written(frame_steps(exons, edges, later.unionByName(seeds.select("gene", "v", "phase")).distinct()), "steps")
+    """frame_steps of every phase that can reach a vertex, its seeds' and 0 to 2, as a table of numbers made once.
+
+    Sequences meet once for an edge and are read in all its phases there.
+    """
+    src = exons.select("gene", F.col("v").alias("src"), F.col("seq").alias("s1"))
+    dst = exons.select("gene", F.col("v").alias("dst"), F.col("seq").alias("s2"))
+    late = seeds.where("phase > 2").groupBy("gene", F.col("v").alias("src")).agg(F.collect_set("phase").alias("late"))
+    rows = edges.join(src, ["gene", "src"]).join(late, ["gene", "src"], "left").join(dst, ["gene", "dst"])
+    phases = F.concat(F.array(*[F.lit(p) for p in range(3)]), F.coalesce("late", F.array().cast("array<int>")))
+    rows = rows.select("gene", F.col("src").alias("v"), F.col("dst").alias("w"), F.length("s1").alias("n"), F.concat("s1", "s2").alias("coding"), F.explode(phases).alias("phase"))
+    # of a seed past the end of its vertex nothing of the vertex is left
+    rest = F.when(F.col("phase") < F.col("n"), F.substring("coding", F.col("phase") + 1, F.length("coding"))).otherwise(F.substring("coding", F.col("n") + 1, F.length("coding")))
+    return written(rows.select("gene", "v", "w", "phase", next_phase(F.col("n"), F.col("phase")).alias("next_phase"), has_stop(rest).alias("has_stop")), "steps")
 
 
-def propagated_frames(steps: DataFrame, seeds: DataFrame) -> DataFrame:
+def propagated_frames(steps: DataFrame, seeds: DataFrame, order: DataFrame | None = None, most: int = WIDE) -> DataFrame:
     """All frames that reach a vertex: seeds, and frames of pairs without a stop, until nothing is new.
 
-    steps are the transitions. One round carries all genes' new frames over one edge, so rounds are as many as the longest
-    walk, and each moves numbers only. A frame that is annotated stays so and isn't repeated as carried.
+    steps are the transitions. A frame that is annotated stays so and isn't repeated as carried. With order (gene, v, place), the
+    vertices' reading order, a gene's open steps are folded over in that order within one row, and no frame needs a second look.
+    Genes with more than most open steps, or with a step against the order, go the way of all genes without order: a round
+    carries all new frames over one edge, so rounds are as many as the longest walk, and each moves numbers only.
     """
-    spark = steps.sparkSession
     seeds = seeds.select("gene", "v", "phase", "annotated").distinct()
-    paths = [append(seeds, "frames")]
     open_steps = steps.where("not has_stop").select("gene", "v", "w", "phase", "next_phase")
+    if order is None:
+        return _spread(open_steps, seeds)
+    place = lambda v, at: order.select("gene", F.col("v").alias(v), F.col("place").alias(at))
+    placed = written(open_steps.join(place("v", "from"), ["gene", "v"]).join(place("w", "to"), ["gene", "w"]), "placed")
+    wide = placed.groupBy("gene").agg(F.count("*").alias("n"), F.max(F.col("to") <= F.col("from")).alias("back")).where((F.col("n") > most) | F.col("back")).select("gene")
+    wide = written(wide, "wide")
+    if wide.isEmpty():
+        return _folded(placed, seeds)
+    few = _folded(placed.join(wide, "gene", "left_anti"), seeds.join(wide, "gene", "left_anti"))
+    return few.unionByName(_spread(open_steps.join(wide, "gene", "left_semi"), seeds.join(wide, "gene", "left_semi")))
+
+
+def _folded(placed: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Frames of genes whose open steps (with from, the place of v) are folded over in reading order."""
+    frame = lambda v, phase: F.struct(F.col(v).cast("long").alias("v"), F.col(phase).cast("int").alias("phase"))
+    path = F.array_sort(F.collect_list(F.struct("from", frame("v", "phase").alias("a"), frame("w", "next_phase").alias("b")))).alias("path")
+    begun = seeds.groupBy("gene").agg(F.collect_set(frame("v", "phase")).alias("begun"))
+    rows = placed.groupBy("gene").agg(path).join(begun, "gene")
+
+    def carry(reached: Column, s: Column) -> Column:
+        new = F.array_contains(reached, s.a) & ~F.array_contains(reached, s.b)
+        return F.when(new, F.concat(reached, F.array(s.b))).otherwise(reached)
+
+    reached = F.aggregate("path", F.col("begun"), carry)
+    found = rows.select("gene", F.explode(F.array_except(reached, F.col("begun"))).alias("f"))
+    kind = seeds.schema["v"].dataType
+    return seeds.unionByName(found.select("gene", F.col("f.v").cast(kind).alias("v"), F.col("f.phase").cast(seeds.schema["phase"].dataType).alias("phase"), F.lit(False).alias("annotated")))
+
+
+def _spread(open_steps: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Frames by rounds over all genes, each a table in the shared folder."""
+    spark = open_steps.sparkSession
+    paths = [append(seeds, "frames")]
     fresh = opened(spark, paths, seeds.schema)
     while not fresh.isEmpty():
         seen = opened(spark, paths, seeds.schema)
@@ -73,6 +120,21 @@ def propagated_frames(steps: DataFrame, seeds: DataFrame) -> DataFrame:
     return opened(spark, paths, seeds.schema)
 
 
+def variant_frames(steps: DataFrame, opened_steps: DataFrame, seeds: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """Frames (gene, sample, v, phase, annotated) of the samples whose variants open steps of a gene; others have the reference's.
+
+    opened_steps: gene, sample and a step of steps that has no stop in some combination of the sample's variants. A frame goes on
+    over a pair if any combination has no stop, so a sample only ever has more frames than the reference.
+    """
+    both = F.struct("gene", "sample").alias("gene")
+    owners = written(opened_steps.select("gene", "sample").distinct(), "owners")
+    base = steps.where("not has_stop").join(owners, "gene").select(both, "v", "w", "phase", "next_phase", "has_stop")
+    more = opened_steps.select(both, "v", "w", "phase", "next_phase", F.lit(False).alias("has_stop"))
+    begun = seeds.join(owners, "gene").select(both, "v", "phase", "annotated")
+    place = None if order is None else order.join(owners, "gene").select(both, "v", "place")
+    return propagated_frames(base.unionByName(more).distinct(), begun, place).select("gene.gene", "gene.sample", "v", "phase", "annotated")
+
+
 def exon_pairs(steps: DataFrame, frames: DataFrame) -> DataFrame:
     """Pairs of the graph with frame, stop flag and weight, one over the number of frames of the first vertex."""
     weight = F.round(1 / F.count("*").over(Window.partitionBy("gene", "v")), 3)

@@ -13,6 +13,7 @@ from spliceloom.functions.seq import coordinate_text, genomic_parts, kmers, resi
 from spliceloom.operators.cohort import without_known
 from spliceloom.operators.expression import junction_expression, junctions_annotated, segment_expression
 from spliceloom.operators.quality import InputError
+from spliceloom.operators.variants import within
 
 #: Variants from which `crowded_pairs` tells a pair; all are combined, however many.
 MAX_VARIANTS = 10
@@ -86,8 +87,8 @@ def reference_peptides(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
 
 def _with_variants(pairs: DataFrame, variants: DataFrame) -> DataFrame:
     """Rows with the variants (gene, sample, pos, base, and count if there) in any part, per sample, in order."""
-    spans = pairs.select("*", F.explode("parts").alias("part"))
-    near = spans.join(variants, "gene").where("part.start <= pos and pos < part.stop")
+    spans = pairs.select("*", F.explode("parts").alias("part")).select("*", "part.start", "part.stop")
+    near = within(spans, variants, ["gene"])
     held = F.struct("pos", "base", *(["count"] if "count" in variants.columns else []))
     return near.groupBy(*pairs.columns, "sample").agg(F.array_sort(F.collect_set(held)).alias("held"))
 
@@ -100,7 +101,7 @@ def variants_of(variants: DataFrame, genes: DataFrame, names: DataFrame | None =
     """
     if names is not None:
         variants = variants.withColumnRenamed("sample", "mutation").join(names.select("sample", "mutation").distinct(), "mutation").drop("mutation")
-    return genes.select("gene", "chrom", "start", "stop").join(variants, "chrom").where("start <= pos and pos < stop").drop("chrom", "start", "stop")
+    return within(genes.select("gene", "chrom", "start", "stop"), variants, ["chrom"]).drop("chrom", "start", "stop")
 
 
 def germline_sequences(sequences: DataFrame, variants: DataFrame) -> DataFrame:

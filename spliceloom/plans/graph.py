@@ -50,12 +50,12 @@ def all_frames(spark, d):
 @query(f"WITH RECURSIVE {CDS}, {GRAPH}, {_SEEDS}, {_STEPS} SELECT fr.gene, fr.v, fr.phase, sf.gene IS NOT NULL AS annotated FROM fr LEFT JOIN sf ON sf.gene = fr.gene AND sf.v = fr.v AND sf.phase = fr.phase")
 def frame_propagation(spark, d):
     exons, links, seeds = _graph(spark, d)
-    return g.propagated_frames(g.transitions(exons, links, seeds), seeds)
+    return g.propagated_frames(g.transitions(exons, links, seeds), seeds, g.vertex_order(exons))
 
 
 def _pairs_of(exons, links, seeds):
     steps = g.transitions(exons, links, seeds)
-    return g.exon_pairs(steps, g.propagated_frames(steps, seeds))
+    return g.exon_pairs(steps, g.propagated_frames(steps, seeds, g.vertex_order(exons)))
 
 
 @query(f"""WITH RECURSIVE {CDS}, {GRAPH}, {_SEEDS}, {_STEPS}, w AS (SELECT gene, v, round(1.0 / count(*), 3) AS weight FROM fr GROUP BY gene, v)

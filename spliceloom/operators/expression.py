@@ -10,7 +10,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceloom.operators.variants import last_segment, within
+from spliceloom.operators.variants import last_segment, overlapping, within
 
 
 def gene_expression(segments: DataFrame) -> DataFrame:
@@ -43,21 +43,27 @@ def updated_sizes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def segment_expression(pieces: DataFrame, segments: DataFrame, k: int) -> DataFrame:
-    """Mean count over a k-mer's bases: pieces (gene, id, start, stop) over segments (gene, seg_start, seg_stop, counts)."""
-    near = pieces.join(segments, "gene").where("start < seg_stop and seg_start < stop")
-    n = F.least("stop", "seg_stop") - F.greatest("start", "seg_start")
-    # both sums need one exchange: rows of a k-mer stay together for the sum by sample
-    long = near.select("gene", "id", n.alias("n"), F.posexplode("counts").alias("pos", "x")).repartition("gene", "id")
-    sums = long.groupBy("gene", "id", "pos").agg(F.sum(F.col("n") * F.col("x")).alias("total"))
-    rows = sums.groupBy("gene", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "total"))).alias("rows"))
-    return rows.select("gene", "id", F.transform("rows", lambda r: F.bround(r.total / (3 * k), 2)).alias("expr"))
+    """Mean count over a k-mer's bases: pieces (gene, id, start, stop) over segments (gene, seg_start, seg_stop, counts), as gene, id and expr, a value per sample.
+
+    A k-mer has 3k bases, so it lies on few segments; their counts are added as arrays, each weighed by its bases.
+    """
+    near = overlapping(pieces, segments, ["gene"], ("start", "stop"), ("seg_start", "seg_stop"))
+    n = (F.least("stop", "seg_stop") - F.greatest("start", "seg_start")).cast("double")
+    held = near.groupBy("gene", "id").agg(F.collect_list(F.struct(n.alias("n"), F.col("counts").cast("array<double>").alias("counts"))).alias("held"))
+    none = F.transform(F.get("held", F.lit(0))["counts"], lambda _: F.lit(0.0))
+    total = F.aggregate("held", none, lambda acc, h: F.zip_with(acc, h.counts, lambda x, y: x + h.n * y))
+    return held.select("gene", "id", F.transform(total, lambda x: F.bround(x / (3 * k), 2)).alias("expr"))
 
 
 def junction_expression(crossed: DataFrame, edge_counts: DataFrame) -> DataFrame:
-    """Least count over the junctions (gene, id, left_stop, right_start) that a k-mer crosses; an unknown one is null."""
-    rows = crossed.join(edge_counts, ["gene", "left_stop", "right_start"], "left")
-    long = rows.select("gene", "id", F.posexplode_outer("counts").alias("pos", "x"))
-    return long.groupBy("gene", "id", "pos").agg(F.min("x").alias("expr")).where("pos is not null")
+    """Least count over the junctions (gene, id, left_stop, right_start) that a k-mer crosses, as gene, id and expr, a value per sample.
+
+    A junction without counts does not count; a k-mer with none that has any is left out.
+    """
+    rows = crossed.join(edge_counts.where("counts is not null"), ["gene", "left_stop", "right_start"])
+    held = rows.groupBy("gene", "id").agg(F.collect_list(F.col("counts").cast("array<double>")).alias("held"))
+    least = F.aggregate(F.slice("held", 2, F.size("held")), F.get("held", F.lit(0)), lambda acc, c: F.zip_with(acc, c, lambda x, y: F.least(x, y)))
+    return held.select("gene", "id", least.alias("expr"))
 
 
 def junctions_annotated(crossed: DataFrame, known: DataFrame) -> DataFrame:

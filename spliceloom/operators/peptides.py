@@ -203,23 +203,35 @@ def kmer_junctions(rows: DataFrame) -> DataFrame:
 
 
 def kmer_matrices(peptides: DataFrame, k: int, segments: DataFrame, edge_counts: DataFrame, known: DataFrame, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The segment and the junction matrix of the k-mers of peptides: gene, kmer, coord, flags and expr, a value per sample.
+    """The matrices (`matrices_of`) of the k-mers of peptides."""
+    return matrices_of(peptide_kmers(peptides, k), k, segments, edge_counts, known, listed)
+
+
+def mutated_matrices(rows: DataFrame, k: int, segments: DataFrame, edge_counts: DataFrame, known: DataFrame, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The matrices of mutated k-mers (`variants.mutated_kmers`), of pairs, triples or single exons, each row with its sample and variants."""
+    rows = rows.withColumnsRenamed({"pieces": "parts", "annotated": "readFrameAnnotated"})
+    names = ["gene", "sample", "kmer", "variants", "coord", "readFrameAnnotated"]
+    return matrices_of(rows.select(*names, "parts", "isCrossJunction").dropDuplicates(names), k, segments, edge_counts, known, listed)
+
+
+def matrices_of(rows: DataFrame, k: int, segments: DataFrame, edge_counts: DataFrame, known: DataFrame, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The segment and the junction matrix of k-mers (gene, kmer, parts, coord, isCrossJunction, readFrameAnnotated, and whose they are
+    in sample and variants, if there): gene, kmer, coord, flags and expr, a value per sample of the counts.
 
     segments: gene, seg_start, seg_stop, counts; edge_counts: gene, left_stop, right_start, counts; known: annotated junctions
     (gene, a, b); listed: known k-mers to leave out, with I as L. A k-mer within an exon has the mean count over its bases,
-    one across junctions the least count of these; what the counts lack is null.
+    one across junctions the least count of these; what the counts lack is null. Expression is made once for each place, whatever stands there.
     """
-    rows = peptide_kmers(peptides, k)
     if listed is not None:
         rows = without_known(rows, listed)
     keys = [F.col("gene"), F.col("coord").alias("id")]
-    flags = ["kmer", "isCrossJunction", "readFrameAnnotated"]
-    within = segment_expression(kmer_pieces(rows.where("not isCrossJunction")), segments, k)
+    own = [c for c in ("sample", "variants") if c in rows.columns]
+    flags = [*own, "kmer", "isCrossJunction", "readFrameAnnotated"]
+    within_ = segment_expression(kmer_pieces(rows.where("not isCrossJunction")), segments, k)
     crossed = kmer_junctions(rows)
-    held = junction_expression(crossed, edge_counts).groupBy("gene", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "expr"))).alias("e"))
-    across = held.select("gene", "id", F.transform("e", lambda x: x.expr.cast("double")).alias("expr"))
-    out = ["gene", "kmer", F.col("id").alias("coord"), "isCrossJunction", "junctionAnnotated", "readFrameAnnotated", "expr"]
-    segment = rows.where("not isCrossJunction").select(*keys, *flags, F.lit(False).alias("junctionAnnotated")).join(within, ["gene", "id"], "left")
+    across = junction_expression(crossed, edge_counts)
+    out = [*own, "gene", "kmer", F.col("id").alias("coord"), "isCrossJunction", "junctionAnnotated", "readFrameAnnotated", "expr"]
+    segment = rows.where("not isCrossJunction").select(*keys, *flags, F.lit(False).alias("junctionAnnotated")).join(within_, ["gene", "id"], "left")
     junction = rows.where("isCrossJunction").select(*keys, *flags).join(across, ["gene", "id"], "left").join(junctions_annotated(crossed, known), ["gene", "id"], "left")
     return segment.select(*out), junction.select(*out)
 

@@ -38,6 +38,17 @@ def within(intervals: DataFrame, points: DataFrame, keys: list[str], size: int =
     return left.join(right, on).where("start <= pos and pos < stop").drop("__bin", "__salt")
 
 
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], size: int = BIN) -> DataFrame:
+    """Rows of left and right whose intervals, in the columns a and b, overlap, by bins as in `within`; each pair once.
+
+    A pair that shares several bins is taken in the one where the later of the two begins.
+    """
+    at = lambda c: F.floor(c / size)
+    sides = [rows.where(F.col(x[0]) < F.col(x[1])).withColumn("__bin", F.explode(F.sequence(at(F.col(x[0])), at(F.col(x[1]) - 1)))) for rows, x in ((left, a), (right, b))]
+    met = sides[0].join(sides[1], [*keys, "__bin"]).where((F.col(a[0]) < F.col(b[1])) & (F.col(b[0]) < F.col(a[1])))
+    return met.where(F.col("__bin") == at(F.greatest(a[0], b[0]))).drop("__bin")
+
+
 def last_segment(points: DataFrame, segments: DataFrame) -> DataFrame:
     """points (gene, pos, ...) with segment: the last of segments (gene, seg_start, seg_stop, ...) that starts at or before pos.
 

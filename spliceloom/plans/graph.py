@@ -124,7 +124,8 @@ def junction_expression(spark, d):
     counts = vs.join(nxt, ["gene", "v"]).select("gene", F.col("v").alias("id"), F.col("stop").alias("left_stop"), "right_start", _counts(F.col("quantity")).alias("counts"))
     crossed = counts.select("gene", "id", "left_stop", "right_start")
     crossed = crossed.unionByName(crossed.withColumn("id", F.col("id") - 1))
-    return e.junction_expression(crossed, counts.select("gene", "left_stop", "right_start", "counts"))
+    rows = e.junction_expression(crossed, counts.select("gene", "left_stop", "right_start", "counts"))
+    return rows.select("gene", "id", F.posexplode("expr").alias("pos", "expr"))
 
 
 _GENES = "ge AS (SELECT gene, CAST(pos AS INT) AS pos, sum((rgt - lft) * CASE pos WHEN 0 THEN quantity WHEN 1 THEN quantity * 2 ELSE quantity + 1 END) AS expr FROM (SELECT *, unnest([0, 1, 2]) AS pos FROM cds) GROUP BY gene, pos)"
@@ -273,24 +274,34 @@ def isolated_peptides(spark, d):
     return p.reference_peptides(rows, graph_sequences(spark, d)).select("gene", "v", "phase", "peptide", "isIsolated")
 
 
-@query(f"""WITH {CDS}, {GRAPH}, {_ALL_PAIRS}, k AS (SELECT *, unnest(range(0, CAST(length(peptide) - 8 AS BIGINT))) AS i FROM pt WHERE length(peptide) >= 9),
-o AS (SELECT *, n1 - m1 AS len1 FROM k),
-q AS (SELECT gene, substr(peptide, CAST(i + 1 AS INT), 9) AS kmer, 3 * i < len1 AS has1, 3 * i + 27 > len1 AS has2,
+def matrices_sql(own: str = "") -> str:
+    """SQL for both matrices in one table, of k-mers in o: gene, kmer, i (residue), strand, m1, n1, m2, n2, len1 and the columns in own."""
+    return f"""q AS (SELECT gene, {own}kmer, 3 * i < len1 AS has1, 3 * i + 27 > len1 AS has2,
 CASE WHEN strand = '+' THEN m1 + 3 * i ELSE greatest(n1 - 3 * i - 27, m1) END AS a1, CASE WHEN strand = '+' THEN least(m1 + 3 * i + 27, n1) ELSE n1 - 3 * i END AS b1,
 CASE WHEN strand = '+' THEN m2 + greatest(3 * i - len1, 0) ELSE n2 - (3 * i + 27 - len1) END AS a2, CASE WHEN strand = '+' THEN m2 + 3 * i + 27 - len1 ELSE n2 - greatest(3 * i - len1, 0) END AS b2 FROM o),
-x AS (SELECT DISTINCT gene, kmer, CASE WHEN has1 THEN a1 ELSE a2 END AS a, CASE WHEN has1 THEN b1 ELSE b2 END AS b, CASE WHEN has1 AND has2 THEN a2 END AS c, CASE WHEN has1 AND has2 THEN b2 END AS d FROM q),
+x AS (SELECT DISTINCT gene, {own}kmer, CASE WHEN has1 THEN a1 ELSE a2 END AS a, CASE WHEN has1 THEN b1 ELSE b2 END AS b, CASE WHEN has1 AND has2 THEN a2 END AS c, CASE WHEN has1 AND has2 THEN b2 END AS d FROM q),
 j AS (SELECT gene, least(struct_pack(s := l.start, e := l.stop, q := l.quantity), struct_pack(s := r.start, e := r.stop, q := r.quantity)) AS lo, greatest(struct_pack(s := l.start, e := l.stop, q := l.quantity), struct_pack(s := r.start, e := r.stop, q := r.quantity)) AS hi
       FROM ed JOIN vx l USING (gene) JOIN vx r USING (gene) WHERE l.v = src AND r.v = dst),
 jc AS (SELECT gene, lo.e AS ls, hi.s AS rs, min(lo.q) AS q FROM j GROUP BY ALL),
 kn AS (SELECT DISTINCT gene, stop AS ls, lead(start) OVER (PARTITION BY gene ORDER BY start, v) AS rs FROM vx WHERE l_partkey % 2 = 0),
-sx AS (SELECT x.gene, kmer, a, b, round(sum((least(b, stop) - greatest(a, start)) * quantity) / 27, 2) AS e FROM x JOIN vx ON vx.gene = x.gene AND a < stop AND start < b WHERE c IS NULL GROUP BY ALL)
-SELECT gene, kmer, a || ':' || b || ':nan:nan:None:None' AS coord, false AS "isCrossJunction", false AS "junctionAnnotated", CAST(round(e * 100) AS BIGINT) AS hundredths FROM sx
-UNION ALL SELECT x.gene, kmer, a || ':' || b || ':' || c || ':' || d || ':None:None', true, EXISTS (SELECT 1 FROM kn WHERE kn.gene = x.gene AND kn.ls = CASE WHEN (a, b) < (c, d) THEN b ELSE d END AND kn.rs = CASE WHEN (a, b) < (c, d) THEN c ELSE a END), CAST(round(jc.q * 100) AS BIGINT)
-FROM x LEFT JOIN jc ON jc.gene = x.gene AND jc.ls = CASE WHEN (a, b) < (c, d) THEN b ELSE d END AND jc.rs = CASE WHEN (a, b) < (c, d) THEN c ELSE a END WHERE c IS NOT NULL""")
+sx AS (SELECT x.gene, {own}kmer, a, b, sum((least(b, stop) - greatest(a, start)) * quantity) AS q, sum(least(b, stop) - greatest(a, start)) AS n FROM x JOIN vx ON vx.gene = x.gene AND a < stop AND start < b WHERE c IS NULL GROUP BY ALL)
+SELECT {own}gene, kmer, a || ':' || b || ':nan:nan:None:None' AS coord, false AS "isCrossJunction", false AS "junctionAnnotated", concat_ws(';', round(q / 27 * 100)::BIGINT, round(q * 2 / 27 * 100)::BIGINT, round((q + n) / 27 * 100)::BIGINT) AS hundredths FROM sx
+UNION ALL SELECT {own}x.gene, kmer, a || ':' || b || ':' || c || ':' || d || ':None:None', true, EXISTS (SELECT 1 FROM kn WHERE kn.gene = x.gene AND kn.ls = CASE WHEN (a, b) < (c, d) THEN b ELSE d END AND kn.rs = CASE WHEN (a, b) < (c, d) THEN c ELSE a END), coalesce((jc.q * 100)::BIGINT || ';' || (jc.q * 200)::BIGINT || ';' || (jc.q * 100 + 100)::BIGINT, '')
+FROM x LEFT JOIN jc ON jc.gene = x.gene AND jc.ls = CASE WHEN (a, b) < (c, d) THEN b ELSE d END AND jc.rs = CASE WHEN (a, b) < (c, d) THEN c ELSE a END WHERE c IS NOT NULL"""
+
+
+@query(f"""WITH {CDS}, {GRAPH}, {_ALL_PAIRS}, k AS (SELECT *, unnest(range(0, CAST(length(peptide) - 8 AS BIGINT))) AS i FROM pt WHERE length(peptide) >= 9),
+o AS (SELECT *, n1 - m1 AS len1, substr(peptide, CAST(i + 1 AS INT), 9) AS kmer FROM k), {matrices_sql()}""")
 def kmer_matrices(spark, d):
-    """Both k-mer matrices in one table, with the first sample's expression in hundredths."""
+    """Both k-mer matrices in one table, with the expression of all samples in hundredths."""
     from spliceloom.operators import peptides as p
 
+    rows = p.reference_peptides(_all_pairs(spark, d), graph_sequences(spark, d))
+    return _one_table(*p.kmer_matrices(rows, 9, *_expressed(spark, d)))
+
+
+def _expressed(spark, d):
+    """Counts of segments and of junctions, and the annotated junctions."""
     vs = vertices(spark, d)
     segments = vs.select("gene", F.col("start").alias("seg_start"), F.col("stop").alias("seg_stop"), _counts(F.col("quantity")).alias("counts"))
     end = lambda v, n: vs.select("gene", F.col("v").alias(v), F.struct("start", "stop", "quantity").alias(n))
@@ -298,7 +309,9 @@ def kmer_matrices(spark, d):
     low, high = F.least("l", "r"), F.greatest("l", "r")
     counts = joined.select("gene", low["stop"].alias("left_stop"), high["start"].alias("right_start"), _counts(low["quantity"]).alias("counts"))
     known = a.annotated_junctions(vs.where("l_partkey % 2 = 0").select("gene", F.col("gene").alias("tx"), F.col("start").alias("left"), F.col("stop").alias("right"), F.col("v").alias("line")))
-    rows = p.reference_peptides(_all_pairs(spark, d), graph_sequences(spark, d))
-    segment, junction = p.kmer_matrices(rows, 9, segments, counts, known)
-    hundredths = F.round(F.get("expr", F.lit(0)) * 100).cast("long").alias("hundredths")
-    return segment.unionByName(junction).select("gene", "kmer", "coord", "isCrossJunction", "junctionAnnotated", hundredths)
+    return segments, counts, known
+
+
+def _one_table(segment, junction, *own):
+    hundredths = F.concat_ws(";", F.transform("expr", lambda x: F.round(x * 100).cast("long").cast("string"))).alias("hundredths")
+    return segment.unionByName(junction).select(*own, "gene", "kmer", "coord", "isCrossJunction", "junctionAnnotated", hundredths)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spliceloom.operators import annotation as a
 from spliceloom.operators import expression as e
 from spliceloom.operators import graph as g
 from spliceloom.operators import peptides as p
 from spliceloom.operators import variants as v
 from spliceloom.operators.quality import roundtrip
 from spliceloom.plans import query
-from spliceloom.plans.graph import _ALL_PAIRS, _SEEDS, _STEPS, _all_pairs, _counts, _graph, _part
-from spliceloom.plans.tables import CDS, GRAPH, VARIANTS, graph_sequences, read, reverse_complement_sql, translated_sql, variants, vertices
+from spliceloom.plans.graph import _ALL_PAIRS, _SEEDS, _STEPS, _all_pairs, _counts, _expressed, _graph, _one_table, _part, matrices_sql
+from spliceloom.plans.tables import CDS, DNA, GRAPH, VARIANTS, cds, graph_sequences, read, reverse_complement_sql, sequences, translated_sql, variants, vertices
 from spliceloom.staging import written
 
 #: Of several bases at one place of a sample the last line's counts.
@@ -90,6 +91,32 @@ def roundtrip_mutated(spark, d):
     return roundtrip(_mutated(spark, d).withColumnRenamed("pieces", "parts"), graph_sequences(spark, d))
 
 
+@query(f"""WITH {CDS}, {GRAPH}, {_ALL_PAIRS}, {VARIANTS}, {_LAST}, {_MUTATED}, o AS (SELECT gene, sample, variants, kmer, pos AS i, strand, m1, n1, m2, n2, n1 - m1 AS len1 FROM mk JOIN pt USING (gene, v, w, phase)),
+{matrices_sql("sample, variants, ")}""")
+def mutated_matrices(spark, d):
+    """Both matrices of the mutated k-mers, each with its sample and variants, and the expression of all samples in hundredths."""
+    segment, junction = p.mutated_matrices(_mutated(spark, d), 9, *_expressed(spark, d))
+    return _one_table(segment, junction, "sample", F.concat_ws(";", F.col("variants.pos").cast("array<string>")).alias("variants"))
+
+
+_GERMLINE = f"""
+gl AS (SELECT 'S' || (event_id // 8 % 20) AS sample, event_id // 16 * 7919 % (SELECT max(c_custkey) FROM customer) + 1 AS gene, CAST(event_id // 2 * 37 % 1000 AS INT) AS pos, substr('ACGT*', CAST(event_id % 5 + 1 AS INT), 1) AS base, event_id AS line FROM events),
+gv AS (SELECT sample, gene, pos, max_by(base, line) AS base FROM gl GROUP BY ALL),
+gd AS (SELECT sample, gene, {_part.format(a="0", b="1024")} AS dna FROM
+       (SELECT sample, gene, dna, list_filter(list(struct_pack(p := pos, b := base)), lambda c: c.b <> '*') AS chosen FROM gv JOIN dna USING (gene) GROUP BY ALL))
+"""
+
+
+@query(f"""WITH {CDS}, {DNA}, {_GERMLINE}, pc AS (SELECT sample, cds.gene, tx, strand, string_agg(substr(dna, lft + 1, rgt - lft), '' ORDER BY lft, line) AS whole FROM cds JOIN gd USING (gene) GROUP BY ALL),
+rd AS (SELECT pc.sample, pc.gene, pc.tx, substr(CASE WHEN pc.strand = '+' THEN whole ELSE {reverse_complement_sql('whole')} END, ph.phase + 1) AS coding
+       FROM pc JOIN (SELECT tx, CASE WHEN strand = '+' THEN min_by(phase, lft * 10 + line) ELSE max_by(phase, lft * 10 + line) END AS phase FROM cds GROUP BY tx, strand) ph USING (tx))
+SELECT * FROM (SELECT DISTINCT sample, gene, tx, string_split({translated_sql('coding')}, '_')[1] AS peptide FROM rd) WHERE peptide <> ''""")
+def germline_background(spark, d):
+    """Background peptides of each sample whose germline variants stand in a gene."""
+    held = variants(spark, d, "customer", "c_custkey").groupBy("sample", "gene", "pos").agg(F.max_by("base", "line").alias("base"))
+    return a.background_peptides(cds(spark, d), p.germline_sequences(sequences(spark, d), held))
+
+
 _SPOTS = """
 most AS (SELECT max(o_orderkey) * 100 AS m FROM orders),
 gn AS (SELECT o_orderkey AS gene, o_orderkey % 25 AS chrom, o_orderkey * 7919 % m AS start, o_orderkey * 7919 % m + 500 + o_orderkey % 3000 AS stop FROM orders, most),

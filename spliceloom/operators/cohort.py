@@ -45,8 +45,8 @@ def annotated_frames(matrix: DataFrame) -> DataFrame:
 
 
 def hash_slice(matrix: DataFrame, slices: int, number: int) -> DataFrame:
-    """One of slices parts of the k-mers by hash."""
-    return matrix.where(F.abs(F.hash("kmer") % slices) == number)
+    """One of slices parts of the k-mers, by the first 32 bits of their MD5."""
+    return matrix.where(F.conv(F.substring(F.md5(F.col("kmer").cast("binary")), 1, 8), 16, 10).cast("long") % slices == number)
 
 
 def normal_background(normal: DataFrame, positions: Iterable[int], at_least: float | None, recurrence: int | None) -> DataFrame:
@@ -136,18 +136,80 @@ def cohort_filter(cancer: DataFrame, normal: DataFrame | None, cancer_positions:
 
     cancer is the matrix of junction k-mers, or that of segment k-mers with it by prefer_junction; normal the two normal ones
     by combined_normals. K-mers that the normal matrix has, but no normal sample expresses, are of the annotation and count
-    as background.
+    as background. Only rows that support or rule out their k-mer are shuffled, as flags, and added up before that.
     """
-    own = sample_support(cancer, target, sample_at_least)
-    rows = supported(own, cohort_support(cancer, cancer_positions, cohort_at_least, cohort_recurrence, target), cancer, union)
+    marks = kmer_marks(cancer, normal, cancer_positions, normal_positions, target, sample_at_least, cohort_at_least, cohort_recurrence, normal_at_least, normal_recurrence, external)
+    if union:
+        rows = cancer.join(marks.where("(own or cohort) and not background").select("kmer"), "kmer", "left_semi").distinct()
+        held = marks.where("cohort").select("kmer", F.lit(True).alias("__cohort"))
+        # of a k-mer that only its sample supports the rows that do
+        x = F.get(F.col("expr"), F.lit(target))
+        own = x > 0 if sample_at_least == 0 else x >= sample_at_least
+        rows = rows.join(held, "kmer", "left").where(own | F.col("__cohort")).drop("__cohort")
+    else:
+        rows = sample_support(cancer, target, sample_at_least).join(marks.where("cohort and not background").select("kmer"), "kmer", "left_semi")
+    return without_known(rows, known) if known is not None else rows
+
+
+def kmer_marks(cancer: DataFrame, normal: DataFrame | None, cancer_positions: list[int], normal_positions: list[int], target: int, sample_at_least: float, cohort_at_least: float, cohort_recurrence: int, normal_at_least: float | None, normal_recurrence: int | None, external: DataFrame | None = None) -> DataFrame:
+    """kmer, own, cohort and background: whether any row of it has the sample's or the cohort's support or makes it background.
+
+    K-mers without any mark are left out; each table is read once, for its flags.
+    """
+    x = F.get(F.col("expr"), F.lit(target))
+    flags = lambda own, cohort, background: [own.alias("own"), cohort.alias("cohort"), background.alias("background")]
+    no = F.lit(False)
+    enough = support(F.col("expr"), cohort_at_least, cancer_positions, target) >= cohort_recurrence
+    rows = cancer.select("kmer", *flags(F.coalesce(x > 0 if sample_at_least == 0 else x >= sample_at_least, no), enough, no)).where("own or cohort")
     if normal is not None:
-        light = normal.join(cancer.select("kmer").distinct(), "kmer", "left_semi")
-        silent = light.where(support(F.col("expr"), 0, normal_positions) == 0)
-        background = normal_background(light, normal_positions, normal_at_least, normal_recurrence).unionByName(silent.select("kmer"))
+        rule = support(F.col("expr"), 0, normal_positions) == 0
+        if normal_at_least:
+            rule = rule | (support(F.col("expr"), normal_at_least, normal_positions) >= 1)
+        if normal_recurrence:
+            rule = rule | (support(F.col("expr"), 0, normal_positions) >= normal_recurrence)
+        rows = rows.unionByName(normal.where(rule).select("kmer", *flags(no, no, F.lit(True))))
         if external is not None:
-            background = background.unionByName(external.select("kmer"))
-        rows = differential(rows, background.distinct())
-    return without_known(rows, known) if known is not None else rows
+            rows = rows.unionByName(external.select("kmer", *flags(no, no, F.lit(True))))
+    return rows.groupBy("kmer").agg(*[F.max(c).alias(c) for c in ("own", "cohort", "background")])
+
+
+def filter_counts(cancer: DataFrame, normal: DataFrame | None, cancer_positions: list[int], normal_positions: list[int], target: int, sample_at_least: float, cohort_at_least: float, cohort_recurrence: int, normal_at_least: float | None, normal_recurrence: int | None, external: DataFrame | None = None) -> DataFrame:
+    """step, name and n: how many rows of cancer there are and how many each step of `cohort_filter` leaves, in one aggregate."""
+    marks = kmer_marks(cancer, normal, cancer_positions, normal_positions, target, sample_at_least, cohort_at_least, cohort_recurrence, normal_at_least, normal_recurrence, external)
+    x = F.get(F.col("expr"), F.lit(target))
+    rows = cancer.select("kmer", F.coalesce(x > 0 if sample_at_least == 0 else x >= sample_at_least, F.lit(False)).alias("row"))
+    rows = rows.join(marks.where("cohort").select("kmer", "cohort", "background"), "kmer", "left")
+    steps = {"all": F.lit(True), "sample": F.col("row"), "cohort": F.col("row") & F.coalesce("cohort", F.lit(False)), "differential": F.col("row") & F.coalesce(F.col("cohort") & ~F.col("background"), F.lit(False))}
+    one = rows.agg(*[F.count_if(c).alias(n) for n, c in steps.items()])
+    return one.select(F.posexplode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n")) for n in steps])).alias("step", "x")).select("step", "x.name", "x.n")
+
+
+def threshold_grid(cancer: DataFrame, normal: DataFrame, targets: list[int], positions: list[int], normal_positions: list[int], sample_levels: list[float], cohort_levels: list[float], normal_levels: list[float]) -> DataFrame:
+    """How many k-mers pass for every target and setting: target, sample_at_least, cohort_at_least, recurrence, normal_at_least, n_kmers.
+
+    A k-mer passes a setting if the target's expression reaches sample_at_least in some row of it, in some row recurrence samples of
+    positions besides the target reach cohort_at_least, and no normal sample reaches normal_at_least; the normal matrix's k-mers that no
+    normal sample expresses never pass. Levels rise. The matrices are read once: each k-mer is one of few kinds, by the levels
+    that it reaches, and kinds are counted before settings are looked at. The rows of a k-mer meet in one task.
+    """
+    level = lambda x, levels: F.size(F.filter(F.array(*[F.lit(float(v)) for v in levels]), lambda v: x >= v))
+    top = F.array_max(F.transform(F.array(*[F.lit(p) for p in normal_positions]), lambda p: F.get("expr", p)))
+    none = F.lit(None).cast("array<double>")
+    rows = cancer.select("kmer", F.col("expr").alias("row"), F.lit(None).cast("double").alias("top")).unionByName(normal.select("kmer", none.alias("row"), F.coalesce(top, F.lit(0.0)).alias("top")))
+    held = rows.groupBy("kmer").agg(F.collect_list("row").alias("rows"), F.max("top").alias("top")).where("size(rows) > 0 and (top is null or top > 0)")
+    at = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(float(b)).alias("cohort_at_least")) for t in targets for b in cohort_levels]))
+    held = held.select("rows", level(F.coalesce("top", F.lit(float("-inf"))), normal_levels).alias("normal"), at.alias("x")).select("rows", "normal", "x.*")
+    others = F.filter(F.array(*[F.lit(p) for p in positions]), lambda p: p != F.col("target"))
+    most = F.array_max(F.transform("rows", lambda r: F.size(F.filter(others, lambda p: F.get(r, p) >= F.col("cohort_at_least")))))
+    own = F.array_max(F.transform("rows", lambda r: F.get(r, F.col("target"))))
+    kinds = held.select("target", "cohort_at_least", "normal", most.alias("most"), level(own, sample_levels).alias("own")).groupBy("target", "cohort_at_least", "normal", "most", "own").agg(F.count("*").alias("n"))
+    # a kind passes every setting at or below its levels
+    kinds = kinds.where("own > 0 and most > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("own"))).alias("i"))
+    kinds = kinds.select("*", F.explode(F.sequence(F.lit(1), F.col("most"))).alias("recurrence"))
+    kinds = kinds.where(F.col("normal") < len(normal_levels)).select("*", F.explode(F.sequence(F.col("normal") + 1, F.lit(len(normal_levels)))).alias("j"))
+    named = lambda k, levels: F.get(F.array(*[F.lit(float(v)) for v in levels]), F.col(k) - 1)
+    rows = kinds.select("target", named("i", sample_levels).alias("sample_at_least"), "cohort_at_least", "recurrence", named("j", normal_levels).alias("normal_at_least"), "n")
+    return rows.groupBy("target", "sample_at_least", "cohort_at_least", "recurrence", "normal_at_least").agg(F.sum("n").alias("n_kmers"))
 
 
 def targets_filter(cancer: DataFrame, targets: list[int], positions: list[int], background: DataFrame, sample_at_least: float, cohort_at_least: float, cohort_recurrence: int) -> DataFrame:

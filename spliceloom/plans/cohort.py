@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spliceloom.operators import cohort as c
 from spliceloom.operators import specificity as sp
 from spliceloom.plans import query
-from spliceloom.plans.tables import CANCER, MATRIX, NORMAL, SPLIT, TARGET, matrix, murmur3_sql, read, split_matrices
+from spliceloom.plans.tables import CANCER, COHORTS, MATRIX, NORMAL, SPLIT, TARGET, cohort_matrices, matrix, read, split_matrices
 from spliceloom.staging import written
 
 X, H = 60.0, 5  # expression that counts as support, and samples that make recurrence
@@ -24,21 +24,62 @@ su AS (SELECT kmer, count(*) FILTER (s BETWEEN 12 AND 24 AND x >= {X}) AS n_high
 """
 
 
-@query(f"""WITH {MATRIX}, {_SUPPORT} SELECT kmer, CAST(own AS DOUBLE) AS own FROM su
-WHERE own >= 40 AND c_high >= 1 AND n_high = 0 AND n_any BETWEEN 1 AND 8
-AND translate(kmer, 'I', 'L') NOT IN (SELECT 'P' || p_partkey FROM part WHERE p_retailprice > 1800)
-AND kmer NOT IN (SELECT 'P' || p_partkey FROM part WHERE p_size = 7)""")
+#: Of the two cohort matrices: expression of the target, support in the others of its cohort, and of normals, by k-mer.
+OWN, HIGH, LOUD, MANY = 20.0, 15.0, 30.0, 2
+_COHORT = f"""
+cs AS (SELECT kmer, max(CASE WHEN s = {TARGET} THEN x ELSE 0 END) AS own, count(*) FILTER (s <> {TARGET} AND x >= {HIGH}) AS high FROM cm GROUP BY kmer),
+ns AS (SELECT nk.kmer, count(x) FILTER (x > 0) AS n_any, coalesce(max(x), 0) AS top FROM nk LEFT JOIN nm ON nm.kmer = nk.kmer GROUP BY nk.kmer),
+cf AS (SELECT cs.*, n_any, top FROM cs LEFT JOIN ns ON ns.kmer = cs.kmer)
+"""
+
+
+@query(f"""WITH {COHORTS}, {_COHORT} SELECT kmer, CAST(own AS DOUBLE) AS own FROM cf
+WHERE own >= {OWN} AND high >= 1 AND (n_any IS NULL OR n_any BETWEEN 1 AND {MANY - 1} AND top < {LOUD})
+AND kmer NOT IN (SELECT 'P' || p_partkey || '.1' FROM part WHERE p_retailprice > 1800)
+AND kmer NOT IN (SELECT 'P' || p_partkey || '.2' FROM part WHERE p_size = 7)""")
 def diff_filter(spark, d):
+    """Of a cancer and a normal matrix; k-mers of cancer alone stay, those that normals have without expression go."""
     return filtered(spark, d)
 
 
-def filtered(spark, d, normal_at_least=X):
+def filtered(spark, d, normal_at_least=LOUD):
     """The differential filter of the target against external and known k-mers too; own is its expression."""
-    m = written(matrix(spark, d), "matrix")
-    out = c.cohort_filter(m, m, CANCER, NORMAL, TARGET, 40.0, X, 1, normal_at_least, 9, _parts(spark, d, "p_size = 7"), _parts(spark, d, "p_retailprice > 1800"))
+    cancer, normal = cohort_matrices(spark, d)
+    cancer = written(cancer, "cancer")
+    listed = lambda where, line: _parts(spark, d, where).select(F.concat("kmer", F.lit(line)).alias("kmer"))
+    out = c.cohort_filter(cancer, normal, CANCER, NORMAL, TARGET, OWN, HIGH, 1, normal_at_least, MANY, listed("p_size = 7", ".2"), listed("p_retailprice > 1800", ".1"))
     return out.select("kmer", F.get("expr", F.lit(TARGET)).alias("own"))
 
 
+_GRID = {"sample": [1.0, 20.0, 40.0], "cohort": [1.0, 15.0, 30.0], "normal": [1.0, 30.0, 60.0]}
+
+
+@query(f"""WITH {COHORTS}, tg AS (SELECT unnest(range(0, 12)) AS target), lv AS (SELECT a, b, e FROM (SELECT unnest({_GRID["sample"]}) AS a), (SELECT unnest({_GRID["cohort"]}) AS b), (SELECT unnest({_GRID["normal"]}) AS e)),
+ow AS (SELECT kmer, target, coalesce(max(x) FILTER (s = target), 0) AS own, count(*) FILTER (s <> target AND x >= 1) AS h0, count(*) FILTER (s <> target AND x >= 15) AS h1, count(*) FILTER (s <> target AND x >= 30) AS h2 FROM cm, tg GROUP BY ALL),
+ns AS (SELECT nk.kmer, coalesce(max(x), 0) AS top FROM nk LEFT JOIN nm ON nm.kmer = nk.kmer GROUP BY nk.kmer)
+SELECT CAST(target AS INT) AS target, CAST(a AS DOUBLE) AS sample_at_least, CAST(b AS DOUBLE) AS cohort_at_least, CAST(r AS INT) AS recurrence, CAST(e AS DOUBLE) AS normal_at_least, count(*) AS n_kmers
+FROM (SELECT ow.*, top FROM ow LEFT JOIN ns ON ns.kmer = ow.kmer) k, lv, (SELECT unnest(range(1, 13)) AS r) WHERE own >= a AND CASE b WHEN 1 THEN h0 WHEN 15 THEN h1 ELSE h2 END >= r AND (top IS NULL OR top > 0 AND top < e) GROUP BY ALL""")
+def threshold_grid(spark, d):
+    """Counts for every target and setting of the filter from one reading of both matrices."""
+    return c.threshold_grid(*cohort_matrices(spark, d), CANCER, CANCER, NORMAL, _GRID["sample"], _GRID["cohort"], _GRID["normal"])
+
+
+@query(f"""WITH {COHORTS}, {_COHORT} SELECT kmer, CASE WHEN own < {OWN} THEN 'sample' WHEN high < 1 THEN 'cohort' ELSE 'normal' END AS rule FROM cf
+WHERE own < {OWN} OR high < 1 OR top >= {LOUD} OR n_any >= {MANY}""")
+def failing_kmers(spark, d):
+    """All k-mers of the cancer matrix, held as a result against the raw matrices, with the rule that each breaks."""
+    cancer, normal = cohort_matrices(spark, d)
+    cancer = written(cancer, "cancer")
+    return c.failing(cancer.select("kmer"), cancer, normal, CANCER, NORMAL, TARGET, OWN, HIGH, 1, LOUD, MANY)
+
+
+@query(f"""WITH {SPLIT} SELECT kmer, kind, CAST(sum(x) AS DOUBLE) AS total FROM (SELECT *, 'segment' AS kind FROM seg UNION ALL SELECT *, 'junction' FROM jun) GROUP BY kmer, kind""")
+def combined_normals(spark, d):
+    """All rows of both matrices; a k-mer of both keeps both."""
+    segment, junction = (m.withColumn("kind", F.lit(kind)) for m, kind in zip(split_matrices(spark, d), ("segment", "junction")))
+    return c.combined_normals(segment, junction).select("kmer", "kind", F.aggregate("expr", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
 @query(f"WITH {MATRIX}, {_SUPPORT} SELECT kmer, CAST(n_high AS INT) AS n_high, CAST(n_any AS INT) AS n_any FROM su WHERE n_any > 0")
 def recurrence_counts(spark, d):
     m = matrix(spark, d)
@@ -120,28 +161,30 @@ def flag_filters(spark, d):
     return both.select("kmer", F.when(F.col("found_in") == "common", "both").when(F.col("found_in") == "left", "junction").otherwise("frame").alias("passes"))
 
 
-@query(f"WITH {MATRIX} SELECT kmer FROM kf WHERE abs({murmur3_sql('kmer')} % 8) = 3")
+@query(f"WITH {MATRIX} SELECT kmer FROM kf WHERE ('0x' || substr(md5(kmer), 1, 8))::UBIGINT % 8 = 3")
 def hash_slice(spark, d):
-    """One of eight slices by Spark's own hash."""
+    """One of eight slices by MD5."""
     return c.hash_slice(matrix(spark, d), 8, 3).select("kmer")
 
 
-@query(f"""WITH {MATRIX}, {_SUPPORT}, a AS (SELECT * FROM su), b AS (SELECT * FROM a WHERE own >= 40), e AS (SELECT * FROM b WHERE c_high >= 1),
-f AS (SELECT * FROM e WHERE n_high < 1) SELECT 0 AS step, 'all' AS name, count(*) AS n FROM a UNION ALL SELECT 1, 'sample', count(*) FROM b
-UNION ALL SELECT 2, 'cohort', count(*) FROM e UNION ALL SELECT 3, 'differential', count(*) FROM f""")
+@query(f"""WITH {COHORTS}, {_COHORT}, e AS (SELECT * FROM cf WHERE own >= {OWN} AND high >= 1)
+SELECT 0 AS step, 'all' AS name, count(*) AS n FROM cf UNION ALL SELECT 1, 'sample', count(*) FROM cf WHERE own >= {OWN} UNION ALL SELECT 2, 'cohort', count(*) FROM e
+UNION ALL SELECT 3, 'differential', count(*) FROM e WHERE n_any IS NULL OR n_any > 0 AND top < {LOUD}""")
 def step_counts(spark, d):
-    m = written(matrix(spark, d), "matrix")
-    own = c.sample_support(m, TARGET, 40.0)
-    both = c.supported(own, c.cohort_support(m, CANCER, X, 1, TARGET), m)
-    return c.step_counts({"all": m, "sample": own, "cohort": both, "differential": c.differential(both, c.normal_background(m, NORMAL, X, None))})
+    cancer, normal = cohort_matrices(spark, d)
+    return c.filter_counts(written(cancer, "cancer"), normal, CANCER, NORMAL, TARGET, OWN, HIGH, 1, LOUD, None)
 
 
-@query(f"""WITH {MATRIX}, h AS (SELECT kmer, s AS target, x FROM m WHERE s <= 11), n AS (SELECT kmer, count(*) FILTER (s <= 11 AND x >= {X}) AS high,
-count(*) FILTER (s > 11 AND x >= {X}) AS normal FROM m GROUP BY kmer)
-SELECT CAST(target AS INT) AS target, kmer FROM h JOIN n USING (kmer) WHERE x >= 40 AND high - CAST(x >= {X} AS INT) >= 1 AND normal = 0""")
+@query(f"""WITH {COHORTS}, n AS (SELECT kmer, count(*) FILTER (x >= {HIGH}) AS high FROM cm GROUP BY kmer)
+SELECT CAST(s AS INT) AS target, kmer FROM cm JOIN n USING (kmer) WHERE x >= {OWN} AND high - CAST(x >= {HIGH} AS INT) >= 1
+AND kmer NOT IN (SELECT kmer FROM nm WHERE x >= {LOUD}) AND (kmer NOT IN (SELECT kmer FROM nk) OR kmer IN (SELECT kmer FROM nm WHERE x > 0))""")
 def diff_filter_all_targets(spark, d):
-    m = written(matrix(spark, d), "matrix")
-    return c.targets_filter(m, CANCER, CANCER, c.normal_background(m, NORMAL, X, None), 40.0, X, 1).select("target", "kmer")
+    """Every cancer sample as target, with the background of `diff_filter`: loud normals, and k-mers that normals have without expression."""
+    cancer, normal = cohort_matrices(spark, d)
+    normal = written(normal, "normal")
+    silent = normal.where(c.support(F.col("expr"), 0, NORMAL) == 0).select("kmer")
+    background = c.normal_background(normal, NORMAL, LOUD, None).unionByName(silent)
+    return c.targets_filter(written(cancer, "cancer"), CANCER, CANCER, background, OWN, HIGH, 1).select("target", "kmer")
 
 
 _BG = "bg AS (SELECT DISTINCT 'P' || p_partkey AS kmer FROM part WHERE p_brand LIKE '%1' UNION SELECT 'P' || p_partkey FROM part WHERE p_size > 40)"
@@ -240,12 +283,12 @@ def junction_flags(spark, d):
     return sp.junction_flags(rows, ["gene"])
 
 
-@query(f"""WITH r AS (SELECT 'P' || l_partkey AS kmer, l_orderkey AS location, l_quantity AS expr FROM lineitem WHERE l_returnflag IN ('R', 'A')), {_BG}
+@query(f"""WITH r AS (SELECT 'P' || l_partkey AS kmer, l_orderkey AS location, l_quantity AS expr FROM lineitem), {_BG}
 SELECT kmer, count(*) AS n, string_agg(location || ':' || CAST(expr AS BIGINT), ';' ORDER BY location, expr) AS detail_text FROM r
 WHERE kmer NOT IN (SELECT kmer FROM bg) GROUP BY kmer""")
 def neo_details(spark, d):
     rows = read(spark, d, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey")).alias("kmer"), F.col("l_orderkey").alias("location"), F.col("l_quantity").alias("expr"), "l_returnflag")
-    parts = [rows.where(F.col("l_returnflag") == f).drop("l_returnflag") for f in "RA"]
+    parts = [rows.where(F.col("l_returnflag") == f).drop("l_returnflag") for f in "RAN"]
     held = sp.novel(sp.kmer_details(*parts), _background(spark, d))
     return held.select("kmer", F.size("details").cast("long").alias("n"), "detail_text")
 

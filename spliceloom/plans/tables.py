@@ -27,8 +27,15 @@ def split_matrices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def _matrix(spark: SparkSession, sf_dir: str, where: str, keys: list[str]) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").where(where).join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    cells = lines.groupBy(*keys, "s_nationkey").agg(F.sum("l_quantity").alias("x"))
+    return _cells(spark, sf_dir, _lines(spark, sf_dir).where(where), keys, F.col("l_quantity"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+def _cells(spark: SparkSession, sf_dir: str, lines: DataFrame, keys: list[str], x) -> DataFrame:
+    cells = lines.groupBy(*keys, "s_nationkey").agg(F.sum(x).alias("x"))
     rows = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("s_nationkey", "x"))).alias("held"))
     expr = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda p: F.coalesce(F.col("held")[p], F.lit(0.0)))
     part = read(spark, sf_dir, "part")
@@ -52,19 +59,24 @@ jun AS (SELECT 'P' || l_partkey || '.' || l_linenumber AS kmer, s_nationkey AS s
 """
 
 
-def murmur3_sql(text: str, seed: int = 42) -> str:
-    """SQL for the public 32-bit Murmur3 hash of a text of ASCII letters, as Spark's hash() has it: whole words, then single bytes."""
-    times = lambda x, c: f"(CAST({x} AS UBIGINT) * {c} % 4294967296)"
-    turned = lambda x, r: f"((({x}) << {r}) % 4294967296 + (({x}) >> {32 - r}))"
-    byte = lambda i: f"CAST(ord(substr({text}, CAST({i} + 1 AS INT), 1)) AS UBIGINT)"
-    word = " + ".join(f"{byte(f'4 * i + {k}')} * {256**k}" for k in range(4))
-    blocks = f"list_concat(list_transform(range(0, length({text}) // 4), lambda i: {word}), list_transform(range(length({text}) // 4 * 4, length({text})), lambda i: {byte('i')}))"
-    mixed = f"list_transform({blocks}, lambda k: {times(turned(times('k', 3432918353), 15), 461845907)})"
-    folded = f"list_reduce(list_prepend(CAST({seed} AS UBIGINT), {mixed}), lambda h, k: ({times(turned('xor(h, k)', 13), 5)} + 3864292196) % 4294967296)"
-    h = f"xor({folded}, CAST(length({text}) AS UBIGINT))"
-    for shift, factor in ((16, 2246822507), (13, 3266489909), (16, 1)):
-        h = f"list_transform([{h}], lambda x: {times(f'xor(x, x >> {shift})', factor)})[1]"
-    return f"list_transform([CAST({h} AS BIGINT)], lambda x: CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END)[1]"
+def cohort_matrices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The cancer matrix, of the lines of cancer samples, and the normal one, of the others and of every fifth part's lines.
+
+    A k-mer is a part and line number. So many k-mers stand in the cancer matrix alone, and some in the normal one
+    without any expression there.
+    """
+    lines = _lines(spark, sf_dir)
+    cancer, normal = (_cells(spark, sf_dir, lines.where(where), ["l_partkey", "l_linenumber"], x) for where, x in (("s_nationkey <= 11", F.col("l_quantity")), ("s_nationkey >= 12 or l_partkey % 5 = 0", F.when(F.col("s_nationkey") >= 12, F.col("l_quantity")).otherwise(0.0))))
+    return cancer, normal
+
+
+#: cm and nm: the cells of the two cohort matrices; nk: the normal one's k-mers.
+COHORTS = """
+al AS (SELECT 'P' || l_partkey || '.' || l_linenumber AS kmer, l_partkey, s_nationkey AS s, l_quantity AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
+cm AS (SELECT kmer, s, sum(q) AS x FROM al WHERE s <= 11 GROUP BY ALL),
+nm AS (SELECT kmer, s, sum(q) AS x FROM al WHERE s >= 12 GROUP BY ALL),
+nk AS (SELECT DISTINCT kmer FROM al WHERE s >= 12 OR l_partkey % 5 = 0)
+"""
 
 
 def cds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,17 +80,59 @@ def annotation_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def genome(spark: SparkSession, path: str) -> DataFrame:
-    """chrom and seq of a FASTA file; the name is the first word of the header."""
+    """chrom and seq of a FASTA file, a row per chromosome; the name is the first word of the header."""
     entries = spark.read.option("lineSep", ">").text(path).where("trim(value) != ''")
     head, body = F.substring_index("value", "\n", 1), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     return entries.select(F.get(F.split(F.trim(head), r"\s+"), F.lit(0)).alias("chrom"), body.alias("seq"))
 
 
 def genome_chunks(genome_table: DataFrame, size: int = 100_000) -> DataFrame:
-    """Fixed-size chunks of chromosomes (chrom, chunk, seq)."""
+    """Fixed-size chunks of chromosomes (chrom, chunk, seq), of one row per chromosome; see `fasta_chunks` for large files.
+
+    Sequences are of one byte a base and are cut as bytes, which takes the same time wherever a chunk begins.
+    """
+    rows = genome_table.where("length(seq) > 0").select("chrom", F.col("seq").cast("binary").alias("seq"))
     count = F.ceil(F.length("seq") / size).cast("int")
-    rows = genome_table.where("length(seq) > 0").select("chrom", "seq", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
-    return rows.select("chrom", "chunk", F.substring(F.col("seq"), F.col("chunk") * size + 1, F.lit(size)).alias("seq"))
+    rows = rows.select("chrom", "seq", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
+    return rows.select("chrom", "chunk", F.substring(F.col("seq"), F.col("chunk") * size + 1, F.lit(size)).cast("string").alias("seq"))
+
+
+def fasta_chunks(spark: SparkSession, paths: str | list[str], size: int = 100_000) -> DataFrame:
+    """Fixed-size chunks (chrom, chunk, seq) of FASTA files, read by line, so that a chromosome is spread over tasks.
+
+    A line's place in its chromosome is a prefix sum in two passes: of lengths within each block of a file that a task reads, and
+    of the blocks' totals, a row each, which tell a block with which chromosome and place it begins. Lines before the first
+    header are left out; white space in lines does not count. Equal to genome_chunks of the whole sequences.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    raw = spark.read.text(paths).select("value", *place)
+    head = F.col("value").startswith(">")
+    name = F.when(head, F.get(F.split(F.trim(F.substring("value", 2, 1 << 20)), r"\s+"), F.lit(0)))
+    rows = raw.select("file", "block", "line", name.alias("name"), F.when(head, "").otherwise(F.regexp_replace("value", r"\s", "")).cast("binary").alias("bases"))
+    rows = rows.withColumn("n", F.length("bases").cast("long"))
+    own = Window.partitionBy("file", "block")
+    rows = rows.withColumn("entry", F.count("name").over(own.orderBy("line")))
+    own = Window.partitionBy("file", "block", "entry").orderBy("line")
+    rows = rows.withColumns({"chrom": F.first("name").over(own), "at": F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+
+    # the last entry of each block: its name, if it begins there, and its bases so far
+    last = F.max(F.struct("entry", F.col("chrom").alias("name"), "total")).alias("last")
+    totals = rows.groupBy("file", "block", "entry").agg(F.max("chrom").alias("chrom"), F.sum("n").alias("total"))
+    blocks = totals.groupBy("file", "block").agg(last).select("file", "block", "last.*")
+    order = Window.partitionBy("file").orderBy("block")
+    blocks = blocks.withColumns({"run": F.count("name").over(order), "name": F.last("name", ignorenulls=True).over(order)})
+    blocks = blocks.withColumn("sum", F.sum("total").over(Window.partitionBy("file", "run").orderBy("block")))
+    begun = blocks.select("file", "block", F.lag("name").over(order).alias("open"), F.lag("sum").over(order).alias("before"))
+
+    rows = rows.where("n > 0").join(begun, ["file", "block"])
+    first = F.col("entry") == 0
+    rows = rows.select(F.when(first, F.col("open")).otherwise(F.col("chrom")).alias("chrom"), (F.col("at") + F.when(first, F.coalesce("before", F.lit(0))).otherwise(0)).alias("at"), "bases", "n").where("chrom is not null")
+    span = F.sequence(F.floor(F.col("at") / size), F.floor((F.col("at") + F.col("n") - 1) / size))
+    rows = rows.withColumn("chunk", F.explode(span))
+    low = F.greatest(F.col("at"), F.col("chunk") * size)
+    piece = F.substring(F.col("bases"), (low - F.col("at") + 1).cast("int"), (F.least(F.col("at") + F.col("n"), (F.col("chunk") + 1) * size) - low).cast("int"))
+    held = rows.select("chrom", F.col("chunk").cast("int").alias("chunk"), low.alias("low"), piece.cast("string").alias("piece")).groupBy("chrom", "chunk").agg(F.array_sort(F.collect_list(F.struct("low", "piece"))).alias("ps"))
+    return held.select("chrom", "chunk", F.array_join(F.transform("ps", lambda p: p.piece), "").alias("seq"))
 
 
 def gene_sequences(genes: DataFrame, chunks: DataFrame, size: int = 100_000) -> DataFrame:

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables that this process has written.
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder only where none is set and all run on one machine."""
@@ -28,10 +31,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def append(df: DataFrame, name: str) -> str:
     """The path of a new table of df's rows."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
     return path
 
 
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the tables written so far, once the results that read them are written themselves; tells how many."""
+    dropped = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        dropped += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return dropped
+
+
 def opened(spark: SparkSession, paths: list[str], schema) -> DataFrame:
     """The rows of tables of one schema."""
     return spark.read.schema(schema).parquet(*paths)

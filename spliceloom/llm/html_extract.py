@@ -4,7 +4,7 @@ A page is cut into tags and words. Labelled pages, those that mark their own mai
 element, give weights: the log odds of standing inside that part, for words by the block they stand in, for tags by
 their name and for the words of class, id and role. Menus, footers, forms and elements whose class words weigh against
 them are ruled out and score below zero: those of words that labelled pages have outside, and of a fixed list, as
-articles hold adverts and comments too, which their marks can't teach.
+articles hold adverts and comments too, which their marks can't teach. Inside an article the list rules out plain names only.
 A linear scan finds the contiguous run of greatest sum, in each part that a page marks or, where far more scores
 outside of those (a teaser is marked, the text is not), in the page; what is ruled out is cut from it.
 """
@@ -35,9 +35,11 @@ IN_PART = 1.5
 _RAW = frozenset("script style template noscript iframe svg canvas textarea select head title".split())
 _ASIDE = frozenset("nav header footer aside form button dialog menu".split())
 #: Words of class, id and role that mark menus, notices, adverts and reader comments, wherever they stand.
-_SEED = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|reply|replies|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|widget|complementary|navigation|contentinfo")
+_SEED = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|popup|modal|sidebar|side|menu|navs?|navbar\w*|breadcrumbs?|footer|header|masthead|comments?|reply|replies|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|widget|complementary|navigation|contentinfo")
 #: Those that also name an article's own pieces: header, and compounds such as side-by-side or market-share.
 _OWN = frozenset("header share side widget".split())
+#: Words of a name that only say that it is a container, so that the other words tell what of.
+_CONTAINER = frozenset("area articles bar block body bottom box button buttons col container content form group holder icon icons inner item items left link links list main outer panel posts primary right row secondary section slot stories top unit wrap wrapper".split())
 #: Elements inside and outside that a class word starts with, and the log odds below which it rules its element out.
 PRIOR, AGAINST = 5.0, -1.5
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr nobr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder semantics".split())
@@ -54,12 +56,20 @@ _WORDS = re.compile("[a-z0-9]+")
 
 
 def class_words(marks: str, inside: bool) -> list[str]:
-    """The words of an element's class, id and role; inside an article without those that name pieces of its own."""
+    """The words of an element's class, id and role; inside an article without those that name pieces of its own.
+
+    There the fixed list rules out only names that are made of its words and of containers, as comment-list is. In
+    a name that says more, as social-security does, a word of the list stands with - behind it, and what was learned decides.
+    """
     out = []
-    for m in _WORDS.finditer(marks):
-        joined = marks[m.start() - 1 : m.start()] + marks[m.end() : m.end() + 1]
-        if not (inside and m[0] in _OWN and (m[0] == "header" or "-" in joined or "_" in joined)):
-            out.append(m[0])
+    for name in marks.split():
+        words = list(_WORDS.finditer(name))
+        plain = all(_SEED.fullmatch(m[0]) or m[0] in _CONTAINER or m[0].isdigit() for m in words)
+        for m in words:
+            joined = name[max(m.start() - 1, 0) : m.start()] + name[m.end() : m.end() + 1]
+            if inside and m[0] in _OWN and (m[0] == "header" or "-" in joined or "_" in joined):
+                continue
+            out.append(m[0] if not inside or plain or not _SEED.fullmatch(m[0]) else f"{m[0]}-")
     return out
 
 

@@ -78,3 +78,14 @@ def test_all_marked_parts_and_unmarked_texts():
     assert main_text(f"<div><p>a few words outside</p></div><main><p>{text}</p></main>", weights) == text
     assert main_text("<article><div class='entry-header'><h1>Head</h1></div><p class='side-by-side'>one two</p><div class='sidebar'>no</div></article>", weights) == "Head one two"
     assert main_text("<div class='page-header'>no</div><div><p>only some words of text here</p></div>", weights) == "only some words of text here"
+
+
+def test_class_words_inside_an_article():
+    weights = log_odds({})
+    for name in ("social-security", "search-results-table", "related-work", "comment-free-zone", "navy", "reply_to_critics"):
+        assert main_text(f"<article><p>one</p><div class='{name}'><p>two</p></div></article>", weights) == "one two", name
+    for name in ("comments", "comment-list", "ad", "ad-box", "sidebar", "related-posts", "newsletter-signup", "cookie-notice", "social links", "share"):
+        assert main_text(f"<article><p>one</p><div class='{name}'><p>two</p></div></article>", weights) == "one", name
+    assert main_text("<div class='social-security'>no</div><div><p>only some words of text here</p></div>", weights) == "only some words of text here"
+    taught = weights | log_odds({"class:related-": (0, 500)})
+    assert main_text("<article><p>one</p><div class='related-work'><p>two</p></div></article>", taught) == "one"

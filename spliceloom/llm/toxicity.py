@@ -5,8 +5,9 @@ mean of learned vectors of its character pairs (character input). Windows of WIN
 the next by half, are read in both directions; attention pools the states and a logistic unit scores the
 window. A text's score is the greatest of its windows'.
 
-Training takes as many rounds as make up TRAINED texts, between ROUNDS; a round takes of each text the window that
-scores highest, and CLEAN windows of clean texts for each of these, drawn anew from all. Scoring reads every window.
+Training takes STEPS steps of stochastic descent, of BATCH windows each, whatever the sample's size; the windows are drawn
+in rounds: of each text the one that scores highest, and CLEAN of clean texts for each of these, drawn anew from
+all. Scoring reads every window, those of a long text in stretches.
 """
 
 from __future__ import annotations
@@ -28,13 +29,16 @@ HIDDEN, WORD, CHAR = 8, 4, 4
 BUCKETS, PAIRS = 1 << 16, 1 << 10
 #: Texts that a word's log odds count besides those seen, in the labels' own proportion.
 PRIOR = 30
-#: Texts that all rounds of training add up to, the least and most rounds, and windows of clean texts beside each text's best.
-TRAINED, ROUNDS, CLEAN = 20_000, (6, 40), 2
+#: Steps of training, windows of a step, and windows of clean texts beside each text's best.
+STEPS, BATCH, CLEAN = 340, 128, 2
+#: Bytes of a stretch of a text that is scored at once; it goes on to the next end of a word.
+STRETCH = 1_000_000
 #: Bytes from which a run is read as several words.
 LONGEST = 64
 #: Words are runs of letters, digits and bytes of other scripts.
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_GAP_OF = _GAP.tolist()
 
 
 def _pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,6 +87,35 @@ class Words:
         return text, self.bounds[text] + step * STRIDE, np.minimum(WINDOW, count[text] - step * STRIDE)
 
 
+def stretches(text: str, size: int | None = None) -> Iterator[str]:
+    """A text in stretches of size characters or some more, whose windows together are those of the text.
+
+    Each goes on to the end of a word. The next begins at the word where the first window begins that doesn't fit in; only
+    a run of over LONGEST bytes of other scripts, where one ends, may be broken a few bytes aside from where it else would.
+    """
+    size = size or STRETCH
+    at = 0
+    while True:
+        stop = min(at + size, len(text))
+        while stop < len(text) and (text[stop] > "\x7f" or not _GAP_OF[ord(text[stop])]):
+            stop += 1
+        part = text[at:stop]
+        if stop == len(text):
+            yield part
+            return
+        data, offsets = text_bytes(pa.array([part], pa.large_string()))
+        low = lowered(data)
+        starts, _, _ = _pieces(low, *word_places(data, offsets, _GAP))
+        fits = (len(starts) - WINDOW) // STRIDE + 1 if len(starts) >= WINDOW else 0
+        if not fits:  # few words, of much white space: with more text behind them
+            size *= 2
+            continue
+        # the last window of a stretch that is cut has to be whole
+        end = (fits - 1) * STRIDE + WINDOW
+        yield data[: starts[end] if end < len(starts) else len(data)].tobytes().decode()
+        at += len(data[: starts[fits * STRIDE]].tobytes().decode())
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -188,7 +221,7 @@ class Toxicity:
             aside = rng.random(len(texts)) < 0.2
             if not 0 < labels[aside].sum() < aside.sum() or not 0 < labels[~aside].sum() < (~aside).sum():
                 aside[:] = False
-            self._train([t for t, a in zip(texts, aside) if not a], labels[~aside], min(ROUNDS[1], max(ROUNDS[0], TRAINED // len(texts))), rng)
+            self._train([t for t, a in zip(texts, aside) if not a], labels[~aside], rng)
             if aside.any():
                 self._calibrate(self._texts(pa.array([t for t, a in zip(texts, aside) if a], pa.large_string())), labels[aside])
 
@@ -201,7 +234,7 @@ class Toxicity:
         low = logits[order[min(good[-1] + 1, len(order) - 1)]]
         self.shift = float(np.log(0.3 / 0.7) - (logits[order[good[0]]] + low) / 2)
 
-    def _train(self, texts: list[str], labels: np.ndarray, rounds: int, rng: np.random.Generator) -> None:
+    def _train(self, texts: list[str], labels: np.ndarray, rng: np.random.Generator) -> None:
         words = Words(pa.array(texts, pa.large_string()))
         text = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
         held = np.unique(text * len(words.bucket) + words.kind)  # distinct words of each text
@@ -216,22 +249,22 @@ class Toxicity:
         peak = np.where(inside, odds.astype(np.float32)[words.bucket][index] if len(words.bucket) else 0, -9).max(axis=1)
         moments = {}
         step = 0
-        for k in range(rounds):
-            lead = peak if k == 0 else self._logits(words, index, sizes)
+        while step < STEPS:
+            lead = peak if step == 0 else self._logits(words, index, sizes)
             best = np.lexsort((-lead, owner))  # of each text, the window that scores highest
             best = best[np.unique(owner[best], return_index=True)[1]]
             clean = np.flatnonzero(labels[owner] == 0)
             some = np.concatenate((best, rng.choice(clean, min(len(clean), CLEAN * len(best)), replace=False)))
             rng.shuffle(some)
             weight = np.where(labels[owner[some]] == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-            for start in range(0, len(some), 128):
-                b = some[start : start + 128]
+            for start in range(0, min(len(some), (STEPS - step) * BATCH), BATCH):
+                b = some[start : start + BATCH]
                 x = self.net.inputs(words) if len(words.bucket) < 4096 else None
                 part, local = words, index[b]
                 if x is None:
                     part, local = self._part(words, index[b])
                     x = self.net.inputs(part)
-                g = self.net.gradients(part, x, local, sizes[b], labels[owner[b]], weight[start : start + 128])
+                g = self.net.gradients(part, x, local, sizes[b], labels[owner[b]], weight[start : start + BATCH])
                 step += 1
                 self._adam(g, moments, step)
 
@@ -278,6 +311,12 @@ class Toxicity:
         return _sigmoid(self._texts(texts) + self.shift) if self.known else np.zeros(len(texts))
 
     def _texts(self, texts: pa.Array) -> np.ndarray:
+        if len(texts) == 1 and texts[0].is_valid and len(texts[0].as_py()) > STRETCH:
+            return np.array([max(self._best(pa.array([t], pa.large_string()))[0] for t in stretches(texts[0].as_py()))])
+        return self._best(texts)
+
+    def _best(self, texts: pa.Array) -> np.ndarray:
+        """The greatest logit of each text's windows."""
         words = Words(texts)
         owner, first, sizes = words.windows()
         found = self._logits(words, self._index(words, first, sizes), sizes).astype(np.float64)
@@ -299,7 +338,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     labels needs doc_id and toxic (0 or 1); rows whose crc32(doc_id as text) mod 4 is 2 are held out of
     learning. Null counts as empty; a text without words scores 0. Without labels of both kinds
     every score is 0. Repeated rows get the same score, held_out is null without doc_id, an empty table gives
-    no rows and other columns are ignored.
+    no rows and other columns are ignored. A text may be of any length: a long one is scored in stretches of STRETCH characters.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(learned(docs, labels, sample))  # of fixed size

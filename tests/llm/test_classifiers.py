@@ -79,6 +79,35 @@ def test_every_byte_of_a_long_run_is_read():
     assert list(np.bincount(words.own)) == words.pairs.tolist()
 
 
+def test_stretches_of_a_long_text_have_its_windows(monkeypatch):
+    rng = random.Random(8)
+    words = ["w%d" % rng.randrange(50) if rng.random() < 0.8 else rng.choice(["é", "文字", "x" * 150, "-", " "]) for _ in range(4000)]
+    text = "".join(w + rng.choice([" ", "  ", ",\n"]) for w in words) + " " * 3000 + "tail end"
+
+    def windows(t):
+        own = toxicity.Words(pa.array([t], pa.large_string()))
+        _, first, sizes = own.windows()
+        kinds = own.bucket[own.kind].tolist()
+        return [tuple(kinds[a : a + n]) for a, n in zip(first.tolist(), sizes.tolist())]
+
+    parts = list(toxicity.stretches(text, 700))
+    assert len(parts) > 10 and [w for p in parts for w in windows(p)] == windows(text)
+    model = toxicity.Toxicity(["vile words here", "plain words here"] * 20, np.array([1, 0] * 20))
+    whole = model.score(pa.array([text], pa.large_string()))
+    monkeypatch.setattr(toxicity, "STRETCH", 900)
+    assert abs(model.score(pa.array([text], pa.large_string())) - whole).max() < 1e-6
+
+
+def test_training_takes_as_many_steps_whatever_the_sample(monkeypatch):
+    steps = []
+    adam = toxicity.Toxicity._adam
+    monkeypatch.setattr(toxicity.Toxicity, "_adam", lambda self, g, moments, step: (steps.append(step), adam(self, g, moments, step)))
+    for n in (10, 700):
+        steps.clear()
+        toxicity.Toxicity([f"w{k} vile" if k % 4 == 0 else f"w{k} plain" for k in range(n)], np.array([int(k % 4 == 0) for k in range(n)]))
+        assert len(steps) == toxicity.STEPS
+
+
 def _forward(net, text):
     """The logit of a text word by word, window by window, in plain loops."""
     spans = [m.span() for m in re.finditer(rb"[0-9a-z\x80-\xff]+", text.encode().lower())]

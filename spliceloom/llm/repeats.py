@@ -30,6 +30,8 @@ from spliceloom.llm.wordhash import mix, prefix_hash, slice_hash
 from spliceloom.staging import written
 
 LENGTH, TRIGGER = 100, 24
+#: Windows of a long text that are parsed at once.
+STRETCH = 1_000_000
 #: Parts that the parse is dealt into, for each shuffle partition.
 PARTS = 4
 
@@ -73,6 +75,22 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, trigger
     return {"text": own, "start": start - offsets[own], "count": count, "trigger": rolled[at], "content": content[:, 0], "more": content[:, 1]}
 
 
+def long_phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, stretch: int | None = None) -> dict[str, np.ndarray]:
+    """The phrases of texts; a lone long text is parsed in stretches of windows, whose memory doesn't grow with it.
+
+    Where stretches meet, a phrase may be cut in two: each window still has one phrase, by its trigger.
+    """
+    stretch = stretch or STRETCH
+    if len(offsets) != 2 or len(data) <= 2 * stretch:
+        return phrases(data, offsets, length)
+    found = []
+    for begin in range(0, len(data) - length + 1, stretch):
+        part = data[begin : begin + stretch + length - 1]
+        found.append(phrases(part, np.array([0, len(part)]), length))
+        found[-1]["start"] = found[-1]["start"] + begin
+    return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+
+
 def _parse(docs: DataFrame, parts: int, length: int) -> DataFrame:
     """A row for each batch and part: the phrases whose trigger belongs to the part, as packed arrays.
 
@@ -82,7 +100,7 @@ def _parse(docs: DataFrame, parts: int, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            found = phrases(*text_bytes(batch.column("text")), length)
+            found = long_phrases(*text_bytes(batch.column("text")), length)
             doc = np.array(batch.column("doc_id").to_pylist(), np.int64)
             mark = np.array(batch.column("mark").to_pylist(), np.int64)
             own = found["text"]
@@ -235,7 +253,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kept (those bytes). Earlier is a smaller doc_id or, in the same document, an earlier start; strings are judged
     on the input and don't cross documents. A null text counts as empty. Rows of the same doc_id and text are one
     document at one place, so neither repeats the other; a row without doc_id stands nowhere and is left whole.
-    Texts shorter than length stay as they are, an empty table gives no rows, other columns are ignored.
+    Texts shorter than length stay as they are, an empty table gives no rows, other columns are ignored. A text may be of any
+    length: it is parsed in stretches, and a task holds it once or twice.
     """
     texts, repeats = stretches(docs, length)
     lists = repeats.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "count")).alias("own"))
@@ -245,14 +264,14 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out: dict = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
             for doc, packed, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "own"))):
                 text = zstandard.decompress(packed)
-                change = np.zeros(len(text) + 1, np.int64)
-                for s in own or ():
-                    change[s["start"]] += 1
-                    change[s["start"] + s["count"] + length - 1] -= 1
-                gone = np.cumsum(change)[:-1] > 0
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                runs = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + bool(len(gone) and gone[0])
-                row = (doc, len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept)
+                pieces, runs, reach = [], 0, 0
+                for start, stop in sorted((s["start"], s["start"] + s["count"] + length - 1) for s in own or ()):
+                    if start > reach or not runs:  # a removed run that doesn't touch the one before
+                        pieces.append(text[reach:start])
+                        runs += 1
+                    reach = max(reach, stop)
+                kept = b"".join([*pieces, text[reach:]])
+                row = (doc, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept)
                 for k, v in zip(out, row):
                     out[k].append(v)
             kinds = {"kept_sha256": pa.string(), "kept": pa.binary()}

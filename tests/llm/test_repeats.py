@@ -54,3 +54,18 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = sorted((r.doc_id or 0, r.n_removed) for r in deduplicated(docs).collect())
     assert [r for r in rows if r[0] != 2] == [(0, 0), (1, rows[1][1]), (1, rows[1][1])] and rows[-1] == (2, 300)
     assert deduplicated(docs.limit(0)).count() == 0
+
+
+def test_a_long_text_is_parsed_in_stretches(spark):
+    import numpy as np
+
+    from spliceloom.llm.repeats import STRETCH, long_phrases, phrases
+
+    rng = np.random.default_rng(3)
+    text = bytearray(rng.integers(97, 123, 2 * STRETCH + 50_000, dtype=np.uint8).tobytes())
+    for at in (10, STRETCH - 60, STRETCH + 40_000, 2 * STRETCH - 300, len(text) - 400):
+        text[at : at + 300] = text[5_000:5_300]
+    _check(spark, [(1, text.decode()), (2, text[STRETCH - 500 : STRETCH + 700].decode()), (3, "x" + text[-450:].decode())])
+    data = np.frombuffer(bytes(text), np.uint8)
+    whole, cut = phrases(data, np.array([0, len(data)])), long_phrases(data, np.array([0, len(data)]))
+    assert whole["count"].sum() == cut["count"].sum() == len(text) - 99 and len(cut["count"]) - len(whole["count"]) in (1, 2)

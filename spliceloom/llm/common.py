@@ -34,6 +34,21 @@ def left_join_hot(rows: DataFrame, single: DataFrame, key: str, hot: DataFrame)
     return ahead.unionByName(rows.join(hot, key, "left_anti").join(single, key, "left"))
 
 
+def join_dealt(rows: DataFrame, single: DataFrame, key: str, counts: DataFrame, times: str = "times") -> DataFrame:
+    """rows joined with single, which has few rows per key, on key; the rows of hot keys are dealt out to many tasks.
+
+    counts tells how many of rows hold each key. Of a hot key each task gets no more rows than make a key hot, and the rows of
+    single once; the hot keys and their numbers of tasks, fewer than HOT rows, are sent to all.
+    """
+    total = counts.agg(F.sum(times)).first()[0] or 0
+    most = max(total / HOT, 1)
+    hot = F.broadcast(written(counts.where(F.col(times) > most).select(key, F.ceil(F.col(times) / most).cast("int").alias("__salts")), "hot"))
+    salts = F.coalesce("__salts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), salts).cast("int")).drop("__salts")
+    right = single.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

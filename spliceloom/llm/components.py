@@ -1,24 +1,30 @@
-"""Connected components by alternating large-star and small-star steps on DataFrames."""
+"""Connected components by alternating large-star and small-star steps on DataFrames.
+
+The links of a hub, a node of very many links, are dealt out to many tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spliceloom.llm.common import join_dealt
 from spliceloom.staging import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("times"))
+    least = written(least.select("u", F.least("u", "m").alias("m"), "times"), "least")
+    moved = join_dealt(both.where("v > u"), least.select("u", "m"), "u", least)
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them. Edges run from u to a smaller v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("times")), "least")
+    moved = join_dealt(edges, least.select("u", "m"), "u", least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
@@ -36,7 +42,7 @@ def components(pairs: DataFrame, left: str, right: str) -> DataFrame:
     edges = written(edges.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("u") != F.col("v"))).distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        edges = written(_small_star(written(_large_star(edges), "edges")), "edges")
         before, state = state, _state(edges)
         if state == before:
             break

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceloom.llm.common import hot_keys, left_join_hot, small_batches, text_bytes, unused
+from spliceloom.llm.common import hot_keys, join_dealt, left_join_hot, small_batches, text_bytes, unused
 from spliceloom.llm.components import components
 from spliceloom.llm.wordhash import MinHash, mix, shingles, words
 from spliceloom.staging import written
@@ -73,7 +73,9 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 keep = pa.array((left == right).mean(axis=1) >= least)
                 yield batch.select(["a", "b"]).filter(keep)
 
-    return pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    pairs = written(pairs, "pairs")
+    rows = join_dealt(pairs, ends[0], "a", pairs.groupBy("a").agg(F.count("*").alias("times"))).join(ends[1], "b")
+    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -101,7 +103,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     texts = [docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ba"]
-    return pairs.join(texts[0], "b").join(texts[1], "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    pairs = written(pairs, "pairs")
+    rows = join_dealt(pairs.join(texts[0], "b"), texts[1], "a", pairs.groupBy("a").agg(F.count("*").alias("times")))
+    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
 def prefix_pairs(texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -152,8 +156,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     lead = written(named.groupBy("digest").agg(F.min("doc_id").alias("lead"), F.count("*").alias("times")), "lead")
     classes = table.join(lead.select("digest", F.col("lead").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     banded = classes.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
-    centre = banded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre != last")
-    shared = written(banded.join(centre.select("key", "centre"), "key").distinct(), "shared")
+    centre = banded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"), F.count("*").alias("times")).where("centre != last")
+    centre = written(centre.select("key", "centre", "times"), "centre")
+    shared = left_join_hot(banded, centre.select("key", "centre"), "key", hot_keys(centre, "key")).where("centre is not null")
+    shared = written(shared.distinct(), "shared")
     least = percent / 100 - MARGIN
     star = shared.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = written(verified(_alike(star, classes, least), docs, width, percent), "links")
@@ -161,8 +167,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     # texts that share a band across components: all links between them, by the rare ends of their sets
     placed = shared.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    open_ = placed.join(split, "key").select("doc_id", "root").distinct()
+    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("times")).where("low != high")
+    split = written(split.select("key", "low", "times"), "split")
+    open_ = left_join_hot(placed, split.select("key", "low"), "key", hot_keys(split, "key")).where("low is not null").select("doc_id", "root").distinct()
     texts = written(docs.join(open_, "doc_id"), "open")
     rest = prefix_pairs(texts, width, percent).join(star, ["a", "b"], "left_anti")
     more = written(verified(_alike(rest, classes, least), texts, width, percent), "links")

@@ -82,3 +82,26 @@ def test_one_of_each_keeps_the_same_row_of_a_repeated_id(spark):
     got = [tuple(r) for r in one_of_each(docs).collect()]
     assert sorted(got, key=str) == sorted([(1, "a b", "y"), (2, None, "n"), (None, "a b", "k"), (None, "a b", "k")], key=str)
     assert one_of_each(docs.limit(0)).count() == 0
+
+
+def test_one_band_key_and_one_hub_in_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 20)
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(base)]
+    for k in range(150):  # all near the first, so that all share its bands and it is a hub
+        words = list(base)
+        words[rng.randrange(120)] = f"e{k}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, 2).collect())
+    assert got == brute(texts, 2, 80) and {c for _, _, c in got} == {0}
+
+
+def test_dealt_joins_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 10)
+    rows = spark.createDataFrame([(k % 3 if k % 2 else 0, k) for k in range(200)] + [(None, 999)], "key int, x int")
+    single = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (5, "d")], "key int, y string")
+    counts = rows.groupBy("key").count().withColumnRenamed("count", "times")
+    dealt = sorted(map(tuple, common.join_dealt(rows, single, "key", counts).collect()))
+    assert dealt == sorted(map(tuple, rows.join(single, "key").collect()))

@@ -23,6 +23,8 @@ from spliceloom.llm.wordhash import MinHash, shingles, words
 PERMUTATIONS, WIDTH, SEED = 128, 5, 7
 #: Bands of the fingerprint's minima: 32 of 4 miss a pair of similarity 0.8 with a probability of 5e-8.
 BANDS, ROWS = 32, 4
+#: Bytes of text that count as a row more where blocks are made of like size.
+WEIGHT = 4096
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -65,20 +67,23 @@ def alike_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
 def _blocks(docs: DataFrame, parts: int) -> DataFrame:
     """docs with a block number rising with doc_id, where the first rows of each block also close the block before.
 
-    Only the limits and the least doc_id of each block, as many as there are blocks, reach the driver.
+    Blocks have about as many bytes each, but for texts that are longer than a block. Only the limits and the least doc_id of each
+    block, as many as there are blocks, reach the driver.
     """
-    ids = docs.select("doc_id").where("doc_id is not null")
-    cuts = sorted(set(ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    block = _bisect(cuts)
+    ids = docs.select("doc_id", (1 + F.octet_length("text") / WEIGHT).cast("int").alias("n")).where("doc_id is not null")
+    weighed = ids.select(F.explode(F.array_repeat("doc_id", F.col("n"))).alias("doc_id"))
+    cuts = sorted(set(weighed.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    block = _block_of(cuts)
     heads = sorted((r.block, r.head) for r in ids.withColumn("block", block).groupBy("block").agg(F.min("doc_id").alias("head")).collect())
     # rows without doc_id have no place in the order and are dealt out evenly
     rows = docs.withColumn("block", F.coalesce(block, -1 - F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int"))).withColumn("guard", F.lit(0))
     if not heads:
         return rows
-    before = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}  # the first of all closes the last block
-    guards = docs.where(F.col("doc_id").isin(list(before)))
-    closes = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    guards = guards.withColumn("block", closes[F.col("doc_id")]).withColumn("guard", F.lit(1))
+    before = [-1] * (len(cuts) + 1)
+    for k, (own, _) in enumerate(heads):
+        before[own] = heads[k - 1][0]  # the first of all closes the last block
+    guards = docs.where(F.col("doc_id").isin([head for _, head in heads]))
+    guards = guards.withColumn("block", F.get(_numbers(before), block).cast("int")).withColumn("guard", F.lit(1))
     return rows.unionByName(guards)
 
 
@@ -92,14 +97,20 @@ def _spread(spark, parts: int) -> F.Column:
     return F.array(*[F.lit(numbers[p]) for p in range(parts)])
 
 
-def _bisect(cuts: list[float]) -> F.Column:
-    def search(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("doc_id") < int(cuts[mid]), search(low, mid)).otherwise(search(mid + 1, high))
+def _numbers(values: list) -> F.Column:
+    """An array of numbers as one literal."""
+    return F.split(F.lit(" ".join(str(int(v)) for v in values)), " ").cast("array<bigint>")
 
-    return F.when(F.col("doc_id").isNotNull(), search(0, len(cuts)))
+
+def _block_of(cuts: list[float]) -> F.Column:
+    """How many of the rising cuts are at or below doc_id: looked up among every step-th, then among the step between."""
+    if not cuts:
+        return F.when(F.col("doc_id").isNotNull(), F.lit(0))
+    step = int(len(cuts) ** 0.5) + 1
+    below = lambda held: F.size(F.filter(held, lambda c: c <= F.col("doc_id")))
+    whole = below(_numbers(cuts[step - 1 :: step])) if cuts[step - 1 :: step] else F.lit(0)
+    part = below(F.slice(_numbers(cuts), whole * step + 1, F.lit(step)))
+    return F.when(F.col("doc_id").isNotNull(), whole * step + part)
 
 
 def edited_fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, width: int = WIDTH, seed: int = SEED) -> DataFrame:

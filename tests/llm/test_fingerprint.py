@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from spliceloom.llm.fingerprint import alike_documents, edited_fingerprints, fingerprints
 
@@ -46,3 +47,16 @@ def test_alike_documents(spark):
     words = " ".join(f"w{k}" for k in range(200))
     docs = spark.createDataFrame([(1, words), (2, words + " more"), (3, "something else"), (4, words)], "doc_id long, text string")
     assert {(r.doc_id, r.class_id) for r in alike_documents(docs).collect()} == {(1, 1), (2, 1), (3, 3), (4, 1)}
+
+
+def test_blocks_are_looked_up_and_of_like_size(spark):
+    from spliceloom.llm.fingerprint import _block_of, _blocks
+
+    ids = spark.range(-5, 120).withColumnRenamed("id", "doc_id")
+    for cuts in ([], [3.0], [0.0, 10.0], [float(7 * k) for k in range(15)], [float(k) for k in range(100)]):
+        got = {r.doc_id: r.b for r in ids.select("doc_id", _block_of(cuts).alias("b")).collect()}
+        assert got == {i: sum(c <= i for c in cuts) for i in got}
+    # the first tenth of the documents has nearly all bytes
+    docs = spark.createDataFrame([(k, "x" * (100_000 if k < 40 else 10)) for k in range(400)], "doc_id long, text string")
+    sizes = [r.n for r in _blocks(docs, 8).where("guard = 0").groupBy("block").agg(F.sum(F.length("text")).alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) <= 0.2 * sum(sizes)

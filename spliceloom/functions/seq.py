@@ -77,21 +77,23 @@ def combinations(items: Column) -> Column:
 
 
 def with_combinations(rows: DataFrame, items: str, into: str) -> DataFrame:
-    """rows once for each subset of the array column items, which stands in column into, without a bound on its size.
+    """rows once for each subset of the array column items, which stands in column into: 2**n rows of n items.
 
-    Masks are made a digit of MASK_BITS bits at a time, so no row holds many of them, and the rows of the higher digits
-    are dealt out to all tasks. A set of more than 62 items fails, as its masks have no number.
+    Sets of up to MASK_BITS items are combined where they are. Masks of larger ones are made a digit of MASK_BITS bits at a time, so
+    that no row holds many of them, and the rows of the higher digits are dealt out to all tasks. A set of more than 62 items, which
+    no table could hold the subsets of, is an error; what its combinations give is told without them in `operators.variants`.
     """
     n = F.size(items)
-    few = F.when(n > 62, F.raise_error(F.format_string("%d items have too many combinations", n)).cast("boolean")).otherwise(True)
-    rows = rows.where(few).withColumn("__mask", F.lit(0).cast("long"))
+    few = rows.where(n <= MASK_BITS).withColumn(into, F.explode(combinations(F.col(items))))
+    known = F.when(n > 62, F.raise_error(F.format_string("%d items have too many combinations", n)).cast("boolean")).otherwise(True)
+    many = rows.where(n > MASK_BITS).where(known).withColumn("__mask", F.lit(0).cast("long"))
     for k in range(62 // MASK_BITS, -1, -1):
         bits = F.greatest(F.least(n - k * MASK_BITS, F.lit(MASK_BITS)), F.lit(0))
         digit = F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), bits).cast("long") - 1))
-        rows = rows.withColumn("__digit", digit).withColumn("__mask", F.col("__mask") * (1 << MASK_BITS) + F.col("__digit")).drop("__digit")
+        many = many.withColumn("__digit", digit).withColumn("__mask", F.col("__mask") * (1 << MASK_BITS) + F.col("__digit")).drop("__digit")
         if k == 1:
-            rows = rows.repartition("__mask", *[c for c in rows.columns if c != "__mask" and not isinstance(rows.schema[c].dataType, MapType)])
-    return rows.withColumn(into, F.filter(items, lambda _, i: F.call_function("getbit", F.col("__mask"), i) == 1)).drop("__mask")
+            many = many.repartition("__mask", *[c for c in many.columns if c != "__mask" and not isinstance(many.schema[c].dataType, MapType)])
+    return few.unionByName(many.withColumn(into, F.filter(items, lambda _, i: F.call_function("getbit", F.col("__mask"), i) == 1)).drop("__mask"))
 
 
 def spans_junction(pos: Column, k: int, cut: Column) -> Column:

@@ -14,6 +14,7 @@ from spliceloom.operators.cohort import without_known
 from spliceloom.operators.expression import junction_expression, junctions_annotated, segment_expression
 from spliceloom.operators.quality import InputError
 from spliceloom.operators.variants import within
+from spliceloom.staging import written
 
 #: Variants from which `crowded_pairs` tells a pair; all are combined, however many.
 MAX_VARIANTS = 10
@@ -58,16 +59,25 @@ def as_triples(triples: DataFrame, frames: DataFrame) -> DataFrame:
     return rows.join(frames.select("gene", "v", "phase", "annotated"), ["gene", "v", "phase"])
 
 
-def coding_bases(variants: Column | None = None) -> Column:
-    """Bases of parts in reading order, with variants put in part by part, from columns parts, strand, dna and offset."""
+def part_bases() -> Column:
+    """The bases of each of parts on the plus strand, from columns parts, dna and offset."""
+    return F.transform("parts", lambda p: F.substring(F.col("dna"), (p.start - F.col("offset") + 1).cast("int"), (p.stop - p.start).cast("int")))
+
+
+def coding_of(bases: Column, variants: Column | None = None) -> Column:
+    """Bases of parts in reading order, with variants put in part by part, from columns parts and strand and the parts' own bases."""
 
-    def piece(p: Column) -> Column:
-        bases = F.substring(F.col("dna"), (p.start - F.col("offset") + 1).cast("int"), (p.stop - p.start).cast("int"))
+    def piece(p: Column, own: Column) -> Column:
         if variants is not None:
-            bases = with_variants(bases, p.start, variants)
-        return F.when(F.col("strand") == "+", bases).otherwise(reverse_complement(bases))
+            own = with_variants(own, p.start, variants)
+        return F.when(F.col("strand") == "+", own).otherwise(reverse_complement(own))
+
+    return F.array_join(F.zip_with(F.col("parts"), bases, piece), "")
+
 
-    return F.array_join(F.transform("parts", piece), "")
+def coding_bases(variants: Column | None = None) -> Column:
+    """coding_of the parts, from columns parts, strand, dna and offset."""
+    return coding_of(part_bases(), variants)
 
 
 def _emitted(rows: DataFrame) -> DataFrame:
@@ -124,25 +134,41 @@ def mutated_peptides(pairs: DataFrame, sequences: DataFrame, variants: DataFrame
 
     variant_no counts what a pair emits, from 0, in order of size and then position of the combinations. Where variants have
     a count, the expression of their segment, variantSegExpr lists those of the combination. sequences may be those of a
-    sample, with a column sample.
+    sample, with a column sample. A peptide is as long as its pair, so n variants give up to 2**n of them, spread over all tasks;
+    where only k-mers are wanted, `operators.variants.mutated_kmers` has them without that.
     """
     keys = ["gene", "sample"] if "sample" in sequences.columns else ["gene"]
-    rows = _with_variants(pairs, variants).join(sequences, keys)
+    rows = _with_variants(pairs, variants).join(sequences, keys).withColumn("bases", part_bases()).drop("dna", "offset")
+    rows = written(rows.withColumn("reference", residues(coding_of(F.col("bases")))), "pairs")
     rows = with_combinations(rows, "held", "chosen").where("size(chosen) > 0")
-    rows = rows.withColumns({"mutated": residues(coding_bases(F.col("chosen"))), "reference": residues(coding_bases())})
+    rows = rows.withColumn("mutated", residues(coding_of(F.col("bases"), F.col("chosen"))))
     out = _emitted(rows)
     if not force:
         out = out.where(~F.array_contains(F.split("reference", "_", -1), F.col("peptide")))
-    out = out.drop("mutated", "reference", "held", "dna", "offset")
+    out = _numbered(out.drop("mutated", "reference", "held", "bases"), ["sample", "gene", *_ends(pairs), "phase"])
 
-    order = Window.partitionBy("sample", "gene", *_ends(pairs), "phase").orderBy(F.size("chosen"), "chosen")
     listed = lambda f: F.array_join(F.transform("chosen", lambda c: c[f].cast("string")), ";", "nan")
-    new = {"variantComb": listed("pos"), "variant_no": F.row_number().over(order) - 1}
+    new = {"variantComb": listed("pos")}
     if "count" in variants.columns:
         new["variantSegExpr"] = listed("count")
     return out.withColumns(new).drop("chosen")
 
 
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with variant_no, from 0 for each of keys, in order of the size of chosen and then of chosen.
+
+    Rows are numbered within those of one size and first two variants, which are in order as a whole, and on from the number of
+    rows that come before these; so the rows of a pair with many combinations don't meet in one task.
+    """
+    own = [*keys, "size", "lead"]
+    rows = written(rows.withColumns({"size": F.size("chosen"), "lead": F.slice("chosen", 1, 2)}), "emitted")
+    counts = rows.groupBy(*own).agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy(*keys).orderBy("size", "lead").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("ahead", F.coalesce(ahead, F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy(*own).orderBy("chosen"))
+    return rows.withColumn("place", place).join(counts, own).withColumn("variant_no", (F.col("ahead") + F.col("place") - 1).cast("int")).drop("size", "lead", "ahead", "place")
+
+
 def peptide_metadata(peptides: DataFrame, genes: DataFrame, mode: str, listed: DataFrame | None = None, kmer_type: str = "2-exons") -> DataFrame:
     """The metadata table of peptides: ids, flags and coordinates; genes has gene and chrom, listed the flags of `junction_listed`."""
     numbers = lambda c: F.concat_ws(";", F.flatten(F.transform(c, lambda p: F.array(p.start, p.stop))).cast("array<string>"))

@@ -21,7 +21,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable]:
-    from spliceloom.plans import cohort, graph, sequence, variants  # noqa: F401
+    from spliceloom.plans import cohort, files, graph, sequence, variants  # noqa: F401
 
     return dict(_QUERIES)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spliceloom.operators.expression import updated_sizes
 
@@ -109,14 +111,16 @@ def write_batches(spark, folder: str, batches: dict[str, Callable[[], DataFrame]
         rows = make().withColumn("batch", F.lit(name))
         out = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file)
         out.partitionBy("batch", *(by or [])).parquet(f"{folder}/rows")
-        spark.createDataFrame([(name,)], "batch string").coalesce(1).write.mode("append").parquet(f"{folder}/finished")
+        spark.createDataFrame([(name, rows.schema.json())], "batch string, schema string").coalesce(1).write.mode("append").parquet(f"{folder}/finished")
         made.append(name)
     return made
 
 
 def read_batches(spark, folder: str) -> DataFrame:
-    """The rows of all complete batches."""
-    return spark.read.parquet(f"{folder}/rows").where(F.col("batch").isin(finished_batches(spark, folder)))
+    """The rows of all complete batches, with the columns of the first."""
+    kind = spark.read.schema("batch string, schema string").parquet(f"{folder}/finished").agg(F.min_by("schema", "batch")).first()[0]
+    rows = spark.read.schema(StructType.fromJson(json.loads(kind))).parquet(f"{folder}/rows")
+    return rows.where(F.col("batch").isin(finished_batches(spark, folder)))
 
 
 def gene_batches(genes: DataFrame, rows_of: Callable[[DataFrame], DataFrame], size: int) -> dict[str, Callable[[], DataFrame]]:

@@ -28,10 +28,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return opened(df.sparkSession, [append(df, name)], df.schema)
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which `drop_tables` knows."""
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
 def append(df: DataFrame, name: str) -> str:
     """The path of a new table of df's rows."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    path = place(df.sparkSession, name)
     df.write.parquet(path)
     return path
 

@@ -250,6 +250,7 @@ def matrices_of(rows: DataFrame, k: int, segments: DataFrame, edge_counts: DataF
     """
     if listed is not None:
         rows = without_known(rows, listed)
+    rows = written(rows, "kmers")  # cut once, read by both matrices and for their places
     keys = [F.col("gene"), F.col("coord").alias("id")]
     own = [c for c in ("sample", "variants") if c in rows.columns]
     flags = [*own, "kmer", "isCrossJunction", "readFrameAnnotated"]

@@ -293,6 +293,25 @@ def neo_details(spark, d):
     return held.select("kmer", F.size("details").cast("long").alias("n"), "detail_text")
 
 
+@query(f"""WITH r AS (SELECT 'P' || l_partkey AS kmer, l_orderkey AS location, l_quantity AS expr FROM lineitem)
+SELECT kmer, count(*) AS n FROM r GROUP BY kmer HAVING max(expr) > 49""")
+def loud_details(spark, d):
+    """k-mers with a place of expression above 49, and all their places."""
+    rows = read(spark, d, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey")).alias("kmer"), F.col("l_orderkey").alias("location"), F.col("l_quantity").alias("expr"))
+    return sp.details_above(sp.kmer_details(rows), 49.0).select("kmer", F.size("details").cast("long").alias("n"))
+
+
+@query(f"""WITH {SPLIT} SELECT kmer, 'within' AS kind FROM seg WHERE s <= 11 GROUP BY kmer UNION ALL SELECT kmer, 'across' FROM jun WHERE s <= 11 GROUP BY kmer
+UNION ALL SELECT kmer, 'all' FROM (SELECT kmer FROM seg UNION SELECT kmer FROM jun)""")
+def background_options(spark, d):
+    """Background k-mers: those within exons or across junctions that a cancer sample expresses, and all."""
+    segment, junction = (m.withColumn("isCrossJunction", F.lit(cross)) for m, cross in zip(split_matrices(spark, d), (False, True)))
+    both = written(segment.unionByName(junction).select("kmer", "isCrossJunction", F.slice("expr", 1, 12).alias("expr")), "background")
+    named = {"within": sp.background_rows(both, True, False), "across": sp.background_rows(both, True, True), "all": sp.background_rows(both)}
+    rows = [df.withColumn("kind", F.lit(k)) for k, df in named.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("""SELECT l_orderkey AS id, l_linenumber AS line FROM lineitem WHERE l_partkey % 2 = 0 AND CASE WHEN l_suppkey % 5 > 0 THEN l_quantity END > 20 AND l_extendedprice > 30000""")
 def single_sample_filters(spark, d):
     rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 2 == 0).alias("is_crossjunction"), F.when(F.col("l_suppkey") % 5 > 0, F.col("l_quantity")).alias("junction_expr"), F.col("l_extendedprice").alias("segment_expr"))

@@ -203,3 +203,38 @@ def kmer_lists(spark, d):
     tables = {"known": known, "external": r.external_kmers(spark, path), "fasta": r.fasta_kmers(spark, fasta, 9).select("kmer").distinct()}
     rows = [df.select(F.lit(name).alias("list"), "kmer") for name, df in tables.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(f"WITH {CDS}, {GRAPH} SELECT gene, CAST(least(src, dst) AS INT) AS src, CAST(greatest(src, dst) AS INT) AS dst FROM ed GROUP BY ALL")
+def edge_lists(spark, d):
+    """Edges as rows of an adjacency matrix of each gene, and back from its upper triangle."""
+    both = edges(spark, d)
+    both = both.unionByName(both.select("gene", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    rows = both.groupBy("gene", "src").agg(F.collect_set("dst").alias("to"))
+    row = F.transform(F.sequence(F.lit(0), F.array_max("to")), lambda k: F.array_contains("to", k).cast("int"))
+    found = g.edge_list(rows.select("gene", "src", row.alias("row")))
+    return found.select("gene", F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))
+
+
+@query("""SELECT 'repeated' AS problem, CAST(l_partkey AS VARCHAR) || ':' || l_suppkey AS key FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'missing', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def input_problems(spark, d):
+    """What the checks of inputs report: repeated keys, and keys that another table lacks."""
+    from spliceloom.operators.quality import missing, repeated
+
+    twice = repeated(read(spark, d, "lineitem"), "l_partkey", "l_suppkey").select(F.lit("repeated").alias("problem"), F.concat_ws(":", "l_partkey", "l_suppkey").alias("key"))
+    known = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return twice.unionByName(missing(read(spark, d, "customer"), known, "c_custkey").select(F.lit("missing").alias("problem"), F.col("c_custkey").cast("string").alias("key")))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN l_partkey <= l_suppkey * 20 ELSE l_partkey >= l_suppkey * 20 END AS follows, l_suppkey < l_quantity AND l_quantity < l_suppkey + 30 AS inside, count(*) AS n
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""")
+def strand_order(spark, d):
+    """Places compared in reading order on either strand, and strictly within bounds."""
+    from spliceloom.functions.seq import inside_open, strand_leq
+
+    rows = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    strand = F.when(F.col("o_orderkey") % 2 == 0, "+").otherwise("-")
+    follows = strand_leq(strand, F.col("l_partkey"), F.col("l_suppkey") * 20)
+    inside = inside_open(F.col("l_quantity"), F.col("l_suppkey"), F.col("l_suppkey") + 30)
+    return rows.groupBy(F.col("o_orderkey").alias("id"), follows.alias("follows"), inside.alias("inside")).agg(F.count("*").alias("n"))

@@ -160,3 +160,25 @@ def test_too_many_items_fail_instead_of_being_left_out(spark):
     rows = spark.range(1).select(F.sequence(F.lit(1), F.lit(63)).alias("x"))
     with pytest.raises(Exception, match="too many combinations"):
         s.with_combinations(rows, "x", "c").count()
+
+
+def test_one_pass_filter_equals_its_steps(spark):
+    import random
+
+    rng = random.Random(5)
+    row = lambda: [float(rng.choice((0, 0, 5, 9))) for _ in range(6)]
+    schema = "kmer string, expr array<double>"
+    cancer = spark.createDataFrame([(f"k{rng.randrange(60)}", row()) for _ in range(200)], schema).distinct()
+    normal = spark.createDataFrame([(f"k{rng.randrange(60)}", row() if rng.random() < 0.5 else [0.0] * 6) for _ in range(25)], schema)
+    external = spark.createDataFrame([("k3",), ("k7",)], "kmer string")
+    settings = ([0, 1, 2, 3], [4, 5], 1, 5.0, 9.0, 1, 9.0, 2)
+    silent = normal.where(c.support(F.col("expr"), 0, [4, 5]) == 0).select("kmer")
+    background = c.normal_background(normal, [4, 5], 9.0, 2).unionByName(silent).unionByName(external)
+    own, cohort = c.sample_support(cancer, 1, 5.0), c.cohort_support(cancer, [0, 1, 2, 3], 9.0, 1, 1)
+    plain = lambda df: sorted((r.kmer, tuple(r.expr)) for r in df.collect())
+    for union in (False, True):
+        expected = c.differential(c.supported(own, cohort, cancer, union), background)
+        assert plain(c.cohort_filter(cancer, normal, *settings, external=external, union=union)) == plain(expected)
+    counts = {r.name: r.n for r in c.filter_counts(cancer, normal, *settings, external=external).collect()}
+    both = c.supported(own, cohort, cancer)
+    assert counts == {"all": cancer.count(), "sample": own.count(), "cohort": both.count(), "differential": c.differential(both, background).count()}

@@ -1,7 +1,11 @@
 import hashlib
+import math
 import random
 import re
 import time
+from collections import Counter
+
+import pyarrow as pa
 
 from spliceloom.llm import pii
 
@@ -99,3 +103,32 @@ def test_sanitised_keeps_types_and_clashing_columns(spark, monkeypatch):
             monkeypatch.setattr(pii, "SENT", sent)
             out = pii.sanitised(docs)
             assert out.schema == docs.schema and [tuple(r) for r in out.collect()] == [(1, "[EMAIL]", new, 1, "t")]
+
+
+def test_revealing_terms_equal_those_of_plain_counts(spark):
+    rng = random.Random(12)
+    people = [(f"name{k}", f"p{k}@mail.org") for k in range(6)]
+    texts = []
+    for k in range(260):
+        words = [f"w{int(40 * rng.random() ** 2)}" for _ in range(rng.randrange(1, 14))]
+        name, address = people[k % 6] if k % 9 == 0 else rng.choice(people)
+        if k % 9 == 0:
+            words += [name.upper(), address, "shared"]
+        elif rng.random() < 0.15:
+            words += [rng.choice([name, address, "10.0.0.7"])]
+        rng.shuffle(words)
+        texts.append(", ".join(words))
+    texts += texts[:40] + [texts[9]] * 30 + [None, "", " "]
+    distinct = {t or "" for t in texts}
+    named = {t: {f"{kind}:{t[a:b].lower()}" for a, b, kind in pii.base_spans(t)} for t in distinct}
+    held = {t: {w.lower() for w in pii._WORD.findall(pii._without_entities(t))} for t in distinct}
+    of = lambda kept: Counter(x for t in distinct for x in kept[t])
+    n, m, total = of(held), of(named), len(distinct)
+    met = Counter((w, e) for t in distinct for w in held[t] for e in named[t])
+    hashed = {int(pii._hashes(pa.array([w], pa.large_string()))[0].view("int64")[0]): w for w in n}
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for support, share, bits in ((3, 0.5, 2.0), (2, 0.2, 1.0), (3, 0.5, 4.0)):
+        expected = {(w, e, c, n[w]) for (w, e), c in met.items() if c >= support and c >= share * n[w] and math.log2(c * total / (n[w] * m[e])) >= bits}
+        got = {(hashed[r.term], r.entity, r.met, r.n) for r in pii.revealing_terms(docs, support, share, bits).collect()}
+        assert got == expected
+        assert expected or bits == 4.0

@@ -235,6 +235,30 @@ def junction_peptides(spark, d):
     return sp.junction_peptides(rows, rows.where("l_quantity = 50")).select("id", "line", "strand", "jct1")
 
 
+_THREE = """
+c3 AS (SELECT l_orderkey AS id, l_linenumber AS line, l_quantity AS q, CASE WHEN up THEN a ELSE 400 + a END AS c0, CASE WHEN up THEN a + 30 ELSE 430 + a END AS c1,
+       200 + e AS c2, 240 + e AS c3, CASE WHEN l_linenumber % 3 > 0 THEN CASE WHEN up THEN 400 + a % 7 ELSE a % 7 END END AS c4, CASE WHEN l_linenumber % 3 > 0 THEN CASE WHEN up THEN 420 + a % 7 ELSE 20 + a % 7 END END AS c5
+       FROM (SELECT *, l_partkey % 11 AS a, l_suppkey % 5 * 3 AS e, l_orderkey % 2 = 0 AS up FROM lineitem)),
+j3 AS (SELECT *, CASE WHEN c1 < c2 THEN '+' ELSE '-' END AS strand, CASE WHEN c1 < c2 THEN c1 || ':' || c2 ELSE c3 || ':' || c0 END AS jct1, CASE WHEN c1 < c2 THEN c3 || ':' || c4 ELSE c5 || ':' || c2 END AS jct2 FROM c3),
+f3 AS (SELECT jct1, jct2 FROM j3 WHERE q = 50 AND id % 7 = 0)
+"""
+
+
+@query(f"""WITH {_THREE} SELECT id, line, strand, jct1, jct2, 'pair' AS kind FROM j3 WHERE EXISTS (SELECT 1 FROM f3 WHERE f3.jct1 = j3.jct1 AND f3.jct2 IS NOT DISTINCT FROM j3.jct2)
+UNION ALL SELECT id, line, strand, jct1, jct2, 'each' FROM j3 WHERE jct1 IN (SELECT jct1 FROM f3) AND EXISTS (SELECT 1 FROM f3 WHERE f3.jct2 IS NOT DISTINCT FROM j3.jct2)""")
+def two_junction_peptides(spark, d):
+    """Peptides of two or three exons on both strands whose junctions occur among those found, as a pair or each on its own."""
+    a, e, up = F.col("l_partkey") % 11, F.col("l_suppkey") % 5 * 3, F.col("l_orderkey") % 2 == 0
+    third = [F.when(F.col("l_linenumber") % 3 > 0, F.when(up, x + a % 7).otherwise(y + a % 7)) for x, y in ((400, 0), (420, 20))]
+    numbers = [F.when(up, a).otherwise(a + 400), F.when(up, a + 30).otherwise(a + 430), e + 200, e + 240, *third]
+    coord = F.concat_ws(":", *[F.coalesce(n.cast("string"), F.lit("None")) for n in numbers])
+    rows = written(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), "l_quantity", coord.alias("coord")), "junctions")
+    rows = sp.with_junctions(rows, "coord")
+    found = rows.where("l_quantity = 50 and id % 7 = 0")
+    both = [sp.junction_peptides(rows, found, pairwise).select("id", "line", "strand", "jct1", "jct2", F.lit(kind).alias("kind")) for kind, pairwise in (("pair", True), ("each", False))]
+    return both[0].unionByName(both[1])
+
+
 @query("""WITH p AS (SELECT DISTINCT w AS peptide FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) WHERE length(w) >= 5),
 k AS (SELECT DISTINCT w AS kmer FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) = 5),
 t AS (SELECT peptide, unnest(list_transform(range(1, CAST(length(peptide) - 3 AS BIGINT)), lambda i: substr(peptide, i, 5))) AS kmer FROM p)

@@ -88,6 +88,15 @@ def overlap_concat(spark, d):
     return rows.select("p_partkey", s.overlap_joined(F.col("f"), F.col("b")).alias("joined"))
 
 
+@query("""WITH t AS (SELECT p_partkey, upper(replace(p_name, ' ', '')) || 'ABAB' AS f, 'ABABA' || p_brand AS b, p_partkey * 7 % 1000 AS x, p_partkey * 7 % 1000 + p_size AS y FROM part)
+SELECT p_partkey, CASE WHEN (y - x) % 3 = 0 THEN f || substr(b, 5) END AS joined FROM t""")
+def overlap_in_frame(spark, d):
+    """Overlaps of the pieces of `overlap_concat` that put both into one frame."""
+    rows = read(spark, d, "part").select("p_partkey", "p_size", F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit(""))), F.lit("ABAB")).alias("f"), F.concat(F.lit("ABABA"), "p_brand").alias("b"))
+    start = F.col("p_partkey") * 7 % 1000
+    return rows.select("p_partkey", s.overlap_joined(F.col("f"), F.col("b"), start, start + F.col("p_size")).alias("joined"))
+
+
 _FIRST = """
 fc AS (SELECT tx, gene, strand, lft, rgt, phase FROM (SELECT *, row_number() OVER (PARTITION BY tx ORDER BY CASE WHEN strand = '+' THEN lft ELSE -rgt END, line DESC) AS n FROM cds) WHERE n = 1)
 """

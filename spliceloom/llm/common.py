@@ -15,6 +15,8 @@ from spliceloom.staging import written
 BATCH_BYTES = 1_000_000
 #: A key is hot if it holds more than one of so many rows, so there are fewer hot keys than this.
 HOT = 10_000
+#: Rows of a key that one task takes in any case.
+DEALT = 1000
 
 
 def hot_keys(counts: DataFrame, key: str, times: str = "times") -> DataFrame:
@@ -37,16 +39,19 @@ def left_join_hot(rows: DataFrame, single: DataFrame, key: str, hot: DataFrame)
 def join_dealt(rows: DataFrame, single: DataFrame, key: str, counts: DataFrame, times: str = "times") -> DataFrame:
     """rows joined with single, which has few rows per key, on key; the rows of hot keys are dealt out to many tasks.
 
-    counts tells how many of rows hold each key. Of a hot key each task gets no more rows than make a key hot, and the rows of
-    single once; the hot keys and their numbers of tasks, fewer than HOT rows, are sent to all.
+    counts, a table, tells how many of rows hold each key. A key is hot if more than one in HOT of the rows hold it, and DEALT at least;
+    without any it is a plain join. Of a hot key each task gets no more rows than make a key hot, and the rows of single
+    once; other rows are joined as ever, so that an exchange of single serves other joins too. The hot keys and their
+    numbers of tasks, fewer than HOT rows, are sent to all.
     """
-    total = counts.agg(F.sum(times)).first()[0] or 0
-    most = max(total / HOT, 1)
+    total, top = counts.agg(F.sum(times), F.max(times)).first()
+    most = max((total or 0) / HOT, DEALT)
+    if (top or 0) <= most:
+        return rows.join(single, key)
     hot = F.broadcast(written(counts.where(F.col(times) > most).select(key, F.ceil(F.col(times) / most).cast("int").alias("__salts")), "hot"))
-    salts = F.coalesce("__salts", F.lit(1))
-    left = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), salts).cast("int")).drop("__salts")
-    right = single.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
-    return left.join(right, [key, "__salt"]).drop("__salt")
+    dealt = rows.join(hot, key).withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), "__salts").cast("int")).drop("__salts")
+    few = single.join(hot, key).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+    return dealt.join(few, [key, "__salt"]).drop("__salt").unionByName(rows.join(hot, key, "left_anti").join(single, key))
 
 
 def unused(df: DataFrame, name: str) -> str:

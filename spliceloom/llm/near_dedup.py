@@ -27,6 +27,8 @@ BANDS, ROWS = 35, 5
 MARGIN = 0.2
 #: Rows of a shingle that one task meets with all others of it; a commoner shingle is dealt out by salts.
 SALTED = 1000
+#: Shingle sets that are kept at hand while pairs are verified.
+HELD = 32
 
 _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"
 
@@ -91,20 +93,22 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     """Pairs (a, b) whose full shingle sets, made anew from the texts, reach percent of their union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, set()
+        held: dict[tuple, set] = {}  # sets of the last few a, as many pairs have a common one
         for batch in batches:
             keep = []
             for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb"))):
-                if (a, x) != last:
-                    last, left = (a, x), _word_set(x, width)
-                right = _word_set(y, width)
+                if (a, x) not in held:
+                    if len(held) == HELD:
+                        held.clear()
+                    held[(a, x)] = _word_set(x, width)
+                left, right = held[(a, x)], _word_set(y, width)
                 both = len(left & right)
                 keep.append(bool(left) and 100 * both >= percent * (len(left) + len(right) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     texts = [docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ba"]
     pairs = written(pairs, "pairs")
-    rows = join_dealt(pairs.join(texts[0], "b"), texts[1], "a", pairs.groupBy("a").agg(F.count("*").alias("times")))
+    rows = join_dealt(pairs, texts[1], "a", pairs.groupBy("a").agg(F.count("*").alias("times"))).join(texts[0], "b")
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 

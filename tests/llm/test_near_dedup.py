@@ -86,6 +86,7 @@ def test_one_of_each_keeps_the_same_row_of_a_repeated_id(spark):
 
 def test_one_band_key_and_one_hub_in_all_rows(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT", 20)
+    monkeypatch.setattr(common, "DEALT", 5)
     rng = random.Random(6)
     base = [f"w{k}" for k in range(120)]
     texts = [" ".join(base)]
@@ -100,6 +101,7 @@ def test_one_band_key_and_one_hub_in_all_rows(spark, monkeypatch):
 
 def test_dealt_joins_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT", 10)
+    monkeypatch.setattr(common, "DEALT", 1)
     rows = spark.createDataFrame([(k % 3 if k % 2 else 0, k) for k in range(200)] + [(None, 999)], "key int, x int")
     single = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (5, "d")], "key int, y string")
     counts = rows.groupBy("key").count().withColumnRenamed("count", "times")

@@ -84,7 +84,8 @@ def with_combinations(rows: DataFrame, items: str, into: str) -> DataFrame:
     no table could hold the subsets of, is an error; what its combinations give is told without them in `operators.variants`.
     """
     n = F.size(items)
-    few = rows.where(n <= MASK_BITS).withColumn(into, F.explode(combinations(F.col(items))))
+    # sliced, as constants are combined before rows are left out
+    few = rows.where(n <= MASK_BITS).withColumn(into, F.explode(combinations(F.slice(items, 1, MASK_BITS))))
     known = F.when(n > 62, F.raise_error(F.format_string("%d items have too many combinations", n)).cast("boolean")).otherwise(True)
     many = rows.where(n > MASK_BITS).where(known).withColumn("__mask", F.lit(0).cast("long"))
     for k in range(62 // MASK_BITS, -1, -1):

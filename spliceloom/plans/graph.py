@@ -27,19 +27,20 @@ fr AS (SELECT gene, v, phase FROM sf UNION SELECT st.gene, st.dst, CAST(st.next_
 """
 
 
-def _seeds(spark, d):
-    first = a.first_cds(cds(spark, d).withColumn("gene", F.col("tx")).withColumn("strand", F.when(F.col("tx") % 2 == 0, "+").otherwise("-")))
-    return g.seed_frames(vertices(spark, d), first)
+def _seeds(vs):
+    pieces = vs.select("gene", F.col("gene").alias("tx"), "strand", F.col("start").alias("left"), F.col("stop").alias("right"), "phase", F.col("v").alias("line"))
+    return g.seed_frames(vs, a.first_cds(pieces))
 
 
 def _graph(spark, d):
-    exons = g.exon_sequences(vertices(spark, d).select("gene", "v", "start", "stop", "strand"), graph_sequences(spark, d))
-    return written(exons, "exons"), edges(spark, d), written(_seeds(spark, d), "seeds")
+    vs = written(vertices(spark, d), "vertices")
+    exons = g.exon_sequences(vs.select("gene", "v", "start", "stop", "strand"), graph_sequences(spark, d))
+    return written(exons, "exons"), edges(spark, d, vs), written(_seeds(vs), "seeds")
 
 
 @query(f"WITH {CDS}, {GRAPH}, {_SEEDS} SELECT gene, v, phase, true AS annotated FROM sf")
 def seed_frames(spark, d):
-    return _seeds(spark, d)
+    return _seeds(vertices(spark, d))
 
 
 @query(f"WITH {CDS}, {GRAPH} SELECT gene, v, CAST(p AS INT) AS phase, false AS annotated FROM vx, (SELECT unnest(range(0, 3)) AS p)")

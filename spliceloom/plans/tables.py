@@ -142,9 +142,9 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cds(spark, sf_dir).select(F.col("tx").alias("gene"), F.col("line").alias("v"), F.col("left").alias("start"), F.col("right").alias("stop"), F.when(F.col("tx") % 2 == 0, "+").otherwise("-").alias("strand"), "phase", "quantity", "l_partkey", "l_suppkey")
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line n leads to n + 1, and to n + 2 where its part number divides by 3; backwards on the minus strand."""
-    rows = vertices(spark, sf_dir)
+def edges(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Line n leads to n + 1, and to n + 2 where its part number divides by 3; backwards on the minus strand. rows: the vertices, if made."""
+    rows = vertices(spark, sf_dir) if rows is None else rows
     far = F.when(F.col("l_partkey") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     steps = rows.select("gene", "strand", F.col("v").alias("a"), F.explode(far).alias("d"))
     up = steps.select("gene", "strand", "a", (F.col("a") + F.col("d")).alias("b")).join(rows.select("gene", F.col("v").alias("b")), ["gene", "b"], "left_semi")

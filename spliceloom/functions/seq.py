@@ -1,10 +1,12 @@
-"""Column expressions on DNA, peptides and k-mers; nothing leaves the JVM."""
+"""Column expressions on DNA, peptides and k-mers; letters of whole sequences are looked up in numpy, by Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import MapType, StringType
 
 #: The standard genetic code over T, C, A, G in that order, _ for stop.
 BASES = "TCAG"
@@ -30,10 +32,50 @@ def residue(codon: Column) -> Column:
     return F.coalesce(table[codon], F.lit("X"))
 
 
+def _table(pairs: dict[str, int], other: int) -> np.ndarray:
+    """A number per byte, small letters as capitals."""
+    return np.array([pairs.get(chr(b).upper(), other) for b in range(256)], np.uint8)
+
+
+#: Digits of bases, 4 for other letters, and residues by three such digits.
+_DIGITS = _table({x: k for k, x in enumerate(BASES)}, 4)
+_LETTERS = np.array([ord("X") if 4 in (a, b, c) else ord(CODE[16 * a + 4 * b + c]) for a in range(5) for b in range(5) for c in range(5)], np.uint8)
+
+
+def _bytes(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """An array of texts that starts at its buffers' start, with their ends as numbers and their bytes."""
+    texts = pa.concat_arrays([texts.cast(pa.string())])
+    _, ends, data = texts.buffers()
+    return texts, np.frombuffer(ends, np.int32, len(texts) + 1).astype(np.int64), np.frombuffer(data or b"", np.uint8)
+
+
+def _translated(dna: pa.Array) -> pa.Array:
+    """Residues of an array of sequences."""
+    if not len(dna):
+        return dna
+    dna, ends, data = _bytes(dna)
+    if data.size and data.max() > 127:  # letters of several bytes
+        names = {a + b + c: CODE[k] for k, (a, b, c) in enumerate((a, b, c) for a in BASES for b in BASES for c in BASES)}
+        whole = [x and x.upper() for x in dna.to_pylist()]
+        return pa.array([x and "".join(names.get(x[i : i + 3], "X") for i in range(0, len(x) - 2, 3)) for x in whole], pa.string())
+    sizes = np.diff(ends) // 3
+    made = np.concatenate([[0], np.cumsum(sizes)])
+    at = 3 * np.arange(made[-1]) + np.repeat(ends[:-1] - 3 * made[:-1], sizes)
+    digits = _DIGITS[data]
+    found = _LETTERS[25 * digits[at] + 5 * digits[at + 1] + digits[at + 2]]
+    return pa.Array.from_buffers(pa.string(), len(dna), [dna.buffers()[0], pa.py_buffer(made.astype(np.int32)), pa.py_buffer(found)])
+
+
 def residues(dna: Column) -> Column:
     """All codons of dna as one string with _ for stops and X for codons of other letters; 1 or 2 last bases drop."""
-    codons = F.regexp_extract_all(F.upper(dna), F.lit("(?s).{3}"), F.lit(0))
-    return F.array_join(F.transform(codons, residue), "")
+    return F.arrow_udf(_translated, StringType())(dna)
+
+
+def with_residues(rows: DataFrame, name: str, dna: Column) -> DataFrame:
+    """rows with the residues of dna in column name. A filter on what is made of them can't pass an explode, below which all would be
+    cut and translated a second time."""
+    rows = rows.withColumn("__dna", F.explode(F.array(dna))).withColumn("__residues", residues(F.col("__dna")))
+    return rows.withColumn(name, F.explode(F.array("__residues"))).drop("__dna", "__residues")
 
 
 def peptides(dna: Column) -> Column:
@@ -47,9 +89,8 @@ def peptide(dna: Column) -> Column:
 
 
 def has_stop(dna: Column) -> Column:
-    """Whether any whole codon is a stop; nothing is translated for it."""
-    codons = F.regexp_extract_all(F.upper(dna), F.lit("(?s).{3}"), F.lit(0))
-    return F.exists(codons, lambda c: c.isin(*STOPS))
+    """Whether any whole codon is a stop."""
+    return F.contains(residues(dna), F.lit("_"))
 
 
 def kmers(text: Column, k: int) -> Column:

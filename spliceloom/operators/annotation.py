@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceloom.functions.seq import attributes, kmers, residues, reverse_complement
+from spliceloom.functions.seq import attributes, kmers, reverse_complement, with_residues
 
 
 def coding_pieces(lines: DataFrame) -> DataFrame:
@@ -49,13 +49,14 @@ def background_peptides(cds: DataFrame, sequences: DataFrame) -> DataFrame:
     Germline sequences, which have a column sample, give each sample's own. The phase moves the start of the first piece only; on the minus strand the joined bases are read backwards.
     """
     pieces = F.array_sort(F.collect_list(F.struct("left", "line", "right", "phase"))).alias("pieces")
-    rows = cds.groupBy("gene", "tx", "strand").agg(pieces).join(sequences, "gene")
+    rows = cds.groupBy("gene", "tx", "strand").agg(pieces).join(sequences.hint("merge"), "gene")
     whole = F.array_join(F.transform("pieces", lambda p: F.substring(F.col("dna"), (p.left - F.col("offset") + 1).cast("int"), (p.right - p.left).cast("int"))), "")
     first = F.when(F.col("strand") == "+", F.element_at("pieces", 1).phase).otherwise(F.element_at("pieces", -1).phase)
     read = F.when(F.col("strand") == "+", whole).otherwise(reverse_complement(whole))
     coding = F.substring(read, (first + 1).cast("int"), F.length(read))
     owner = ["sample"] if "sample" in sequences.columns else []
-    return rows.select(*owner, "gene", "tx", F.substring_index(residues(coding), "_", 1).alias("peptide")).where("peptide != ''").distinct()
+    rows = with_residues(rows.select(*owner, "gene", "tx", coding.alias("coding")), "residues", F.col("coding"))
+    return rows.select(*owner, "gene", "tx", F.substring_index("residues", "_", 1).alias("peptide")).where("peptide != ''").distinct()
 
 
 def background_kmers(peptides: DataFrame, k: int) -> DataFrame:

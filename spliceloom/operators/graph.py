@@ -21,7 +21,7 @@ def exon_sequences(vertices: DataFrame, sequences: DataFrame) -> DataFrame:
     """vertices with their bases in reading order, from sequences (gene, dna, offset)."""
     bases = F.substring(F.col("dna"), (F.col("start") - F.col("offset") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
     read = F.when(F.col("strand") == "+", bases).otherwise(reverse_complement(bases))
-    return vertices.join(sequences, "gene").withColumn("seq", read).drop("dna", "offset")
+    return vertices.join(sequences.hint("merge"), "gene").withColumn("seq", read).drop("dna", "offset")
 
 
 def seed_frames(vertices: DataFrame, first: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceloom.functions.seq import coordinate_text, genomic_parts, kmers, residues, reverse_complement, with_combinations, with_variants
+from spliceloom.functions.seq import coordinate_text, genomic_parts, kmers, residues, reverse_complement, with_combinations, with_residues, with_variants
 from spliceloom.operators.cohort import without_known
 from spliceloom.operators.expression import junction_expression, junctions_annotated, segment_expression
 from spliceloom.operators.quality import InputError
@@ -91,7 +91,7 @@ def _emitted(rows: DataFrame) -> DataFrame:
 
 def reference_peptides(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     """Peptides of modified pairs without variants, with flags."""
-    rows = pairs.join(sequences, "gene").withColumn("mutated", residues(coding_bases()))
+    rows = with_residues(pairs.join(sequences.hint("merge"), "gene"), "mutated", coding_bases())
     return _emitted(rows).drop("mutated", "dna", "offset").withColumns({"variantComb": F.lit(None).cast("string"), "variant_no": F.lit(0)})
 
 
@@ -120,7 +120,7 @@ def germline_sequences(sequences: DataFrame, variants: DataFrame) -> DataFrame:
     They are the reference of a sample with somatic variants; of a (sample, gene) without variants there is no row.
     """
     held = variants.groupBy("sample", "gene").agg(F.array_sort(F.collect_set(F.struct("pos", "base"))).alias("held"))
-    rows = held.join(sequences, "gene")
+    rows = held.join(sequences.hint("merge"), "gene")
     return rows.select("sample", "gene", with_variants(F.col("dna"), F.col("offset"), F.col("held")).alias("dna"), "offset")
 
 
@@ -138,10 +138,10 @@ def mutated_peptides(pairs: DataFrame, sequences: DataFrame, variants: DataFrame
     where only k-mers are wanted, `operators.variants.mutated_kmers` has them without that.
     """
     keys = ["gene", "sample"] if "sample" in sequences.columns else ["gene"]
-    rows = _with_variants(pairs, variants).join(sequences, keys).withColumn("bases", part_bases()).drop("dna", "offset")
+    rows = _with_variants(pairs, variants).join(sequences.hint("merge"), keys).withColumn("bases", part_bases()).drop("dna", "offset")
     rows = written(rows.withColumn("reference", residues(coding_of(F.col("bases")))), "pairs")
     rows = with_combinations(rows, "held", "chosen").where("size(chosen) > 0")
-    rows = rows.withColumn("mutated", residues(coding_of(F.col("bases"), F.col("chosen"))))
+    rows = with_residues(rows, "mutated", coding_of(F.col("bases"), F.col("chosen")))
     out = _emitted(rows)
     if not force:
         out = out.where(~F.array_contains(F.split("reference", "_", -1), F.col("peptide")))

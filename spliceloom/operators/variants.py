@@ -139,7 +139,7 @@ def mutated_kmers(pairs: DataFrame, sequences: DataFrame, variants: DataFrame, k
     from spliceloom.operators.peptides import coding_bases
 
     # bases of the parts only go on from here
-    read = some.join(sequences, "gene").select(*dict.fromkeys([*own, *keys]), "annotated", "strand", "parts", coding_bases().alias("coding"))
+    read = some.join(sequences.hint("merge"), "gene").select(*dict.fromkeys([*own, *keys]), "annotated", "strand", "parts", coding_bases().alias("coding"))
     rows = held.join(read, [*keys, *own[1:]]).withColumn("ref", residues(F.col("coding")))
 
     def choices(c: Column) -> Column:

@@ -30,7 +30,7 @@ FROM b LEFT JOIN lv ON lv.gene = b.gene AND lv.pos = b.pos WHERE b.gene IN (SELE
 def apply_snps(spark, d):
     held = variants(spark, d, "customer", "c_custkey").groupBy("gene", "pos").agg(F.max_by("base", "line").alias("base"))
     lists = held.groupBy("gene").agg(F.collect_list(F.struct("pos", "base")).alias("variants"))
-    return sequences(spark, d).join(lists, "gene").select("gene", s.with_variants(F.col("dna"), F.lit(0), F.col("variants")).alias("mutated"))
+    return sequences(spark, d).hint("merge").join(lists, "gene").select("gene", s.with_variants(F.col("dna"), F.lit(0), F.col("variants")).alias("mutated"))
 
 
 @query(f"""WITH {VARIANTS}, l AS (SELECT sample, gene, list(pos ORDER BY pos) AS ps FROM (SELECT DISTINCT sample, gene, pos FROM va) GROUP BY ALL),

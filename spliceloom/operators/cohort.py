@@ -82,22 +82,27 @@ def recurrent(counts: DataFrame, recurrence: int) -> DataFrame:
 
 
 def failing(result: DataFrame, matrix: DataFrame, normal: DataFrame, cancer_positions: list[int], normal_positions: list[int], target: int, sample_at_least: float, cohort_at_least: float, cohort_recurrence: int, normal_at_least: float | None, normal_recurrence: int | None) -> DataFrame:
-    """k-mers of a filter's result that the raw matrices, summed anew in long form, don't bear out, with the rule they break.
+    """k-mers of a filter's result that the raw matrices, summed anew, don't bear out, with the rule they break.
 
-    Counts are by k-mer over all its rows, so a k-mer with several rows may pass here that no single row would.
+    Counts are by k-mer over all its rows, so a k-mer with several rows may pass here that no single row would. Rows of both
+    matrices are added up together, a greatest value for each sample, and the result's k-mers with them: one shuffle, no join.
     """
-    long = lambda m: m.select("kmer", F.posexplode("expr").alias("pos", "x")).groupBy("kmer", "pos").agg(F.max("x").alias("x"))
-    at = lambda v: F.col("x") > 0 if v == 0 else F.col("x") >= v
-    own = long(matrix.join(result.select("kmer"), "kmer", "left_semi"))
-    mine, others = F.col("pos") == target, F.col("pos").isin([p for p in cancer_positions if p != target])
-    cancer = own.groupBy("kmer").agg(F.count_if(mine & at(sample_at_least)).alias("own"), F.count_if(others & at(cohort_at_least)).alias("cohort"))
-    held = long(normal.join(result.select("kmer"), "kmer", "left_semi")).where(F.col("pos").isin(list(normal_positions)))
-    high = F.count_if(F.col("x") >= normal_at_least) if normal_at_least else F.lit(0)
-    many = F.count_if(F.col("x") > 0) >= normal_recurrence if normal_recurrence else F.lit(False)
-    background = held.groupBy("kmer").agg(((high > 0) | many).alias("normal"))
-    rows = result.select("kmer").distinct().join(cancer, "kmer", "left").join(background, "kmer", "left")
-    rule = F.when(F.coalesce("own", F.lit(0)) == 0, "sample").when(F.coalesce("cohort", F.lit(0)) < cohort_recurrence, "cohort").when(F.coalesce("normal", F.lit(False)), "normal")
-    return rows.select("kmer", rule.alias("rule")).where("rule is not null")
+    at = lambda x, v: x > 0 if v == 0 else x >= v
+    others = [p for p in cancer_positions if p != target]
+    taken = lambda held: [F.get("expr", F.lit(p)).cast("double").alias(f"{n}{p}") if n == held else F.lit(None).cast("double").alias(f"{n}{p}") for n, ps in (("c", [target, *others]), ("n", normal_positions)) for p in ps]
+    wanted = lambda on: F.lit(on).alias("wanted")
+    rows = matrix.select("kmer", wanted(False), *taken("c")).unionByName(normal.select("kmer", wanted(False), *taken("n"))).where("kmer is not null").unionByName(result.select("kmer", wanted(True), *taken("")))
+    most = rows.groupBy("kmer").agg(*[F.max(c).alias(c) for c in rows.columns[1:]]).where("wanted")
+    n_of = lambda names, test: sum((F.coalesce(test(F.col(x)), F.lit(False)).cast("int") for x in names), F.lit(0))
+    normals = [f"n{p}" for p in normal_positions]
+    background = F.lit(False)
+    if normal_at_least:
+        background = background | (n_of(normals, lambda x: x >= normal_at_least) > 0)
+    if normal_recurrence:
+        background = background | (n_of(normals, lambda x: x > 0) >= normal_recurrence)
+    own, cohort = n_of([f"c{target}"], lambda x: at(x, sample_at_least)), n_of([f"c{p}" for p in others], lambda x: at(x, cohort_at_least))
+    rule = F.when(own == 0, "sample").when(cohort < cohort_recurrence, "cohort").when(background, "normal")
+    return most.select("kmer", rule.alias("rule")).where("rule is not null")
 
 
 def supported(own: DataFrame, cohort: DataFrame, matrix: DataFrame, union: bool = False) -> DataFrame:

@@ -1,6 +1,15 @@
 """Plans that keep memory and shuffles in proportion to the input."""
 
 from spliceloom.operators import cohort as c
+from spliceloom.plans.tables import cohort_matrices
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_cells_of_a_matrix_are_added_up_in_one_shuffle(spark):
+    """A row's key is the only thing that aggregates shuffle by, not key and sample."""
+    for made in cohort_matrices(spark, SF):
+        assert "s_nationkey" not in "".join(line for line in _plan(made).splitlines() if "Exchange hashpartitioning" in line)
 
 
 def test_failing_kmers_need_no_join(spark):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spliceloom.functions.seq import coordinate_numbers, junction_keys, kmers
+from spliceloom.functions.seq import junction_keys, kmers
+from spliceloom.staging import written
 
 
 def background_union(*parts: DataFrame) -> DataFrame:
@@ -44,17 +45,22 @@ def binding(rows: DataFrame, predictions: DataFrame, score: str, threshold: floa
 
 def with_junctions(rows: DataFrame, coord: str) -> DataFrame:
     """rows with the numbers of a coordinate text and the strand and keys of its junctions."""
-    keys = junction_keys(coordinate_numbers(F.col(coord)))
-    return rows.withColumn("__k", keys).select("*", "__k.strand", "__k.jct1", "__k.jct2").drop("__k")
+    # columns of their own, so that a text is split once and not for each key
+    names = [f"__c{k}" for k in range(6)]
+    rows = rows.withColumns({n: F.get(F.split(coord, ":"), F.lit(k)).try_cast("int") for k, n in enumerate(names)})
+    return rows.withColumn("__k", junction_keys([F.col(n) for n in names])).select("*", "__k.strand", "__k.jct1", "__k.jct2").drop("__k", *names)
 
 
 def junction_peptides(peptides: DataFrame, found: DataFrame, pairwise: bool = False) -> DataFrame:
-    """Peptides whose junctions occur among found: each on its own, or as a pair; no second junction meets none."""
+    """Peptides whose junctions occur among found: each on its own, or as a pair; no second junction meets none.
+
+    The keys found are a table of their own, whose size tells whether peptides have to be shuffled to meet them.
+    """
+    keys = written(found.select("jct1", "jct2").distinct(), "found")
     if pairwise:
-        keys = found.select("jct1", "jct2").distinct()
         return peptides.join(keys, (peptides["jct1"] == keys["jct1"]) & peptides["jct2"].eqNullSafe(keys["jct2"]), "left_semi")
-    first, second = (found.select(c).distinct() for c in ("jct1", "jct2"))
-    kept = peptides.join(first, "jct1", "left_semi")
+    kept = peptides.join(keys.select("jct1"), "jct1", "left_semi")
+    second = keys.select("jct2").distinct()
     return kept.join(second, kept["jct2"].eqNullSafe(second["jct2"]), "left_semi")
 
 

@@ -1,6 +1,9 @@
 """Plans that keep memory and shuffles in proportion to the input."""
 
+from pyspark.sql import functions as F
+
 from spliceloom.operators import cohort as c
+from spliceloom.operators import specificity as sp
 from spliceloom.plans.tables import cohort_matrices
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +25,16 @@ def test_failing_kmers_need_no_join(spark):
 def test_a_result_without_name_has_no_support(spark):
     m = spark.createDataFrame([(None, [9.0, 9.0])], "kmer string, expr array<double>")
     assert [tuple(r) for r in c.failing(m.select("kmer"), m, m, [0, 1], [0], 0, 5, 5, 1, 6.0, None).collect()] == [(None, "sample")]
+
+
+def test_junctions_of_a_coordinate_are_read_from_one_split(spark):
+    rows = spark.createDataFrame([("1:5:9:12:None:None",), ("20:25:9:12:2:4",)], "t string")
+    keyed = sp.with_junctions(rows, "t")
+    assert "transform(" not in keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.strand, r.jct1, r.jct2) for r in keyed.collect()) == [("+", "5:9", None), ("-", "12:20", "4:9")]
+
+
+def test_found_junctions_are_a_table_of_their_own(spark):
+    rows = sp.with_junctions(spark.range(8).select(F.col("id"), F.concat(F.lit("1:5:"), F.col("id") + 9, F.lit(":30:None:None")).alias("t")), "t")
+    kept = sp.junction_peptides(rows, rows.where("id < 2"))
+    assert _plan(kept).count("Range (") == 1 and [r.id for r in kept.sort("id").collect()] == [0, 1]

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from spliceloom import plans
 from spliceloom.operators import cohort as c
 from spliceloom.operators import specificity as sp
 from spliceloom.plans.tables import cohort_matrices
@@ -38,3 +39,7 @@ def test_found_junctions_are_a_table_of_their_own(spark):
     rows = sp.with_junctions(spark.range(8).select(F.col("id"), F.concat(F.lit("1:5:"), F.col("id") + 9, F.lit(":30:None:None")).alias("t")), "t")
     kept = sp.junction_peptides(rows, rows.where("id < 2"))
     assert _plan(kept).count("Range (") == 1 and [r.id for r in kept.sort("id").collect()] == [0, 1]
+
+
+def test_vertices_are_made_once_for_all_that_read_them(spark):
+    assert "lineitem" not in plans.queries()["successors"](spark, SF)._jdf.queryExecution().analyzed().toString() + _plan(plans.queries()["successors"](spark, SF))

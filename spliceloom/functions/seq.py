@@ -171,9 +171,9 @@ def coordinate_numbers(text: Column) -> Column:
     return F.transform(F.split(text, ":"), lambda x: x.try_cast("int"))
 
 
-def junction_keys(numbers: Column) -> Column:
-    """Strand and the keys of the first and second junction of coordinate numbers, compared as numbers."""
-    c = [F.get(numbers, F.lit(k)) for k in range(6)]
+def junction_keys(numbers: Column | list[Column]) -> Column:
+    """Strand and the keys of the first and second junction of coordinate numbers, an array or a column each, compared as numbers."""
+    c = numbers if isinstance(numbers, list) else [F.get(numbers, F.lit(k)) for k in range(6)]
     plus = c[1] < c[2]
     key = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(":", a, b))
     return F.struct(

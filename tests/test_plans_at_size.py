@@ -10,6 +10,10 @@ from spliceloom.plans.tables import cohort_matrices
 SF = "/root/testdata/sf0.001"
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cells_of_a_matrix_are_added_up_in_one_shuffle(spark):
     """A row's key is the only thing that aggregates shuffle by, not key and sample."""
     for made in cohort_matrices(spark, SF):

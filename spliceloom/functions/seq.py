@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType
+from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
 
 #: The standard genetic code over T, C, A, G in that order, _ for stop.
 BASES = "TCAG"
@@ -14,6 +14,8 @@ CODE = "FFLLSSSSYY__CC_WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 STOPS = [a + b + c for k, (a, b, c) in enumerate((a, b, c) for a in BASES for b in BASES for c in BASES) if CODE[k] == "_"]
 #: Bits of a digit of the masks that choose combinations.
 MASK_BITS = 10
+#: K-mers of a batch that `with_kmers` makes.
+CUT = 100_000
 
 
 def complement(dna: Column) -> Column:
@@ -158,6 +160,68 @@ def genomic_parts(pos: Column, k: int, parts: Column, strand: Column) -> Column:
     return F.when(strand == "+", forward).otherwise(backward)
 
 
+def with_kmers(rows: DataFrame, k: int, count: str | None = None) -> DataFrame:
+    """rows once for each k-mer of column peptide: with pos, kmer and as parts its `genomic_parts`, in place of peptide and parts.
+
+    With count, a column with the number of k-mers, there is no peptide and no kmer. Places are worked out in numpy, for CUT k-mers at a
+    time, however long a peptide is; strand and parts are columns of rows.
+    """
+    kept = [f for f in rows.schema if f.name not in ("peptide", "parts", count)]
+    made = [StructField("pos", IntegerType()), *([] if count else [StructField("kmer", StringType())]), rows.schema["parts"]]
+
+    def cut(batches):
+        for batch in batches:
+            yield from _cut(batch, k, [f.name for f in kept], count)
+
+    return rows.mapInArrow(cut, StructType([*kept, *made]))
+
+
+def _cut(batch: pa.RecordBatch, k: int, kept: list[str], count: str | None):
+    """The batches of `with_kmers` that a batch gives."""
+    text = at = data = None
+    if count:
+        n = batch.column(count).to_numpy(zero_copy_only=False).astype(np.int64)
+    else:
+        text, at, data = _bytes(batch.column("peptide"))
+        if data.size and data.max() > 127:  # letters of several bytes
+            text = text.to_pylist()
+            n = np.array([len(x or "") for x in text], np.int64) - (k - 1)
+        else:
+            text, n = None, np.diff(at) - (k - 1)
+    ends = np.cumsum(np.maximum(n, 0))
+    plus = np.array([x == "+" for x in batch.column("strand").to_pylist()])
+    parts = pa.concat_arrays([batch.column("parts")])
+    kind, offsets = parts.type, parts.offsets.to_numpy().astype(np.int64)
+    begin, end = (pa.concat_arrays([parts.values]).field(f) for f in ("start", "stop"))
+    number = begin.type
+    begin, end = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (begin, end))
+    sizes = np.diff(offsets)
+    for low in range(0, int(ends[-1]) if len(ends) else 0, CUT):
+        of = np.arange(low, min(low + CUT, int(ends[-1])))
+        row = np.searchsorted(ends, of, "right")
+        pos = of - (ends[row] - np.maximum(n[row], 0))
+        most = int(sizes[row].max())
+        held, left, right = np.zeros((len(of), most), bool), np.zeros((len(of), most), np.int64), np.zeros((len(of), most), np.int64)
+        done = np.zeros(len(of), np.int64)
+        for p in range(most):
+            some = p < sizes[row]
+            x = np.where(some, offsets[row] + p, 0)
+            a, b = np.maximum(3 * pos - done, 0), np.minimum(3 * (pos + k) - done, end[x] - begin[x])
+            held[:, p] = some & (a < b)
+            left[:, p] = np.where(plus[row], begin[x] + a, end[x] - b)
+            right[:, p] = np.where(plus[row], begin[x] + b, end[x] - a)
+            done += end[x] - begin[x]
+        pieces = pa.StructArray.from_arrays([pa.array(left[held]).cast(number), pa.array(right[held]).cast(number)], fields=list(kind.value_type))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held.sum(1))]).astype(np.int32)), pieces)
+        columns = [batch.column(name).take(pa.array(row)) for name in kept] + [pa.array(pos.astype(np.int32))]
+        if text is not None:
+            columns.append(pa.array([text[r][p : p + k] for r, p in zip(row.tolist(), pos.tolist())], pa.string()))
+        elif not count:
+            letters = data[(at[row] + pos)[:, None] + np.arange(k)]
+            columns.append(pa.Array.from_buffers(pa.string(), len(of), [None, pa.py_buffer((k * np.arange(len(of) + 1)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(letters))]))
+        yield pa.RecordBatch.from_arrays([*columns, lists], [*kept, "pos", *([] if count else ["kmer"]), "parts"])
+
+
 def coordinate_text(parts: Column) -> Column:
     """Pieces as a:b:c:d:e:f, with nan for a missing second piece and None for a missing third."""
     at = lambda k, f: F.get(parts, F.lit(k))[f].cast("string")

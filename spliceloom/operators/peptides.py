@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceloom.functions.seq import coordinate_text, genomic_parts, kmers, residues, reverse_complement, with_combinations, with_residues, with_variants
+from spliceloom.functions.seq import coordinate_text, residues, reverse_complement, with_combinations, with_kmers, with_residues, with_variants
 from spliceloom.operators.cohort import without_known
 from spliceloom.operators.expression import junction_expression, junctions_annotated, segment_expression
 from spliceloom.operators.quality import InputError
@@ -209,11 +209,10 @@ def junction_listed(pairs: DataFrame, whitelist: DataFrame) -> DataFrame:
 
 
 def peptide_kmers(peptides: DataFrame, k: int) -> DataFrame:
-    """Distinct k-mers with their pieces in the genome: gene, kmer, parts, coord, readFrameAnnotated, isCrossJunction."""
-    tiles = peptides.select("gene", "strand", "parts", "annotated", F.posexplode(kmers(F.col("peptide"), k)).alias("pos", "kmer"))
-    pieces = tiles.select("gene", "strand", "kmer", F.col("annotated").alias("readFrameAnnotated"), genomic_parts(F.col("pos"), k, F.col("parts"), F.col("strand")).alias("parts"))
-    rows = pieces.withColumns({"coord": coordinate_text(F.col("parts")), "isCrossJunction": F.size("parts") > 1})
-    return rows.dropDuplicates(["gene", "coord", "kmer", "readFrameAnnotated"])
+    """Distinct k-mers with their pieces in the genome: gene, strand, kmer, parts, coord, readFrameAnnotated, isCrossJunction."""
+    tiles = with_kmers(peptides.select("gene", "strand", F.col("annotated").alias("readFrameAnnotated"), "parts", "peptide"), k)
+    rows = tiles.select("gene", "strand", "kmer", "readFrameAnnotated", "parts").distinct()  # without columns beside the keys, which would be sorted
+    return rows.withColumns({"coord": coordinate_text(F.col("parts")), "isCrossJunction": F.size("parts") > 1})
 
 
 def kmer_pieces(rows: DataFrame) -> DataFrame:

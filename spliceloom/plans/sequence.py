@@ -8,7 +8,7 @@ from spliceloom.functions import seq as s
 from spliceloom.operators import annotation as a
 from spliceloom.operators import expression as e
 from spliceloom.plans import query
-from spliceloom.plans.tables import CDS, DNA, VARIANTS, cds, dna_of, read, reverse_complement_sql, sequences, translated_sql, variants, variants_sql
+from spliceloom.plans.tables import CDS, DNA, VARIANTS, cds, read, reverse_complement_sql, sequences, translated_sql, variants, variants_sql
 
 
 @query(f"""WITH {DNA}, t AS (SELECT gene, {translated_sql('dna')} AS r FROM dna)
@@ -58,14 +58,13 @@ def _pairs(spark, d):
     c = cds(spark, d)
     first = c.select("tx", "line", "strand", F.col("left").alias("l1"), F.col("right").alias("r1"))
     second = c.select("tx", (F.col("line") - 1).alias("line"), F.col("left").alias("l2"), F.col("right").alias("r2"))
-    rows = first.join(second, ["tx", "line"])
     count = F.floor((F.col("r1") - F.col("l1") + F.col("r2") - F.col("l2")) / 3).cast("int") - 8
-    return rows.where(count > 0).withColumn("pos", F.explode(F.sequence(F.lit(0), count - 1)))
+    return first.join(second, ["tx", "line"]).withColumn("n", count).where("n > 0")
 
 
 @query(f"WITH {CDS}, {_PAIR} SELECT tx, line, CAST(count(*) AS BIGINT) AS n_spanning, CAST(min(pos) AS INT) AS first_pos FROM kp WHERE 3 * pos < r1 - l1 AND 3 * (pos + 9) > r1 - l1 GROUP BY tx, line")
 def spanning_kmers(spark, d):
-    rows = _pairs(spark, d).where(s.spans_junction(F.col("pos"), 9, F.col("r1") - F.col("l1")))
+    rows = _pairs(spark, d).withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where(s.spans_junction(F.col("pos"), 9, F.col("r1") - F.col("l1")))
     return rows.groupBy("tx", "line").agg(F.count("*").alias("n_spanning"), F.min("pos").alias("first_pos"))
 
 
@@ -78,7 +77,8 @@ def kmer_coords(spark, d):
     part = lambda left, right: F.struct(F.col(left).alias("start"), F.col(right).alias("stop"))
     rows = _pairs(spark, d)
     parts = F.when(F.col("strand") == "+", F.array(part("l1", "r1"), part("l2", "r2"))).otherwise(F.array(part("l2", "r2"), part("l1", "r1")))
-    return rows.select("tx", "line", "pos", s.coordinate_text(s.genomic_parts(F.col("pos"), 9, parts, F.col("strand"))).alias("coord"))
+    placed = s.with_kmers(rows.select("tx", "line", "strand", "n", parts.alias("parts")), 9, "n")
+    return placed.select("tx", "line", "pos", s.coordinate_text(F.col("parts")).alias("coord"))
 
 
 @query("""WITH t AS (SELECT p_partkey, upper(replace(p_name, ' ', '')) || 'ABAB' AS f, 'ABABA' || p_brand AS b FROM part)
@@ -161,7 +161,6 @@ def roundtrip_check(spark, d):
     from spliceloom.operators.quality import roundtrip
 
     rows = sequences(spark, d).withColumn("peptide", s.peptide(F.col("dna")))
-    tiles = rows.select("gene", F.posexplode(s.kmers(F.col("peptide"), 9)).alias("pos", "kmer"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(400).alias("stop")), F.struct(F.lit(400).alias("start"), F.lit(1024).alias("stop")))
-    placed = tiles.withColumn("parts", s.genomic_parts(F.col("pos"), 9, whole, F.lit("+"))).withColumn("strand", F.lit("+"))
+    placed = s.with_kmers(rows.select("gene", "peptide", whole.alias("parts"), F.lit("+").alias("strand")), 9)
     return roundtrip(placed, sequences(spark, d))

@@ -52,3 +52,12 @@ def test_places_of_kmers_are_not_worked_out_by_functions_over_arrays(spark):
     for name in ("kmer_coords", "foreground_kmers", "roundtrip_check"):
         assert "zip_with(parts" not in plans.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
         assert "MapInArrow" in plans.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_are_dealt_out_before_they_are_counted(spark):
+    from spliceloom.operators.quality import repeated
+
+    rows = spark.createDataFrame([(1, 2), (1, 2), (3, None), (3, None), (4, 5)], "a int, b int")
+    plan = repeated(rows, "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan[plan.index("Exchange") :]
+    assert sorted(map(str, repeated(rows, "a", "b").collect())) == ["Row(a=1, b=2, times=2)", "Row(a=3, b=None, times=2)"]

@@ -61,3 +61,11 @@ def test_keys_are_dealt_out_before_they_are_counted(spark):
     plan = repeated(rows, "a", "b")._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan[plan.index("Exchange") :]
     assert sorted(map(str, repeated(rows, "a", "b").collect())) == ["Row(a=1, b=2, times=2)", "Row(a=3, b=None, times=2)"]
+
+
+def test_coding_pieces_are_dealt_out_once_by_order(spark):
+    """For the greatest of a line, for the join with its order and for the junctions of a transcript."""
+    from spliceloom.plans.tables import cds
+
+    lines = [x for x in cds(spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert len(lines) <= 2 and not any("l_linenumber" in x for x in lines)

@@ -41,6 +41,8 @@ def _table(pairs: dict[str, int], other: int) -> np.ndarray:
 
 #: Digits of bases, 4 for other letters, and residues by three such digits.
 _DIGITS = _table({x: k for k, x in enumerate(BASES)}, 4)
+#: The same of the base that `complement` gives.
+_OTHERS = _DIGITS[np.frombuffer(bytes(range(256)).translate(bytes.maketrans(b"ACGT", b"TGCA")), np.uint8)]
 _LETTERS = np.array([ord("X") if 4 in (a, b, c) else ord(CODE[16 * a + 4 * b + c]) for a in range(5) for b in range(5) for c in range(5)], np.uint8)
 
 
@@ -53,33 +55,58 @@ def _bytes(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def _translated(dna: pa.Array) -> pa.Array:
     """Residues of an array of sequences."""
+    return _codons(dna, None)
+
+
+def _translated_back(dna: pa.Array, back: pa.Array) -> pa.Array:
+    """Residues of an array of sequences, or of their reverse complements where back is true."""
+    return _codons(dna, back)
+
+
+def _codons(dna: pa.Array, back: pa.Array | None) -> pa.Array:
     if not len(dna):
         return dna
     dna, ends, data = _bytes(dna)
     if data.size and data.max() > 127:  # letters of several bytes
         names = {a + b + c: CODE[k] for k, (a, b, c) in enumerate((a, b, c) for a in BASES for b in BASES for c in BASES)}
-        whole = [x and x.upper() for x in dna.to_pylist()]
+        turned = [False] * len(dna) if back is None else back.to_pylist()
+        swap = str.maketrans("ACGT", "TGCA")
+        whole = [x and (x[::-1].translate(swap) if b else x).upper() for x, b in zip(dna.to_pylist(), turned)]
         return pa.array([x and "".join(names.get(x[i : i + 3], "X") for i in range(0, len(x) - 2, 3)) for x in whole], pa.string())
     sizes = np.diff(ends) // 3
     made = np.concatenate([[0], np.cumsum(sizes)])
     at = 3 * np.arange(made[-1]) + np.repeat(ends[:-1] - 3 * made[:-1], sizes)
     digits = _DIGITS[data]
-    found = _LETTERS[25 * digits[at] + 5 * digits[at + 1] + digits[at + 2]]
+    first, second, third = digits[at], digits[at + 1], digits[at + 2]
+    if back is not None:
+        turned = np.repeat(back.to_numpy(zero_copy_only=False).astype(bool), sizes)
+        at = np.repeat(ends[1:] - 1 + 3 * made[:-1], sizes)[turned] - 3 * np.flatnonzero(turned)
+        digits = _OTHERS[data]
+        first[turned], second[turned], third[turned] = digits[at], digits[at - 1], digits[at - 2]
+    found = _LETTERS[25 * first + 5 * second + third]
     return pa.Array.from_buffers(pa.string(), len(dna), [dna.buffers()[0], pa.py_buffer(made.astype(np.int32)), pa.py_buffer(found)])
 
 
-def residues(dna: Column) -> Column:
-    """All codons of dna as one string with _ for stops and X for codons of other letters; 1 or 2 last bases drop."""
-    return F.arrow_udf(_translated, StringType())(dna)
+def residues(dna: Column, back: Column | None = None) -> Column:
+    """All codons of dna as one string with _ for stops and X for codons of other letters; 1 or 2 last bases drop.
+
+    Where back is true the reverse complement is read; it is not made before, which would take longer than all else.
+    """
+    return F.arrow_udf(_translated, StringType())(dna) if back is None else F.arrow_udf(_translated_back, StringType())(dna, back)
 
 
-def with_residues(rows: DataFrame, name: str, dna: Column) -> DataFrame:
+def with_residues(rows: DataFrame, name: str, dna: Column, back: Column | None = None) -> DataFrame:
     """rows with the residues of dna in column name. A filter on what is made of them can't pass an explode, below which all would be
     cut and translated a second time."""
-    rows = rows.withColumn("__dna", F.explode(F.array(dna))).withColumn("__residues", residues(F.col("__dna")))
+    rows = rows.withColumn("__dna", F.explode(F.array(dna))).withColumn("__residues", residues(F.col("__dna"), back))
     return rows.withColumn(name, F.explode(F.array("__residues"))).drop("__dna", "__residues")
 
 
+def minus(strand: Column) -> Column:
+    """Whether bases are read backwards: on all strands but +."""
+    return ~strand.eqNullSafe(F.lit("+"))
+
+
 def peptides(dna: Column) -> Column:
     """Every stop-delimited piece of the translation, empty ones included."""
     return F.split(residues(dna), "_", -1)

@@ -17,8 +17,10 @@ from spliceloom.staging import append, opened, written
 WIDE = 40_000
 
 
-def exon_sequences(vertices: DataFrame, sequences: DataFrame) -> DataFrame:
-    """vertices with their bases in reading order, from sequences (gene, dna, offset)."""
+def exon_sequences(vertices: DataFrame, sequences: DataFrame | None = None) -> DataFrame:
+    """vertices with their bases in reading order, from sequences (gene, dna, offset) or from their own bases of the plus strand."""
+    if sequences is None:
+        return vertices.withColumn("seq", F.when(F.col("strand") == "+", F.col("bases")).otherwise(reverse_complement(F.col("bases")))).drop("bases")
     bases = F.substring(F.col("dna"), (F.col("start") - F.col("offset") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
     read = F.when(F.col("strand") == "+", bases).otherwise(reverse_complement(bases))
     return vertices.join(sequences.hint("merge"), "gene").withColumn("seq", read).drop("dna", "offset")

@@ -1,7 +1,7 @@
 """Foreground peptides of exon pairs, triples and single exons with their metadata, and the k-mers cut from them.
 
 pairs: gene, v, w, phase, annotated; triples have u as well, and single exons neither w nor u. vertices: gene, v, start,
-stop, strand. sequences: gene, dna, offset.
+stop, strand, and bases of the plus strand, if there. sequences: gene, dna, offset; pairs of vertices with bases need none.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceloom.functions.seq import coordinate_text, residues, reverse_complement, with_combinations, with_kmers, with_residues, with_variants
+from spliceloom.functions.seq import coordinate_text, minus, residues, reverse_complement, with_combinations, with_kmers, with_residues, with_variants
 from spliceloom.operators.cohort import without_known
 from spliceloom.operators.expression import junction_expression, junctions_annotated, segment_expression
 from spliceloom.operators.quality import InputError
@@ -25,14 +25,27 @@ def _ends(rows: DataFrame) -> list[str]:
     return [c for c in ("v", "w", "u") if c in rows.columns]
 
 
-def modified_pairs(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Rows of one, two or three exons with strand and parts: the exons in reading order, without the bases before the first
-    and after the last whole codon."""
-    names = _ends(pairs)
+def placed_ends(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """pairs with the strand and the places of their exons, which `modified_pairs` reads. Frames can be told apart after this: exons
+    then meet once for an edge and not once for each of its frames."""
     rows = pairs
-    for name in names:
-        ends = vertices.select("gene", F.col("v").alias(name), F.struct("start", "stop").alias(f"__{name}"), *(["strand"] if name == "v" else []))
+    held = [c for c in ("start", "stop", "bases") if c in vertices.columns]
+    for name in _ends(pairs):
+        ends = vertices.select("gene", F.col("v").alias(name), F.struct(*held).alias(f"__{name}"), *(["strand"] if name == "v" else []))
         rows = rows.join(ends, ["gene", name])
+    return rows
+
+
+def in_all_frames(pairs: DataFrame) -> DataFrame:
+    """pairs without a frame in the three frames of their first exon."""
+    return pairs.select("*", F.explode(F.array(*[F.lit(p) for p in range(3)])).alias("phase"), F.lit(False).alias("annotated"))
+
+
+def modified_pairs(pairs: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+    """Rows of one, two or three exons with strand and parts: the exons in reading order, without the bases before the first
+    and after the last whole codon. Without vertices pairs are those of `placed_ends`. Where exons have bases, bases are those of the parts."""
+    names = _ends(pairs)
+    rows = pairs if vertices is None else placed_ends(pairs, vertices)
     plus, exons = F.col("strand") == "+", [F.col(f"__{name}") for name in names]
     rest = F.pmod(sum((x.stop - x.start for x in exons), -F.col("phase")), F.lit(3))
     part = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"))
@@ -45,7 +58,12 @@ def modified_pairs(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
 
     parts = F.array(*[cut(k, x) for k, x in enumerate(exons)])
     original = F.array(*[part(x.start, x.stop) for x in exons])
-    return rows.select("gene", *names, "phase", "annotated", "strand", parts.alias("parts"), original.alias("original"))
+    out = rows.select("*", parts.alias("parts"), original.alias("original"))
+    own = []
+    if "bases" in rows.schema["__v"].dataType.names:
+        of = lambda k, x: F.substring(x.bases, F.get("parts", F.lit(k))["start"] - x.start.cast("int") + 1, F.get("parts", F.lit(k))["stop"] - F.get("parts", F.lit(k))["start"])
+        own = [F.array(*[of(k, x) for k, x in enumerate(exons)]).alias("bases")]
+    return out.select("gene", *names, "phase", "annotated", "strand", "parts", "original", *own)
 
 
 def isolated_exons(frames: DataFrame, edges: DataFrame) -> DataFrame:
@@ -64,6 +82,11 @@ def part_bases() -> Column:
     return F.transform("parts", lambda p: F.substring(F.col("dna"), (p.start - F.col("offset") + 1).cast("int"), (p.stop - p.start).cast("int")))
 
 
+def forward(bases: Column) -> Column:
+    """The parts' own bases as one text of the plus strand, the last part first on minus: what is read backwards there."""
+    return F.array_join(F.when(minus(F.col("strand")), F.reverse(bases)).otherwise(bases), "")
+
+
 def coding_of(bases: Column, variants: Column | None = None) -> Column:
     """Bases of parts in reading order, with variants put in part by part, from columns parts and strand and the parts' own bases."""
 
@@ -89,10 +112,11 @@ def _emitted(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"peptide": peptide, "hasStopCodon": F.contains("mutated", F.lit("_")).cast("int"), "isIsolated": isolated.cast("int"), "tran_start": start}).where("peptide != ''")
 
 
-def reference_peptides(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
+def reference_peptides(pairs: DataFrame, sequences: DataFrame | None = None) -> DataFrame:
     """Peptides of modified pairs without variants, with flags."""
-    rows = with_residues(pairs.join(sequences.hint("merge"), "gene"), "mutated", coding_bases())
-    return _emitted(rows).drop("mutated", "dna", "offset").withColumns({"variantComb": F.lit(None).cast("string"), "variant_no": F.lit(0)})
+    rows = pairs if sequences is None else pairs.join(sequences.hint("merge"), "gene").withColumn("bases", part_bases()).drop("dna", "offset")
+    rows = with_residues(rows, "mutated", forward(F.col("bases")), minus(F.col("strand")))
+    return _emitted(rows).drop("mutated", "bases").withColumns({"variantComb": F.lit(None).cast("string"), "variant_no": F.lit(0)})
 
 
 def _with_variants(pairs: DataFrame, variants: DataFrame) -> DataFrame:
@@ -129,7 +153,7 @@ def crowded_pairs(pairs: DataFrame, variants: DataFrame, most: int = MAX_VARIANT
     return _with_variants(pairs, variants).where(F.size("held") > most).select("gene", *_ends(pairs), "phase", "sample", F.size("held").alias("n_variants"))
 
 
-def mutated_peptides(pairs: DataFrame, sequences: DataFrame, variants: DataFrame, force: bool = False) -> DataFrame:
+def mutated_peptides(pairs: DataFrame, sequences: DataFrame | None, variants: DataFrame, force: bool = False) -> DataFrame:
     """Peptides of every combination of a sample's variants in a pair that differ from the reference's (or all, with force).
 
     variant_no counts what a pair emits, from 0, in order of size and then position of the combinations. Where variants have
@@ -137,8 +161,10 @@ def mutated_peptides(pairs: DataFrame, sequences: DataFrame, variants: DataFrame
     sample, with a column sample. A peptide is as long as its pair, so n variants give up to 2**n of them, spread over all tasks;
     where only k-mers are wanted, `operators.variants.mutated_kmers` has them without that.
     """
-    keys = ["gene", "sample"] if "sample" in sequences.columns else ["gene"]
-    rows = _with_variants(pairs, variants).join(sequences.hint("merge"), keys).withColumn("bases", part_bases()).drop("dna", "offset")
+    rows = _with_variants(pairs, variants)
+    if sequences is not None:
+        keys = ["gene", "sample"] if "sample" in sequences.columns else ["gene"]
+        rows = rows.join(sequences.hint("merge"), keys).withColumn("bases", part_bases()).drop("dna", "offset")
     rows = written(rows.withColumn("reference", residues(coding_of(F.col("bases")))), "pairs")
     rows = with_combinations(rows, "held", "chosen").where("size(chosen) > 0")
     rows = with_residues(rows, "mutated", coding_of(F.col("bases"), F.col("chosen")))

@@ -121,7 +121,7 @@ def _held(pairs: DataFrame, variants: DataFrame, keys: list[str]) -> DataFrame:
     return near.groupBy(*keys, "sample").agg(F.array_sort(F.collect_set(one)).alias("held"))
 
 
-def mutated_kmers(pairs: DataFrame, sequences: DataFrame, variants: DataFrame, k: int) -> DataFrame:
+def mutated_kmers(pairs: DataFrame, sequences: DataFrame | None, variants: DataFrame, k: int) -> DataFrame:
     """K-mers that combinations of a sample's variants give and the reference, at the same place of the pair, does not.
 
     pairs are modified ones (also triples and single exons). Columns: gene, sample, the exons, phase, annotated, strand, pos (residue), kmer, variants (pos and
@@ -129,17 +129,18 @@ def mutated_kmers(pairs: DataFrame, sequences: DataFrame, variants: DataFrame, k
     once for each choice of the variants in its 3k bases that gives it, however the others are chosen, if some choice of those
     before it leaves no stop. A k-mer behind the reference's first stop counts as new, also without variants of its own. So what is combined
     is bounded by the k-mer, not by the pair; a row of pairs with n variants in it costs n windows of k residues.
-    sequences may be those of samples, with a column sample.
+    sequences may be those of samples, with a column sample; pairs with bases of their own need none.
     """
     ends = [c for c in ("v", "w", "u") if c in pairs.columns]
     keys = ["gene", *ends, "phase"]
     some = pairs.join(variants.select("gene").distinct(), "gene", "left_semi")
     held = _held(some, variants, keys)
-    own = ["gene", "sample"] if "sample" in sequences.columns else ["gene"]
-    from spliceloom.operators.peptides import coding_bases
+    own = ["gene", "sample"] if sequences is not None and "sample" in sequences.columns else ["gene"]
+    from spliceloom.operators.peptides import coding_bases, coding_of
 
     # bases of the parts only go on from here
-    read = some.join(sequences.hint("merge"), "gene").select(*dict.fromkeys([*own, *keys]), "annotated", "strand", "parts", coding_bases().alias("coding"))
+    read = some if sequences is None else some.drop("bases").join(sequences.hint("merge"), "gene")
+    read = read.select(*dict.fromkeys([*own, *keys]), "annotated", "strand", "parts", (coding_of(F.col("bases")) if sequences is None else coding_bases()).alias("coding"))
     rows = held.join(read, [*keys, *own[1:]]).withColumn("ref", residues(F.col("coding")))
 
     def choices(c: Column) -> Column:

@@ -8,7 +8,7 @@ from spliceloom.functions import seq as s
 from spliceloom.operators import annotation as a
 from spliceloom.operators import expression as e
 from spliceloom.plans import query
-from spliceloom.plans.tables import CDS, DNA, VARIANTS, cds, read, reverse_complement_sql, sequences, translated_sql, variants, variants_sql
+from spliceloom.plans.tables import CDS, DNA, VARIANTS, cds, dna_of, read, reverse_complement_sql, sequences, translated_sql, variants, variants_sql
 
 
 @query(f"""WITH {DNA}, t AS (SELECT gene, {translated_sql('dna')} AS r FROM dna)
@@ -30,7 +30,9 @@ FROM b LEFT JOIN lv ON lv.gene = b.gene AND lv.pos = b.pos WHERE b.gene IN (SELE
 def apply_snps(spark, d):
     held = variants(spark, d, "customer", "c_custkey").groupBy("gene", "pos").agg(F.max_by("base", "line").alias("base"))
     lists = held.groupBy("gene").agg(F.collect_list(F.struct("pos", "base")).alias("variants"))
-    return sequences(spark, d).hint("merge").join(lists, "gene").select("gene", s.with_variants(F.col("dna"), F.lit(0), F.col("variants")).alias("mutated"))
+    # bases are made of genes with variants only, behind the join, as others are not in the result
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("gene")).hint("merge").join(lists, "gene").withColumn("dna", dna_of(F.col("gene")))
+    return rows.select("gene", s.with_variants(F.col("dna"), F.lit(0), F.col("variants")).alias("mutated"))
 
 
 @query(f"""WITH {VARIANTS}, l AS (SELECT sample, gene, list(pos ORDER BY pos) AS ps FROM (SELECT DISTINCT sample, gene, pos FROM va) GROUP BY ALL),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceloom.functions.seq import attributes, kmers, reverse_complement, with_residues
+from spliceloom.functions.seq import attributes, kmers, minus, with_residues
 
 
 def coding_pieces(lines: DataFrame) -> DataFrame:
@@ -47,16 +47,19 @@ def background_peptides(cds: DataFrame, sequences: DataFrame) -> DataFrame:
     """tx, gene and peptide of each transcript, from sequences (gene, dna, offset): pieces joined in reading order.
 
     Germline sequences, which have a column sample, give each sample's own. The phase moves the start of the first piece only; on the minus strand the joined bases are read backwards.
+    Peptides come dealt out by gene, so that repeated ones, and what follows by gene, need no other shuffle.
     """
     pieces = F.array_sort(F.collect_list(F.struct("left", "line", "right", "phase"))).alias("pieces")
     rows = cds.groupBy("gene", "tx", "strand").agg(pieces).join(sequences.hint("merge"), "gene")
-    whole = F.array_join(F.transform("pieces", lambda p: F.substring(F.col("dna"), (p.left - F.col("offset") + 1).cast("int"), (p.right - p.left).cast("int"))), "")
-    first = F.when(F.col("strand") == "+", F.element_at("pieces", 1).phase).otherwise(F.element_at("pieces", -1).phase)
-    read = F.when(F.col("strand") == "+", whole).otherwise(reverse_complement(whole))
-    coding = F.substring(read, (first + 1).cast("int"), F.length(read))
+    joined = F.array_join(F.transform("pieces", lambda p: F.substring(F.col("dna"), (p.left - F.col("offset") + 1).cast("int"), (p.right - p.left).cast("int"))), "")
+    lead = F.when(F.col("strand") == "+", F.element_at("pieces", 1).phase).otherwise(F.element_at("pieces", -1).phase)
+    back = minus(F.col("strand"))
+    whole, first = F.col("whole"), F.col("first").cast("int")
+    coding = F.when(back, F.substring(whole, F.lit(1), F.greatest(F.length(whole) - first, F.lit(0)))).otherwise(F.substring(whole, first + 1, F.length(whole)))
     owner = ["sample"] if "sample" in sequences.columns else []
-    rows = with_residues(rows.select(*owner, "gene", "tx", coding.alias("coding")), "residues", F.col("coding"))
-    return rows.select(*owner, "gene", "tx", F.substring_index("residues", "_", 1).alias("peptide")).where("peptide != ''").distinct()
+    rows = rows.select(*owner, "gene", "tx", "strand", joined.alias("whole"), lead.alias("first"))
+    rows = with_residues(rows.select(*owner, "gene", "tx", "strand", coding.alias("coding")), "residues", F.col("coding"), back)
+    return rows.select(*owner, "gene", "tx", F.substring_index("residues", "_", 1).alias("peptide")).where("peptide != ''").repartition("gene").distinct()
 
 
 def background_kmers(peptides: DataFrame, k: int) -> DataFrame:

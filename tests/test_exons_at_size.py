@@ -53,3 +53,27 @@ def test_only_genes_with_variants_are_paired_for_mutated_kmers(spark):
     some = exons(spark, SF).select("gene").distinct().limit(2)
     made = graph._made(spark, SF, some)
     assert made.select("gene").distinct().count() == 2
+
+
+def test_bases_are_made_behind_the_join_with_variants(spark):
+    plan = _plan(plans.queries()["apply_snps"](spark, SF))
+    assert "md5(" in plan.split("Join")[0] and "md5(" not in plan.split("Join", 1)[1]
+
+
+def test_germline_sequences_are_made_of_genes_with_variants(spark):
+    plan = _plan(plans.queries()["germline_background"](spark, SF))
+    assert "LeftSemi" in plan and plan.index("md5(") < plan.index("LeftSemi")
+
+
+def test_numbered_peptides_are_dealt_out_by_gene_once(spark):
+    """Behind the translation: for repeated ones and for their numbers."""
+    plan = _plan(plans.queries()["numbered_peptides"](spark, SF))
+    assert plan[: plan.index("ArrowEvalPython")].count("Exchange") == 1
+
+
+def test_minus_transcripts_lose_their_phase_at_the_end(spark):
+    from spliceloom.operators import annotation as a
+
+    cds = spark.createDataFrame([(1, 10, "-", 0, 0, 8, 1), (1, 11, "+", 0, 0, 8, 2), (1, 12, "-", 0, 0, 2, 2)], "gene long, tx long, strand string, line int, left int, right int, phase int")
+    dna = spark.createDataFrame([(1, "TTGGCATG", 0)], "gene long, dna string, offset int")
+    assert sorted((r.tx, r.peptide) for r in a.background_peptides(cds, dna).collect()) == [(10, "MP"), (11, "GM")]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, MapType, StringType, StructField, StructType
 
 #: The standard genetic code over T, C, A, G in that order, _ for stop.
 BASES = "TCAG"
@@ -203,6 +204,123 @@ def with_kmers(rows: DataFrame, k: int, count: str | None = None) -> DataFrame:
     return rows.mapInArrow(cut, StructType([*kept, *made]))
 
 
+def distinct_kmers(rows: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """`with_kmers` without pos, each k-mer once: of those that are equal in keys, kmer and parts the first, with its other columns.
+
+    rows are dealt out to tasks by the first of keys and sorted by it there, so that k-mers are told apart where they are cut: they
+    are not shuffled, and no more is held than those of one value of it. A row out of this order is an error.
+
+    Columns segments (start, stop, counts) and junctions (left_stop, right_start, counts, annotated), arrays of what rows have in reach,
+    give way to what lies on each k-mer: of a k-mer of one piece held, an array of n, the bases on a segment, and its counts; of others
+    crossed, an array of the counts of junctions between its pieces by place, and annotated, whether any of these is.
+    """
+    counted = [c for c in ("segments", "junctions") if c in rows.columns]
+    kept = [f for f in rows.schema if f.name not in ("peptide", "parts")]
+    out = [*(f for f in kept if f.name not in counted), StructField("kmer", StringType()), rows.schema["parts"]]
+    if counted:
+        kinds = [rows.schema[c].dataType.elementType["counts"].dataType for c in ("segments", "junctions")]
+        out += [StructField("held", ArrayType(StructType([StructField("n", DoubleType()), StructField("counts", kinds[0])]))), StructField("crossed", ArrayType(kinds[1])), StructField("annotated", BooleanType())]
+
+    def cut(batches):
+        cuts = (x.drop_columns("pos") for batch in _in_order(batches, keys[0]) for x in _cut(batch, k, [f.name for f in kept], None))
+        for table in _once(cuts, keys):
+            yield from (_reached(table) if counted else table).to_batches()
+
+    return rows.mapInArrow(cut, StructType(out))
+
+
+def _in_order(batches, key: str):
+    """The batches that have rows, as long as key doesn't go down."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = batch.column(key)
+        now = now if last is None else pa.concat_arrays([last, now])
+        if pc.any(pc.less(now[1:], now[:-1])).as_py():
+            raise ValueError(f"rows are not in order of {key}")
+        last = now[-1:]
+        yield batch
+
+
+def _once(batches, keys: list[str]):
+    """Tables of the rows of batches, which are in order of the first of keys, without repeats."""
+    held, most = None, CUT
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        by = rows.column(keys[0])
+        same = pc.is_null(by) if not by[-1].is_valid else pc.fill_null(pc.equal(by, by[-1]), False)
+        other = np.flatnonzero(~same.to_numpy())
+        n = int(other[-1]) + 1 if len(other) else 0  # before it values are whole
+        if n:
+            yield _first_of_each(rows.slice(0, n), keys)
+        held = rows.slice(n)
+        if held.num_rows > most:
+            held = _first_of_each(held, keys)
+            most = max(CUT, 2 * held.num_rows)
+        elif n:
+            most = CUT
+    if held is not None:
+        yield _first_of_each(held, keys)
+
+
+def _listed(rows: pa.Table, name: str, *fields: str) -> tuple:
+    """Of a column of arrays of structs their ends and sizes, and fields of all structs as numbers, or as they are."""
+    lists = pa.concat_arrays(rows.column(name).chunks)
+    values = pa.concat_arrays([lists.values])
+    found = [values.field(f) for f in fields]
+    ends = lists.offsets.to_numpy()
+    return ends, np.diff(ends), [x if pa.types.is_list(x.type) else x.to_numpy(zero_copy_only=False) for x in found]
+
+
+def _lists(of: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """values as the lists of n rows; of: the row of each, in order."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)), values)
+
+
+def _reached(rows: pa.Table) -> pa.Table:
+    """rows with held, crossed and annotated in place of segments and junctions."""
+    n = rows.num_rows
+    begins, sizes, numbers = _listed(rows, "parts", "start", "stop")
+    start, stop = (x.astype(np.int64) for x in numbers)
+    at, most = begins[:-1], int(sizes.max(initial=0))
+    ends, size, (a, b, counts) = _listed(rows, "segments", "start", "stop", "counts")
+    of = np.repeat(np.arange(n), size)
+    a, b = (x[ends[0] : ends[-1]] for x in (a, b))
+    low, high = np.maximum(a, start[at[of]]), np.minimum(b, stop[at[of]])
+    some = np.flatnonzero((sizes[of] == 1) & (a < b) & (low < high))
+    held = pa.StructArray.from_arrays([pa.array((high - low)[some].astype(np.float64)), counts.take(pa.array(some + ends[0]))], ["n", "counts"])
+    held = _lists(of[some], n, held)
+
+    ends, size, (a, b, counts, annotated) = _listed(rows, "junctions", "left_stop", "right_start", "counts", "annotated")
+    of = np.repeat(np.arange(n), size)
+    a, b, annotated = (x[ends[0] : ends[-1]] for x in (a, b, annotated))
+    none = np.iinfo(np.int64).max
+    left, right = (np.stack([np.where(p < sizes, x[np.where(p < sizes, at + p, 0)], none) for p in range(most)], 1) if n else np.zeros((0, 0), np.int64) for x in (start, stop))
+    order = np.lexsort((right, left), axis=-1)
+    left, right = (np.take_along_axis(x, order, 1) for x in (left, right))
+    met = np.zeros(len(of), bool)
+    for p in range(most - 1):
+        met |= (p + 1 < sizes[of]) & (right[of, p] == a) & (left[of, p + 1] == b)
+    known = np.bincount(of[met & (annotated == True)], minlength=n) > 0  # noqa: E712, it may be null
+    some = np.flatnonzero(met & counts.is_valid().to_numpy(zero_copy_only=False)[ends[0] : ends[-1]])
+    crossed = _lists(of[some], n, counts.take(pa.array(some + ends[0])))
+    return rows.drop_columns(["segments", "junctions"]).append_column("held", held).append_column("crossed", crossed).append_column("annotated", pa.array(known))
+
+
+def _first_of_each(rows: pa.Table, keys: list[str]) -> pa.Table:
+    """The first of rows that are equal in keys, kmer and parts."""
+    rows = rows.combine_chunks()
+    ends, sizes, numbers = _listed(rows, "parts", "start", "stop")
+    told = {f"k{i}": rows.column(c) for i, c in enumerate([*keys, "kmer"])} | {"n": sizes}
+    for p in range(int(sizes.max(initial=0))):
+        some = p < sizes
+        at = np.where(some, ends[:-1] + p, 0)
+        told |= {f"{side}{p}": np.where(some, x[at], 0) for side, x in zip("ab", numbers)}
+    found = pa.table(told | {"row": np.arange(rows.num_rows)}).group_by([*told], use_threads=False).aggregate([("row", "min")])
+    return rows.take(np.sort(found.column("row_min").to_numpy()))
+
+
 def _cut(batch: pa.RecordBatch, k: int, kept: list[str], count: str | None):
     """The batches of `with_kmers` that a batch gives."""
     text = at = data = None

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceloom.operators.variants import last_segment, overlapping, within
@@ -50,9 +50,22 @@ def segment_expression(pieces: DataFrame, segments: DataFrame, k: int) -> DataFr
     near = overlapping(pieces, segments, ["gene"], ("start", "stop"), ("seg_start", "seg_stop"))
     n = (F.least("stop", "seg_stop") - F.greatest("start", "seg_start")).cast("double")
     held = near.groupBy("gene", "id").agg(F.collect_list(F.struct(n.alias("n"), F.col("counts").cast("array<double>").alias("counts"))).alias("held"))
-    none = F.transform(F.get("held", F.lit(0))["counts"], lambda _: F.lit(0.0))
-    total = F.aggregate("held", none, lambda acc, h: F.zip_with(acc, h.counts, lambda x, y: x + h.n * y))
-    return held.select("gene", "id", F.transform(total, lambda x: F.bround(x / (3 * k), 2)).alias("expr"))
+    return held.select("gene", "id", mean_counts(F.col("held"), k).alias("expr"))
+
+
+def mean_counts(held: Column, k: int) -> Column:
+    """The counts of held (an array of n, the bases, and counts), weighed by bases, over the 3k bases of a k-mer; null of none."""
+    first = F.get(held, F.lit(0))
+    rounded = lambda x: F.when(x == F.rint(x), x).otherwise(F.bround(x, 2))  # noqa: E731, whole numbers at once
+    none = F.transform(first["counts"], lambda _: F.lit(0.0))
+    total = F.aggregate(held, none, lambda acc, h: F.zip_with(acc, h.counts, lambda x, y: x + h.n * y))
+    one = F.transform(first["counts"], lambda y: rounded((0.0 + first["n"] * y) / (3 * k)))
+    return F.when(F.size(held) == 1, one).otherwise(F.transform(total, lambda x: rounded(x / (3 * k))))
+
+
+def least_counts(held: Column) -> Column:
+    """The least of the counts of held, an array of arrays, by sample; null of none."""
+    return F.aggregate(F.slice(held, 2, F.size(held)), F.get(held, F.lit(0)), lambda acc, c: F.zip_with(acc, c, lambda x, y: F.least(x, y)))
 
 
 def junction_expression(crossed: DataFrame, edge_counts: DataFrame) -> DataFrame:
@@ -62,8 +75,7 @@ def junction_expression(crossed: DataFrame, edge_counts: DataFrame) -> DataFrame
     """
     rows = crossed.join(edge_counts.where("counts is not null"), ["gene", "left_stop", "right_start"])
     held = rows.groupBy("gene", "id").agg(F.collect_list(F.col("counts").cast("array<double>")).alias("held"))
-    least = F.aggregate(F.slice("held", 2, F.size("held")), F.get("held", F.lit(0)), lambda acc, c: F.zip_with(acc, c, lambda x, y: F.least(x, y)))
-    return held.select("gene", "id", least.alias("expr"))
+    return held.select("gene", "id", least_counts(F.col("held")).alias("expr"))
 
 
 def junctions_annotated(crossed: DataFrame, known: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceloom.functions.seq import coordinate_text, minus, residues, reverse_complement, with_combinations, with_kmers, with_residues, with_variants
+from spliceloom.functions.seq import coordinate_text, distinct_kmers, minus, residues, reverse_complement, with_combinations, with_kmers, with_residues, with_variants
 from spliceloom.operators.cohort import without_known
-from spliceloom.operators.expression import junction_expression, junctions_annotated, segment_expression
+from spliceloom.operators.expression import junction_expression, junctions_annotated, least_counts, mean_counts, segment_expression
 from spliceloom.operators.quality import InputError
 from spliceloom.operators.variants import within
 from spliceloom.staging import written
@@ -36,6 +36,15 @@ def placed_ends(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return rows
 
 
+def by_gene(pairs: DataFrame) -> DataFrame:
+    """pairs dealt out by gene and in its order, as `gene_kmers` takes what is made of them row by row.
+
+    What is dealt out is a row for each pair, and not the k-mers of its frames. Where rows are dealt out by gene already, this moves nothing.
+    """
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(tasks, "gene").sortWithinPartitions("gene")
+
+
 def in_all_frames(pairs: DataFrame) -> DataFrame:
     """pairs without a frame in the three frames of their first exon."""
     return pairs.select("*", F.explode(F.array(*[F.lit(p) for p in range(3)])).alias("phase"), F.lit(False).alias("annotated"))
@@ -43,7 +52,8 @@ def in_all_frames(pairs: DataFrame) -> DataFrame:
 
 def modified_pairs(pairs: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """Rows of one, two or three exons with strand and parts: the exons in reading order, without the bases before the first
-    and after the last whole codon. Without vertices pairs are those of `placed_ends`. Where exons have bases, bases are those of the parts."""
+    and after the last whole codon. Without vertices pairs are those of `placed_ends`. Where exons have bases, bases are those of the parts.
+    Columns segments and junctions, which `expressed` reads, go along."""
     names = _ends(pairs)
     rows = pairs if vertices is None else placed_ends(pairs, vertices)
     plus, exons = F.col("strand") == "+", [F.col(f"__{name}") for name in names]
@@ -63,7 +73,7 @@ def modified_pairs(pairs: DataFrame, vertices: DataFrame | None = None) -> DataF
     if "bases" in rows.schema["__v"].dataType.names:
         of = lambda k, x: F.substring(x.bases, F.get("parts", F.lit(k))["start"] - x.start.cast("int") + 1, F.get("parts", F.lit(k))["stop"] - F.get("parts", F.lit(k))["start"])
         own = [F.array(*[of(k, x) for k, x in enumerate(exons)]).alias("bases")]
-    return out.select("gene", *names, "phase", "annotated", "strand", "parts", "original", *own)
+    return out.select("gene", *names, "phase", "annotated", "strand", "parts", "original", *own, *[c for c in ("segments", "junctions") if c in rows.columns])
 
 
 def isolated_exons(frames: DataFrame, edges: DataFrame) -> DataFrame:
@@ -241,6 +251,27 @@ def peptide_kmers(peptides: DataFrame, k: int) -> DataFrame:
     return rows.withColumns({"coord": coordinate_text(F.col("parts")), "isCrossJunction": F.size("parts") > 1})
 
 
+def gene_kmers(peptides: DataFrame, k: int) -> DataFrame:
+    """`peptide_kmers` of the peptides of pairs that went through `by_gene`; with segments and junctions, as `expressed` takes them.
+
+    K-mers are told apart gene by gene where they are cut, so none are shuffled.
+    """
+    beside = [c for c in ("segments", "junctions") if c in peptides.columns]
+    rows = distinct_kmers(peptides.select("gene", "strand", F.col("annotated").alias("readFrameAnnotated"), *beside, "parts", "peptide"), k, ["gene", "strand", "readFrameAnnotated"])
+    return rows.withColumns({"coord": coordinate_text(F.col("parts")), "isCrossJunction": F.size("parts") > 1})
+
+
+def expressed(rows: DataFrame, k: int) -> DataFrame:
+    """Both matrices of `matrices_of` in one table, of k-mers (`gene_kmers`) of pairs that carry what the counts have in reach of them.
+
+    segments of a pair: an array of start, stop and counts, all that overlap its exons; junctions: an array of left_stop, right_start,
+    counts and annotated, all that its k-mers may cross. So nothing is joined with k-mers, and they are neither shuffled nor written.
+    """
+    cross = F.col("isCrossJunction")
+    expr = F.when(cross, least_counts(F.col("crossed").cast("array<array<double>>"))).otherwise(mean_counts(F.col("held").cast("array<struct<n:double,counts:array<double>>>"), k))
+    return rows.select("gene", "kmer", "coord", "isCrossJunction", F.col("annotated").alias("junctionAnnotated"), "readFrameAnnotated", expr.alias("expr"))
+
+
 def kmer_pieces(rows: DataFrame) -> DataFrame:
     """gene, id (the coordinates), start and stop of each piece, as segment expression takes them."""
     return rows.select("gene", F.col("coord").alias("id"), F.explode("parts").alias("p")).select("gene", "id", "p.start", "p.stop").distinct()
